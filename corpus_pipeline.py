@@ -4,27 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import packing, simhash
+from corvane.llm import mixing, packing, quality, simhash, templates
 from corvane.llm.common import materialise, ship_repo, table
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the line field reject go; the field is fitted to the labelled documents of sf_dir."""
+    ship_repo(spark)
+    field = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.accepted(docs, field)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines whose template recurs across documents go; every document stays."""
+    return templates.without_recurring_lines(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays: that with the smallest doc_id."""
     ship_repo(spark)
     return simhash.keep_one(docs)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are replicated by Poisson draws towards the sources' target weights, in random order."""
+    return mixing.mixed(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents' token ids are laid into windows; a row a piece."""
     ship_repo(spark)
     return packing.pack(docs)
 
 
 STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
     ("simhash_near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
     ("packing", pack),
 ]
 
-#: SimHash, the trained labeller and the tokenizer are beyond SQL; tests hold the stages against brute-force versions.
+#: The trained labeller, SimHash and the tokenizer are beyond SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 

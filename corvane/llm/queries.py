@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import ship_repo
+from .mixing import OP10_SQL, op10
 from .packing import op7
+from .quality import op1
 from .simhash import op6
+from .templates import OP3_SQL, op3
 
 
 def _shipped(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -23,11 +26,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         k: _shipped(f)
         for k, f in {
+            "op1_line_field_quality": op1,
+            "op3_template_line_dedup": op3,
             "op6_simhash_near_dedup": op6,
             "op7_packing": op7,
+            "op10_poisson_mixing": op10,
         }.items()
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_template_line_dedup": OP3_SQL,
+        "op10_poisson_mixing": OP10_SQL,
+    }
