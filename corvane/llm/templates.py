@@ -40,10 +40,12 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     lead = F.transform(F.slice("ws", 1, DEPTH), lambda w: F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(w))
     lines = lines.withColumn("leaf", F.xxhash64(F.size("ws"), lead))
     popular = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("leaf")
+    popular = materialise(popular, "popular")  # tables of their own, so that joins on a hot leaf or template can be split
     kept = lines.join(popular, "leaf").withColumn("ws", F.transform("ws", lambda w: F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(w)))
     kept = materialise(kept.withColumn("line", F.xxhash64("_id", "_row", "_pos")), "lines")
     words = kept.select("leaf", "line", F.size("ws").alias("n"), F.posexplode("ws").alias("p", "w"))
     constant = words.where(F.col("w") != FIELD).groupBy("leaf", "p", "w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("leaf", "p", "w")
+    constant = materialise(constant, "constant")
     # the tokens of a line that are constant: their number, and a hash that does not depend on order
     share = words.join(constant, ["leaf", "p", "w"]).groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("fixed"), F.max("n").alias("n"), F.sum(F.xxhash64("p", "w").cast("decimal(20,0)")).alias("shape"))
     share = share.where(F.col("fixed") >= MIN_CONSTANT * F.col("n")).select("leaf", "line", F.xxhash64("leaf", "shape", "fixed").alias("template"))
@@ -51,6 +53,7 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     docs_of = tagged.select("template", "_id", "_row").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"))
     contexts = tagged.select("template", "ctx").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n_ctx"))
     found = docs_of.join(contexts, "template").where((F.col("n_docs") >= least) & (2 * F.col("n_ctx") >= F.col("n_docs"))).select("template")
+    found = materialise(found, "found")
     return tagged.join(found, "template").select("_id", "_row", "_pos")
 
 
