@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ["tables", "indexes"]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    for m in MODULES:
+        out.update(importlib.import_module(f"corvane.plans.{m}").queries())
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out: dict[str, str] = {}
+    for m in MODULES:
+        out.update(importlib.import_module(f"corvane.plans.{m}").oracle_sql())
+    return out
