@@ -108,7 +108,7 @@ def oracle_sql():
  WHEN share THEN "column" || CASE WHEN mean >= 0.05 THEN ': high' WHEN mean >= 0.02 THEN ': middle' ELSE ': low' END ELSE "column" END AS text FROM k"""
     q["p01_range_spec"] = "WITH n AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders) SELECT o_orderkey, o_orderstatus, o_totalprice FROM n WHERE rn > 100 AND rn <= 1100 AND o_orderstatus = 'F'"
     q["p02_numeric_coercion"] = f"""WITH cells AS (SELECT 'a' AS "column", a AS v FROM {values_sql("a, b", MESSY)} UNION ALL SELECT 'b', b FROM {values_sql("a, b", MESSY)})
- SELECT "column", count(v) AS n_values, count({NUMBER_SQL.format("v")}) AS n_numeric, count({NUMBER_SQL.format("v")}) > 0 AS is_numeric FROM cells GROUP BY column"""
+ SELECT "column", count(v) AS n_values, count({NUMBER_SQL.format("v")}) AS n_numeric, count({NUMBER_SQL.format("v")}) > 0 AS is_numeric FROM cells GROUP BY "column" """
     clean = lambda rows: f"(SELECT trim(k) AS key, {NUMBER_SQL.format('v')} AS value FROM {values_sql('k, v', rows)} WHERE k IS NOT NULL AND trim(k) <> '')"
     q["p03_clean_pairs"] = f"SELECT * FROM {clean(LEFT)}"
     q["p04_drop_empty"] = "SELECT * FROM (VALUES (1, 'x'), (2, 'y')) AS t(a, c)"
