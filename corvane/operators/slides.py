@@ -72,7 +72,7 @@ def slot_lookup(plan: DataFrame, slots: DataFrame) -> DataFrame:
     wanted = plan.select("plan_row", "slide", F.inline(cells)).where("value is not null")
     known = slots.select("slide", F.col("slot_id").alias("found"), F.inline(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("value")) for c in keys]))).where("value is not null")
     hit = wanted.join(known, ["slide", "kind", "value"]).groupBy("plan_row").agg(F.min(F.struct("prio", "found")).alias("_h"))
-    return plan.select("plan_row").join(hit, "plan_row", "left").select("plan_row", F.col("_h.found").alias("slot_id"), F.coalesce(F.element_at(F.array(*[F.lit(k) for k in keys]), F.col("_h.prio") + 1), F.lit("none")).alias("by"))
+    return plan.select("plan_row").join(hit, "plan_row", "left").select("plan_row", F.col("_h.found").alias("slot_id"), F.when(F.col("_h").isNull(), "none").when(F.col("_h.prio") == 0, keys[0]).when(F.col("_h.prio") == 1, keys[1]).otherwise(keys[2]).alias("by"))
 
 
 def capacity(width: Column, height: Column, font_px: Column, spacing: float = 1.2) -> Column:

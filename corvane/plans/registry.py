@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["tables", "indexes", "texts", "structures", "processes"]
+MODULES = ["tables", "indexes", "texts", "structures", "processes", "inputs"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

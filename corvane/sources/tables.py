@@ -16,3 +16,15 @@ def values(spark: SparkSession, columns: str, rows: str) -> DataFrame:
 
 def values_sql(columns: str, rows: str) -> str:
     return f"(SELECT * FROM (VALUES {rows}) AS t({columns}))"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names, or a temporary one where it is unset."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = current.get() if current.isDefined() else f"file://{tempfile.gettempdir()}"
+    return f"{base}/tables-{uuid.uuid4().hex}/{name}"
