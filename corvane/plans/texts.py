@@ -21,26 +21,26 @@ RANGES = "('1,3-5'), ('2'), ('7-9, 12'), ('x,4')"
 TABLES = "(1, 'a|b~c~1|2'), (2, 'h~x|y|z')"
 MD = "(1, 'Hello $x$ world'), (2, 'a \\\\frac{1}{2} b'), (3, 'x^{2}'), (4, 'plain'), (5, '\\\\alphabet')"
 
-# name: columns, rows, outputs as (Spark column, SQL); {H} is the CJK class
+# name: columns, rows, outputs as (Spark column when called, SQL)
 CASES = {
-    "f03_doc_id": ("path", "('/a/b/My file.docx'), ('x.pdf'), ('é-ü_1.md')", {"doc_id": (X.doc_id(F.col("path")), r"'doc_' || regexp_replace(string_split(path, '/')[-1], '[^\p{L}\p{N}_-]', '_', 'g')")}),
-    "f05_person_candidates": ("id, t", PEOPLE, {"names": (F.array_join(X.person_candidates(F.col("t"), ["王", "李", "张"]), ","), r"array_to_string(list_filter(list_concat(list_transform(range(1, greatest(length(t), 1) + 1), lambda i: substr(t, i, 2)), list_transform(range(1, greatest(length(t), 1) + 1), lambda i: substr(t, i, 3))), lambda x: regexp_matches(x, '^(王|李|张)[\x{4e00}-\x{9fff}]{1,2}$')), ',')")}),
-    "f09_visual_width": ("id, t", LONG_HAN.replace(", 2, ", ", ").replace(", 1, ", ", "), {"width": (X.visual_width(F.col("t")), r"CAST(length(regexp_replace(t, '\s', '', 'g')) + length(regexp_replace(regexp_replace(t, '\s', '', 'g'), '[^\x{1100}-\x{115f}\x{2e80}-\x{a4cf}\x{ac00}-\x{d7a3}\x{f900}-\x{faff}\x{fe30}-\x{fe6f}\x{ff00}-\x{ff60}\x{ffe0}-\x{ffe6}]', '', 'g')) AS DOUBLE)")}),
-    "f10_char_weight": ("id, t", LINES, {"weight": (X.char_weight(F.col("t")), r"length(regexp_replace(t, '\s', '', 'g')) + length(regexp_replace(t, '[^\x{4e00}-\x{9fff}]', '', 'g'))")}),
-    "f11_has_cjk": ("id, t", LINES, {"cjk": (X.has_cjk(F.col("t")), r"regexp_matches(t, '[\x{4e00}-\x{9fff}]')")}),
-    "f12_list_items": ("id, t", LINES, {"is_item": (X.is_list_item(F.col("t")), r"regexp_matches(t, '^\s*([-*\x{2022}\x{00b7}]\s|[0-9]+[.)\x{3001}]\s*\S|\([0-9]+\)|\x{ff08}[0-9]+\x{ff09}|[a-zA-Z][.)]\s|[\x{2460}-\x{2473}]|[ivx]+[.)]\s)')")}),
+    "f03_doc_id": ("path", "('/a/b/My file.docx'), ('x.pdf'), ('é-ü_1.md')", {"doc_id": (lambda: X.doc_id(F.col("path")), r"'doc_' || regexp_replace(string_split(path, '/')[-1], '[^\p{L}\p{N}_-]', '_', 'g')")}),
+    "f05_person_candidates": ("id, t", PEOPLE, {"names": (lambda: F.array_join(X.person_candidates(F.col("t"), ["王", "李", "张"]), ","), r"array_to_string(list_filter(list_concat(list_transform(range(1, greatest(length(t), 1) + 1), lambda i: substr(t, i, 2)), list_transform(range(1, greatest(length(t), 1) + 1), lambda i: substr(t, i, 3))), lambda x: regexp_matches(x, '^(王|李|张)[\x{4e00}-\x{9fff}]{1,2}$')), ',')")}),
+    "f09_visual_width": ("id, t", LONG_HAN.replace(", 2, ", ", ").replace(", 1, ", ", "), {"width": (lambda: X.visual_width(F.col("t")), r"CAST(length(regexp_replace(t, '\s', '', 'g')) + length(regexp_replace(regexp_replace(t, '\s', '', 'g'), '[^\x{1100}-\x{115f}\x{2e80}-\x{a4cf}\x{ac00}-\x{d7a3}\x{f900}-\x{faff}\x{fe30}-\x{fe6f}\x{ff00}-\x{ff60}\x{ffe0}-\x{ffe6}]', '', 'g')) AS DOUBLE)")}),
+    "f10_char_weight": ("id, t", LINES, {"weight": (lambda: X.char_weight(F.col("t")), r"length(regexp_replace(t, '\s', '', 'g')) + length(regexp_replace(t, '[^\x{4e00}-\x{9fff}]', '', 'g'))")}),
+    "f11_has_cjk": ("id, t", LINES, {"cjk": (lambda: X.has_cjk(F.col("t")), r"regexp_matches(t, '[\x{4e00}-\x{9fff}]')")}),
+    "f12_list_items": ("id, t", LINES, {"is_item": (lambda: X.is_list_item(F.col("t")), r"regexp_matches(t, '^\s*([-*\x{2022}\x{00b7}]\s|[0-9]+[.)\x{3001}]\s*\S|\([0-9]+\)|\x{ff08}[0-9]+\x{ff09}|[a-zA-Z][.)]\s|[\x{2460}-\x{2473}]|[ivx]+[.)]\s)')")}),
     "f13_heading_levels": ("id, style, t", STYLED + ", (5, 'Normal', '# Title'), (6, 'Normal', '第一章 绪论'), (7, 'Normal', '2.3.4 Deep'), (8, 'Normal', '3. One')", {
-        "pdf": (X.heading_level_pdf(F.col("t")), "{pdf}"), "styled": (X.heading_level_style(F.col("style"), F.col("t")), r"CASE WHEN regexp_matches(style, '^[Hh]eading ([1-9])$') THEN CAST(right(style, 1) AS INTEGER) ELSE {pdf} END"),
-        "plain": (X.heading_level_plain(F.col("t")), r"CASE WHEN regexp_matches(t, '^#{1,6}\s') THEN CAST(length(regexp_extract(t, '^(#{1,6})\s', 1)) AS INTEGER) WHEN length(t) <= 60 THEN {pdf} ELSE 0 END")}),
-    "f14_misread_heading": ("id, level, t", LONG_HAN, {"misread": (X.is_misread_heading(F.col("level"), F.col("t")), r"level IN (2, 3) AND length(regexp_replace(t, '\s', '', 'g')) + length(regexp_replace(t, '[^\x{4e00}-\x{9fff}]', '', 'g')) > 60 AND regexp_matches(t, '[\x{3002}\x{ff0c}\x{ff1b}\x{ff1a}\x{ff01}\x{ff1f}]')")}),
-    "f15_table_caption": ("id, t", LINES, {"caption": (X.is_table_caption(F.col("t")), r"regexp_matches(t, '^(\x{8868}\s*[0-9]+([.-][0-9]+)?|[Tt]able\s+[0-9]+([.-][0-9]+)?|TABLE\s+[0-9IVX]+|Tab\.\s*[0-9]+|\x{7eed}\x{8868})')")}),
-    "f20_file_names": ("name", FILES, {"safe": (X.safe_filename(F.col("name")), r"""regexp_replace(regexp_replace(trim(name), '[\\/:*?"<>|\x00-\x1f]', '_', 'g'), '_+', '_', 'g')"""), "ext": (X.extension(F.element_at(F.split("name", r"\."), -1)), "CASE WHEN lower(string_split(name, '.')[-1]) = '' THEN 'bin' ELSE lower(string_split(name, '.')[-1]) END")}),
-    "f22_slide_list": ("spec", RANGES, {"slides": (F.array_join(X.slide_list(F.col("spec")).cast("array<string>"), ","), "array_to_string(flatten(list_transform(list_filter(string_split(replace(spec, ' ', ''), ','), lambda x: regexp_matches(x, '^[0-9]+(-[0-9]+)?$')), lambda x: range(CAST(string_split(x, '-')[1] AS BIGINT), CAST(string_split(x, '-')[-1] AS BIGINT) + 1))), ',')")}),
-    "f24_hours": ("t", "('4 hours'), ('none'), ('2x3')", {"hours": (X.hours(F.col("t")), "coalesce(TRY_CAST(regexp_extract(t, '([0-9]+)', 1) AS INTEGER), 2)")}),
-    "f27_human_size": ("n", SIZES, {"size": (X.human_size(F.col("n").cast("long")), "CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f', n / 1024.0) || ' KB' WHEN n < 1073741824 THEN printf('%.1f', n / 1048576.0) || ' MB' ELSE printf('%.1f', n / 1073741824.0) || ' GB' END")}),
-    "f28_relative_age": ("s", AGES, {"age": (X.relative_age(F.expr("timestamp_seconds(1700000000 - s)"), F.expr("timestamp_seconds(1700000000)")), "CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN s // 60 || ' minutes ago' WHEN s < 86400 THEN s // 3600 || ' hours ago' WHEN s < 604800 THEN s // 86400 || ' days ago' ELSE strftime(make_timestamp((1700000000 - CAST(s AS BIGINT)) * 1000000), '%Y-%m-%d') END")}),
-    "f30_iso_date": ("t", DATES, {"day": (X.iso_date(F.col("t")), r"CASE WHEN regexp_matches(t, '([0-9]{4})[\x{5e74}.-]([0-9]{1,2})[\x{6708}.-]([0-9]{1,2})') THEN regexp_extract(t, '([0-9]{4})[\x{5e74}.-]([0-9]{1,2})[\x{6708}.-]([0-9]{1,2})', 1) || '-' || lpad(regexp_extract(t, '([0-9]{4})[\x{5e74}.-]([0-9]{1,2})[\x{6708}.-]([0-9]{1,2})', 2), 2, '0') || '-' || lpad(regexp_extract(t, '([0-9]{4})[\x{5e74}.-]([0-9]{1,2})[\x{6708}.-]([0-9]{1,2})', 3), 2, '0') END")}),
-    "f33_fitted_width": ("w, h", "(2400, 1000), (800, 600), (1999, 777)", {"new_w": (X.fitted_width(F.col("w"), F.col("h"))[0], "least(w, 1200)"), "new_h": (X.fitted_width(F.col("w"), F.col("h"))[1], "CASE WHEN w > 1200 THEN CAST(floor(h * CAST(1200 AS DOUBLE) / w) AS INTEGER) ELSE h END")}),
+        "pdf": (lambda: X.heading_level_pdf(F.col("t")), "{pdf}"), "styled": (lambda: X.heading_level_style(F.col("style"), F.col("t")), r"CASE WHEN regexp_matches(style, '^[Hh]eading ([1-9])$') THEN CAST(right(style, 1) AS INTEGER) ELSE {pdf} END"),
+        "plain": (lambda: X.heading_level_plain(F.col("t")), r"CASE WHEN regexp_matches(t, '^#{1,6}\s') THEN CAST(length(regexp_extract(t, '^(#{1,6})\s', 1)) AS INTEGER) WHEN length(t) <= 60 THEN {pdf} ELSE 0 END")}),
+    "f14_misread_heading": ("id, level, t", LONG_HAN, {"misread": (lambda: X.is_misread_heading(F.col("level"), F.col("t")), r"level IN (2, 3) AND length(regexp_replace(t, '\s', '', 'g')) + length(regexp_replace(t, '[^\x{4e00}-\x{9fff}]', '', 'g')) > 60 AND regexp_matches(t, '[\x{3002}\x{ff0c}\x{ff1b}\x{ff1a}\x{ff01}\x{ff1f}]')")}),
+    "f15_table_caption": ("id, t", LINES, {"caption": (lambda: X.is_table_caption(F.col("t")), r"regexp_matches(t, '^(\x{8868}\s*[0-9]+([.-][0-9]+)?|[Tt]able\s+[0-9]+([.-][0-9]+)?|TABLE\s+[0-9IVX]+|Tab\.\s*[0-9]+|\x{7eed}\x{8868})')")}),
+    "f20_file_names": ("name", FILES, {"safe": (lambda: X.safe_filename(F.col("name")), r"""regexp_replace(regexp_replace(trim(name), '[\\/:*?"<>|\x00-\x1f]', '_', 'g'), '_+', '_', 'g')"""), "ext": (lambda: X.extension(F.element_at(F.split("name", r"\."), -1)), "CASE WHEN lower(string_split(name, '.')[-1]) = '' THEN 'bin' ELSE lower(string_split(name, '.')[-1]) END")}),
+    "f22_slide_list": ("spec", RANGES, {"slides": (lambda: F.array_join(X.slide_list(F.col("spec")).cast("array<string>"), ","), "array_to_string(flatten(list_transform(list_filter(string_split(replace(spec, ' ', ''), ','), lambda x: regexp_matches(x, '^[0-9]+(-[0-9]+)?$')), lambda x: range(CAST(string_split(x, '-')[1] AS BIGINT), CAST(string_split(x, '-')[-1] AS BIGINT) + 1))), ',')")}),
+    "f24_hours": ("t", "('4 hours'), ('none'), ('2x3')", {"hours": (lambda: X.hours(F.col("t")), "coalesce(TRY_CAST(regexp_extract(t, '([0-9]+)', 1) AS INTEGER), 2)")}),
+    "f27_human_size": ("n", SIZES, {"size": (lambda: X.human_size(F.col("n").cast("long")), "CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f', n / 1024.0) || ' KB' WHEN n < 1073741824 THEN printf('%.1f', n / 1048576.0) || ' MB' ELSE printf('%.1f', n / 1073741824.0) || ' GB' END")}),
+    "f28_relative_age": ("s", AGES, {"age": (lambda: X.relative_age(F.expr("timestamp_seconds(1700000000 - s)"), F.expr("timestamp_seconds(1700000000)")), "CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN s // 60 || ' minutes ago' WHEN s < 86400 THEN s // 3600 || ' hours ago' WHEN s < 604800 THEN s // 86400 || ' days ago' ELSE strftime(make_timestamp((1700000000 - CAST(s AS BIGINT)) * 1000000), '%Y-%m-%d') END")}),
+    "f30_iso_date": ("t", DATES, {"day": (lambda: X.iso_date(F.col("t")), r"CASE WHEN regexp_matches(t, '([0-9]{4})[\x{5e74}.-]([0-9]{1,2})[\x{6708}.-]([0-9]{1,2})') THEN regexp_extract(t, '([0-9]{4})[\x{5e74}.-]([0-9]{1,2})[\x{6708}.-]([0-9]{1,2})', 1) || '-' || lpad(regexp_extract(t, '([0-9]{4})[\x{5e74}.-]([0-9]{1,2})[\x{6708}.-]([0-9]{1,2})', 2), 2, '0') || '-' || lpad(regexp_extract(t, '([0-9]{4})[\x{5e74}.-]([0-9]{1,2})[\x{6708}.-]([0-9]{1,2})', 3), 2, '0') END")}),
+    "f33_fitted_width": ("w, h", "(2400, 1000), (800, 600), (1999, 777)", {"new_w": (lambda: X.fitted_width(F.col("w"), F.col("h"))[0], "least(w, 1200)"), "new_h": (lambda: X.fitted_width(F.col("w"), F.col("h"))[1], "CASE WHEN w > 1200 THEN CAST(floor(h * CAST(1200 AS DOUBLE) / w) AS INTEGER) ELSE h END")}),
 }
 PDF_SQL = r"""CASE WHEN regexp_matches(t, '^(\x{7b2c}[\x{4e00}-\x{9fff}0-9]+\x{7ae0}|Chapter [0-9]+)') THEN 1 WHEN regexp_matches(t, '^[0-9]+\.[0-9]+\.[0-9]+[ .]?\s*\S') THEN 3
  WHEN regexp_matches(t, '^[0-9]+\.[0-9]+[ .]?\s*\S') THEN 2 WHEN regexp_matches(t, '^[0-9]+[.\x{3001}]\s*\S') AND length(t) <= 80 THEN 1 ELSE 0 END"""
@@ -48,7 +48,7 @@ PDF_SQL = r"""CASE WHEN regexp_matches(t, '^(\x{7b2c}[\x{4e00}-\x{9fff}0-9]+\x{7
 
 def _case(name):
     columns, rows, outs = CASES[name]
-    return lambda s, d: values(s, columns, rows).select("*", *[c.alias(k) for k, (c, _) in outs.items()])
+    return lambda s, d: values(s, columns, rows).select("*", *[c().alias(k) for k, (c, _) in outs.items()])
 
 
 def _lines(s, d):
