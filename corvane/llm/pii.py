@@ -1,8 +1,8 @@
 """Personal data: fixed patterns find entities; corpus co-occurrence finds the terms that give them away.
 
-A term's disclosure of an entity is the share of the term's contexts (distinct lines) that stand next to the entity,
-and the pair's pointwise mutual information. Terms over both thresholds are spans too: generalised to a tag, or
-removed where the share is near one. Contexts are distinct lines, so copies of a document count once.
+A term's disclosure of an entity is the share of the lines with the term in which it stands next to the entity, and
+the pair's pointwise mutual information. Terms over both thresholds are spans too: generalised to a tag, or removed
+where the share is near one. A pair needs several distinct lines, so copies of a document alone make no pair.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from .common import map_rows, materialise, table
 KINDS = ["email", "ip", "card", "phone", "term"]
 #: Words to each side of an entity, in its line, that count as next to it.
 NEAR = 8
-#: Least number of contexts of a pair, least share of the term's contexts, least mutual information in bits; share from which a term is removed.
+#: Least number of distinct lines of a pair, least share of the term's lines, least mutual information in bits; share from which a term is removed.
 MIN_CONTEXTS = 5
 MIN_SHARE = 0.5
 MIN_BITS = 4.0
@@ -75,7 +75,7 @@ def _next_to(t: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     """For each entity the terms around it in its line, and that line's hash as the context."""
     import xxhash
 
-    out = []
+    found: dict[tuple[str, int, int], set[str]] = {}
     for s, k, e in spans:
         a = t.rfind("\n", 0, s) + 1
         b = t.find("\n", e)
@@ -93,10 +93,9 @@ def _next_to(t: str, spans: list[tuple[int, int, int]]) -> list[dict]:
                 break
             if free(m):
                 right.append(m[0])
-        if left or right:
-            value = t[s:e].lower() if k == 0 else "".join(c for c in t[s:e] if c.isdigit() or (k == 1 and c == "."))
-            out.append({"entity": f"{KINDS[k]}:{value}", "context": xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42) - (1 << 63), "terms": sorted({w.lower() for w in left + right})})
-    return out
+        value = t[s:e].lower() if k == 0 else "".join(c for c in t[s:e] if c.isdigit() or (k == 1 and c == "."))
+        found.setdefault((f"{KINDS[k]}:{value}", a, b), set()).update(w.lower() for w in left + right)
+    return [{"entity": name, "context": xxhash.xxh64_intdigest(t[a:b].encode("utf-8", "surrogatepass"), 42) - (1 << 63), "terms": sorted(ws)} for (name, a, b), ws in found.items()]
 
 
 _SPANS = "array<struct<start:long,kind:int,end:long>>"
@@ -124,23 +123,22 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, min_contexts: int = MIN_
 
     Counts run over all rows of docs; a term that is never next to an entity often enough is not counted further.
     """
-    near = found.select(F.explode("near").alias("n")).select("n.entity", "n.context", F.explode("n.terms").alias("term")).distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together")).where(F.col("together") >= min_contexts)
+    near = found.select(F.explode("near").alias("n")).select("n.entity", "n.context", "n.terms")
+    lines_of = near.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    per = near.select("entity", "context", F.explode("terms").alias("term")).groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
+    pairs = per.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("together")).where(F.col("contexts") >= min_contexts)
     pairs = materialise(pairs, "pairs")
-    candidates = materialise(pairs.select("term").distinct(), "candidates")
-    lines = docs.where("text is not null").select(F.explode(F.split("text", "\n")).alias("line"))
-    if candidates.isEmpty():
+    if pairs.isEmpty():
         none = pairs.select("term", F.lit(0.0).alias("share"), F.lit(0.0).alias("bits"))
         return none, none.select(F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("_row"), "term")
-    places = materialise(_words_of_lines(docs).join(candidates, "term"), "places")
-    n = lines.agg(F.approx_count_distinct("line", 0.01)).first()[0]
-    alone = places.select("term", "line").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    of = near.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    scored = pairs.join(alone, "term").join(of, "entity")
+    n = docs.agg(F.sum(F.size(F.split("text", "\n"))).alias("n")).first()[0]
+    # all words are counted before the join, which so has a row a pair and not one a place
+    alone = _words_of_lines(docs).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    scored = pairs.join(alone, "term").join(lines_of, "entity")
     scored = scored.select("term", (F.col("together") / F.col("n_term")).alias("share"), F.log2(F.col("together") * F.lit(float(n)) / (F.col("n_entity") * F.col("n_term"))).alias("bits"))
     terms = scored.where((F.col("share") >= min_share) & (F.col("bits") >= min_bits)).groupBy("term").agg(F.max("share").alias("share"), F.max("bits").alias("bits"))
     terms = materialise(terms, "terms")
-    return terms, places.join(terms.select("term"), "term").select("doc_id", "_row", "term").distinct()
+    return terms, _words_of_lines(docs).join(terms.select("term"), "term").select("doc_id", "_row", "term").distinct()
 
 
 def detect(docs: DataFrame, **thresholds) -> DataFrame:
