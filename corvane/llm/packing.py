@@ -117,7 +117,7 @@ class Packer:
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, make_encoder: Callable[[], Callable[[list], list[np.ndarray]]] | None = None, window: int = WINDOW, max_open: int = MAX_OPEN) -> DataFrame:
+def pack(docs: DataFrame, make_encoder: Callable[[], Callable[[pa.Array], list[np.ndarray]]] | None = None, window: int = WINDOW, max_open: int = MAX_OPEN) -> DataFrame:
     """docs(doc_id, text) -> pieces. Each partition packs its rows as they come; sequence ids are partition * 2^33 + local number.
 
     Null and empty texts have the end id alone. Repeated rows are packed once each. A null doc_id stays null. Every
@@ -135,11 +135,11 @@ def pack(docs: DataFrame, make_encoder: Callable[[], Callable[[list], list[np.nd
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*got, strict=True) if got else [[]] * 7)], names=names)
 
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                for key, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                for key, ids in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
                     packer.add(key, ids)
-            yield rows()
+                yield rows()
         packer.flush()
         yield rows()
 

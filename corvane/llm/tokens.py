@@ -1,71 +1,205 @@
-"""Token ids of whole texts, with a bounded cache of chunks.
+"""Token ids of whole texts: pieces are hashed and looked up in bulk, and only new pieces meet the tokenizer.
 
-The vocabulary's pre-tokenizer never joins anything across a space and drops white space, so the ids of a text are
-those of its space-separated chunks in order; a final comma or full stop after a letter is a piece of its own. New
-chunks are encoded by the tokenizer itself; known ones come from the cache.
+The vocabulary's pre-tokenizer never joins anything across a space, so the ids of a text are those of its chunks
+between spaces and newlines in order, and marks that end a chunk after a letter are a piece of their own. The
+vocabulary is lower case, so ASCII capitals are folded first. Pieces are found by a 64-bit polynomial hash in a
+bounded table of ids; a text with the opening of a special token is encoded whole.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
 NAME = "word_bpe_49k.json"
 END = 2
-#: Chunks in each of the two generations of the cache; the older one goes when the younger is full.
-MAX_CHUNKS = 500_000
-#: Longer chunks are encoded anew each time.
-MAX_CHUNK_CHARS = 40
+#: Slots of the table, a power of two; it is emptied when half full.
+SLOTS = 1 << 21
+#: Bytes of text that are looked up at once; a longer single text is encoded by the tokenizer as it is.
+BATCH_BYTES = 1 << 21
+#: Trailing marks that are split off at most.
+MOST_MARKS = 4
 
-_cached: dict[str, list] = {}
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?#*$%&|")] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = True
 
 
-def _load(path: str) -> list:
-    """The tokenizer, and the younger and the older generation of the cache."""
-    if path not in _cached:
+def _bytes_to_chars() -> dict[int, str]:
+    """Byte-level BPE writes printable Latin-1 bytes as they are and the others, in order, from code point 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_CHARS = _bytes_to_chars()
+
+
+class Pieces:
+    """The table from a piece's hash to its ids, and the tokenizer for what is new."""
+
+    def __init__(self, path: str, slots: int = SLOTS, batch_bytes: int = BATCH_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _cached[path] = [Tokenizer.from_file(path), {"": b""}, {}]
-    return _cached[path]
+        self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
+        self.slots, self.batch_bytes = slots, batch_bytes
+        self.shift = np.uint64(64 - slots.bit_length() + 1)
+        with np.errstate(over="ignore"):
+            inverse = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
+            self.power = np.cumprod(np.full(batch_bytes, _MULTIPLIER, np.uint64))
+            self.inverse = np.cumprod(np.full(batch_bytes, inverse, np.uint64))
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(self.slots, np.uint64)
+        self.place = np.zeros(self.slots, np.int32)
+        self.count = np.zeros(self.slots, np.int32)
+        self.arena = np.zeros(1 << 16, np.uint32)
+        self.used = self.entries = 0
+
+    def ids_of(self, piece: bytes) -> array:
+        s = piece.decode("utf-8", "surrogatepass")
+        if s.isalpha() and (s.isascii() or max(s) < "Ā"):
+            s = s.lower()  # letters only, composed: one piece for the vocabulary's model
+            chars = s if s.isascii() else s.encode().decode("latin-1").translate(_CHARS)
+            return array("I", [t.id for t in self.model.tokenize(chars)])
+        return array("I", self.tok.encode(s, add_special_tokens=False).ids)
 
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Slots of the hashes, -1 where they are not in the table."""
+        slot = (h >> self.shift).astype(np.int64)
+        out = np.full(len(h), -1, np.int64)
+        todo = np.arange(len(h))
+        while len(todo):
+            at = slot[todo]
+            k = self.keys[at]
+            hit = k == h[todo]
+            out[todo[hit]] = at[hit]
+            todo = todo[~hit & (k != 0)]
+            slot[todo] = (slot[todo] + 1) & (self.slots - 1)
+        return out
 
-def encoder(path: str | None = None, end: int = END) -> Callable[[list], list[np.ndarray]]:
+    def _add(self, h: np.ndarray, ids: list[array]) -> None:
+        counts = np.fromiter(map(len, ids), np.int32, len(ids))
+        total = int(counts.sum())
+        while self.used + total > len(self.arena):
+            self.arena = np.concatenate((self.arena, np.zeros(len(self.arena), np.uint32)))
+        places = self.used + np.cumsum(counts) - counts
+        self.arena[self.used : self.used + total] = np.frombuffer(b"".join(x.tobytes() for x in ids), np.uint32)
+        self.used += total
+        self.entries += len(h)
+        slot = (h >> self.shift).astype(np.int64)
+        todo = np.arange(len(h))
+        while len(todo):
+            at = slot[todo]
+            free = self.keys[at] == 0
+            self.keys[at[free]] = h[todo[free]]  # of several for one slot the last stays
+            mine = free & (self.keys[at] == h[todo])
+            self.place[at[mine]] = places[todo[mine]]
+            self.count[at[mine]] = counts[todo[mine]]
+            todo = todo[~mine]
+            slot[todo] = (slot[todo] + 1) & (self.slots - 1)
+
+    def encode(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each); raw: their UTF-8 bytes, ends: where each ends."""
+        n = len(raw)
+        heads = np.concatenate(([0], ends[:-1]))
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(len(ends), np.int64)
+        low = _LOWER[raw]
+        word = (raw != 32) & (raw != 10)
+        first, last = word.copy(), word.copy()
+        first[1:] &= ~word[:-1]
+        last[:-1] &= ~word[1:]
+        some = heads[heads < ends]
+        first[some[word[some]]] = True
+        tails = ends[heads < ends] - 1
+        last[tails[word[tails]]] = True
+        s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
+        cut = e.copy()
+        for _ in range(MOST_MARKS):
+            on = (cut > s) & _MARK[low[np.maximum(cut - 1, 0)]]
+            if not on.any():
+                break
+            cut[on] -= 1
+        before = low[np.maximum(cut - 1, 0)]
+        latin = (cut - 2 >= s) & (low[np.maximum(cut - 2, 0)] == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)
+        split = cut[(cut < e) & (cut > s) & (_LETTER[before] | latin)]
+        first[split] = True
+        last[split - 1] = True
+        s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
+        with np.errstate(over="ignore"):
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((low.astype(np.uint64) + np.uint64(1)) * self.power[:n])))
+            h = (total[e] - total[s]) * self.inverse[s]
+            h ^= (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(29)
+        h[h == 0] = 1
+        slot = self._find(h)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            hashes, at = np.unique(h[new], return_index=True)
+            if self.entries + len(hashes) > self.slots // 2 and self.entries:
+                self.clear()
+                return self.encode(raw, ends)
+            at = new[at]
+            self._add(hashes, [self.ids_of(low[a:b].tobytes()) for a, b in zip(s[at].tolist(), e[at].tolist(), strict=True)])
+            slot[new] = self._find(h[new])
+        count = self.count[slot].astype(np.int64)
+        stop = np.cumsum(count)
+        where = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(self.place[slot] - (stop - count), count)
+        stop = np.concatenate(([0], stop))
+        per = stop[np.searchsorted(s, ends)] - stop[np.searchsorted(s, heads)]
+        return self.arena[where], per
+
+
+_loaded: dict[str, Pieces] = {}
+
+
+def encoder(path: str | None = None, end: int = END) -> Callable[[list | pa.Array], list[np.ndarray]]:
     """Texts to uint32 id arrays, each closed by `end`. Null: empty text. path: the tokenizer's file, the public one by default."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(NAME)
-    state = _load(path)
-    last = np.array([end], "<u4").tobytes()
-
-    def encode(texts: list) -> list[np.ndarray]:
-        tok, young, old = state
-        missing: list[tuple[list, int, str, str]] = []
-        parts_of = []
-        for t in texts:
-            words = t.replace("\n", " ").split(" ") if t else []
-            parts = list(map(young.get, words))
-            if None in parts:
-                for i, p in enumerate(parts):
-                    if p is None:
-                        w = words[i]
-                        stem, mark = (w[:-1], w[-1]) if w[-1] in ".," and w[-2:-1].isalpha() else (w, "")
-                        missing.append((parts, i, stem, mark))
-            parts_of.append(parts)
-        if missing:
-            need = {s for _, _, s, _ in missing if s not in young} | {".", ","}
-            here = {s: old[s] for s in need if s in old}
-            order = [s for s in need if s not in here]
-            here |= {s: np.array(e.ids, "<u4").tobytes() for s, e in zip(order, tok.encode_batch_fast(order, add_special_tokens=False), strict=True)}
-            for parts, i, stem, mark in missing:
-                got = here[stem] if stem in here else young[stem]
-                parts[i] = got + here[mark] if mark else got
-            if len(young) + len(here) > MAX_CHUNKS:
-                state[1], state[2] = {"": b""}, young
-            state[1].update((s, v) for s, v in here.items() if len(s) <= MAX_CHUNK_CHARS)
-        return [np.frombuffer(b"".join(parts) + last, "<u4") for parts in parts_of]
+    if path not in _loaded:
+        _loaded[path] = Pieces(path)
+    pieces = _loaded[path]
+
+    def encode(texts: list | pa.Array) -> list[np.ndarray]:
+        col = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        if col.null_count:
+            col = col.fill_null("")
+        out: list[np.ndarray] = []
+        bounds = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
+        data = np.frombuffer(col.buffers()[2], np.uint8) if len(col) and col.buffers()[2] is not None else np.zeros(0, np.uint8)
+        at = 0
+        while at < len(col):
+            stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + pieces.batch_bytes, "right")) - 1)
+            raw = data[bounds[at] : bounds[stop]]
+            special = raw.tobytes().find(b"<|") >= 0
+            if len(raw) > pieces.batch_bytes or (special and stop == at + 1):
+                ids = pieces.tok.encode(raw.tobytes().decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
+                out.append(np.array([*ids, end], np.uint32))
+            elif special:  # such texts are rare: this batch goes text by text
+                for k in range(at, stop):
+                    out += encode(col.slice(k, 1))
+            else:
+                ids, per = pieces.encode(raw, bounds[at + 1 : stop + 1] - bounds[at])
+                to = np.cumsum(per)
+                closed = np.insert(ids, to, np.uint32(end))
+                out += np.split(closed, (to + np.arange(1, len(to) + 1))[:-1])
+            at = stop
+        return out
 
     return encode
