@@ -127,24 +127,26 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """docs -> (doc_id, fp long, component_id): fingerprints link at `radius` or fewer differing bits.
+    """docs -> (doc_id, _row, fp long, component_id): fingerprints link at `radius` or fewer differing bits.
 
     Null and empty texts have fingerprint 0 and link like any other. Rows with a null id get a fingerprint and no
-    component. Equal fingerprints are collapsed before the search, so copies cost one row. Other columns are ignored.
+    component. Equal fingerprints are collapsed before the search, so copies cost one row. _row: xxhash64 of the text.
+    Other columns are ignored.
     """
-    fps = map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), lambda ids, texts: [ids, [fingerprint(t) for t in texts]], "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("_row"), F.col(text_col).alias("text"))
+    fps = map_rows(rows, lambda ids, rows, texts: [ids, rows, [fingerprint(t) for t in texts]], "doc_id long, _row long, fp long")
     fps = materialise(fps, "fingerprints")
     prints = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     prints = materialise(prints, "prints")
     comp = connected_components(links(prints, radius))
     named = prints.join(comp, prints.rep == comp.node, "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, fps.fp == F.col("_fp"), "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return fps.join(named, fps.fp == F.col("_fp"), "left").select("doc_id", "_row", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Documents without the near copies: of each component the smallest doc_id stays. Rows with a null id stay; repeated rows of one id stay once each as given."""
-    found = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_cv_drop")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("_cv_drop"), "left_anti")
+    """Documents without the near copies: of each component the smallest doc_id stays. Rows with a null id stay, and so do repeated rows of one id and text."""
+    found = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_cv_id"), F.col("_row").alias("_cv_row")).distinct()
+    return docs.join(found, (docs["doc_id"] == F.col("_cv_id")) & (F.xxhash64(docs["text"]) == F.col("_cv_row")), "left_anti")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
