@@ -9,7 +9,7 @@ from corvane.operators import schedule as S
 from corvane.operators import slides as D
 from corvane.operators import workflow as W
 from corvane.plans import operations
-from corvane.sources.tables import load, values, values_sql
+from corvane.sources.tables import load, scratch, values, values_sql
 from corvane.streaming import progress as G
 
 LEFT_FILES = "('report_01.docx'), ('report_02.docx'), ('notes final.txt'), ('budget 2024 v7.xlsx')"
@@ -86,8 +86,18 @@ def _progress(s, d):
     return G.parse(G.log_lines(load(s, d, "events")))
 
 
+def _stream(s, d):
+    """The progress log as text files, folded as a stream to its end; the last state of each task."""
+    base = scratch(s, "progress")
+    G.log_lines(load(s, d, "events")).write.text(f"{base}/in")
+    G.run_stream(s, f"{base}/in", f"{base}/out", f"{base}/offsets")
+    out = s.read.parquet(f"{base}/out")
+    return out.groupBy("task_id").agg(F.max_by(F.struct("status", "percent", "n_events"), "batch").alias("s")).select("task_id", "s.*")
+
+
 def queries():
     q = {}
+    q["t02_fold_stream"] = _stream
     q["j06_number_scores"] = lambda s, d: M.number_scores(values(s, "name", LEFT_FILES), values(s, "name", RIGHT_FILES))
     q["j06_greedy_numbers"] = lambda s, d: M.greedy(M.number_scores(values(s, "name", LEFT_FILES), values(s, "name", RIGHT_FILES)))
     q["j07_token_scores"] = lambda s, d: M.token_scores(values(s, "name", LEFT_FILES), values(s, "name", RIGHT_FILES), 0.2)
@@ -198,6 +208,7 @@ def oracle_sql():
  st AS (SELECT task_id, step_id, arg_max(CASE WHEN type IN ('complete', 'fail', 'skip') THEN 100 ELSE coalesce(percent, 0) END, seq) AS p FROM live WHERE step_id IS NOT NULL GROUP BY ALL), m AS (SELECT task_id, floor(sum(least(greatest(p, 0), 100)) / greatest(count(*), 1)) AS percent FROM st GROUP BY task_id),
  ts AS (SELECT task_id, arg_max(CASE WHEN type = 'create' THEN 'pending' ELSE 'running' END, seq) AS status, count(*) AS n_events FROM live GROUP BY task_id), fo AS (SELECT ts.task_id, status, CAST(coalesce(percent, 0) AS BIGINT) AS percent, n_events FROM ts LEFT JOIN m ON ts.task_id = m.task_id)"""
     q["a22_progress"] = f"WITH {fold} SELECT task_id, percent FROM fo"
+    q["t02_fold_stream"] = f"WITH {fold} SELECT * FROM fo"
     q["t02_fold"] = f"WITH {fold} SELECT * FROM fo"
     q["t01_parse"] = f"WITH {events} SELECT type, task_id, coalesce(step_id, '') AS step_id, percent, seq FROM ev"
     q["t03_tracked_steps"] = f"WITH {events} SELECT task_id, step_id, arg_max(type, seq) AS last_type, arg_max(percent, seq) AS last_percent, count(*) AS n FROM ev WHERE step_id IS NOT NULL GROUP BY ALL"

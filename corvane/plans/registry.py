@@ -3,17 +3,36 @@
 from __future__ import annotations
 
 import importlib
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = ["tables", "indexes", "texts", "structures", "processes", "inputs"]
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever the driver was started."""
+    env = spark.sparkContext.environment
+    paths = [p for p in (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+
+
+def _shipped(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return fn(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     for m in MODULES:
-        out.update(importlib.import_module(f"corvane.plans.{m}").queries())
+        out.update({k: _shipped(f) for k, f in importlib.import_module(f"corvane.plans.{m}").queries().items()})
     return out
 
 
