@@ -25,6 +25,8 @@ QUERY_ROWS = 262144
 LINKS = 12
 BUILD_BEAM = 48
 SEARCH_BEAM = 48
+#: Doublings of a query's beam before it takes in the whole shard.
+DOUBLINGS = 2
 #: Recall of links in the audited queries that ends widening; audited queries of a batch.
 RECALL = 0.99
 AUDITED = 96
@@ -149,19 +151,24 @@ class SmallWorld:
         return self._beam(0, q, entry, min(beam, len(self.x)))
 
     def within(self, q: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
-        """For each query the nodes found with at least that similarity; its beam doubles while all of it is."""
+        """For each query the nodes found with at least that similarity; its beam widens while all of it is, twice by doubling and then to the whole shard."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
         todo = np.arange(len(q))
+        doublings = 0
         while len(todo):
-            step = max(1, min(len(todo), (BATCH * 64) // beam, 2**26 // max(1, len(self.x))))
+            if doublings > DOUBLINGS:
+                beam = len(self.x)
+            step = max(1, min(len(todo), BATCH if beam >= len(self.x) else (BATCH * 64) // beam, 2**24 // max(1, len(self.x))))
             again = []
             for a in range(0, len(todo), step):
                 part = todo[a : a + step]
                 if beam >= len(self.x):
-                    ids, sims = np.broadcast_to(np.arange(len(self.x)), (len(part), len(self.x))), q[part] @ self.x.T
-                else:
-                    ids, sims = self.search(q[part], beam)
-                full = (sims >= least).all(axis=1) & (beam < len(self.x))
+                    sims = q[part] @ self.x.T
+                    for r, i in enumerate(part.tolist()):
+                        out[i] = np.flatnonzero(sims[r] >= least)
+                    continue
+                ids, sims = self.search(q[part], beam)
+                full = (sims >= least).all(axis=1)
                 for r, i in enumerate(part.tolist()):
                     if full[r]:
                         again.append(i)
@@ -169,6 +176,7 @@ class SmallWorld:
                         out[i] = ids[r][(sims[r] >= least) & (ids[r] >= 0)]
             todo = np.array(again, np.int64)
             beam *= 2
+            doublings += 1
         return out
 
 
@@ -293,7 +301,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: i
 
     Vectors link within one label and length. Null labels, and vectors that are null, empty, zero or hold null or
     non-finite components, link with nothing. Equal vectors of a label are collapsed first and weigh as many as they
-    are. Rows with a null id have no component. Other columns are ignored.
+    are. Rows with a null id have no component and are not kept. Other columns are ignored.
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>").alias("e"))
     size2 = F.aggregate("e", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
@@ -316,7 +324,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: i
     out = v.withColumn("_fine", fine)
     linked = out.where("_fine").join(named, (F.col("label") == F.col("_label")) & (F.col("e") == F.col("_e"))).select("vec_id", "n_links", "component_id")
     rest = out.where("not coalesce(_fine, false)").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return linked.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
