@@ -19,14 +19,13 @@ def column_profile(df: DataFrame, columns: list[str], order: str, samples: int =
     """A row a column: rows, nulls, distinct values, and the first distinct values in `order`."""
     cells = long_form(df.withColumn("_order", F.col(order)), columns, ["_order"])
     per = cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.min("_order").alias("first"))
-    w = Window.partitionBy("column").orderBy(F.col("value").isNull(), "first", "value")
-    ranked = per.withColumn("rank", F.row_number().over(w))
-    return ranked.groupBy("column").agg(
-        F.sum("n").alias("n_rows"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).cast("long").alias("null_count"),
-        F.count("value").alias("unique_count"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("rank") <= samples) & F.col("value").isNotNull(), F.struct("rank", "value")))), lambda x: x["value"]), "|").alias("samples"),
+    counts = per.groupBy("column").agg(
+        F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).cast("long").alias("null_count"), F.count("value").alias("unique_count")
     )
+    w = Window.partitionBy("column").orderBy("first", "value")
+    ranked = per.where("value is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= samples)  # the limit runs before the shuffle too
+    shown = ranked.groupBy("column").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]), "|").alias("samples"))
+    return counts.join(shown, "column", "left").withColumn("samples", F.coalesce("samples", F.lit("")))
 
 
 def numeric_stats(df: DataFrame, columns: list[str], exact_median: bool = True) -> DataFrame:
