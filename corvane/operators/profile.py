@@ -146,3 +146,55 @@ def insights(stats: DataFrame) -> DataFrame:
     )
     area = F.when(money, "finance").when(count, "sales").when(share, "research").otherwise("general")
     return stats.select("column", area.alias("area"), text.alias("text"))
+
+
+# fixed values: words of column names in company and in academic tables
+COMPANY_WORDS = ["销售", "收入", "成本", "利润", "资产", "负债", "员工", "部门", "客户", "产品", "订单", "发票", "财务", "预算", "工资", "绩效"]
+ACADEMIC_WORDS = ["成绩", "分数", "学生", "教师", "课程", "班级", "学期", "考试", "论文", "研究", "实验", "调查", "学分", "年级", "学科"]
+
+
+def direction(names: DataFrame) -> DataFrame:
+    """names(table, column) -> company or academic, whichever has more of its words in the column names; else general."""
+    out = subject(names, {"company": COMPANY_WORDS, "academic": ACADEMIC_WORDS})
+    c, a = F.col("n_company"), F.col("n_academic")
+    return out.select("table", "n_company", "n_academic", F.when(c > a, "company").when(a > c, "academic").otherwise("general").alias("direction"))
+
+
+# fixed values: of each area, in order, the words of numeric columns with what is reported of them (the first match counts),
+# the words of category columns (none: all) and their most values
+AREAS: dict[str, tuple[list[tuple[str, list[str]]], str | None, int | None]] = {
+    "finance": ([("收入|销售", ["mean"]), ("成本|费用", ["mean"]), ("利润", ["mean"])], "^$", None),
+    "sales": ([("销售|金额|收入", ["sum", "mean", "max", "min"])], None, 20),
+    "hr": ([("工资|薪资|薪酬", ["mean", "median"]), ("绩效|评分", ["mean"])], "部门|职位", None),
+    "grades": ([("成绩|分数|分", ["mean", "std", "band"])], "班级|学科", None),
+    "teaching": ([("评分|评价|满意度", ["mean"])], "教师|课程", None),
+    "research": ([("", ["mean", "std"])], None, 10),
+}
+
+
+def area_insights(numeric: DataFrame, categories: DataFrame, area: str) -> DataFrame:
+    """numeric(pos, column, mean, median, std, min, max, sum), categories(pos, column, unique_count) -> (column, metric, value).
+
+    A missing deviation is left out. Areas without rules report the means and distinct counts of the first three columns.
+    Nothing to report: one row that says so.
+    """
+    band = F.when(F.col("mean") >= 90, "excellent").when(F.col("mean") >= 80, "good").when(F.col("mean") >= 60, "pass").otherwise("fail")
+    two = lambda c: F.format_string("%.2f", F.col(c).cast("double"))
+    name = F.lower("column")
+    if area in AREAS:
+        rules, words, most = AREAS[area]
+        metrics = F.array().cast("array<string>")
+        for pattern, wanted in reversed(rules):
+            metrics = F.when(name.rlike(pattern) if pattern else F.lit(True), F.array(*[F.lit(m) for m in wanted])).otherwise(metrics)
+        cats = categories.where((name.rlike(words) if words else F.lit(True)) & (F.col("unique_count") <= most if most else F.lit(True)))
+    else:
+        metrics = F.when(F.col("pos") < 3, F.array(F.lit("mean"))).otherwise(F.array().cast("array<string>"))
+        cats = categories.where("pos < 3")
+    values = numeric.select("column", F.explode(metrics).alias("metric"), *[c for c in ("mean", "median", "std", "min", "max", "sum")])
+    value = F.when(F.col("metric") == "band", band)
+    for m in ("mean", "median", "std", "min", "max", "sum"):
+        value = value.when((F.col("metric") == m) & F.col(m).isNotNull(), two(m))
+    out = values.select("column", "metric", value.alias("value")).where("value is not null")
+    out = out.union(cats.select("column", F.lit("unique"), F.col("unique_count").cast("string")))
+    none = out.agg(F.count(F.lit(1)).alias("_n")).where("_n = 0").select(F.lit("(table)"), F.lit("note"), F.lit("no rule of the area applies"))
+    return out.union(none)

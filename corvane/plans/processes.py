@@ -102,6 +102,7 @@ def queries():
     q["j06_greedy_numbers"] = lambda s, d: M.greedy(M.number_scores(values(s, "name", LEFT_FILES), values(s, "name", RIGHT_FILES)))
     q["j07_token_scores"] = lambda s, d: M.token_scores(values(s, "name", LEFT_FILES), values(s, "name", RIGHT_FILES), 0.2)
     q["j08_similarity"] = lambda s, d: M.greedy(M.similarity_scores(values(s, "name", LEFT_FILES), values(s, "name", RIGHT_FILES)))
+    q["f08_similarity_ratio"] = lambda s, d: M.similarity_scores(values(s, "name", "('abcd'), ('report one'), ('zzz')"), values(s, "name", "('bcde'), ('report two'), ('abcd')"), 0.0)
     q["j09_auto_match"] = lambda s, d: M.auto(values(s, "name", LEFT_FILES), values(s, "name", RIGHT_FILES))
     q["j13_named_lookup"] = lambda s, d: S.named(values(s, "course, who", "('a', 'Li'), ('b', 'Wu'), ('c', 'Xi')"), values(s, "pos, name, id", "(1, 'Li', 't1'), (2, 'Li', 't2'), (3, 'Wu', 't3')"), "who", "teacher")
     q["j14_slot_lookup"] = lambda s, d: D.slot_lookup(_plan(s).withColumn("shape_id", F.col("shape_id").cast("string")), _slots(s))
@@ -181,6 +182,7 @@ def oracle_sql():
     q["j06_number_scores"] = f"SELECT l.name AS l, r.name AS r, CASE WHEN l.ns[-1] = r.ns[-1] THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS score FROM {nums(LEFT_FILES)} l, {nums(RIGHT_FILES)} r WHERE len(l.ns) > 0 AND list_contains(r.ns, l.ns[-1])"
     toks = lambda rows: rf"(SELECT name, list_distinct(list_filter(string_split(regexp_replace(lower(name), '[^\p{{L}}\p{{N}}_]', ' ', 'g'), ' '), lambda x: x <> '')) AS ts FROM {values_sql('name', rows)})"
     q["j07_token_scores"] = f"WITH p AS (SELECT l.name AS l, r.name AS r, len(list_intersect(l.ts, r.ts)) AS n, len(l.ts) + len(r.ts) AS m FROM {toks(LEFT_FILES)} l, {toks(RIGHT_FILES)} r) SELECT l, r, round(n / CAST(m - n AS DOUBLE), 6) AS score FROM p WHERE n > 0 AND n / CAST(m - n AS DOUBLE) > 0.2"
+    q["f08_similarity_ratio"] = "SELECT * FROM (VALUES ('abcd', 'bcde', 0.75::DOUBLE), ('abcd', 'abcd', 1.0), ('report one', 'report two', 0.8), ('report one', 'bcde', 0.142857), ('abcd', 'report two', 0.0)) AS t(l, r, score) WHERE score > 0"
     q["j13_named_lookup"] = "SELECT * FROM (VALUES ('a', 'Li', 't2'), ('b', 'Wu', 't3'), ('c', 'Xi', 'Xi')) AS t(course, who, teacher)"
     q["j14_slot_lookup"] = "SELECT * FROM (VALUES (1, 's1', 'slot_id'), (2, 's2', 'shape_id'), (3, 's3', 'shape_name'), (4, NULL, 'none')) AS t(plan_row, slot_id, \"by\")"
     q["j15_cell_errors"] = "SELECT * FROM (VALUES (2, 't1', 'row out of range'), (3, 't1', 'column out of range'), (4, 'zz', 'unknown table')) AS t(edit, table_id, error)"

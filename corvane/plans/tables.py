@@ -54,6 +54,9 @@ def queries():
     q["a06_equal_width_bins"] = lambda s, d: P.equal_width_bins(load(s, d, "part"), "p_size")
     q["a30_subject"] = lambda s, d: P.subject(values(s, "table, column", TABLE_COLUMNS))
     q["a31_insights"] = lambda s, d: P.insights(P.numeric_stats(load(s, d, "lineitem"), NUMERIC))
+    q["a30_direction"] = lambda s, d: P.direction(values(s, "table, column", HAN_COLUMNS))
+    for area in (*P.AREAS, "other"):
+        q[f"a31_area_{area}"] = lambda s, d, area=area: P.area_insights(values(s, STAT_COLUMNS, STATS).select("pos", "column", *[F.col(c).cast("double").alias(c) for c in ("mean", "median", "std", "min", "max", "sum")]), values(s, "pos, column, unique_count", CATEGORIES), area)
     q["p01_range_spec"] = lambda s, d: P.apply_range(load(s, d, "orders"), "o_orderkey", ["o_orderkey", "o_orderstatus", "o_totalprice", "absent"], (100, 1100), {"o_orderstatus": "F", "o_orderpriority": "1-URGENT"})
     q["p02_numeric_coercion"] = lambda s, d: P.coerced(values(s, "a, b", MESSY), ["a", "b"])
     q["p03_clean_pairs"] = lambda s, d: C.clean_pairs(values(s, "k, v", LEFT), "k", "v")
@@ -82,6 +85,12 @@ def queries():
 TABLE_COLUMNS = "('lineitem', 'l_extendedprice'), ('lineitem', 'l_discount'), ('lineitem', 'l_tax'), ('lineitem', 'l_quantity'), ('orders', 'o_orderkey'), ('orders', 'o_custkey'), ('orders', 'o_orderpriority'), ('region', 'r_name')"
 
 
+HAN_COLUMNS = "('t1', '销售收入'), ('t1', '客户'), ('t1', '班级'), ('t2', '学生'), ('t2', '课程成绩'), ('t3', '名称')"
+STAT_COLUMNS = "pos, column, mean, median, std, min, max, sum"
+STATS = "(0, '销售收入', 10.5, 9.0, 2.25, 1.0, 20.0, 105.0), (1, '成本', 4.0, 4.0, CAST(NULL AS DOUBLE), 4.0, 4.0, 4.0), (2, '绩效评分', 88.126, 90.0, 3.5, 60.0, 99.0, 881.26), (3, '工资', 5000.0, 4800.0, 100.0, 4000.0, 9000.0, 50000.0), (4, '考试分数', 91.0, 92.0, 1.0, 80.0, 99.0, 910.0)"
+CATEGORIES = "(0, '部门', 4), (1, '班级', 25), (2, '教师', 12), (3, '学科', 3)"
+
+
 def oracle_sql():
     q = {}
     q["a01_column_profile"] = f"""WITH cells AS ({_union(f"SELECT c_custkey AS k, '{c}' AS col, CAST({c} AS VARCHAR) AS v FROM customer" for c in CUSTOMER)}),
@@ -106,6 +115,15 @@ def oracle_sql():
  SELECT "column", CASE WHEN money THEN 'finance' WHEN cnt THEN 'sales' WHEN share THEN 'research' ELSE 'general' END AS area,
  CASE WHEN money THEN printf('%s: total %.2f, mean %.2f', "column", sum, mean) WHEN cnt THEN printf('%s: from %.2f to %.2f', "column", min, max)
  WHEN share THEN "column" || CASE WHEN mean >= 0.05 THEN ': high' WHEN mean >= 0.02 THEN ': middle' ELSE ': low' END ELSE "column" END AS text FROM k"""
+    q["a30_direction"] = "SELECT * FROM (VALUES ('t1', 3, 1, 'company'), ('t2', 0, 3, 'academic'), ('t3', 0, 0, 'general')) AS t(\"table\", n_company, n_academic, direction)"
+    head = "AS t(\"column\", metric, value)"
+    q["a31_area_finance"] = f"SELECT * FROM (VALUES ('销售收入', 'mean', '10.50'), ('成本', 'mean', '4.00')) {head}"
+    q["a31_area_sales"] = f"SELECT * FROM (VALUES ('销售收入', 'sum', '105.00'), ('销售收入', 'mean', '10.50'), ('销售收入', 'max', '20.00'), ('销售收入', 'min', '1.00'), ('部门', 'unique', '4'), ('教师', 'unique', '12'), ('学科', 'unique', '3')) {head}"
+    q["a31_area_hr"] = f"SELECT * FROM (VALUES ('绩效评分', 'mean', '88.13'), ('工资', 'mean', '5000.00'), ('工资', 'median', '4800.00'), ('部门', 'unique', '4')) {head}"
+    q["a31_area_grades"] = f"SELECT * FROM (VALUES ('绩效评分', 'mean', '88.13'), ('绩效评分', 'std', '3.50'), ('绩效评分', 'band', 'good'), ('考试分数', 'mean', '91.00'), ('考试分数', 'std', '1.00'), ('考试分数', 'band', 'excellent'), ('班级', 'unique', '25'), ('学科', 'unique', '3')) {head}"
+    q["a31_area_teaching"] = f"SELECT * FROM (VALUES ('绩效评分', 'mean', '88.13'), ('教师', 'unique', '12')) {head}"
+    q["a31_area_research"] = f"SELECT \"column\", 'mean' AS metric, printf('%.2f', CAST(mean AS DOUBLE)) AS value FROM {values_sql(STAT_COLUMNS.replace('column', chr(34) + 'column' + chr(34)), STATS)} UNION ALL SELECT \"column\", 'std', printf('%.2f', CAST(std AS DOUBLE)) FROM {values_sql(STAT_COLUMNS.replace('column', chr(34) + 'column' + chr(34)), STATS)} WHERE std IS NOT NULL UNION ALL SELECT \"column\", 'unique', CAST(unique_count AS VARCHAR) FROM {values_sql('pos, ' + chr(34) + 'column' + chr(34) + ', unique_count', CATEGORIES)} WHERE unique_count <= 10"
+    q["a31_area_other"] = f"SELECT * FROM (VALUES ('销售收入', 'mean', '10.50'), ('成本', 'mean', '4.00'), ('绩效评分', 'mean', '88.13'), ('部门', 'unique', '4'), ('班级', 'unique', '25'), ('教师', 'unique', '12')) {head}"
     q["p01_range_spec"] = "WITH n AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders) SELECT o_orderkey, o_orderstatus, o_totalprice FROM n WHERE rn > 100 AND rn <= 1100 AND o_orderstatus = 'F'"
     q["p02_numeric_coercion"] = f"""WITH cells AS (SELECT 'a' AS "column", a AS v FROM {values_sql("a, b", MESSY)} UNION ALL SELECT 'b', b FROM {values_sql("a, b", MESSY)})
  SELECT "column", count(v) AS n_values, count({NUMBER_SQL.format("v")}) AS n_numeric, count({NUMBER_SQL.format("v")}) > 0 AS is_numeric FROM cells GROUP BY "column" """
