@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 # fixed values: blocks and marks that the document rules name
 CJK = r"[\x{4e00}-\x{9fff}]"
-CJK_MARKS = r"[\x{3002}\x{ff0c}\x{ff1b}\x{ff1a}\x{ff01}\x{ff1f}]"
 NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
@@ -69,43 +68,72 @@ def visual_width(c: Column) -> Column:
     return (F.length(dense) + F.length(F.regexp_replace(dense, r"[^\x{1100}-\x{115f}\x{2e80}-\x{a4cf}\x{ac00}-\x{d7a3}\x{f900}-\x{faff}\x{fe30}-\x{fe6f}\x{ff00}-\x{ff60}\x{ffe0}-\x{ffe6}]", ""))).cast("double")
 
 
+# fixed values: patterns of list items, headings, captions and LaTeX, and words that open sections
+LIST_ITEM = r"^([0-9]+[.\x{3001})\x{ff09}]|[\x{2460}-\x{2469}]|[一二三四五六七八九十]+[.\x{3001}]|[a-zA-Z][.\x{3001})]|[-\x{2022}\x{00b7}\x{25aa}\x{2023}\x{2043}]|\([0-9]+\)|\x{ff08}[0-9]+\x{ff09}|\[[0-9A-Za-z_]\])"
+CHAPTER = r"^第[一二三四五六七八九十0-9]+[章节部分篇]"
+CHAPTER_DOCX = r"^第[一二三四五六七八九十百0-9]+[章节部篇]"
+NUMBERED = r"^[0-9]+(\.[0-9]+)*\s+\S"
+HAN_NUMBERED = r"^[\x{ff08}(]?[一二三四五六七八九十]+[\x{ff09}).\x{3001}]"
+OPENING = r"^(引言|前言|绪论|摘要|Abstract|结论|总结|展望|致谢|参考文献|References|关键词|Keywords|研究背景|研究方法|实验|结果|讨论|分析|文献综述|相关工作)"
+OPENING_DOCX = r"^(引言|摘要|结论|参考文献|致谢|附录|abstract|references|introduction|conclusion|summary)"
+COLON = r"[:\x{ff1a}]"
+PREFIXED = r"(引言|摘要|结论|总结|概述|前言|背景)"
+CAPTION = r"^(表\s*[-.\x{2013}]\s*[0-9]+\s*[-.\x{2013}]\s*[0-9]+|表\s*[0-9]+\s*[-.\x{2013}]\s*[0-9]+|表\s*[0-9]+\s+|(?i:table)\s*[0-9]+\s*|表格\s*[0-9]+\s+)"
+BODY_MARKS = r"[。，；、（）]"
+LATEX = r"(\\[a-zA-Z]+(\{[^}]*\})*|\^\{[^}]*\}|_(\{[^}]*\}|[a-zA-Z0-9]))"
+
+
 def is_list_item(c: Column) -> Column:
-    return c.rlike(r"^\s*([-*\x{2022}\x{00b7}]\s|[0-9]+[.)\x{3001}]\s*\S|\([0-9]+\)|\x{ff08}[0-9]+\x{ff09}|[a-zA-Z][.)]\s|[\x{2460}-\x{2473}]|[ivx]+[.)]\s)")
+    return F.trim(c).rlike(LIST_ITEM)
 
 
 def heading_level_pdf(c: Column) -> Column:
-    """Numbered headings: 1. -> 1, 1.1 -> 2, 1.1.1 -> 3; chapter marks 1; else 0."""
+    """Chapters 1; decimal numbering by the number of dots in the line; Chinese numbering and opening words of short lines 1, with a colon up to 100 characters 2; else 0."""
+    n, dots = F.length(c), F.length(c) - F.length(F.replace(c, F.lit("."), F.lit("")))
     return (
-        F.when(c.rlike(r"^(\x{7b2c}[\x{4e00}-\x{9fff}0-9]+\x{7ae0}|Chapter [0-9]+)"), 1)
-        .when(c.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+[ .]?\s*\S"), 3)
-        .when(c.rlike(r"^[0-9]+\.[0-9]+[ .]?\s*\S"), 2)
-        .when(c.rlike(r"^[0-9]+[.\x{3001}]\s*\S") & (F.length(c) <= 80), 1)
-        .otherwise(0)
-    )
+        F.when(c.rlike(CHAPTER), 1).when(c.rlike(NUMBERED), F.when(dots >= 2, 3).when(dots == 1, 2).otherwise(1)).when(c.rlike(HAN_NUMBERED) & (n <= 80), 1)
+        .when(c.rlike(OPENING) & (n <= 60), 1).when(c.rlike(OPENING) & c.rlike(COLON) & (n <= 100), 2).otherwise(0)
+    )
 
 
 def heading_level_style(style: Column, c: Column) -> Column:
-    """From the style name Heading N, else from the numbering."""
-    level = F.regexp_extract(style, r"^[Hh]eading ([1-9])$", 1)
-    return F.when(level != "", level.try_cast("int")).otherwise(heading_level_pdf(c))
+    """The style's level 1 to 3, else patterns of lines up to 80 characters: chapter 1, number and blank 1, Chinese numbering 2, opening word with a colon 2, decimal numbering 3."""
+    st, n = F.lower(F.coalesce(style, F.lit(""))), F.length(c)
+    return (
+        F.when(F.trim(c) == "", 0).when(F.contains(st, F.lit("heading 1")), 1).when(F.contains(st, F.lit("heading 2")), 2).when(F.contains(st, F.lit("heading 3")), 3).when(n > 80, 0)
+        .when(c.rlike(CHAPTER_DOCX), 1).when(c.rlike(r"^[0-9]+\s+\S") & (n < 50), 1).when(c.rlike(r"^[一二三四五六七八九十]+[\x{3001}\x{ff0e}.]"), 2)
+        .when(F.lower(c).rlike(OPENING_DOCX) & c.rlike(COLON), 2).when(c.rlike(r"^[0-9]+\.[0-9]+[.\s]") & (~F.contains(st, F.lit("first paragraph")) | (n < 50)), 3).otherwise(0)
+    )
 
 
 def heading_level_plain(c: Column) -> Column:
-    """Markdown marks first, then numbering of short lines."""
-    marks = F.length(F.regexp_extract(c, r"^(#{1,6})\s", 1))
-    return F.when(marks > 0, marks).when(F.length(c) <= 60, heading_level_pdf(c)).otherwise(0)
+    """Lines without styles: decimal numbering by depth, a number with dot up to 50 characters 3, Chinese numbering 2, chapters 1, a short part before a full-width colon 2; else 0."""
+    t = F.trim(c)
+    n = F.length(t)
+    head = F.trim(F.substring_index(t, "\uff1a", 1))
+    return (
+        F.when(t.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+\s+\S"), 4).when(t.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\s+\S"), 3).when(t.rlike(r"^[0-9]+\.[0-9]+\s+\S"), 2)
+        .when(t.rlike(r"^[0-9]+[.\x{3001}]\s*\S") & (n <= 50), 3).when(t.rlike(r"^[一二三四五六七八九十]+[\x{3001}.\s]"), 2).when(t.rlike(CHAPTER), 1)
+        .when(F.contains(t, F.lit("\uff1a")) & (n <= 80) & (F.length(head) <= 15) & (head.rlike(PREFIXED) | (F.length(head) <= 10)), 2).otherwise(0)
+    )
 
 
 def is_misread_heading(level: Column, c: Column) -> Column:
-    return level.isin(2, 3) & (char_weight(c) > 60) & c.rlike(CJK_MARKS)
+    """Second and third level headings that weigh over 60 and hold marks of running text."""
+    return level.isin(2, 3) & (char_weight(c) > 60) & c.rlike(BODY_MARKS)
 
 
 def is_table_caption(c: Column) -> Column:
-    return c.rlike(r"^(\x{8868}\s*[0-9]+([.-][0-9]+)?|[Tt]able\s+[0-9]+([.-][0-9]+)?|TABLE\s+[0-9IVX]+|Tab\.\s*[0-9]+|\x{7eed}\x{8868})")
+    return F.trim(c).rlike(CAPTION)
+
+
+def wrap_formulas(c: Column) -> Column:
+    """Runs of LaTeX commands, exponents and indices between dollar signs, blanks within a run included; texts with formulas in dollars already stay."""
+    return F.when(c.rlike(r"\$.*?\$") | ~has_latex(c), c).otherwise(F.regexp_replace(c, rf"{LATEX}(\s*{LATEX})*", r"\$$0\$"))
 
 
 def has_latex(c: Column) -> Column:
-    return c.rlike(r"\\(frac|sum|int|sqrt|alpha|beta|gamma|theta|lambda|mu|sigma|cdot|times|leq|geq|infty|partial|left|right|begin|end)([^a-zA-Z]|$)|\^\{|_\{")
+    return c.rlike(LATEX)
 
 
 def normalise_lines(c: Column) -> Column:

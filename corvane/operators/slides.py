@@ -28,23 +28,29 @@ def key_points(texts: DataFrame, most: int = 8, least: int = 8) -> DataFrame:
     return texts.where(F.length(F.trim("text")) >= least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("deck", "n", "rank", truncate(F.trim("text")).alias("point"))
 
 
+# fixed values: words of the page types
+THANKS = r"thank|thanks|q&a|qa|contact|致谢|谢谢|感谢|答疑|联系方式"
+AGENDA = r"agenda|contents|content|outline|目录|议程"
+CHAPTERS = r"chapter|part|section|章节|部分"
+
+
 def page_types(slides: DataFrame) -> DataFrame:
-    """slides(deck, n, text): cover first, ending last or with thanks, contents and chapter by words, sparse pages chapter, else content."""
+    """slides(deck, n, text, n_slots): cover first, ending last or by its words, then contents and chapter by words, sparse pages chapter, else content."""
     w = Window.partitionBy("deck")
     first, last = F.min("n").over(w), F.max("n").over(w)
     t = F.lower("text")
-    # fixed values: words of the page types
     kind = (
-        F.when(F.col("n") == first, "cover").when((F.col("n") == last) | t.rlike(r"thank|\x{8c22}\x{8c22}"), "ending").when(t.rlike(r"contents|agenda|\x{76ee}\x{5f55}"), "toc")
-        .when(t.rlike(r"chapter|part [0-9]|\x{7b2c}.\x{7ae0}"), "chapter").when(F.length(t) <= 20, "chapter").otherwise("content")
+        F.when(F.col("n") == first, "cover").when((F.col("n") == last) | t.rlike(THANKS), "ending").when(t.rlike(AGENDA), "toc").when(t.rlike(CHAPTERS), "chapter")
+        .when((F.col("n_slots") <= 2) & (F.length("text") <= 80), "chapter").otherwise("content")
     )
     return slides.select("deck", "n", kind.alias("page_type"))
 
 
 def slot_roles(slots: DataFrame) -> DataFrame:
-    """slots(slide, slot_id, top, height, font_size): the topmost large slot is the title, the next one subtitle, low small ones footer, else body."""
-    w = Window.partitionBy("slide").orderBy("top", "slot_id")
-    role = F.when((F.row_number().over(w) == 1) & (F.col("font_size") >= 24), "title").when((F.row_number().over(w) == 2) & (F.col("font_size") >= 20), "subtitle").when((F.col("top") >= 640) & (F.col("font_size") < 14), "footer").otherwise("body")
+    """slots(slide, slot_id, shape_name, text, top, n_text): title first, by its name, or high up with up to 80 characters; body from four texts or 120 characters; else label."""
+    order = F.row_number().over(Window.partitionBy("slide").orderBy("slot_id"))
+    name, n = F.lower(F.coalesce("shape_name", F.lit(""))), F.length(F.coalesce("text", F.lit("")))
+    role = F.when((order == 1) | name.rlike("title|标题") | ((F.col("top") < 160) & (n <= 80)), "title").when((F.col("n_text") >= 4) | (n >= 120), "body").otherwise("label")
     return slots.select("slide", "slot_id", role.alias("role"))
 
 
@@ -75,15 +81,40 @@ def slot_lookup(plan: DataFrame, slots: DataFrame) -> DataFrame:
     return plan.select("plan_row").join(hit, "plan_row", "left").select("plan_row", F.col("_h.found").alias("slot_id"), F.when(F.col("_h").isNull(), "none").when(F.col("_h.prio") == 0, keys[0]).when(F.col("_h.prio") == 1, keys[1]).otherwise(keys[2]).alias("by"))
 
 
-def capacity(width: Column, height: Column, font_px: Column, spacing: float = 1.2) -> Column:
-    """Visual width that fits a box: characters of a line times lines, one at least."""
-    return F.greatest(F.floor(width / font_px), F.lit(1)) * F.greatest(F.floor(height / (font_px * spacing)), F.lit(1)) * 2
+def font_px(font: Column, role: Column, height: Column, paragraphs: Column) -> Column:
+    """The given size, else the height of a paragraph over 1.25 if from 8 to 56, else by role."""
+    inferred = height / F.greatest(paragraphs, F.lit(1)) / 1.25
+    return F.when(font > 0, font).when((paragraphs > 0) & (inferred >= 8) & (inferred <= 56), inferred).when(role == "title", 28.0).when(role == "body", 16.0).otherwise(14.0)
+
+
+def capacity(role: Column, width: Column, height: Column, font: Column, old_paragraphs: Column, new_paragraphs: Column) -> Column:
+    """Width in Latin characters that fits a box: usable width by 0.52 of the font times its lines; less for labels and titles; null without a box."""
+    px = font_px(font, role, height, old_paragraphs)
+    lines = F.greatest(F.floor(height / F.greatest(px * 1.25, F.lit(1.0))), old_paragraphs, new_paragraphs, F.lit(1))
+    usable = F.greatest(width - F.when(width >= 180, 24).otherwise(12), width * 0.72, F.lit(1.0))
+    room = usable / F.greatest(px * 0.52, F.lit(1.0)) * lines
+    return F.when((width > 0) & (height > 0), room * F.when(role == "label", 0.7).when(role == "title", 0.85).otherwise(1.0))
 
 
 def fit(slots: DataFrame) -> DataFrame:
-    """slots(slot_id, text, width, height, font_px) -> (slot_id, need, room, status): OK while it fits, WARN beyond; no font size counts as 18."""
-    need, room = visual_width(F.col("text")), capacity(F.col("width"), F.col("height"), F.coalesce("font_px", F.lit(18.0)))
-    return slots.select("slot_id", need.alias("need"), room.cast("double").alias("room"), F.when(need <= room, "OK").otherwise("WARN").alias("status"))
+    """slots(slot_id, role, old_text, text, width, height, font_px, old_paragraphs, new_paragraphs) -> (slot_id, need, room, status, reason).
+
+    Labels and very short texts keep near their old width, titles near their box or old width, bodies within their box and a multiple of the old text.
+    """
+    old, new = F.greatest(visual_width(F.col("old_text")), F.lit(1.0)), visual_width(F.col("text"))
+    role, w, h, op, np_ = (F.col(c) for c in ("role", "width", "height", "old_paragraphs", "new_paragraphs"))
+    room = capacity(role, w, h, F.col("font_px"), op, np_)
+    fits, ratio = F.coalesce(new <= room, F.lit(False)), new / old
+    label = (role == "label") | ((old <= 8) & (op <= 1))
+    title = (role == "title") & (op <= 1)
+    reason = (
+        F.when(label, F.when(fits & (old > 8), "box").when(new > F.when(w >= 220, old * 1.25).otherwise(old), "!short label too long").otherwise("old width"))
+        .when(title, F.when(fits, "box").when(ratio > F.when(old <= 12, 1.15).otherwise(1.35), "!title too long").otherwise("old width"))
+        .when(np_ > F.greatest(op + 2, op * 2, F.lit(2)), "!too many paragraphs").when((w * h < 30000) & (ratio > 2.0), "!small box").when(new > room, "!over the box")
+        .when(ratio > F.when(role == "body", 3.0).otherwise(2.2), "!much longer").otherwise("box")
+    )
+    out = slots.select("slot_id", new.alias("need"), F.round(room, 3).alias("room"), reason.alias("_r"))
+    return out.select("slot_id", "need", "room", F.when(F.col("_r").startswith("!"), "WARN").otherwise("OK").alias("status"), F.regexp_replace("_r", "^!", "").alias("reason"))
 
 
 def cell_errors(edits: DataFrame, tables: DataFrame) -> DataFrame:
@@ -102,6 +133,9 @@ def check_summary(checks: DataFrame) -> DataFrame:
 def check_plan(plan: DataFrame, slots: DataFrame) -> DataFrame:
     """plan rows against slots: ERROR without a slot, else whether the new text fits."""
     at = slot_lookup(plan, slots)
-    x = plan.select("plan_row", "text").join(at, "plan_row").join(slots.select("slot_id", "width", "height", "font_px"), "slot_id", "left")
-    fits = fit(x.select(F.col("plan_row").alias("slot_id"), "text", "width", "height", "font_px")).withColumnRenamed("slot_id", "plan_row")
-    return x.select("plan_row", "slot_id", "by").join(fits.select("plan_row", "status"), "plan_row").withColumn("status", F.when(F.col("slot_id").isNull(), "ERROR").otherwise(F.col("status")))
+    box = slots.select("slot_id", "role", F.col("text").alias("old_text"), "width", "height", "font_px", "old_paragraphs")
+    x = plan.select("plan_row", "text", F.size(F.split("text", "\n")).alias("new_paragraphs")).join(at, "plan_row").join(box, "slot_id", "left")
+    fits = fit(x.withColumn("_slot", F.col("slot_id")).withColumn("slot_id", F.col("plan_row"))).withColumnRenamed("slot_id", "plan_row")
+    return x.select("plan_row", "slot_id", "by").join(fits.select("plan_row", "status", "reason"), "plan_row").select(
+        "plan_row", "slot_id", "by", F.when(F.col("slot_id").isNull(), "ERROR").otherwise(F.col("status")).alias("status"), F.when(F.col("slot_id").isNull(), "no slot").otherwise(F.col("reason")).alias("reason")
+    )

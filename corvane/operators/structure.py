@@ -39,13 +39,20 @@ def regions(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.join(marks, "doc_id").select("doc_id", "pos", "text", region.alias("region"))
 
 
-def neighbour_headings(paragraphs: DataFrame, shorter: float = 0.5, most: int = 40) -> DataFrame:
-    """A line is a heading if it carries a heading mark, or is short and both neighbours are much longer."""
+PAUSES = r"[。，；、（）《》\"]"
+
+
+def neighbour_headings(paragraphs: DataFrame) -> DataFrame:
+    """paragraphs(doc_id, pos, text) -> (doc_id, pos, level): by the line itself, else 2 for a line of up to 40 characters without pauses
+    between two of over 100, after an empty one before over 80, or up to 25 after up to 40 before over 120. Ends of the document have no such level.
+    """
     w = Window.partitionBy("doc_id").orderBy("pos")
-    n = F.length("text")
+    t = F.trim("text")
+    n = F.length(t)
     before, after = F.lag(n).over(w), F.lead(n).over(w)
-    likely = (n > 0) & (n <= most) & (n < shorter * before) & (n < shorter * after)
-    return paragraphs.select("doc_id", "pos", F.coalesce((heading_level_plain(F.col("text")) > 0) | likely, F.lit(False)).alias("is_heading"))
+    own = heading_level_plain(F.col("text"))
+    likely = (n > 0) & (n <= 40) & ~t.rlike(PAUSES) & (((before > 100) & (after > 100)) | ((before == 0) & (after > 80)) | ((before <= 40) & (after > 120) & (n <= 25)))
+    return paragraphs.select("doc_id", "pos", F.when(own > 0, own).when(likely, 2).otherwise(0).alias("level"))
 
 
 def captions_with_tables(blocks: DataFrame) -> DataFrame:
@@ -119,6 +126,18 @@ def first_match(paragraphs: DataFrame, condition: Column, name: str) -> DataFram
     return paragraphs.groupBy("doc_id").agg(F.min_by("text", F.when(condition, F.col("pos"))).alias(name))
 
 
+def document_heads(paragraphs: DataFrame) -> DataFrame:
+    """paragraphs(doc_id, pos, text, level, font_size) -> (doc_id, title, author, date): the first text of level 0 from 14 points, else of five characters; the first short text with an author's mark; the first date."""
+    from corvane.functions.text import iso_date
+
+    first = lambda c, v="text": F.min_by(v, F.when(c, F.col("pos")))
+    x = paragraphs.withColumn("_day", iso_date(F.col("text")))
+    return x.groupBy("doc_id").agg(
+        F.coalesce(first((F.col("level") == 0) & (F.coalesce("font_size", F.lit(10.0)) >= 14)), first((F.length("text") >= 5) & (F.col("level") == 0)), F.lit("")).alias("title"),
+        F.coalesce(first(F.col("text").rlike(AUTHOR) & (F.length("text") <= 60)), F.lit("")).alias("author"), F.coalesce(first(F.col("_day").isNotNull(), "_day"), F.lit("")).alias("date"),
+    )
+
+
 def latest_state(states: DataFrame) -> DataFrame:
     """states(project, status, updated_at): the liveliest row of each project, then the newest."""
     s = F.lower("status")
@@ -156,8 +175,9 @@ def font_levels(blocks: DataFrame) -> DataFrame:
 
 
 # fixed values: starts of boilerplate lines and words that keep short blocks
-BOILERPLATE = r"^(\x{7b2c}[0-9]+\x{9875}|Page [0-9]|\x{7248}\x{6743}|Copyright|\x{00a9})"
-KEPT_WORDS = r"\x{6458}\x{8981}|\x{56fe}|\x{8868}"
+BOILERPLATE = r"^(收稿日期|作者简介|基金项目|中图分类号|DOI)"
+KEPT_WORDS = "摘要|引言|结论"
+AUTHOR = r"[\x{4e00}-\x{9fff}]{2,4}\s*[0-9,\x{ff0c}\x{3001}]+"
 
 
 def is_noise(text: Column) -> Column:

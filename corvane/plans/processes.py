@@ -14,8 +14,8 @@ from corvane.streaming import progress as G
 
 LEFT_FILES = "('report_01.docx'), ('report_02.docx'), ('notes final.txt'), ('budget 2024 v7.xlsx')"
 RIGHT_FILES = "('summary_01.pdf'), ('summary_3_02.pdf'), ('final notes.md'), ('7_of_9.csv'), ('report_02_copy_5.docx')"
-SLOTS = "(1, 's1', 11, 'Title 1', 40, 60, 32.0, 400.0, 80.0, 32.0), (1, 's2', 12, 'Body', 200, 300, 18.0, 300.0, 200.0, 18.0), (2, 's3', 13, 'Title 1', 30, 50, 26.0, 60.0, 30.0, 26.0), (2, 's4', 14, 'Foot', 660, 20, 10.0, 100.0, 20.0, 10.0)"
-SLOT_COLUMNS = "slide, slot_id, shape_id, shape_name, top, height0, font_size, width, height, font_px"
+SLOTS = "(1, 's1', 11, 'Title 1', 40, 'Old heading', 1, 400.0, 80.0, 32.0, 1), (1, 's2', 12, 'Body', 200, 'A body text of some length that stands here already', 5, 300.0, 200.0, CAST(NULL AS DOUBLE), 2), (2, 's3', 13, 'Title 1', 30, 'Name', 1, 60.0, 30.0, 26.0, 1), (2, 's4', 14, 'Foot', 660, 'page', 1, 100.0, 20.0, 10.0, 1)"
+SLOT_COLUMNS = "slide, slot_id, shape_id, shape_name, top, text, n_text, width, height, font_px, old_paragraphs"
 PLAN = "(1, 1, 's1', NULL, NULL, 'Hello'), (2, 1, NULL, 12, 'x', 'Some words'), (3, 2, NULL, 99, 'Title 1', 'A text that is far too long for its slot'), (4, 2, 'zz', NULL, NULL, 'lost')"
 EDITS = "(1, 't1', 0, 0), (2, 't1', 5, 0), (3, 't1', 1, 9), (4, 'zz', 0, 0)"
 SIZES = "('t1', 3, 4)"
@@ -57,7 +57,12 @@ def _events(s, d):
 
 
 def _slots(s):
-    return values(s, SLOT_COLUMNS, SLOTS).select("slide", "slot_id", F.col("shape_id").cast("string").alias("shape_id"), "shape_name", "top", *[F.col(c).cast("double").alias(c) for c in ("font_size", "width", "height", "font_px")])
+    return values(s, SLOT_COLUMNS, SLOTS).select("slide", "slot_id", F.col("shape_id").cast("string").alias("shape_id"), "shape_name", "top", "text", "n_text", "old_paragraphs", *[F.col(c).cast("double").alias(c) for c in ("width", "height", "font_px")])
+
+
+def _with_roles(s):
+    x = _slots(s)
+    return x.join(D.slot_roles(x), ["slide", "slot_id"])
 
 
 def _plan(s):
@@ -110,12 +115,12 @@ def queries():
     q["j16_image_occurrences"] = lambda s, d: M.occurrences(values(s, "pos, hash", USED[0]), values(s, "idx, hash", USED[1]))
     q["j17_fonts"] = lambda s, d: W.resolve_fonts(values(s, "font", FONTS[0]), values(s, "font, alias", FONTS[1]), values(s, "font, pos, fallback", FONTS[2]), values(s, "name", FONTS[3]))
     q["w01_outline"] = lambda s, d: D.outline(_turns(s, d))
-    q["w11_page_types"] = lambda s, d: D.page_types(_turns(s, d))
+    q["w11_page_types"] = lambda s, d: D.page_types(_turns(s, d).withColumn("n_slots", F.size(F.split("text", "\n"))))
     q["w12_slot_roles"] = lambda s, d: D.slot_roles(_slots(s))
     q["w13_key_points"] = lambda s, d: D.key_points(_turns(s, d).select("deck", "n", F.posexplode(F.split("text", "\n")).alias("pos", "text")))
     q["a18_check_summary"] = lambda s, d: D.check_summary(_checked(s))
     q["r08_check_plan"] = lambda s, d: _checked(s)
-    q["f35_fit"] = lambda s, d: D.fit(_slots(s).withColumn("text", F.concat(F.lit("some text for "), "shape_name")))
+    q["f35_fit"] = lambda s, d: D.fit(_with_roles(s).select("*", F.col("text").alias("old_text"), F.lit(2).alias("new_paragraphs")).withColumn("text", F.concat(F.lit("some text for "), "shape_name")))
     q["a19_violations"] = lambda s, d: S.violations(_events(s, d), ["user_id", "event_type"], "hour")
     q["a20_statistics"] = lambda s, d: S.statistics(_assigned(s, d), values(s, "teacher, wish", "(1, 'morning'), (2, 'afternoon')"))
     q["a21_view"] = lambda s, d: S.view(_assigned(s, d), "teacher").na.fill("")
@@ -156,7 +161,7 @@ OPERATIONS = [
 
 
 def _checked(s):
-    return D.check_plan(_plan(s).withColumn("shape_id", F.col("shape_id").cast("string")), _slots(s)).withColumn("slot_id", F.coalesce("slot_id", F.lit("")))
+    return D.check_plan(_plan(s).withColumn("shape_id", F.col("shape_id").cast("string")), _with_roles(s)).withColumn("slot_id", F.coalesce("slot_id", F.lit("")))
 
 
 def deck(s):
@@ -191,15 +196,15 @@ def oracle_sql():
     q["w01_outline"] = rf"""WITH {TURNS_SQL}, o AS (SELECT *, coalesce(last_value(CASE WHEN regexp_matches(title, '^[0-9]{{2}}\s+.+') THEN title END IGNORE NULLS) OVER (PARTITION BY deck ORDER BY n), '(default)') AS section_title FROM turns),
  c AS (SELECT *, CAST(section_title IS DISTINCT FROM lag(section_title) OVER (PARTITION BY deck ORDER BY n) AS INTEGER) AS ch FROM o), i AS (SELECT *, CAST(sum(ch) OVER (PARTITION BY deck ORDER BY n) AS BIGINT) AS section FROM c)
  SELECT deck, n, title, section, section_title, CAST(row_number() OVER (PARTITION BY deck, section ORDER BY n) AS INTEGER) AS ordinal FROM i"""
-    q["w11_page_types"] = rf"""WITH {TURNS_SQL} SELECT deck, n, CASE WHEN n = min(n) OVER (PARTITION BY deck) THEN 'cover' WHEN n = max(n) OVER (PARTITION BY deck) OR regexp_matches(lower(text), 'thank|\x{{8c22}}\x{{8c22}}') THEN 'ending' WHEN regexp_matches(lower(text), 'contents|agenda|\x{{76ee}}\x{{5f55}}') THEN 'toc'
- WHEN regexp_matches(lower(text), 'chapter|part [0-9]|\x{{7b2c}}.\x{{7ae0}}') THEN 'chapter' WHEN length(text) <= 20 THEN 'chapter' ELSE 'content' END AS page_type FROM turns"""
-    q["w12_slot_roles"] = "SELECT * FROM (VALUES (1, 's1', 'title'), (1, 's2', 'body'), (2, 's3', 'title'), (2, 's4', 'footer')) AS t(slide, slot_id, role)"
+    q["w11_page_types"] = rf"""WITH {TURNS_SQL} SELECT deck, n, CASE WHEN n = min(n) OVER (PARTITION BY deck) THEN 'cover' WHEN n = max(n) OVER (PARTITION BY deck) OR regexp_matches(lower(text), '{D.THANKS}') THEN 'ending' WHEN regexp_matches(lower(text), '{D.AGENDA}') THEN 'toc'
+ WHEN regexp_matches(lower(text), '{D.CHAPTERS}') THEN 'chapter' WHEN len(string_split(text, chr(10))) <= 2 AND length(text) <= 80 THEN 'chapter' ELSE 'content' END AS page_type FROM turns"""
+    q["w12_slot_roles"] = "SELECT * FROM (VALUES (1, 's1', 'title'), (1, 's2', 'body'), (2, 's3', 'title'), (2, 's4', 'label')) AS t(slide, slot_id, role)"
     q["w13_key_points"] = f"""WITH {TURNS_SQL}, l AS (SELECT deck, n, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS pos FROM turns), r AS (SELECT deck, n, trim(t) AS t, CAST(row_number() OVER (PARTITION BY deck, n ORDER BY pos) AS INTEGER) AS rank FROM l WHERE length(trim(t)) >= 8)
  SELECT deck, n, rank, CASE WHEN length(t) > 120 THEN substr(t, 1, 119) || '…' ELSE t END AS point FROM r WHERE rank <= 8"""
-    q["r08_check_plan"] = "SELECT * FROM (VALUES (1, 's1', 'slot_id', 'OK'), (2, 's2', 'shape_id', 'OK'), (3, 's3', 'shape_name', 'WARN'), (4, '', 'none', 'ERROR')) AS t(plan_row, slot_id, \"by\", status)"
+    q["r08_check_plan"] = "SELECT * FROM (VALUES (1, 's1', 'slot_id', 'OK', 'box'), (2, 's2', 'shape_id', 'OK', 'box'), (3, 's3', 'shape_name', 'WARN', 'short label too long'), (4, '', 'none', 'ERROR', 'no slot')) AS t(plan_row, slot_id, \"by\", status, reason)"
     q["a18_check_summary"] = "SELECT 2::BIGINT AS n_ok, 1::BIGINT AS n_warn, 1::BIGINT AS n_error, 'ERROR' AS verdict"
-    q["f35_fit"] = rf"""SELECT slot_id, need, room, CASE WHEN need <= room THEN 'OK' ELSE 'WARN' END AS status FROM (SELECT slot_id, CAST(length(regexp_replace('some text for ' || shape_name, '\s', '', 'g')) AS DOUBLE) AS need, greatest(floor(width / font_px), 1) * greatest(floor(CAST(height AS DOUBLE) / (font_px * 1.2)), 1) * 2 AS room
- FROM (SELECT slot_id, shape_name, CAST(width AS DOUBLE) AS width, CAST(height AS DOUBLE) AS height, CAST(font_px AS DOUBLE) AS font_px FROM {values_sql(SLOT_COLUMNS, SLOTS)}))"""
+    # widths, boxes and limits worked out by hand from the rules
+    q["f35_fit"] = "SELECT * FROM (VALUES ('s1', 17.0::DOUBLE, 38.413::DOUBLE, 'OK', 'box'), ('s2', 15.0, 331.731, 'OK', 'box'), ('s3', 17.0, 6.036, 'WARN', 'short label too long'), ('s4', 15.0, 23.692, 'WARN', 'short label too long')) AS t(slot_id, need, room, status, reason)"
     q["a19_violations"] = """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS user_id, event_type, strftime(ts, '%Y-%m-%d %H') AS hour FROM events), c AS (SELECT 'user_id' AS kind, user_id AS who, hour FROM e UNION ALL SELECT 'event_type', event_type, hour FROM e)
  SELECT kind, who, hour AS time, count(*) - 1 AS n FROM c GROUP BY ALL HAVING count(*) > 1"""
     q["a20_statistics"] = f"""WITH {ASSIGNED_SQL} SELECT a.teacher, CAST(sum(coalesce(hours, 2)) AS BIGINT) AS hours, count(period) AS assigned, count(*) FILTER (period IS NULL) AS unassigned, round(coalesce(avg(CAST(CASE wish WHEN 'morning' THEN period <= 4 WHEN 'afternoon' THEN period > 4 END AS INTEGER)), 1.0), 2) AS satisfaction

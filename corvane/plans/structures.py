@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corvane.functions import text as X
 from corvane.operators import rules as R
 from corvane.operators import structure as T
+from corvane.plans.texts import PLAIN_SQL
 from corvane.sources.tables import load, values, values_sql
 
 MD = "(1, 0, 'lost'), (1, 1, '# One'), (1, 2, 'a'), (1, 3, 'b'), (1, 4, '## Two'), (1, 5, 'c'), (2, 0, 'no heading'), (3, 0, '### Only')"
@@ -22,6 +24,7 @@ CELLS = "(1, 1, 0, 0, true, true, false), (1, 1, 1, 0, false, true, false), (1,
 STYLE_ROWS = "(1, 0, 'body', 'Heading 1', 'left', 'Arial', 12.0), (1, 1, 'cover', 'Normal', 'center', 'Kai', 20.0), (1, 2, 'body', 'Normal', 'left', 'Arial', 9.0)"
 RULES = "('body', 'SimSun', 10.5, false), ('Heading 1', 'SimHei', 16.0, true)"
 RUNS = "(1, 0, 'Heading 1', 'T', 'SimHei', 16.2, true), (1, 1, 'Normal', 'x', 'Arial', 12.0, false), (1, 2, 'Normal', ' ', 'Arial', 12.0, true), (1, 3, 'Heading 1', 'y', 'SimHei', 10.0, false)"
+HEADS = "(1, 0, 'head', 0, 9.0), (1, 1, 'Big title', 0, 16.0), (1, 2, '王小明1,2', 0, 10.0), (1, 3, '2024年3月7日', 0, 10.0), (2, 0, 'ab', 0, 10.0), (2, 1, 'Longer', 0, CAST(NULL AS DOUBLE)), (2, 2, 'Part one', 1, 20.0)"
 RELS = "('a', 'r1', 'x'), ('a', 'r1', 'y'), ('a', 'r2', ''), ('b', 'r1', 'z')"
 STEPS = "('w1', 0, 's1', 'First', 'agent'), ('w1', 1, '', 'Second', 'agent'), ('w2', 0, 's1', NULL, 'shell')"
 IDEAS = "('a', true, 25), ('b', false, 20), ('c', false, 19)"
@@ -66,6 +69,7 @@ def queries():
     q["w08_json_blocks"] = lambda s, d: T.json_blocks(_lines(s, d).select("doc_id", "pos", F.when(F.col("pos") == 1, F.lit('{"a": [1, 2]}')).otherwise(F.col("line")).alias("line")))
     q["w10_reading_order"] = lambda s, d: T.reading_order(values(s, "slide, shape, top, left", SHAPES))
     q["w14_first_match"] = lambda s, d: T.first_match(_lines(s, d).withColumnRenamed("line", "text"), F.length("text") > 60, "first_long")
+    q["w14_document_heads"] = lambda s, d: T.document_heads(values(s, "doc_id, pos, text, level, font_size", HEADS).withColumn("font_size", F.col("font_size").cast("double")))
     q["w15_latest_state"] = lambda s, d: T.latest_state(values(s, "project, status, updated_at", STATES))
     q["w16_sequential_ids"] = lambda s, d: T.sequential_ids(values(s, "kind, name", KINDS), "kind", "name")
     q["a14_font_levels"] = lambda s, d: T.font_levels(values(s, "doc_id, size", SIZES).withColumn("size", F.col("size").cast("double"))).na.fill(0.0)
@@ -100,9 +104,8 @@ def oracle_sql():
     regions = rf"""p AS (SELECT * FROM {values_sql("doc_id, pos, text", PARAS)}), m AS (SELECT doc_id, min(pos) FILTER (regexp_matches(text, '{T.CONTENTS_WORDS}')) AS toc, min(pos) FILTER (regexp_matches(text, '{T.REFERENCE_WORDS}')) AS ref, min(pos) FILTER (regexp_matches(text, '{T.CHAPTER_WORDS}')) AS bod FROM p GROUP BY doc_id),
  g AS (SELECT p.doc_id, pos, text, CASE WHEN pos >= toc AND bod > toc AND pos < bod THEN 'toc' WHEN pos < least(coalesce(bod, 0), coalesce(toc, coalesce(bod, 0))) THEN 'cover' WHEN pos >= ref THEN 'references' ELSE 'body' END AS region FROM p JOIN m ON p.doc_id = m.doc_id)"""
     q["w03_regions"] = f"WITH {regions} SELECT * FROM g"
-    pdf = r"(regexp_matches(text, '^(\x{7b2c}[\x{4e00}-\x{9fff}0-9]+\x{7ae0}|Chapter [0-9]+)') OR regexp_matches(text, '^[0-9]+\.[0-9]+\.[0-9]+[ .]?\s*\S') OR regexp_matches(text, '^[0-9]+\.[0-9]+[ .]?\s*\S') OR regexp_matches(text, '^[0-9]+[.\x{3001}]\s*\S'))"
-    q["w04_neighbour_headings"] = rf"""WITH n AS (SELECT doc_id, pos, line AS text, length(line) AS n, lag(length(line)) OVER w AS b, lead(length(line)) OVER w AS a FROM {LINES_SQL} WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
- SELECT doc_id, pos, regexp_matches(text, '^#{{1,6}}\s') OR (n <= 60 AND {pdf}) OR coalesce(n > 0 AND n <= 40 AND n < 0.5 * b AND n < 0.5 * a, false) AS is_heading FROM n"""
+    q["w04_neighbour_headings"] = rf"""WITH n AS (SELECT doc_id, pos, line AS t, length(trim(line)) AS n, lag(length(trim(line))) OVER w AS b, lead(length(trim(line))) OVER w AS a FROM {LINES_SQL} WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), o AS (SELECT *, {PLAIN_SQL} AS own FROM n)
+ SELECT doc_id, pos, CASE WHEN own > 0 THEN own WHEN n > 0 AND n <= 40 AND NOT regexp_matches(t, '{T.PAUSES}') AND ((b > 100 AND a > 100) OR (b = 0 AND a > 80) OR (b <= 40 AND a > 120 AND n <= 25)) THEN 2 ELSE 0 END AS level FROM o"""
     q["w05_captions"] = "SELECT * FROM (VALUES (1, 0, true), (1, 2, false), (2, 0, false)) AS t(doc_id, pos, has_table)"
     q["w06_empty_runs"] = f"""WITH e AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM {values_sql("doc_id, pos, text", PARAS)} WHERE trim(text) = ''), r AS (SELECT doc_id, i, min(pos) AS first_pos, count(*) AS n FROM e GROUP BY ALL HAVING count(*) > 2)
  SELECT doc_id, min(first_pos) AS first_pos, arg_min(n, first_pos) AS n FROM r GROUP BY doc_id"""
@@ -110,6 +113,7 @@ def oracle_sql():
     q["w08_fenced"] = f"SELECT doc_id, pos, sum(CAST(starts_with(line, '```') AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) % 2 = 1 AND NOT starts_with(line, '```') AS inside FROM {values_sql('doc_id, pos, line', CODE)}"
     q["w10_reading_order"] = f'SELECT slide, shape, top, "left", CAST(row_number() OVER (PARTITION BY slide ORDER BY top, "left", shape) AS INTEGER) AS "order" FROM {values_sql(chr(115) + "lide, shape, top, " + chr(34) + "left" + chr(34), SHAPES)}'
     q["w14_first_match"] = f"SELECT doc_id, arg_min(line, pos) FILTER (length(line) > 60) AS first_long FROM {LINES_SQL} GROUP BY doc_id"
+    q["w14_document_heads"] = "SELECT * FROM (VALUES (1, 'Big title', '王小明1,2', '2024-03-07'), (2, 'Longer', '', '')) AS t(doc_id, title, author, date)"
     q["w15_latest_state"] = f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY CASE WHEN lower(status) IN ('running', 'processing', 'active') THEN 0 WHEN lower(status) IN ('idle', 'pending', 'initializing') THEN 1 WHEN lower(status) IN ('completed', 'success') THEN 3 WHEN lower(status) IN ('failed', 'error') THEN 4 ELSE 2 END, updated_at DESC) AS k
  FROM {values_sql("project, status, updated_at", STATES)}) SELECT project, status, updated_at FROM r WHERE k = 1"""
     q["w16_sequential_ids"] = f"SELECT kind, name, printf('%s_%03d', kind, row_number() OVER (PARTITION BY kind ORDER BY name)) AS id FROM {values_sql('kind, name', KINDS)}"

@@ -19,7 +19,17 @@ SIZES = "(0), (512), (2048), (5242880), (3221225472)"
 AGES = "(10), (125), (7300), (200000), (900000)"
 RANGES = "('1,3-5'), ('2'), ('7-9, 12'), ('x,4')"
 TABLES = "(1, 'a|b~c~1|2'), (2, 'h~x|y|z')"
-MD = "(1, 'Hello $x$ world'), (2, 'a \\\\frac{1}{2} b'), (3, 'x^{2}'), (4, 'plain'), (5, '\\\\alphabet')"
+MD = "(1, 'Hello $x$ world'), (2, 'a \\\\frac{1}{2} b'), (3, 'x^{2}'), (4, 'plain'), (5, 'so \\\\alpha \\\\beta_1 end')"
+
+HEADINGS = STYLED + ", (5, 'Normal', '# Title'), (6, 'Normal', '第一章 绪论'), (7, 'Normal', '2.3.4 Deep'), (8, 'Normal', '3. One'), (9, 'First Paragraph', '1.1 反应'), (10, 'Normal', '一、总则'), (11, 'Normal', '摘要：本文'), (12, 'Normal', '12 Scope'), (13, 'Normal', '背景：说明'), (14, 'Normal', '1.2.3.4 Four'), (15, 'Normal', ''), (16, 'Normal', 'Abstract: x')"
+PDF_SQL = rf"""CASE WHEN regexp_matches(t, '{X.CHAPTER}') THEN 1 WHEN regexp_matches(t, '{X.NUMBERED}') THEN CASE WHEN length(t) - length(replace(t, '.', '')) >= 2 THEN 3 WHEN length(t) - length(replace(t, '.', '')) = 1 THEN 2 ELSE 1 END
+ WHEN regexp_matches(t, '{X.HAN_NUMBERED}') AND length(t) <= 80 THEN 1 WHEN regexp_matches(t, '{X.OPENING}') AND length(t) <= 60 THEN 1 WHEN regexp_matches(t, '{X.OPENING}') AND regexp_matches(t, '{X.COLON}') AND length(t) <= 100 THEN 2 ELSE 0 END"""
+STYLE_SQL = rf"""CASE WHEN trim(t) = '' THEN 0 WHEN contains(lower(style), 'heading 1') THEN 1 WHEN contains(lower(style), 'heading 2') THEN 2 WHEN contains(lower(style), 'heading 3') THEN 3 WHEN length(t) > 80 THEN 0 WHEN regexp_matches(t, '{X.CHAPTER_DOCX}') THEN 1
+ WHEN regexp_matches(t, '^[0-9]+\s+\S') AND length(t) < 50 THEN 1 WHEN regexp_matches(t, '^[一二三四五六七八九十]+[\x{{3001}}\x{{ff0e}}.]') THEN 2 WHEN regexp_matches(lower(t), '{X.OPENING_DOCX}') AND regexp_matches(t, '{X.COLON}') THEN 2
+ WHEN regexp_matches(t, '^[0-9]+\.[0-9]+[.\s]') AND (NOT contains(lower(style), 'first paragraph') OR length(t) < 50) THEN 3 ELSE 0 END"""
+PLAIN_SQL = rf"""CASE WHEN regexp_matches(trim(t), '^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+\s+\S') THEN 4 WHEN regexp_matches(trim(t), '^[0-9]+\.[0-9]+\.[0-9]+\s+\S') THEN 3 WHEN regexp_matches(trim(t), '^[0-9]+\.[0-9]+\s+\S') THEN 2 WHEN regexp_matches(trim(t), '^[0-9]+[.\x{{3001}}]\s*\S') AND length(trim(t)) <= 50 THEN 3
+ WHEN regexp_matches(trim(t), '^[一二三四五六七八九十]+[\x{{3001}}.\s]') THEN 2 WHEN regexp_matches(trim(t), '{X.CHAPTER}') THEN 1
+ WHEN contains(t, '：') AND length(trim(t)) <= 80 AND length(trim(string_split(trim(t), '：')[1])) <= 15 AND (regexp_matches(string_split(t, '：')[1], '{X.PREFIXED}') OR length(trim(string_split(trim(t), '：')[1])) <= 10) THEN 2 ELSE 0 END"""
 
 # name: columns, rows, outputs as (Spark column when called, SQL)
 CASES = {
@@ -28,12 +38,11 @@ CASES = {
     "f09_visual_width": ("id, t", LONG_HAN.replace(", 2, ", ", ").replace(", 1, ", ", "), {"width": (lambda: X.visual_width(F.col("t")), r"CAST(length(regexp_replace(t, '\s', '', 'g')) + length(regexp_replace(regexp_replace(t, '\s', '', 'g'), '[^\x{1100}-\x{115f}\x{2e80}-\x{a4cf}\x{ac00}-\x{d7a3}\x{f900}-\x{faff}\x{fe30}-\x{fe6f}\x{ff00}-\x{ff60}\x{ffe0}-\x{ffe6}]', '', 'g')) AS DOUBLE)")}),
     "f10_char_weight": ("id, t", LINES, {"weight": (lambda: X.char_weight(F.col("t")), r"length(regexp_replace(t, '\s', '', 'g')) + length(regexp_replace(t, '[^\x{4e00}-\x{9fff}]', '', 'g'))")}),
     "f11_has_cjk": ("id, t", LINES, {"cjk": (lambda: X.has_cjk(F.col("t")), r"regexp_matches(t, '[\x{4e00}-\x{9fff}]')")}),
-    "f12_list_items": ("id, t", LINES, {"is_item": (lambda: X.is_list_item(F.col("t")), r"regexp_matches(t, '^\s*([-*\x{2022}\x{00b7}]\s|[0-9]+[.)\x{3001}]\s*\S|\([0-9]+\)|\x{ff08}[0-9]+\x{ff09}|[a-zA-Z][.)]\s|[\x{2460}-\x{2473}]|[ivx]+[.)]\s)')")}),
-    "f13_heading_levels": ("id, style, t", STYLED + ", (5, 'Normal', '# Title'), (6, 'Normal', '第一章 绪论'), (7, 'Normal', '2.3.4 Deep'), (8, 'Normal', '3. One')", {
-        "pdf": (lambda: X.heading_level_pdf(F.col("t")), "{pdf}"), "styled": (lambda: X.heading_level_style(F.col("style"), F.col("t")), r"CASE WHEN regexp_matches(style, '^[Hh]eading ([1-9])$') THEN CAST(right(style, 1) AS INTEGER) ELSE {pdf} END"),
-        "plain": (lambda: X.heading_level_plain(F.col("t")), r"CASE WHEN regexp_matches(t, '^#{1,6}\s') THEN CAST(length(regexp_extract(t, '^(#{1,6})\s', 1)) AS INTEGER) WHEN length(t) <= 60 THEN {pdf} ELSE 0 END")}),
-    "f14_misread_heading": ("id, level, t", LONG_HAN, {"misread": (lambda: X.is_misread_heading(F.col("level"), F.col("t")), r"level IN (2, 3) AND length(regexp_replace(t, '\s', '', 'g')) + length(regexp_replace(t, '[^\x{4e00}-\x{9fff}]', '', 'g')) > 60 AND regexp_matches(t, '[\x{3002}\x{ff0c}\x{ff1b}\x{ff1a}\x{ff01}\x{ff1f}]')")}),
-    "f15_table_caption": ("id, t", LINES, {"caption": (lambda: X.is_table_caption(F.col("t")), r"regexp_matches(t, '^(\x{8868}\s*[0-9]+([.-][0-9]+)?|[Tt]able\s+[0-9]+([.-][0-9]+)?|TABLE\s+[0-9IVX]+|Tab\.\s*[0-9]+|\x{7eed}\x{8868})')")}),
+    "f12_list_items": ("id, t", LINES, {"is_item": (lambda: X.is_list_item(F.col("t")), f"regexp_matches(trim(t), '{X.LIST_ITEM}')")}),
+    "f13_heading_levels": ("id, style, t", HEADINGS, {
+        "pdf": (lambda: X.heading_level_pdf(F.col("t")), PDF_SQL), "styled": (lambda: X.heading_level_style(F.col("style"), F.col("t")), STYLE_SQL), "plain": (lambda: X.heading_level_plain(F.col("t")), PLAIN_SQL)}),
+    "f14_misread_heading": ("id, level, t", LONG_HAN, {"misread": (lambda: X.is_misread_heading(F.col("level"), F.col("t")), rf"level IN (2, 3) AND length(regexp_replace(t, '\s', '', 'g')) + length(regexp_replace(t, '[^\x{{4e00}}-\x{{9fff}}]', '', 'g')) > 60 AND regexp_matches(t, '{X.BODY_MARKS}')")}),
+    "f15_table_caption": ("id, t", LINES + ", (15, '表1-2 数据'), (16, 'TABLE 3 x'), (17, '表格 4 y'), (18, '表 - 1 - 2 z')", {"caption": (lambda: X.is_table_caption(F.col("t")), f"regexp_matches(trim(t), '{X.CAPTION}')")}),
     "f20_file_names": ("name", FILES, {"safe": (lambda: X.safe_filename(F.col("name")), r"""regexp_replace(regexp_replace(trim(name), '[\\/:*?"<>|\x00-\x1f]', '_', 'g'), '_+', '_', 'g')"""), "ext": (lambda: X.extension(F.element_at(F.split("name", r"\."), -1)), "CASE WHEN lower(string_split(name, '.')[-1]) = '' THEN 'bin' ELSE lower(string_split(name, '.')[-1]) END")}),
     "f22_slide_list": ("spec", RANGES, {"slides": (lambda: F.array_join(X.slide_list(F.col("spec")).cast("array<string>"), ","), "array_to_string(flatten(list_transform(list_filter(string_split(replace(spec, ' ', ''), ','), lambda x: regexp_matches(x, '^[0-9]+(-[0-9]+)?$')), lambda x: range(CAST(string_split(x, '-')[1] AS BIGINT), CAST(string_split(x, '-')[-1] AS BIGINT) + 1))), ',')")}),
     "f24_hours": ("t", "('4 hours'), ('none'), ('2x3')", {"hours": (lambda: X.hours(F.col("t")), "coalesce(TRY_CAST(regexp_extract(t, '([0-9]+)', 1) AS INTEGER), 2)")}),
@@ -42,10 +51,6 @@ CASES = {
     "f30_iso_date": ("t", DATES, {"day": (lambda: X.iso_date(F.col("t")), r"CASE WHEN regexp_matches(t, '([0-9]{4})[\x{5e74}.-]([0-9]{1,2})[\x{6708}.-]([0-9]{1,2})') THEN regexp_extract(t, '([0-9]{4})[\x{5e74}.-]([0-9]{1,2})[\x{6708}.-]([0-9]{1,2})', 1) || '-' || lpad(regexp_extract(t, '([0-9]{4})[\x{5e74}.-]([0-9]{1,2})[\x{6708}.-]([0-9]{1,2})', 2), 2, '0') || '-' || lpad(regexp_extract(t, '([0-9]{4})[\x{5e74}.-]([0-9]{1,2})[\x{6708}.-]([0-9]{1,2})', 3), 2, '0') END")}),
     "f33_fitted_width": ("w, h", "(2400, 1000), (800, 600), (1999, 777)", {"new_w": (lambda: X.fitted_width(F.col("w"), F.col("h"))[0], "least(w, 1200)"), "new_h": (lambda: X.fitted_width(F.col("w"), F.col("h"))[1], "CASE WHEN w > 1200 THEN CAST(floor(h * CAST(1200 AS DOUBLE) / w) AS INTEGER) ELSE h END")}),
 }
-PDF_SQL = r"""CASE WHEN regexp_matches(t, '^(\x{7b2c}[\x{4e00}-\x{9fff}0-9]+\x{7ae0}|Chapter [0-9]+)') THEN 1 WHEN regexp_matches(t, '^[0-9]+\.[0-9]+\.[0-9]+[ .]?\s*\S') THEN 3
- WHEN regexp_matches(t, '^[0-9]+\.[0-9]+[ .]?\s*\S') THEN 2 WHEN regexp_matches(t, '^[0-9]+[.\x{3001}]\s*\S') AND length(t) <= 80 THEN 1 ELSE 0 END"""
-
-
 def _case(name):
     columns, rows, outs = CASES[name]
     return lambda s, d: values(s, columns, rows).select("*", *[c().alias(k) for k, (c, _) in outs.items()])
@@ -66,7 +71,7 @@ def queries():
     q["f04_titles"] = lambda s, d: values(s, "id, t", "(1, '读《红楼梦》和《西游记》'), (2, 'none')").select("id", F.array_join(X.book_titles(F.col("t")), "|").alias("titles"), F.array_join(X.cjk_terms(F.col("t"), "梦记"), "|").alias("terms"))
     q["f06_name_numbers"] = lambda s, d: load(s, d, "customer").select("c_custkey", F.element_at(X.name_numbers(F.col("c_name")), -1).alias("last"))
     q["f07_name_tokens"] = lambda s, d: load(s, d, "part").select("p_partkey", F.array_join(X.name_tokens(F.concat("p_name", F.lit("-"), "p_brand", F.lit("_X"))), ",").alias("tokens"))
-    q["f16_latex"] = lambda s, d: values(s, "id, t", MD).select("id", X.has_latex(F.col("t")).alias("latex"))
+    q["f16_latex"] = lambda s, d: values(s, "id, t", MD).select("id", X.has_latex(F.col("t")).alias("latex"), X.wrap_formulas(F.col("t")).alias("wrapped"))
     q["f18_normalise_lines"] = lambda s, d: load(s, d, "documents").select("doc_id", F.sha2(X.normalise_lines(F.concat(F.lit(" a \t b\n\n"), "text")), 256).alias("sha"))
     q["f19_markdown_table"] = lambda s, d: values(s, "id, t", TABLES).select("id", X.markdown_table(F.transform(F.split("t", "~"), lambda r: F.split(r, r"\|"))).alias("md"))
     q["f21_truncate"] = lambda s, d: load(s, d, "conversations").select("conv_id", "turn", X.truncate(F.col("text")).alias("short"))
@@ -81,7 +86,7 @@ def queries():
 def oracle_sql():
     q = {}
     for name, (columns, rows, outs) in CASES.items():
-        q[name] = f"SELECT *, {', '.join(f'{e.replace("{pdf}", PDF_SQL)} AS {k}' for k, (_, e) in outs.items())} FROM {values_sql(columns, rows)}"
+        q[name] = f"SELECT *, {', '.join(f'{e} AS {k}' for k, (_, e) in outs.items())} FROM {values_sql(columns, rows)}"
     q["f01_content_hash"] = "SELECT doc_id, sha256(text) AS sha FROM documents"
     q["f02_canonical_hash"] = "SELECT event_id, sha256('none=null' || chr(1) || 'type=' || event_type || chr(1) || 'user=' || user_id) AS sha FROM events"
     q["f04_terms"] = "SELECT doc_id, array_to_string(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+'), '|') AS terms FROM documents"
@@ -89,7 +94,7 @@ def oracle_sql():
     q["f06_name_numbers"] = "SELECT c_custkey, regexp_extract_all(c_name, '[0-9]+')[-1] AS last FROM customer"
     q["f07_name_tokens"] = r"""WITH t AS (SELECT p_partkey, unnest(string_split(regexp_replace(lower(p_name || '-' || p_brand || '_X'), '[^\p{L}\p{N}_]', ' ', 'g'), ' ')) AS w, unnest(range(20)) AS i FROM part), f AS (SELECT p_partkey, w, min(i) AS i FROM t WHERE w <> '' GROUP BY ALL)
  SELECT p_partkey, string_agg(w, ',' ORDER BY i) AS tokens FROM f GROUP BY p_partkey"""
-    q["f16_latex"] = "SELECT * FROM (VALUES (1, false), (2, true), (3, true), (4, false), (5, false)) AS t(id, latex)"
+    q["f16_latex"] = r"SELECT * FROM (VALUES (1, false, 'Hello $x$ world'), (2, true, 'a $\frac{1}{2}$ b'), (3, true, 'x$^{2}$'), (4, false, 'plain'), (5, true, 'so $\alpha \beta_1$ end')) AS t(id, latex, wrapped)"
     q["f18_normalise_lines"] = r"""SELECT doc_id, sha256(array_to_string(list_filter(list_transform(string_split(' a ' || chr(9) || ' b' || chr(10) || chr(10) || text, chr(10)), lambda x: trim(regexp_replace(x, '[\x20\x09-\x0d]+', ' ', 'g'))), lambda x: x <> ''), chr(10))) AS sha FROM documents"""
     q["f19_markdown_table"] = "SELECT * FROM (VALUES (1, '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| c |  |' || chr(10) || '| 1 | 2 |'), (2, '| h |  |  |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| x | y | z |')) AS t(id, md)"
     q["f21_truncate"] = "SELECT conv_id, turn, CASE WHEN length(text) > 120 THEN substr(text, 1, 119) || '…' ELSE text END AS short FROM conversations"
