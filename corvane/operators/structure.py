@@ -23,19 +23,30 @@ def markdown_sections(lines: DataFrame) -> DataFrame:
     return tagged.groupBy("doc_id", "section").agg(title.alias("title"), body.alias("body"))
 
 
-# fixed values: words that open the regions of a document
-CONTENTS_WORDS = r"^(\x{76ee}\s*\x{5f55}|[Cc]ontents|TABLE OF CONTENTS|Table of Contents)"
-REFERENCE_WORDS = r"^(\x{53c2}\x{8003}\x{6587}\x{732e}|[Rr]eferences|REFERENCES|[Bb]ibliography)"
-CHAPTER_WORDS = r"^(\x{7b2c}\x{4e00}\x{7ae0}|1[. ]|Chapter 1|[Ii]ntroduction|# )"
+# fixed values: words of contents pages and of reference lists
+CONTENTS_WORDS = "目录|目 录|目  录|table of contents|contents"
+REFERENCE_WORDS = "参考文献|references|bibliography"
 
 
 def regions(paragraphs: DataFrame) -> DataFrame:
-    """paragraphs(doc_id, pos, text) -> with region: contents from its heading to the body, references to the end, cover before, else body."""
-    first = lambda p: F.min(F.when(F.col("text").rlike(p), F.col("pos")))
-    marks = paragraphs.groupBy("doc_id").agg(first(CONTENTS_WORDS).alias("_toc"), first(REFERENCE_WORDS).alias("_ref"), first(CHAPTER_WORDS).alias("_body"))
+    """paragraphs(doc_id, pos from 0, text) -> with region.
+
+    Contents run from the last contents word to the first heading at or after the first one, or 20 paragraphs on if
+    there is none; the cover ends at the first heading, without headings at the first text of over five characters;
+    references start at their first word. Precedence: contents, cover, references, body.
+    """
+    t = F.trim("text")
     p = F.col("pos")
-    start = F.coalesce("_body", F.lit(0))
-    region = F.when((p >= F.col("_toc")) & (p < F.when(F.col("_body") > F.col("_toc"), F.col("_body"))), "toc").when(p < F.least(start, F.coalesce("_toc", start)), "cover").when(p >= F.col("_ref"), "references").otherwise("body")
+    x = paragraphs.select("doc_id", "pos", "text", (heading_level_plain(F.col("text")) > 0).alias("_h"), F.lower(t).rlike(CONTENTS_WORDS).alias("_t"), F.lower(t).rlike(REFERENCE_WORDS).alias("_r"), (F.length(t) > 5).alias("_l"))
+    w = Window.partitionBy("doc_id")
+    x = x.withColumn("_first", F.min(F.when(F.col("_t"), p)).over(w)).withColumn("_end", F.min(F.when(F.col("_h") & (p >= F.col("_first")), p)).over(w))
+    marks = x.groupBy("doc_id").agg(
+        F.min(F.when(F.col("_h"), p)).alias("_head"), F.min(F.when(F.col("_l"), p)).alias("_long"), F.min(F.when(F.col("_r"), p)).alias("_ref"), F.max("_end").alias("_toc_end"),
+        F.max(F.when(F.col("_t") & (F.col("_end").isNull() | (p <= F.col("_end"))), p)).alias("_toc"), F.max(p).alias("_last"),
+    )
+    end = F.coalesce("_toc_end", F.least(F.col("_toc") + 20, F.col("_last") + 1))
+    cover = F.coalesce("_head", "_long", F.lit(0))
+    region = F.when((p >= F.col("_toc")) & (p < end), "toc").when(p < cover, "cover").when(p >= F.col("_ref"), "references").otherwise("body")
     return paragraphs.join(marks, "doc_id").select("doc_id", "pos", "text", region.alias("region"))
 
 

@@ -101,8 +101,10 @@ def oracle_sql():
     q = {}
     q["w02_markdown_sections"] = f"""WITH t AS (SELECT *, CAST(regexp_matches(line, '^#+ *[^# ]') AS INTEGER) AS h FROM {values_sql("doc_id, pos, line", MD)}), c AS (SELECT *, sum(h) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM t)
  SELECT doc_id, CAST(section AS BIGINT) AS section, max(CASE WHEN h = 1 THEN regexp_replace(line, '^#+ *', '') END) AS title, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (h = 0), '') AS body FROM c WHERE section > 0 GROUP BY doc_id, section"""
-    regions = rf"""p AS (SELECT * FROM {values_sql("doc_id, pos, text", PARAS)}), m AS (SELECT doc_id, min(pos) FILTER (regexp_matches(text, '{T.CONTENTS_WORDS}')) AS toc, min(pos) FILTER (regexp_matches(text, '{T.REFERENCE_WORDS}')) AS ref, min(pos) FILTER (regexp_matches(text, '{T.CHAPTER_WORDS}')) AS bod FROM p GROUP BY doc_id),
- g AS (SELECT p.doc_id, pos, text, CASE WHEN pos >= toc AND bod > toc AND pos < bod THEN 'toc' WHEN pos < least(coalesce(bod, 0), coalesce(toc, coalesce(bod, 0))) THEN 'cover' WHEN pos >= ref THEN 'references' ELSE 'body' END AS region FROM p JOIN m ON p.doc_id = m.doc_id)"""
+    regions = rf"""p AS (SELECT doc_id, pos, text AS t, {PLAIN_SQL.replace(chr(10), " ")} > 0 AS h, regexp_matches(lower(trim(text)), '{T.CONTENTS_WORDS}') AS c, regexp_matches(lower(trim(text)), '{T.REFERENCE_WORDS}') AS r, length(trim(text)) > 5 AS l FROM (SELECT *, text AS t FROM {values_sql("doc_id, pos, text", PARAS)})),
+ f AS (SELECT *, min(pos) FILTER (c) OVER (PARTITION BY doc_id) AS first FROM p), e AS (SELECT *, min(pos) FILTER (h AND pos >= first) OVER (PARTITION BY doc_id) AS e FROM f),
+ m AS (SELECT doc_id, min(pos) FILTER (h) AS head, min(pos) FILTER (l) AS long, min(pos) FILTER (r) AS ref, max(e) AS toc_end, max(pos) FILTER (c AND (e IS NULL OR pos <= e)) AS toc, max(pos) AS last FROM e GROUP BY doc_id),
+ g AS (SELECT p.doc_id, pos, t AS text, CASE WHEN pos >= toc AND pos < coalesce(toc_end, least(toc + 20, last + 1)) THEN 'toc' WHEN pos < coalesce(head, long, 0) THEN 'cover' WHEN pos >= ref THEN 'references' ELSE 'body' END AS region FROM p JOIN m ON p.doc_id = m.doc_id)"""
     q["w03_regions"] = f"WITH {regions} SELECT * FROM g"
     q["w04_neighbour_headings"] = rf"""WITH n AS (SELECT doc_id, pos, line AS t, length(trim(line)) AS n, lag(length(trim(line))) OVER w AS b, lead(length(trim(line))) OVER w AS a FROM {LINES_SQL} WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), o AS (SELECT *, {PLAIN_SQL} AS own FROM n)
  SELECT doc_id, pos, CASE WHEN own > 0 THEN own WHEN n > 0 AND n <= 40 AND NOT regexp_matches(t, '{T.PAUSES}') AND ((b > 100 AND a > 100) OR (b = 0 AND a > 80) OR (b <= 40 AND a > 120 AND n <= 25)) THEN 2 ELSE 0 END AS level FROM o"""
