@@ -23,9 +23,9 @@ def outline(slides: DataFrame) -> DataFrame:
 
 
 def key_points(texts: DataFrame, most: int = 8, least: int = 8) -> DataFrame:
-    """texts(deck, n, pos, text) -> the first texts of a slide that are long enough, shortened."""
+    """texts(deck, n, pos, text) -> the first texts of a slide that are long enough, shortened. Notes: at most 2 of 11 characters or more."""
     w = Window.partitionBy("deck", "n").orderBy("pos")
-    return texts.where(F.length(F.trim("text")) >= least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("deck", "n", "rank", truncate(F.trim("text")).alias("point"))
+    return texts.where(F.length("text") >= least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("deck", "n", "rank", truncate(F.col("text")).alias("point"))
 
 
 # fixed values: words of the page types
@@ -63,12 +63,19 @@ def rollup_content(decks: DataFrame) -> DataFrame:
     )
 
 
-def deck_insights(content: DataFrame, n_points: DataFrame) -> DataFrame:
-    """Strengths by what is there, a gap under five key points, a recommendation without tables and charts."""
+def deck_insights(content: DataFrame, notes: DataFrame) -> DataFrame:
+    """content as by rollup_content, notes(deck, n_points, n_warnings) -> strengths by what is there, gaps for failed pages and under five key points, a recommendation without tables and charts."""
     has = content.groupBy("deck").agg(F.bool_or(F.col("n_tables") > 0).alias("t"), F.bool_or(F.col("n_charts") > 0).alias("c"), F.bool_or(F.col("n_notes") > 0).alias("o"))
-    x = has.join(n_points, "deck", "left")
+    x = has.join(notes, "deck", "left")
     strengths = F.array_compact(F.array(F.when(F.col("t"), "tables"), F.when(F.col("c"), "charts"), F.when(F.col("o"), "notes")))
-    return x.select("deck", F.array_join(strengths, ",").alias("strengths"), (F.coalesce("n_points", F.lit(0)) < 5).alias("few_points"), (~F.col("t") & ~F.col("c")).alias("add_visuals"))
+    failed = F.coalesce("n_warnings", F.lit(0))
+    gaps = F.array_compact(F.array(F.when(failed > 0, F.concat(failed.cast("string"), F.lit(" failed pages"))), F.when(F.coalesce("n_points", F.lit(0)) < 5, "few key points")))
+    return x.select("deck", F.array_join(strengths, ",").alias("strengths"), F.array_join(gaps, ",").alias("gaps"), F.when(~F.col("t") & ~F.col("c"), "add charts").otherwise("").alias("recommendations"))
+
+
+def empty_slides(content: DataFrame) -> DataFrame:
+    """Slides without texts, tables and charts."""
+    return content.where((F.col("n_texts") == 0) & (F.col("n_tables") == 0) & (F.col("n_charts") == 0)).select("deck", "n")
 
 
 def slot_lookup(plan: DataFrame, slots: DataFrame) -> DataFrame:

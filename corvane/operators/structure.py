@@ -165,11 +165,12 @@ def sequential_ids(rows: DataFrame, kind: str, order: str) -> DataFrame:
 
 
 def font_levels(blocks: DataFrame) -> DataFrame:
-    """blocks(doc_id, size) -> (doc_id, body, title, h1, h2, h3): body is the most frequent size from 8 to 14, else the upper median; larger sizes rank from the largest.
+    """blocks(doc_id, size) -> (doc_id, body, title, h1, h2, h3): body is the most frequent size from 8 to 14, else the upper median.
 
-    Fewer larger sizes give fewer levels: with one, h1 alone; with two, title and h1; and so on.
+    Distinct sizes over body + 1 are title, h1, h2 and h3 from the largest; levels without one lie at body + 1, + 0.5 and + 0;
+    without any larger size all levels are the body's.
     """
-    per = blocks.groupBy("doc_id", "size").agg(F.count(F.lit(1)).alias("n"))
+    per = blocks.where("size > 0").groupBy("doc_id", F.round("size", 1).alias("size")).agg(F.count(F.lit(1)).alias("n"))
     ordered = Window.partitionBy("doc_id").orderBy("size")
     cum = per.withColumn("_cum", F.sum("n").over(ordered)).withColumn("_all", F.sum("n").over(Window.partitionBy("doc_id")))
     body = cum.groupBy("doc_id").agg(
@@ -178,11 +179,12 @@ def font_levels(blocks: DataFrame) -> DataFrame:
     ).select("doc_id", F.coalesce(-F.col("_mode.s"), F.col("_median")).alias("body"))
     larger = per.join(body, "doc_id").where("size > body + 1").withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("size"))))
     ranks = larger.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), *[F.max(F.when(F.col("_k") == k, F.col("size"))).alias(f"_s{k}") for k in (1, 2, 3, 4)])
-    out = body.join(ranks, "doc_id", "left")
-    many = F.col("_n") >= 2
+    out = body.join(ranks, "doc_id", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    n, b = F.col("_n"), F.col("body")
     return out.select(
-        "doc_id", "body", F.when(many, F.col("_s1")).alias("title"), F.when(many, F.col("_s2")).otherwise(F.col("_s1")).alias("h1"), F.when(many, F.col("_s3")).alias("h2"), F.when(many, F.col("_s4")).alias("h3")
-    )
+        "doc_id", "body", F.coalesce("_s1", "body").alias("title"), F.when(n >= 2, F.col("_s2")).when(n == 1, b + 1).otherwise(b).alias("h1"),
+        F.when(n >= 3, F.col("_s3")).when(n >= 1, b + 0.5).otherwise(b).alias("h2"), F.when(n >= 4, F.col("_s4")).when(n == 3, b + 0.5).otherwise(b).alias("h3"),
+    )
 
 
 # fixed values: starts of boilerplate lines and words that keep short blocks

@@ -127,7 +127,8 @@ def queries():
     q["a22_progress"] = lambda s, d: G.fold(_progress(s, d)).select("task_id", "percent")
     q["a23_dashboard"] = lambda s, d: W.dashboard(load(s, d, "documents").select(F.col("source").alias("project"), F.when(F.col("lang") == "en", "artifact").otherwise("input").alias("kind"), F.col("n_chars").alias("bytes")), load(s, d, "documents").select(F.col("source").alias("project"), F.when(F.col("lang") == "de", "document").when((F.col("lang") == "fr") & (F.col("source") != "src3"), "knowledge").otherwise("other").alias("agent"), F.when(F.col("n_chars") > 2000, "completed").otherwise("running").alias("status")))
     q["a24_slide_content"] = lambda s, d: D.rollup_content(deck(s))
-    q["a25_deck_insights"] = lambda s, d: D.deck_insights(D.rollup_content(deck(s)), s.range(1).select(F.lit("d").alias("deck"), F.lit(3).alias("n_points")))
+    q["a25_deck_insights"] = lambda s, d: D.deck_insights(D.rollup_content(deck(s)), s.range(1).select(F.lit("d").alias("deck"), F.lit(3).alias("n_points"), F.lit(2).alias("n_warnings")))
+    q["a25_empty_slides"] = lambda s, d: D.empty_slides(D.rollup_content(deck(s)))
     q["a27_image_usage"] = lambda s, d: W.image_usage(values(s, "part, blob, ratio", IMAGES))
     q["g01_course_slots"] = lambda s, d: S.course_slots(values(s, "id, teacher, class, hours_per_week, consecutive", COURSES))
     q["g02_feasible"] = lambda s, d: _options(s)
@@ -169,7 +170,7 @@ def deck(s):
     t = "array(named_struct('row_count', 5L, 'col_count', 4L))"
     none = "array()"
     rows = ", ".join(f"named_struct('slide_number', {n}L, 'texts', {x}, 'notes', {o}, 'tables', {'cast(array() as array<struct<row_count:bigint,col_count:bigint>>)' if tb == none else tb}, 'charts', {c}, 'images', array('')[1:0])".replace("array('')[1:0]", "slice(array(''), 1, 0)") for n, x, o, tb, c in (
-        (1, "array('a', 'b')", "array('n')", none, "slice(array(''), 1, 0)"), (2, "array('c')", "slice(array(''), 1, 0)", t, "slice(array(''), 1, 0)"), (3, "slice(array(''), 1, 0)", "array('m')", none, "array('bar', 'pie')")))
+        (1, "array('a', 'b')", "array('n')", none, "slice(array(''), 1, 0)"), (2, "array('c')", "slice(array(''), 1, 0)", t, "slice(array(''), 1, 0)"), (3, "slice(array(''), 1, 0)", "array('m')", none, "array('bar', 'pie')"), (4, "slice(array(''), 1, 0)", "slice(array(''), 1, 0)", none, "slice(array(''), 1, 0)")))
     return s.sql(f"SELECT 'd' AS deck, array({rows}) AS slides")
 
 
@@ -199,7 +200,7 @@ def oracle_sql():
     q["w11_page_types"] = rf"""WITH {TURNS_SQL} SELECT deck, n, CASE WHEN n = min(n) OVER (PARTITION BY deck) THEN 'cover' WHEN n = max(n) OVER (PARTITION BY deck) OR regexp_matches(lower(text), '{D.THANKS}') THEN 'ending' WHEN regexp_matches(lower(text), '{D.AGENDA}') THEN 'toc'
  WHEN regexp_matches(lower(text), '{D.CHAPTERS}') THEN 'chapter' WHEN len(string_split(text, chr(10))) <= 2 AND length(text) <= 80 THEN 'chapter' ELSE 'content' END AS page_type FROM turns"""
     q["w12_slot_roles"] = "SELECT * FROM (VALUES (1, 's1', 'title'), (1, 's2', 'body'), (2, 's3', 'title'), (2, 's4', 'label')) AS t(slide, slot_id, role)"
-    q["w13_key_points"] = f"""WITH {TURNS_SQL}, l AS (SELECT deck, n, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS pos FROM turns), r AS (SELECT deck, n, trim(t) AS t, CAST(row_number() OVER (PARTITION BY deck, n ORDER BY pos) AS INTEGER) AS rank FROM l WHERE length(trim(t)) >= 8)
+    q["w13_key_points"] = f"""WITH {TURNS_SQL}, l AS (SELECT deck, n, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS pos FROM turns), r AS (SELECT deck, n, t, CAST(row_number() OVER (PARTITION BY deck, n ORDER BY pos) AS INTEGER) AS rank FROM l WHERE length(t) >= 8)
  SELECT deck, n, rank, CASE WHEN length(t) > 120 THEN substr(t, 1, 119) || '…' ELSE t END AS point FROM r WHERE rank <= 8"""
     q["r08_check_plan"] = "SELECT * FROM (VALUES (1, 's1', 'slot_id', 'OK', 'box'), (2, 's2', 'shape_id', 'OK', 'box'), (3, 's3', 'shape_name', 'WARN', 'short label too long'), (4, '', 'none', 'ERROR', 'no slot')) AS t(plan_row, slot_id, \"by\", status, reason)"
     q["a18_check_summary"] = "SELECT 2::BIGINT AS n_ok, 1::BIGINT AS n_warn, 1::BIGINT AS n_error, 'ERROR' AS verdict"
@@ -221,8 +222,9 @@ def oracle_sql():
     q["t03_tracked_steps"] = f"WITH {events} SELECT task_id, step_id, arg_max(type, seq) AS last_type, arg_max(percent, seq) AS last_percent, count(*) AS n FROM ev WHERE step_id IS NOT NULL GROUP BY ALL"
     q["a23_dashboard"] = """SELECT source AS project, count(*) AS n_files, CAST(sum(n_chars) AS BIGINT) AS bytes, count(*) FILTER (lang = 'en') AS n_artifacts, CAST(floor(count(*) FILTER (n_chars > 2000) * 100.0 / count(*) + 0.5) AS BIGINT) AS percent,
  bool_or(lang = 'de') AND NOT bool_or(lang = 'fr' AND source <> 'src3') AS lacks_kb FROM documents GROUP BY source"""
-    q["a24_slide_content"] = "SELECT * FROM (VALUES ('d', 1::BIGINT, 2, 0, 0, 0, 1, 0::BIGINT, 0::BIGINT), ('d', 2, 1, 1, 0, 0, 0, 5, 4), ('d', 3, 0, 0, 2, 0, 1, 0, 0)) AS t(deck, n, n_texts, n_tables, n_charts, n_images, n_notes, n_rows, n_cols)"
-    q["a25_deck_insights"] = "SELECT 'd' AS deck, 'tables,charts,notes' AS strengths, true AS few_points, false AS add_visuals"
+    q["a24_slide_content"] = "SELECT * FROM (VALUES ('d', 1::BIGINT, 2, 0, 0, 0, 1, 0::BIGINT, 0::BIGINT), ('d', 2, 1, 1, 0, 0, 0, 5, 4), ('d', 3, 0, 0, 2, 0, 1, 0, 0), ('d', 4, 0, 0, 0, 0, 0, 0, 0)) AS t(deck, n, n_texts, n_tables, n_charts, n_images, n_notes, n_rows, n_cols)"
+    q["a25_deck_insights"] = "SELECT 'd' AS deck, 'tables,charts,notes' AS strengths, '2 failed pages,few key points' AS gaps, '' AS recommendations"
+    q["a25_empty_slides"] = "SELECT 'd' AS deck, 4::BIGINT AS n"
     q["a27_image_usage"] = "SELECT coalesce(part, sha256(blob)) AS asset, count(*) AS n_uses, array_to_string(list_sort(list(DISTINCT CAST(ratio AS VARCHAR))), ',') AS ratios FROM " + values_sql("part, blob, ratio", IMAGES) + " GROUP BY 1"
     q["g01_course_slots"] = "SELECT * FROM (VALUES ('C1', 0, 2), ('C1', 1, 1), ('C2', 0, 1), ('C2', 1, 1), ('C3', 0, 1), ('C3', 1, 1)) AS t(course, slot, length)"
     feas = f"""fe AS (SELECT c.course, t.time, count(*) FILTER (r.capacity >= k.size) AS n_rooms FROM {values_sql("course, teacher, class, h, n", COURSES)} c JOIN (SELECT id, unnest(string_split(a, ',')) AS time FROM {values_sql("id, a", TEACHERS)}) t ON c.teacher = t.id JOIN {values_sql("id", TIMES)} x ON t.time = x.id

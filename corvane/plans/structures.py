@@ -17,7 +17,7 @@ CODE = "(1, 0, 'a'), (1, 1, '```'), (1, 2, 'code'), (1, 3, '```'), (1, 4, 'b'),
 SHAPES = "(1, 'a', 30, 10), (1, 'b', 10, 50), (1, 'c', 10, 20), (2, 'd', 5, 5)"
 STATES = "('p1', 'completed', '2024-01-03'), ('p1', 'Running', '2024-01-01'), ('p1', 'active', '2024-01-02'), ('p2', 'odd', '2024-01-01'), ('p2', 'failed', '2024-02-01')"
 KINDS = "('teacher', 'x'), ('teacher', 'a'), ('course', 'm')"
-SIZES = ", ".join(f"({d}, {s})" for d, ss in {1: [10.5] * 5 + [16, 16, 22], 2: [12] * 3 + [18], 3: [20, 24, 24, 30], 4: [11, 11, 14, 16, 20, 26]}.items() for s in ss)
+SIZES = ", ".join(f"({d}, {s})" for d, ss in {1: [10.5] * 5 + [16, 16, 22], 2: [12] * 3 + [18], 3: [20, 24, 24, 30], 4: [11, 11, 14, 16, 20, 26], 5: [12, 12, 13], 6: [10, 10, 15, 18, 24]}.items() for s in ss)
 SECTIONS = "(1, 21.0, 29.7, 2.5, 2.5, 3.0, 2.5), (2, 21.6, 29.7, 2.9, 2.5, 3.2, 2.5), (3, 20.9, 27.0, 2.5, 1.0, 3.0, 2.5)"
 FORMATS = "(1, 0, 'both', 1.5, 24.0, NULL), (1, 1, 'left', 1.55, NULL, 2.0), (1, 2, NULL, 2.0, 10.0, 1.0)"
 CELLS = "(1, 1, 0, 0, true, true, false), (1, 1, 1, 0, false, true, false), (1, 2, 0, 0, false, true, true), (1, 2, 1, 0, false, false, false)"
@@ -72,7 +72,7 @@ def queries():
     q["w14_document_heads"] = lambda s, d: T.document_heads(values(s, "doc_id, pos, text, level, font_size", HEADS).withColumn("font_size", F.col("font_size").cast("double")))
     q["w15_latest_state"] = lambda s, d: T.latest_state(values(s, "project, status, updated_at", STATES))
     q["w16_sequential_ids"] = lambda s, d: T.sequential_ids(values(s, "kind, name", KINDS), "kind", "name")
-    q["a14_font_levels"] = lambda s, d: T.font_levels(values(s, "doc_id, size", SIZES).withColumn("size", F.col("size").cast("double"))).na.fill(0.0)
+    q["a14_font_levels"] = lambda s, d: T.font_levels(values(s, "doc_id, size", SIZES).withColumn("size", F.col("size").cast("double")))
     q["p07_noise"] = lambda s, d: _paras(s).select("*", T.is_noise(F.col("text")).alias("noise"))
     q["p08_short_blocks"] = lambda s, d: _lines(s, d).where(T.is_short_block(F.col("line")))
     q["p09_protected_text"] = lambda s, d: _paras(s).select("*", T.is_protected(F.col("text")).alias("protected"))
@@ -119,7 +119,7 @@ def oracle_sql():
     q["w15_latest_state"] = f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY CASE WHEN lower(status) IN ('running', 'processing', 'active') THEN 0 WHEN lower(status) IN ('idle', 'pending', 'initializing') THEN 1 WHEN lower(status) IN ('completed', 'success') THEN 3 WHEN lower(status) IN ('failed', 'error') THEN 4 ELSE 2 END, updated_at DESC) AS k
  FROM {values_sql("project, status, updated_at", STATES)}) SELECT project, status, updated_at FROM r WHERE k = 1"""
     q["w16_sequential_ids"] = f"SELECT kind, name, printf('%s_%03d', kind, row_number() OVER (PARTITION BY kind ORDER BY name)) AS id FROM {values_sql('kind, name', KINDS)}"
-    q["a14_font_levels"] = "SELECT * FROM (VALUES (1, 10.5::DOUBLE, 22.0::DOUBLE, 16.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), (2, 12.0, 0.0, 18.0, 0.0, 0.0), (3, 24.0, 0.0, 30.0, 0.0, 0.0), (4, 11.0, 26.0, 20.0, 16.0, 14.0)) AS t(doc_id, body, title, h1, h2, h3)"
+    q["a14_font_levels"] = "SELECT * FROM (VALUES (1, 10.5::DOUBLE, 22.0::DOUBLE, 16.0::DOUBLE, 11.0::DOUBLE, 10.5::DOUBLE), (2, 12.0, 18.0, 13.0, 12.5, 12.0), (3, 24.0, 30.0, 25.0, 24.5, 24.0), (4, 11.0, 26.0, 20.0, 16.0, 14.0), (5, 12.0, 12.0, 12.0, 12.0, 12.0), (6, 10.0, 24.0, 18.0, 15.0, 10.5)) AS t(doc_id, body, title, h1, h2, h3)"
     q["p07_noise"] = rf"SELECT *, regexp_matches(text, '^[0-9]{{1,3}}$') OR (length(text) <= 80 AND regexp_matches(text, '{T.BOILERPLATE}')) AS noise FROM {values_sql('doc_id, pos, text', PARAS)}"
     q["p08_short_blocks"] = rf"SELECT doc_id, pos, line FROM {LINES_SQL} WHERE length(line) <= 2 AND NOT regexp_matches(line, '{T.KEPT_WORDS}')"
     q["p09_protected_text"] = f"SELECT *, contains(text, 'Figure') OR contains(text, 'Table') OR contains(text, 'http') OR contains(text, 'DOI') AS protected FROM {values_sql('doc_id, pos, text', PARAS)}"
