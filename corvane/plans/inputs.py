@@ -116,17 +116,17 @@ def oracle_sql():
     q["s01_scan"] = "SELECT t.n || '.parquet' AS name, '.parquet' AS suffix FROM (VALUES " + ", ".join(f"('{t}')" for t in TABLES) + ") AS t(n)"
     q["s02_listing"] = "SELECT * FROM (VALUES ('conversations.parquet'), ('customer.parquet')) AS t(name)"
     q["s03_csv_all_text"] = "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name || ', \"q\"' AS n_name FROM nation"
-    q["s04_xlsx"] = "SELECT * FROM (VALUES ('book', 'One', 0, 'id,name,empty'), ('book', 'One', 1, '1,x'), ('book', 'One', 2, ''), ('book', 'One', 3, '2,y & z'), ('book', 'Two', 0, 'k'), ('book', 'Two', 1, 'v'), ('broken', '(error)', -1, '')) AS t(path, sheet, pos, cells)"
+    q["s04_xlsx"] = "SELECT * FROM (VALUES ('book', 'One', 0::BIGINT, 'id,name,empty'), ('book', 'One', 1, '1,x'), ('book', 'One', 2, ''), ('book', 'One', 3, '2,y & z'), ('book', 'Two', 0, 'k'), ('book', 'Two', 1, 'v'), ('broken', '(error)', -1, '')) AS t(path, sheet, pos, cells)"
     q["s05_header_row"] = "SELECT * FROM (VALUES ('t1', 1), ('t2', 1)) AS t(\"table\", header_pos)"
     q["s06_directory_tables"] = f"SELECT path, replace(path, '/data/in/', '') AS relative_path, CASE WHEN contains(replace(path, '/data/in/', ''), '/') THEN string_split(replace(path, '/data/in/', ''), '/')[1] ELSE '_root' END AS \"group\" FROM {values_sql('path', PATHS)}"
     q["s07_sheet_cleaned"] = "SELECT * FROM (VALUES ('1', 'x'), ('2', 'y & z')) AS t(id, name)"
     q["s08_csv_to_xlsx"] = "SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS name FROM nation"
     q["s10_text_paragraphs"] = "SELECT * FROM (VALUES ('a', 0, 'one'), ('a', 2, 'two'), ('b', 0, '第一行'), ('b', 2, 'second')) AS t(path, pos, text)"
-    q["s10_document_paragraphs"] = "SELECT doc_id, pos, trim(t) AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents) WHERE trim(t) <> ''"
+    q["s10_document_paragraphs"] = "SELECT doc_id, pos, trim(t) AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, CAST(unnest(range(len(string_split(text, chr(10))))) AS INTEGER) AS pos FROM documents) WHERE trim(t) <> ''"
     q["s11_docx"] = "SELECT * FROM (VALUES ('doc', 'Title', 'heading 1', 1, false), ('doc', 'Some text', 'Body', 0, false), ('doc', 'cell', 'Body', 0, true), ('broken', '(error)', '', -1, false)) AS t(path, text, style, level, in_table)"
-    q["s12_docx_runs"] = "SELECT * FROM (VALUES (0, 0, 'Title', 12.0::DOUBLE, true), (1, 0, 'Some text', 12.0, false), (2, 0, 'cell', 12.0, false)) AS t(pos, run, text, size, bold)"
+    q["s12_docx_runs"] = "SELECT * FROM (VALUES (0::BIGINT, 0, 'Title', 12.0::DOUBLE, true), (1, 0, 'Some text', 12.0, false), (2, 0, 'cell', 12.0, false)) AS t(pos, run, text, size, bold)"
     q["s14_block_spans"] = f"SELECT page, block, CAST(mode(size) AS DOUBLE) AS size, avg(CAST(bold AS INTEGER)) > 0.5 AS bold, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, string_agg(text, '' ORDER BY pos) AS text FROM {values_sql('page, block, size, bold, x0, y0, x1, y1, text, pos', SPANS)} GROUP BY page, block"
-    q["s16_pptx"] = "SELECT * FROM (VALUES (1, 0, 'text', true, 'Top', 5, 6), (1, 1, 'text', false, 'Inner', 7, 8), (1, 2, 'table', false, '1|2', 0, 0)) AS t(slide, pos, kind, is_title, text, \"left\", top)"
+    q["s16_pptx"] = "SELECT * FROM (VALUES (1, 0, 'text', true, 'Top', 5::BIGINT, 6::BIGINT), (1, 1, 'text', false, 'Inner', 7, 8), (1, 2, 'table', false, '1|2', 0, 0)) AS t(slide, pos, kind, is_title, text, \"left\", top)"
     q["s17_html_text"] = f"SELECT page_id, sha256({H.PLAIN_SQL}) AS sha FROM pages"
     q["s18_dispatch"] = r"WITH n AS (SELECT name, lower(regexp_extract(name, '\.([^.]+)$', 1)) AS e FROM " + values_sql("name", NAMES) + ") SELECT name, CASE WHEN e IN ('docx') THEN 'docx' WHEN e = 'pptx' THEN 'pptx' WHEN e IN ('xlsx', 'xlsm') THEN 'xlsx' WHEN e IN ('html', 'htm') THEN 'html' WHEN e IN ('csv', 'tsv') THEN 'csv' WHEN e IN ('txt', 'md') THEN 'text' ELSE 'unsupported' END AS reader FROM n"
     q["s19_json"] = "SELECT r_regionkey, r_name FROM region"

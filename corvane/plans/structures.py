@@ -38,7 +38,7 @@ def _lines(s, d):
     return T.lines_of(load(s, d, "documents"))
 
 
-LINES_SQL = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)"
+LINES_SQL = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(unnest(range(len(string_split(text, chr(10))))) AS INTEGER) AS pos FROM documents)"
 
 
 def _messages(s, d):
