@@ -91,7 +91,6 @@ def _chunk(ids: list, rows: list, texts: list) -> list:
 def chunks(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, _row, start, end, hi, lo): a row a chunk, in code points, with its 128-bit digest. _row: xxhash64 of the text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_row"), F.col("text").alias("text"))
-    # small batches: a document makes some sixty chunks
     return map_rows(rows, _chunk, "doc_id long, _row long, start long, end long, hi long, lo long")
 
 
