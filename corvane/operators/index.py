@@ -32,6 +32,29 @@ def entity_index(postings: DataFrame) -> DataFrame:
     return postings.rollup("type", "name").agg(F.sum("count").alias("count"), F.count_distinct("doc_id").alias("document_count"), F.grouping("name").alias("is_total")).where("type is not null")
 
 
+# fixed values: surnames, words that no person's name holds, and patterns of terms
+SURNAMES = (
+    "王李张刘陈杨黄赵周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白"
+    "崔康毛邱秦江史顾侯邵孟龙万段漕钱汤尹黎易常武乔贺赖龚文庞樊兰殷施陶洪翟安颜倪严牛温芦季俞鲁葛伍韦申尤毕聂丛焦向柳邢骆"
+)
+NO_NAMES = "中国|人民|社会|国家|历史|哲学|科学"
+TERMS = [r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+", r"[\x{4e00}-\x{9fff}]{2,6}(?:观|论|说|学|主义|思想|理论|方法|原则|范畴|概念)", r"《[^》]{2,20}》"]
+WORK = r"《([^》]+)》"
+
+
+def mentions(paragraphs: DataFrame) -> DataFrame:
+    """paragraphs(doc_id, text) -> (doc_id, type, name), a row a mention: persons are windows of a surname and one or two CJK characters, whole ones only; terms and works are of 2 to 20 characters."""
+    t = F.col("text")
+    at = F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1)))
+    windows = F.concat(F.transform(at, lambda i: F.substring(t, i, F.lit(2))), F.transform(at, lambda i: F.substring(t, i, F.lit(3))))
+    persons = F.filter(windows, lambda x: x.rlike(f"^[{SURNAMES}][\\x{{4e00}}-\\x{{9fff}}]{{1,2}}$") & ~x.rlike(NO_NAMES))
+    persons = F.when(t.rlike(f"[{SURNAMES}]"), persons).otherwise(F.array().cast("array<string>"))  # most texts have none
+    terms = F.concat(*[F.regexp_extract_all(t, F.lit(p), 0) for p in TERMS])
+    fits = lambda x: F.length(x).between(2, 20)
+    kinds = F.array(*[F.struct(F.lit(k).alias("type"), v.alias("names")) for k, v in (("person", persons), ("term", F.filter(terms, fits)), ("work", F.filter(F.regexp_extract_all(t, F.lit(WORK), 1), fits)))])
+    return paragraphs.select("doc_id", F.inline(kinds)).select("doc_id", "type", F.explode("names").alias("name"))
+
+
 # fixed values: least count and most entities per document of each type
 LIMITS = {"person": (2, 30), "term": (2, 50), "work": (1, 30)}
 

@@ -33,8 +33,16 @@ LIMIT_SQL = f"""per AS (SELECT doc_id, type, name, count(*) AS count FROM {value
  ents AS (SELECT * FROM ok WHERE rank <= CASE type WHEN 'term' THEN 50 ELSE 30 END)"""
 
 
+HAN_TEXTS = "(-1, '王小明读《资本论》，王小明喜欢唯物史观。'), (-2, '李华与李华谈历史唯物主义。Historical Materialism and Historical Materialism.'), (-3, '《诗》'), (-4, '')"
+
+
+def _texts(s, d):
+    return load(s, d, "documents").select("doc_id", "text").union(values(s, "doc_id, text", HAN_TEXTS))
+
+
 def queries():
     q = {}
+    q["a10_extracted_entities"] = lambda s, d: I.document_entities(I.mentions(_texts(s, d)))
     q["a07_keyword_index"] = lambda s, d: I.keyword_index(I.keywords(load(s, d, "documents")))
     q["a08_concept_index"] = lambda s, d: I.concept_index(values(s, "concept, doc_id, definition, importance, ord", CONCEPTS).withColumn("importance", F.col("importance").cast("double")))
     q["a09_entity_index"] = lambda s, d: I.entity_index(_entities(s)).select("type", F.coalesce("name", F.lit("(all)")).alias("name"), "count", "document_count")
@@ -59,6 +67,14 @@ def oracle_sql():
  array_to_string(list_sort(list(DISTINCT doc_id)), ',') AS documents FROM {values_sql("concept, doc_id, definition, importance, ord", rows)} GROUP BY concept"""
     q["a09_entity_index"] = f"""WITH {LIMIT_SQL} SELECT type, coalesce(name, '(all)') AS name, CAST(sum(count) AS BIGINT) AS count, count(DISTINCT doc_id) AS document_count FROM ents GROUP BY ROLLUP (type, name) HAVING type IS NOT NULL"""
     q["a10_document_entities"] = f"WITH {LIMIT_SQL} SELECT * FROM ents"
+    win = lambda n: f"list_transform(range(1, greatest(length(text), 1) + 1), lambda i: substr(text, i, {n}))"
+    named = rf"regexp_matches(x, '^[{I.SURNAMES}][\x{{4e00}}-\x{{9fff}}]{{1,2}}$') AND NOT regexp_matches(x, '{I.NO_NAMES}')"
+    q["a10_extracted_entities"] = f"""WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM {values_sql("doc_id, text", HAN_TEXTS)}),
+ m AS (SELECT doc_id, 'person' AS type, unnest(list_filter(list_concat({win(2)}, {win(3)}), lambda x: {named})) AS name FROM t WHERE regexp_matches(text, '[{I.SURNAMES}]')
+  {" ".join(f"UNION ALL SELECT doc_id, 'term', unnest(list_filter(regexp_extract_all(text, '{p}'), lambda x: length(x) BETWEEN 2 AND 20)) FROM t" for p in I.TERMS)}
+  UNION ALL SELECT doc_id, 'work', unnest(list_filter(regexp_extract_all(text, '{I.WORK}', 1), lambda x: length(x) BETWEEN 2 AND 20)) FROM t),
+ per AS (SELECT doc_id, type, name, count(*) AS count FROM m GROUP BY ALL), ok AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, type ORDER BY count DESC, name) AS INTEGER) AS rank FROM per WHERE count >= CASE type WHEN 'work' THEN 1 ELSE 2 END)
+ SELECT * FROM ok WHERE rank <= CASE type WHEN 'term' THEN 50 ELSE 30 END"""
     q["a12_catalog"] = f"""WITH {KEYWORD_SQL}, {EDGES_SQL}, ix AS (SELECT keyword, sum(frequency) AS f FROM kw GROUP BY keyword), best AS (SELECT * FROM ix ORDER BY f DESC, keyword LIMIT 20)
  SELECT (SELECT count(*) FROM documents) AS document_count, (SELECT count(*) FROM ix) AS keyword_count, (SELECT count(*) FROM edges) AS relation_count, (SELECT string_agg(keyword, ',' ORDER BY f DESC, keyword) FROM best) AS top_keywords"""
     q["j11_relations"] = f"WITH {KEYWORD_SQL}, {EDGES_SQL} SELECT * FROM edges"

@@ -211,10 +211,12 @@ def oracle_sql():
     q["a20_statistics"] = f"""WITH {ASSIGNED_SQL} SELECT a.teacher, CAST(sum(coalesce(hours, 2)) AS BIGINT) AS hours, count(period) AS assigned, count(*) FILTER (period IS NULL) AS unassigned, round(coalesce(avg(CAST(CASE wish WHEN 'morning' THEN period <= 4 WHEN 'afternoon' THEN period > 4 END AS INTEGER)), 1.0), 2) AS satisfaction
  FROM a LEFT JOIN (VALUES (1, 'morning'), (2, 'afternoon')) AS w(teacher, wish) ON a.teacher = w.teacher GROUP BY a.teacher"""
     q["a21_view"] = f"""WITH {ASSIGNED_SQL} SELECT teacher, period, {", ".join(f"coalesce(min(course) FILTER (day = '{k}'), '') AS {chr(34)}{k}{chr(34)}" for k in S.DAYS)} FROM a GROUP BY teacher, period"""
-    events = """ev AS (SELECT CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'complete' ELSE 'progress' END AS type, 't' || user_id AS task_id, CASE WHEN event_type <> 'signup' THEN strftime(ts, '%H') END AS step_id, CAST(floor(value) AS BIGINT) AS percent, event_id AS seq FROM events WHERE event_id % 50 <> 7)"""
+    events = """ev AS (SELECT CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'complete' WHEN 'click' THEN 'start' ELSE 'progress' END AS type, 't' || user_id AS task_id, CASE WHEN event_type <> 'signup' THEN strftime(ts, '%H') END AS step_id, CAST(floor(value) AS BIGINT) AS percent, event_id AS seq FROM events WHERE event_id % 50 <> 7)"""
     fold = f"""{events}, cr AS (SELECT task_id, max(seq) AS f FROM ev WHERE type = 'create' GROUP BY task_id), live AS (SELECT ev.* FROM ev JOIN cr ON ev.task_id = cr.task_id AND ev.seq >= cr.f),
- st AS (SELECT task_id, step_id, arg_max(CASE WHEN type IN ('complete', 'fail', 'skip') THEN 100 ELSE coalesce(percent, 0) END, seq) AS p FROM live WHERE step_id IS NOT NULL GROUP BY ALL), m AS (SELECT task_id, floor(sum(least(greatest(p, 0), 100)) / greatest(count(*), 1)) AS percent FROM st GROUP BY task_id),
- ts AS (SELECT task_id, arg_max(CASE WHEN type = 'create' THEN 'pending' ELSE 'running' END, seq) AS status, count(*) AS n_events FROM live GROUP BY task_id), fo AS (SELECT ts.task_id, status, CAST(coalesce(percent, 0) AS BIGINT) AS percent, n_events FROM ts LEFT JOIN m ON ts.task_id = m.task_id)"""
+ st AS (SELECT task_id, step_id, arg_max(CASE type WHEN 'start' THEN 0 WHEN 'progress' THEN least(greatest(coalesce(percent, 0), 0), 100) ELSE 100 END, seq) AS p, min(seq) FILTER (type = 'start') AS f, max(seq) AS l FROM live WHERE step_id IS NOT NULL GROUP BY ALL),
+ m AS (SELECT task_id, floor(sum(CASE WHEN l >= f THEN p ELSE 0 END) / greatest(count(*), 1)) AS percent FROM st WHERE f IS NOT NULL GROUP BY task_id),
+ ts AS (SELECT task_id, arg_max(CASE WHEN type IN ('create', 'start') THEN 'running' WHEN type = 'fail' THEN 'failed' END, CASE WHEN type IN ('create', 'start', 'fail') THEN seq END) AS status, count(*) AS n_events FROM live GROUP BY task_id),
+ fo AS (SELECT ts.task_id, status, CAST(coalesce(percent, 0) AS BIGINT) AS percent, n_events FROM ts LEFT JOIN m ON ts.task_id = m.task_id)"""
     q["a22_progress"] = f"WITH {fold} SELECT task_id, percent FROM fo"
     q["t02_fold_stream"] = f"WITH {fold} SELECT * FROM fo"
     q["t02_fold"] = f"WITH {fold} SELECT * FROM fo"

@@ -21,17 +21,18 @@ def parse(lines: DataFrame, prefix: str = PREFIX) -> DataFrame:
 def fold(events: DataFrame) -> DataFrame:
     """(task_id, status, percent, n_events): events count from the task's last create on; tasks never created are ignored.
 
-    Steps: start, progress, complete, fail; task_complete and task_fail end the task. Percent is the floor of the
-    steps' mean; completed, failed and skipped steps count 100; a completed task 100.
+    create, start and the task events set the status, a failed step makes the task failed until a step starts. Steps
+    are known from their first start; completed, failed and skipped ones count 100. Percent is the floor of the steps'
+    mean; of a completed task 100.
     """
     created = events.where("type = 'create'").groupBy(F.col("task_id").alias("_task")).agg(F.max("seq").alias("_from"))
     live = events.join(created, (events["task_id"] == F.col("_task")) & (events["seq"] >= F.col("_from"))).drop("_task", "_from")
-    steps = live.where("step_id is not null").groupBy("task_id", "step_id").agg(
-        F.max_by(F.when(F.col("type").isin("complete", "fail", "skip"), 100).otherwise(F.coalesce("percent", F.lit(0))), "seq").alias("p")
-    )
-    mean = steps.groupBy("task_id").agg(F.floor(F.sum(F.least(F.greatest("p", F.lit(0)), F.lit(100))) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("percent"))
-    state = F.when(F.col("type") == "create", "pending").when(F.col("type") == "task_complete", "completed").when(F.col("type") == "task_fail", "failed").otherwise("running")
-    tasks = live.groupBy("task_id").agg(F.max_by(state, F.when(F.col("type").startswith("task_"), F.col("seq") + (1 << 40)).otherwise(F.col("seq"))).alias("status"), F.count(F.lit(1)).alias("n_events"))
+    step = live.where("step_id is not null and type in ('start', 'progress', 'complete', 'fail', 'skip')")
+    value = F.when(F.col("type") == "start", 0).when(F.col("type") == "progress", F.least(F.greatest(F.coalesce("percent", F.lit(0)), F.lit(0)), F.lit(100))).otherwise(100)
+    known = step.groupBy("task_id", "step_id").agg(F.min(F.when(F.col("type") == "start", F.col("seq"))).alias("_first"), F.max_by(value, "seq").alias("p"), F.max("seq").alias("_last"))
+    mean = known.where("_first is not null").groupBy("task_id").agg(F.floor(F.sum(F.when(F.col("_last") >= F.col("_first"), F.col("p")).otherwise(0)) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("percent"))
+    state = F.when(F.col("type").isin("create", "start"), "running").when(F.col("type") == "task_complete", "completed").when(F.col("type").isin("fail", "task_fail"), "failed")
+    tasks = live.groupBy("task_id").agg(F.max_by(state, F.when(state.isNotNull(), F.col("seq"))).alias("status"), F.count(F.lit(1)).alias("n_events"))
     out = tasks.join(mean, "task_id", "left")
     return out.select("task_id", "status", F.when(F.col("status") == "completed", 100).otherwise(F.coalesce("percent", F.lit(0))).cast("long").alias("percent"), "n_events")
 
@@ -46,19 +47,20 @@ def fold_stream(events: DataFrame) -> DataFrame:
         s = json.loads(state.get[0]) if state.exists else None
         for pdf in batches:
             for e in pdf.sort_values("seq").to_dict("records"):
-                if e["type"] == "create":
-                    s = {"status": "pending", "end": False, "steps": {}, "n": 1}
+                kind = e["type"]
+                if kind == "create":
+                    s = {"status": "running", "steps": {}, "n": 1}
                     continue
                 if s is None:
                     continue
                 s["n"] += 1
-                if isinstance(e["step_id"], str):
-                    p = 100 if e["type"] in ("complete", "fail", "skip") else int(e["percent"]) if e["percent"] == e["percent"] and e["percent"] is not None else 0
-                    s["steps"][e["step_id"]] = min(100, max(0, p))
-                if e["type"] in ("task_complete", "task_fail"):
-                    s["status"], s["end"] = ("completed" if e["type"] == "task_complete" else "failed"), True
-                elif not s["end"]:
-                    s["status"] = "running"
+                if isinstance(e["step_id"], str) and (kind == "start" or e["step_id"] in s["steps"]):
+                    if kind in ("complete", "fail", "skip", "start"):
+                        s["steps"][e["step_id"]] = 0 if kind == "start" else 100
+                    elif kind == "progress":
+                        s["steps"][e["step_id"]] = min(100, max(0, int(e["percent"]))) if e["percent"] is not None and e["percent"] == e["percent"] else 0
+                if kind in ("start", "fail", "task_fail", "task_complete"):
+                    s["status"] = {"start": "running", "task_complete": "completed"}.get(kind, "failed")
         if s is not None:
             state.update((json.dumps(s),))
             p = 100 if s["status"] == "completed" else sum(s["steps"].values()) // max(len(s["steps"]), 1)
@@ -79,7 +81,7 @@ def run_stream(spark: SparkSession, path: str, out: str, checkpoint: str) -> Non
 
 def log_lines(events: DataFrame, prefix: str = PREFIX) -> DataFrame:
     """The driver's events as progress lines: one task a user, one step an hour."""
-    kind = F.when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "purchase", "complete").otherwise("progress")
+    kind = F.when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "click", "start").otherwise("progress")
     body = F.struct(kind.alias("type"), F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("task_id"), F.when(kind != "create", F.date_format("ts", "HH")).alias("step_id"), F.floor("value").alias("percent"), F.col("event_id").alias("seq"))
     return events.select(F.when(F.col("event_id") % 50 == 7, F.lit("noise")).otherwise(F.concat(F.lit(prefix), F.to_json(body))).alias("value"))
 

@@ -25,6 +25,12 @@ def test_broken_lines_are_ignored(spark):
 
 
 def test_a_new_create_resets(spark):
-    rows = [("create", "t", None, None, 1), ("progress", "t", "s", 40, 2), ("create", "t", None, None, 3), ("progress", "t", "s", 10, 4), ("progress", "u", "s", 10, 5)]
+    rows = [("create", "t", None, None, 1), ("start", "t", "s", None, 2), ("create", "t", None, None, 3), ("progress", "t", "s", 90, 4), ("start", "t", "s", None, 5), ("progress", "t", "s", 10, 6), ("progress", "u", "s", 10, 7)]
     df = spark.createDataFrame([(*r[:4], None, r[4]) for r in rows], G.SCHEMA.replace("percent long", "percent long"))
-    assert [tuple(r) for r in G.fold(df).collect()] == [("t", "running", 10, 2)]
+    assert [tuple(r) for r in G.fold(df).collect()] == [("t", "running", 10, 4)]
+
+
+def test_states(spark):
+    rows = [("create", "a", None, 1), ("start", "a", "s", 2), ("fail", "a", "s", 3), ("create", "b", None, 4), ("start", "b", "s", 5), ("fail", "b", "s", 6), ("start", "b", "t", 7), ("create", "c", None, 8), ("task_complete", "c", None, 9)]
+    df = spark.createDataFrame([(k, t, s, None, None, q) for k, t, s, q in rows], G.SCHEMA)
+    assert {tuple(r) for r in G.fold(df).collect()} == {("a", "failed", 100, 3), ("b", "running", 50, 4), ("c", "completed", 100, 2)}
