@@ -11,7 +11,7 @@ from __future__ import annotations
 import html as htmllib
 import random
 import re
-from collections import deque
+from collections import Counter, deque
 from functools import cache
 
 import numpy as np
@@ -21,6 +21,8 @@ from .common import map_rows, table
 
 ADJACENT = 0.6
 SIBLING = 0.4
+#: Innermost elements that tell where a block lies in the tree; deeper trees are compared by these alone.
+DEPTH = 24
 #: Pages generated for the classifier, and rounds of its fit.
 TRAIN_PAGES = 400
 ROUNDS = 300
@@ -52,7 +54,7 @@ ZONES = ["nav", "header", "footer", "aside", "form", "ad", "comment", "notice",
 _ZONE_OF_TAG = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "button": "form", "select": "form", "option": "form", "label": "form", "fieldset": "form", "dialog": "notice"}
 _BIT = {z: 1 << k for k, z in enumerate(ZONES)}
 _IN_ARTICLE, _IN_CONTENT = 1 << len(ZONES), 1 << (len(ZONES) + 1)
-_STICKY = _BIT["comment"] | _BIT["ad"] | _BIT["notice"] | _BIT["aside"] | _BIT["nav"] | _BIT["menu"] | _BIT["form"]
+_STICKY = _BIT["footer"] | _BIT["foot"] | _BIT["comment"] | _BIT["ad"] | _BIT["notice"] | _BIT["aside"] | _BIT["nav"] | _BIT["menu"] | _BIT["form"]
 TAGS = ["p", "heading", "li", "cell", "other"]
 N_FEATURES = len(ZONES) + 2 + len(TAGS) + 5
 
@@ -96,17 +98,27 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int, tuple[int, ...]]]
     if not page:
         return out
     stack: list[tuple[str, int, int]] = []  # tag, flags, number
+    opened: Counter[str] = Counter()
     text: list[str] = []
     linked = n = 0
     links = 0
     flags, kind = 0, 4
 
+    def cut(at: int) -> None:
+        """Close the elements from `at` on."""
+        nonlocal links
+        for x in stack[at:]:
+            opened[x[0]] -= 1
+            if x[0] == "a":
+                links = 0
+        del stack[at:]
+
     def close_block() -> None:
         nonlocal linked
         if text:
             t = " ".join(htmllib.unescape("".join(text)).split())
             if t:
-                path = tuple(x[2] for x in stack if x[0] not in INLINE)
+                path = tuple(x[2] for x in stack[-DEPTH:] if x[0] not in INLINE)
                 out.append((t, flags, kind, min(linked, len(t)), path))
             text.clear()
         linked = 0
@@ -134,25 +146,22 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int, tuple[int, ...]]]
         if m[2]:
             if tag == "a":
                 links = max(0, links - 1)
-            names = [x[0] for x in stack]
-            if tag in names:
-                at = len(names) - 1 - names[::-1].index(tag)
-                if inline and any(x not in INLINE for x in names[at + 1 :]):
-                    continue  # closed too late: the blocks in between stay open
-                if any(x == "a" for x in names[at + 1 :]):
-                    links = 0
-                del stack[at:]
+            if opened[tag]:
+                at = len(stack) - 1
+                while stack[at][0] != tag and not (inline and stack[at][0] not in INLINE):
+                    at -= 1
+                if stack[at][0] == tag:  # else closed too late: the blocks in between stay open
+                    cut(at)
         else:
-            if tag == "p" or (not inline and any(x[0] == "p" for x in stack)):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        del stack[k:]
-                        links = 0
-                        break
-            if tag in ("li", "tr", "td", "th", "option", "dd", "dt"):
+            if not inline and opened["p"]:
+                at = len(stack) - 1
+                while stack[at][0] != "p":
+                    at -= 1
+                cut(at)
+            if tag in ("li", "tr", "td", "th", "option", "dd", "dt") and opened[tag]:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
-                        del stack[k:]
+                        cut(k)
                         break
                     if stack[k][0] in ("ul", "ol", "table", "select", "dl"):
                         break
@@ -160,6 +169,7 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int, tuple[int, ...]]]
                 links += 1
             if not (m[4] and m[4].endswith("/")):
                 n += 1
+                opened[tag] += 1
                 stack.append((tag, _flags(tag, m[4], stack[-1][1] if stack else 0), n))
         flags = stack[-1][1] if stack else 0
         if not inline or m[2]:
@@ -188,19 +198,25 @@ def _generated(draw: random.Random) -> list[tuple[str, bool]]:
     item = lambda: f"<li><a href='/{word()}'>{say(1, 4)}</a></li>"
     pick = draw.choice
     wrap = lambda how, inner: f"<{how}>{inner}</{how.split()[0]}>"
-    bad = [
-        lambda: wrap(pick(["nav", "div class='menu'", "nav class='navbar'", "div class='breadcrumbs'"]), "<ul>" + "".join(item() for _ in range(draw.randint(3, 7))) + "</ul>"),
-        lambda: wrap(pick(["header", "div id='header'", "header class='masthead'"]), pick([f"<a href='/'>{say(1, 3)}</a>", f"<h2>{say(1, 4)}</h2><p>{say(3, 8)}.</p>"])),
-        lambda: wrap(pick(["div class='ad'", "div class='advert'", "section class='sponsored'", "div id='promo'"]), pick([say(4, 15) + ".", f"<p>{say(4, 30)}.</p>"])),
-        lambda: wrap(pick(["aside", "div class='sidebar'", "aside class='related'"]), f"<h3>{say(1, 3)}</h3>" + pick([f"<p>{say(6, 40)}.</p>", "<ul>" + item() * 3 + "</ul>"])),
-        lambda: wrap(pick(["div class='cookie-notice'", "div class='alert'", "div class='newsletter'", "section id='consent'"]), f"<p>{say(5, 25)}.</p>"),
-        lambda: wrap("form", f"<label>{say(1, 3)}</label><input type='text'><button>{say(1, 2)}</button>"),
-        lambda: wrap(pick(["section class='comments'", "div id='comments'"]), f"<h3>{say(1, 2)}</h3>" + "".join(f"<div class='comment'><p>{say(4, 50)}.</p></div>" for _ in range(draw.randint(1, 4)))),
-        lambda: wrap(pick(["footer", "div class='footer'", "div id='footer'"]), f"{say(2, 4)} {say(3, 12)}."),
+    links = lambda: "<ul>" + "".join(item() for _ in range(draw.randint(2, 7))) + "</ul>"
+    said = lambda: pick(["{0}.", "<p>{0}.</p>", "<p>{0}.</p>", "<div>{0}.</div>", "<span>{0}</span>", "<h3>{1}</h3><p>{0}.</p>", "<ul><li>{0}.</li><li>{1}</li></ul>"]).format(say(*pick([(2, 8), (6, 40)])), say(1, 3))
+    zones = [
+        (["nav", "div class='menu'", "nav class='navbar'", "div class='breadcrumbs'", "ul class='nav-menu'"], lambda: pick([links(), f"<a href='/'>{say(1, 2)}</a> <a href='/x'>{say(1, 2)}</a>", said()])),
+        (["header", "div id='header'", "header class='masthead'", "div class='topbar'"], lambda: pick([f"<a href='/'>{say(1, 3)}</a>", f"<h2>{say(1, 4)}</h2>{said()}", said()])),
+        (["div class='ad'", "div class='advert'", "section class='sponsored'", "div id='promo'", "div class='banner'"], said),
+        (["aside", "div class='sidebar'", "aside class='related'", "div class='widget'", "section class='recommended'"], lambda: pick([links(), said(), said()])),
+        (["div class='cookie-notice'", "div class='alert'", "div class='newsletter'", "section id='consent'", "div hidden", "div style='display:none'"], said),
+        (["form", "form class='search'"], lambda: pick([f"<label>{say(1, 3)}</label><input type='text'><button>{say(1, 2)}</button>", said()])),
+        (["section class='comments'", "div id='comments'", "ol class='commentlist'"], lambda: "".join(f"<div class='comment'>{said()}</div>" for _ in range(draw.randint(1, 4)))),
+        (["footer", "div class='footer'", "div id='footer'", "footer class='copyright'"], lambda: pick([said(), links(), f"{say(2, 4)} {say(3, 12)}."])),
     ]
 
+    def bad(k: int | None = None) -> str:
+        hows, inner = zones[k] if k is not None else pick(zones)
+        return wrap(pick(hows), inner())
+
     def para() -> str:
-        how = pick(["p"] * 8 + ["blockquote", "h2", "h3", "list"])
+        how = pick(["p"] * 8 + ["blockquote", "h2", "h3", "list", "div", "div"])
         if how == "list":
             return "<ul>" + "".join(f"<li>{say(1, 20)}.</li>" for _ in range(draw.randint(2, 4))) + "</ul>"
         body = say(1, 5) if how[0] == "h" else say(*pick([(1, 3), (8, 40), (30, 120)])) + "."
@@ -208,17 +224,17 @@ def _generated(draw: random.Random) -> list[tuple[str, bool]]:
             body += f" <a href='#'>{say(1, 3)}</a>"
         return wrap(how, body)
 
-    holder = pick(["article", "article", "main", "div class='content'", "div id='main-content'", "div class='post-body'", "div"])
+    holder = pick(["article", "article", "main", "div class='content'", "div id='main-content'", "div class='post-body'", "section class='entry'", "div", "div", "div class='wrap'", "section"])
     title = f"<h1>{say(3, 9)}</h1>"
     head = wrap("header", title) if draw.random() < 0.3 else title
-    parts = [(draw.choice(bad)(), False) for _ in range(draw.randint(1, 4))]
+    parts = [(bad(), False) for _ in range(draw.randint(1, 4))]
     inner: list[tuple[str, bool]] = [(head, True)]
     for _ in range(draw.randint(2, 12)):
         inner.append((para(), True))
         if draw.random() < 0.08:
-            inner.append((draw.choice(bad[2:6])(), False))
+            inner.append((bad(pick([2, 3, 4, 5])), False))
     parts += [(f"<{holder}>", True), *inner, (f"</{holder.split()[0]}>", True)]
-    return parts + [(draw.choice(bad)(), False) for _ in range(draw.randint(1, 4))]
+    return parts + [(bad(), False) for _ in range(draw.randint(1, 4))]
 
 
 def training_pages(n: int = TRAIN_PAGES, seed: int = 3) -> list[tuple[str, list[bool]]]:

@@ -55,7 +55,7 @@ def test_page_table(spark, small):
 
 
 def test_edges(spark):
-    rows = [(1, "u", None), (2, None, ""), (3, "u", "   "), (4, "u", "no markup at all, only words"), (None, "u", "<p>x"), (5, "u", "<article>" + "<p>long words here.</p>" * 3000), (6, "u", "<<<>>< <p <a"), (1, "u", None), (7, "u", "<script>" * 50)]
+    rows = [(1, "u", None), (2, None, ""), (3, "u", "   "), (4, "u", "no markup at all, only words"), (None, "u", "<p>x"), (5, "u", "<article>" + "<p>long words here.</p>" * 3000), (6, "u", "<<<>>< <p <a"), (1, "u", None), (7, "u", "<script>" * 50), (8, "u", "<div><b>x" * 20000 + "</b>" * 20000), (9, "u", "<p>y" * 20000)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")
     out = M.extract(df).collect()
     assert len(out) == len(rows) and all(r.text is not None and r.n_chars == len(r.text) for r in out)
