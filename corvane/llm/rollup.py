@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,14 +45,28 @@ class Rollup:
     def committed(self, batch: str) -> bool:
         return self.fs.exists(self._p(f"batch={batch}"))
 
+    def _publish(self, aside: str, batch: str) -> bool:
+        """Rename without overwriting: of several writers of one batch one succeeds."""
+        fs = self.jvm.org.apache.hadoop.fs
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        flags = self.spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 0)
+        try:
+            fs.FileContext.getFileContext(self._p("").makeQualified(self.fs.getUri(), self.fs.getWorkingDirectory()).toUri(), conf).rename(self._p(aside), self._p(f"batch={batch}"), flags)
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" not in str(e.java_exception):
+                raise
+            self.fs.delete(self._p(aside), True)
+            return False
+        return True
+
     def commit(self, batch: str, events: DataFrame) -> bool:
         """Whether the batch was new."""
         if self.committed(batch):
             return False
         sums = signed(events.dropDuplicates(["event_id"])).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        aside = f"_aside-{batch}"
-        sums.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{aside}")
-        return bool(self.fs.rename(self._p(aside), self._p(f"batch={batch}")))
+        aside = f"_aside-{batch}-{uuid.uuid4().hex}"
+        sums.write.parquet(f"{self.path}/{aside}")
+        return self._publish(aside, batch)
 
     def totals(self) -> DataFrame:
         """(keys, n_docs, n_tokens) over all committed batches; keys whose sums are all zero are gone."""
@@ -76,8 +93,6 @@ def inserts(docs: DataFrame, counters: dict[str, str] = COUNTERS) -> DataFrame:
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are inserted; then those without a word are deleted, and pieces-1 counts are revised to pieces without marks; every batch is sent twice."""
-    import uuid
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     base = materialise(inserts(docs, COUNTERS | {"letters": r"[A-Za-z]+|[0-9]"}), "events").withColumn("doc", F.regexp_extract("event_id", r"^(.*):[^:]*$", 1))
     first = base.where("tokenizer_version <> 'letters'")

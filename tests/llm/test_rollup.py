@@ -27,6 +27,14 @@ def test_signed_batches_commit_once(spark, tmp_path):
     assert totals(R.Rollup(spark, f"file://{tmp_path}/r")) == {("a", "en", "v"): (1, 12), ("b", "en", "v"): (1, 0)}
 
 
+def test_late_writer_of_a_batch_loses(spark, tmp_path):
+    r = R.Rollup(spark, f"file://{tmp_path}/r")
+    e = spark.createDataFrame([("1", "insert", "a", "en", "v", 10, None)], EVENTS)
+    R.signed(e).write.parquet(f"{tmp_path}/r/_aside-1-late")  # both found the batch uncommitted
+    assert r.commit("1", e) and not r._publish("_aside-1-late", "1")
+    assert totals(r) == {("a", "en", "v"): (1, 10)}
+
+
 def test_unfinished_batches_are_unseen(spark, tmp_path):
     r = R.Rollup(spark, f"file://{tmp_path}/r")
     e = spark.createDataFrame([("1", "insert", "a", "en", "v", 10, None)], EVENTS)
