@@ -51,7 +51,7 @@ def queries():
     q["j11_relations"] = lambda s, d: I.relations(_terms(s, d), MAX_DF)
     q["j12_related"] = lambda s, d: I.related(I.relations(_terms(s, d), MAX_DF))
     q["j18_purge"] = lambda s, d: I.keyword_index(I.purge(I.keywords(load(s, d, "documents")), load(s, d, "labels").where("quality = 0")))
-    q["c04_incremental_merge"] = lambda s, d: I.keyword_index(I.merge_postings(I.keywords(load(s, d, "documents").where("doc_id % 10 <> 1")), I.keywords(load(s, d, "documents").where("doc_id % 10 in (1, 3)")), load(s, d, "documents").where("doc_id % 10 = 2").select("doc_id")))
+    q["c04_incremental_merge"] = lambda s, d: I.keyword_index(I.merge_postings(I.keywords(load(s, d, "documents").where("lang <> 'fr'")), I.keywords(load(s, d, "documents").where("lang in ('fr', 'de')")), load(s, d, "documents").where("lang = 'es'").select("doc_id")))
     q["p06_search"] = lambda s, d: I.search(I.keyword_index(I.keywords(load(s, d, "documents"))), "keyword", "TIO", [F.desc("frequency"), "keyword"])
     q["o02_top_keywords"] = lambda s, d: I.top(I.keyword_index(I.keywords(load(s, d, "documents"))).select("keyword", "frequency"), "frequency", "keyword", 20)
     q["w09_log_tail"] = lambda s, d: I.log_tail(values(s, "version, action, n", LOG))
@@ -81,7 +81,7 @@ def oracle_sql():
     q["j12_related"] = f"""WITH {KEYWORD_SQL}, {EDGES_SQL}, b AS (SELECT source AS doc_id, target AS related, weight FROM edges UNION ALL SELECT target, source, weight FROM edges),
  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, related) AS INTEGER) AS rank FROM b) SELECT * FROM r WHERE rank <= 15"""
     q["j18_purge"] = f"WITH {KEYWORD_SQL} {index} WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) GROUP BY keyword"
-    q["c04_incremental_merge"] = f"WITH {KEYWORD_SQL} {index} WHERE doc_id % 10 <> 2 GROUP BY keyword"
+    q["c04_incremental_merge"] = f"WITH {KEYWORD_SQL} {index} WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'es') GROUP BY keyword"
     q["p06_search"] = f"WITH {KEYWORD_SQL} {index} WHERE contains(keyword, 'tio') GROUP BY keyword ORDER BY sum(frequency) DESC, keyword LIMIT 10"
     q["o02_top_keywords"] = f"WITH {KEYWORD_SQL} SELECT keyword, CAST(sum(frequency) AS BIGINT) AS frequency FROM kw GROUP BY keyword ORDER BY 2 DESC, 1 LIMIT 20"
     q["w09_log_tail"] = f"SELECT * FROM {values_sql('version, action, n', LOG)} ORDER BY version DESC LIMIT 5"

@@ -79,12 +79,12 @@ def _options(s):
 
 def _assigned(s, d):
     """Line items as assignments: suppliers teach, parts are courses, days and periods from the ship date and line."""
-    x = load(s, d, "lineitem").where("l_suppkey < 20")
+    x = load(s, d, "lineitem")
     day = F.element_at(F.array(*[F.lit(k) for k in S.DAYS]), (F.dayofmonth("l_shipdate") % 5 + 1).cast("int"))
     return x.select(F.col("l_suppkey").alias("teacher"), F.format_string("c%06d", "l_partkey").alias("course"), day.alias("day"), F.col("l_linenumber").alias("period"), (F.col("l_quantity") % 4).cast("int").alias("hours"))
 
 
-ASSIGNED_SQL = "a AS (SELECT l_suppkey AS teacher, printf('c%06d', l_partkey) AS course, ['Mon', 'Tue', 'Wed', 'Thu', 'Fri'][CAST(day(l_shipdate) % 5 + 1 AS INTEGER)] AS day, l_linenumber AS period, CAST(l_quantity % 4 AS INTEGER) AS hours FROM lineitem WHERE l_suppkey < 20)"
+ASSIGNED_SQL = "a AS (SELECT l_suppkey AS teacher, printf('c%06d', l_partkey) AS course, ['Mon', 'Tue', 'Wed', 'Thu', 'Fri'][CAST(day(l_shipdate) % 5 + 1 AS INTEGER)] AS day, l_linenumber AS period, CAST(l_quantity % 4 AS INTEGER) AS hours FROM lineitem)"
 
 
 def _progress(s, d):
@@ -145,7 +145,7 @@ def queries():
     q["p13_exported"] = lambda s, d: W.exported(values(s, "folder, name, is_dir", FILES))
     q["p14_listing"] = lambda s, d: W.listing(values(s, "folder, name, is_dir", FILES))
     q["x_operation_list"] = lambda s, d: operations.compile_operations(load(s, d, "lineitem"), OPERATIONS)
-    q["x_operation_pivot"] = lambda s, d: operations.compile_operations(load(s, d, "orders"), [{"type": "filter", "column": "o_orderkey", "condition": "<2000"}, {"type": "merge", "table": "customer", "on": ["o_custkey"]}, {"type": "pivot", "index": "c_mktsegment", "column": "o_orderstatus", "values": ["F", "O", "P"], "value": "cents"}], {"customer": load(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", F.lit(1).cast("long").alias("cents"))})
+    q["x_operation_pivot"] = lambda s, d: operations.compile_operations(load(s, d, "orders"), [{"type": "filter", "column": "o_totalprice", "condition": ">1000"}, {"type": "merge", "table": "customer", "on": ["o_custkey"]}, {"type": "pivot", "index": "c_mktsegment", "column": "o_orderstatus", "values": ["F", "O", "P"], "value": "cents"}], {"customer": load(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", F.lit(1).cast("long").alias("cents"))})
     q["t01_parse"] = lambda s, d: _progress(s, d).select("type", "task_id", F.coalesce("step_id", F.lit("")).alias("step_id"), "percent", "seq")
     q["t02_fold"] = lambda s, d: G.fold(_progress(s, d))
     q["t03_tracked_steps"] = lambda s, d: G.tracked_steps(_progress(s, d))
@@ -211,7 +211,7 @@ def oracle_sql():
     q["a20_statistics"] = f"""WITH {ASSIGNED_SQL} SELECT a.teacher, CAST(sum(coalesce(hours, 2)) AS BIGINT) AS hours, count(period) AS assigned, count(*) FILTER (period IS NULL) AS unassigned, round(coalesce(avg(CAST(CASE wish WHEN 'morning' THEN period <= 4 WHEN 'afternoon' THEN period > 4 END AS INTEGER)), 1.0), 2) AS satisfaction
  FROM a LEFT JOIN (VALUES (1, 'morning'), (2, 'afternoon')) AS w(teacher, wish) ON a.teacher = w.teacher GROUP BY a.teacher"""
     q["a21_view"] = f"""WITH {ASSIGNED_SQL} SELECT teacher, period, {", ".join(f"coalesce(min(course) FILTER (day = '{k}'), '') AS {chr(34)}{k}{chr(34)}" for k in S.DAYS)} FROM a GROUP BY teacher, period"""
-    events = """ev AS (SELECT CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'complete' WHEN 'click' THEN 'start' ELSE 'progress' END AS type, 't' || user_id AS task_id, CASE WHEN event_type <> 'signup' THEN strftime(ts, '%H') END AS step_id, CAST(floor(value) AS BIGINT) AS percent, event_id AS seq FROM events WHERE event_id % 50 <> 7)"""
+    events = """ev AS (SELECT CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'complete' WHEN 'click' THEN 'start' ELSE 'progress' END AS type, 't' || user_id AS task_id, CASE WHEN event_type <> 'signup' THEN strftime(ts, '%H') END AS step_id, CAST(floor(value) AS BIGINT) AS percent, event_id AS seq FROM events WHERE NOT value BETWEEN 13 AND 14)"""
     fold = f"""{events}, cr AS (SELECT task_id, max(seq) AS f FROM ev WHERE type = 'create' GROUP BY task_id), live AS (SELECT ev.* FROM ev JOIN cr ON ev.task_id = cr.task_id AND ev.seq >= cr.f),
  st AS (SELECT task_id, step_id, arg_max(CASE type WHEN 'start' THEN 0 WHEN 'progress' THEN least(greatest(coalesce(percent, 0), 0), 100) ELSE 100 END, seq) AS p, min(seq) FILTER (type = 'start') AS f, max(seq) AS l FROM live WHERE step_id IS NOT NULL GROUP BY ALL),
  m AS (SELECT task_id, floor(sum(CASE WHEN l >= f THEN p ELSE 0 END) / greatest(count(*), 1)) AS percent FROM st WHERE f IS NOT NULL GROUP BY task_id),
@@ -245,5 +245,5 @@ def oracle_sql():
     q["p13_exported"] = f"SELECT * FROM {values_sql('folder, name, is_dir', FILES)} WHERE NOT (starts_with(name, '.') OR ends_with(name, 'node_modules') OR ends_with(name, '.log') OR ends_with(name, '__pycache__'))"
     q["p14_listing"] = f"SELECT *, CAST(row_number() OVER (PARTITION BY folder ORDER BY is_dir DESC, name) AS INTEGER) AS pos FROM {values_sql('folder, name, is_dir', FILES)} WHERE NOT starts_with(name, '.')"
     q["x_operation_list"] = "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) / 2 + 1 AS net FROM lineitem WHERE l_quantity < 10 AND l_returnflag = 'R'"
-    q["x_operation_pivot"] = "SELECT c_mktsegment, " + ", ".join(f"CAST(nullif(sum(CASE WHEN o_orderstatus = '{k}' THEN 1 ELSE 0 END), 0) AS BIGINT) AS {chr(34)}{k}{chr(34)}" for k in "FOP") + " FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey < 2000 GROUP BY c_mktsegment"
+    q["x_operation_pivot"] = "SELECT c_mktsegment, " + ", ".join(f"CAST(nullif(sum(CASE WHEN o_orderstatus = '{k}' THEN 1 ELSE 0 END), 0) AS BIGINT) AS {chr(34)}{k}{chr(34)}" for k in "FOP") + " FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 1000 GROUP BY c_mktsegment"
     return q

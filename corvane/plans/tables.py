@@ -22,25 +22,27 @@ def _union(parts):
 
 
 def old_new_docs(spark, d):
-    docs = load(spark, d, "documents")
-    old = docs.where("doc_id % 10 <> 1").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.sha2("text", 256).alias("content_hash"))
-    new = docs.where("doc_id % 10 <> 2").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.sha2(F.when(F.col("doc_id") % 10 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("content_hash"))
+    """Two snapshots of the documents: French ones are new, Spanish ones removed, German ones changed."""
+    docs = load(spark, d, "documents").withColumn("id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    old = docs.where("lang <> 'fr'").select("id", F.sha2("text", 256).alias("content_hash"))
+    new = docs.where("lang <> 'es'").select("id", F.sha2(F.when(F.col("lang") == "de", F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("content_hash"))
     return old, new
 
 
-OLD_NEW_SQL = """old AS (SELECT 'd' || doc_id AS id, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 1),
- new AS (SELECT 'd' || doc_id AS id, sha256(CASE WHEN doc_id % 10 = 3 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 10 <> 2)"""
+OLD_NEW_SQL = """old AS (SELECT 'd' || doc_id AS id, sha256(text) AS h FROM documents WHERE lang <> 'fr'),
+ new AS (SELECT 'd' || doc_id AS id, sha256(CASE WHEN lang = 'de' THEN text || '!' ELSE text END) AS h FROM documents WHERE lang <> 'es')"""
 
 
 def _orders(spark, d):
-    o = load(spark, d, "orders")
-    left = o.where("o_orderkey % 7 <> 0").select("o_orderkey", "o_custkey", "o_totalprice", F.col("o_orderkey").cast("double").alias("seq"))
-    right = o.where("o_orderkey % 5 <> 0").select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice") + 1.5).otherwise(F.col("o_totalprice")).alias("price2"), F.col("o_orderkey").cast("double").alias("seq2"))
+    """Two books of orders: one lacks pending orders, the other those of low priority, and its open orders cost more."""
+    o = load(spark, d, "orders").withColumn("seq", F.col("o_orderkey").cast("double"))
+    left = o.where("o_orderstatus <> 'P'").select("o_orderkey", "o_custkey", "o_totalprice", "seq")
+    right = o.where("o_orderpriority <> '5-LOW'").select("o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice") + 1.5).otherwise(F.col("o_totalprice")).alias("price2"), F.col("seq").alias("seq2"))
     return left, right
 
 
-ORDERS_SQL = """l AS (SELECT o_orderkey, o_custkey, o_totalprice, CAST(o_orderkey AS DOUBLE) AS seq FROM orders WHERE o_orderkey % 7 <> 0),
- r AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1.5 ELSE o_totalprice END AS price2, CAST(o_orderkey AS DOUBLE) AS seq2 FROM orders WHERE o_orderkey % 5 <> 0)"""
+ORDERS_SQL = """l AS (SELECT o_orderkey, o_custkey, o_totalprice, CAST(o_orderkey AS DOUBLE) AS seq FROM orders WHERE o_orderstatus <> 'P'),
+ r AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'O' THEN o_totalprice + 1.5 ELSE o_totalprice END AS price2, CAST(o_orderkey AS DOUBLE) AS seq2 FROM orders WHERE o_orderpriority <> '5-LOW')"""
 VERDICT_SQL = "CASE WHEN {1} - {0} IS NULL THEN 'missing' WHEN {1} - {0} = 0 THEN 'equal' ELSE 'mismatch' END"
 
 
@@ -65,10 +67,10 @@ def queries():
     q["j01_compare"] = lambda s, d: C.compare(C.clean_pairs(values(s, "k, v", LEFT), "k", "v"), C.clean_pairs(values(s, "k, v", RIGHT), "k", "v"))
     q["j02_compare_many"] = lambda s, d: C.compare_many(*_orders(s, d), ["o_orderkey", "o_custkey"], [("o_totalprice", "price2"), ("seq", "seq2")])
     q["j03_union_files"] = lambda s, d: C.union_files(load(s, d, "nation").select("n_name", F.col("n_regionkey").cast("string").alias("n_comment")), load(s, d, "region").select(F.col("r_name").alias("n_name"), F.col("r_regionkey").cast("string").alias("region_only")))
-    q["j04_same_names"] = lambda s, d: C.same_names(load(s, d, "customer").select(F.col("c_nationkey").alias("name")).where("name < 20"), load(s, d, "supplier").select(F.col("s_nationkey").alias("name")).where("name > 5"))
+    q["j04_same_names"] = lambda s, d: C.same_names(load(s, d, "customer").select(F.replace("c_name", F.lit("Customer"), F.lit("")).alias("name")), load(s, d, "supplier").select(F.replace("s_name", F.lit("Supplier"), F.lit("")).alias("name")).union(load(s, d, "nation").select(F.col("n_name"))))
     q["j05_common_columns"] = lambda s, d: s.createDataFrame([(c,) for c in C.common_columns(load(s, d, "documents"), load(s, d, "labels"))], "column string")
     q["j10_snapshot_diff"] = lambda s, d: C.snapshot_diff(*old_new_docs(s, d))
-    q["a11_upsert"] = lambda s, d: C.upsert(load(s, d, "supplier").select(F.col("s_suppkey").alias("id"), "s_name"), load(s, d, "supplier").where("s_suppkey % 4 = 0").select((F.col("s_suppkey") + 2).alias("id"), F.upper("s_name").alias("s_name")), load(s, d, "supplier").where("s_suppkey % 9 = 0").select(F.col("s_suppkey").alias("id")))
+    q["a11_upsert"] = lambda s, d: C.upsert(load(s, d, "supplier").select(F.col("s_suppkey").alias("id"), "s_name"), load(s, d, "supplier").where("s_acctbal < 2000").select((F.col("s_suppkey") + 2).alias("id"), F.upper("s_name").alias("s_name")), load(s, d, "supplier").where("s_acctbal > 9000").select(F.col("s_suppkey").alias("id")))
     q["a13_per_source"] = lambda s, d: load(s, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("document_count"))
     q["a17_batch_tally"] = lambda s, d: load(s, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("event_type") != "error").alias("success"), F.count_if(F.col("event_type") == "error").alias("failed"))
     q["o01_global_sort"] = lambda s, d: load(s, d, "orders").groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("total")).orderBy(F.desc("total"), "o_custkey")
@@ -136,12 +138,12 @@ def oracle_sql():
  c AS (SELECT o_orderkey, o_custkey, 'o_totalprice' AS field, o_totalprice AS left_value, price2 AS right_value FROM j UNION ALL SELECT o_orderkey, o_custkey, 'seq', seq, seq2 FROM j)
  SELECT *, round(right_value - left_value, 4) AS diff, {VERDICT_SQL.format("left_value", "right_value")} AS verdict FROM c"""
     q["j03_union_files"] = "SELECT n_name, n_comment, CAST(NULL AS VARCHAR) AS region_only FROM (SELECT n_name, CAST(n_regionkey AS VARCHAR) AS n_comment FROM nation) UNION ALL SELECT r_name, NULL, CAST(r_regionkey AS VARCHAR) FROM region"
-    q["j04_same_names"] = """WITH l AS (SELECT DISTINCT c_nationkey AS name FROM customer WHERE c_nationkey < 20), r AS (SELECT DISTINCT s_nationkey AS name FROM supplier WHERE s_nationkey > 5)
+    q["j04_same_names"] = """WITH l AS (SELECT DISTINCT replace(c_name, 'Customer', '') AS name FROM customer), r AS (SELECT replace(s_name, 'Supplier', '') AS name FROM supplier UNION SELECT n_name FROM nation)
  SELECT coalesce(l.name, r.name) AS name, CASE WHEN r.name IS NULL THEN 'left' WHEN l.name IS NULL THEN 'right' ELSE 'both' END AS side FROM l FULL JOIN r ON l.name = r.name"""
     q["j05_common_columns"] = "SELECT 'doc_id' AS column"
     diff = "SELECT coalesce(old.id, new.id) AS id, CASE WHEN old.id IS NULL THEN 'new' WHEN new.id IS NULL THEN 'removed' WHEN old.h = new.h THEN 'unchanged' ELSE 'changed' END AS change FROM old FULL JOIN new ON old.id = new.id"
     q["j10_snapshot_diff"] = f"WITH {OLD_NEW_SQL} {diff}"
-    q["a11_upsert"] = """WITH n AS (SELECT s_suppkey + 2 AS id, upper(s_name) AS s_name FROM supplier WHERE s_suppkey % 4 = 0), g AS (SELECT id FROM n UNION SELECT s_suppkey FROM supplier WHERE s_suppkey % 9 = 0)
+    q["a11_upsert"] = """WITH n AS (SELECT s_suppkey + 2 AS id, upper(s_name) AS s_name FROM supplier WHERE s_acctbal < 2000), g AS (SELECT id FROM n UNION SELECT s_suppkey FROM supplier WHERE s_acctbal > 9000)
  SELECT s_suppkey AS id, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT id FROM g) UNION ALL SELECT id, s_name FROM n"""
     q["a13_per_source"] = "SELECT source, count(*) AS document_count FROM documents GROUP BY source"
     q["a17_batch_tally"] = "SELECT user_id, count(*) AS total, count(*) FILTER (event_type <> 'error') AS success, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY user_id"
