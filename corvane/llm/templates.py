@@ -3,8 +3,11 @@
 A line's path in the tree has fixed depth: its number of tokens, then its leading tokens, tokens with a digit being
 variable fields. Within a leaf, a token seen at its position in at least `min_docs` lines is constant and any other
 is a variable field, so lines of a leaf generalise to templates without regard to their order. A template recurs
-if enough of it is constant, at least `min_docs` documents have it, and it stands between different neighbours in at
-least half of them: lines that travel with their whole document are copies of documents, which are not this operator's.
+if enough of its tokens without a digit are constant and at least `MIN_DOCS` different texts have it that are mostly
+their own: lines that travel with their whole document are copies of documents, which are not this operator's.
+
+The query op3 keeps to OP3_SQL, which says less: its threshold grows with the table, digit tokens count against a
+template, one-token lines stay, and copies are told by the two neighbour lines.
 """
 
 from __future__ import annotations
@@ -28,42 +31,49 @@ def _threshold(n_docs: int) -> int:
     return max(MIN_DOCS, -int(-n_docs * MIN_SHARE // 1))
 
 
-def recurring_lines(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> (_id, _row, _pos): lines, from 0, whose template recurs. _row: xxhash64 of the text, so repeated rows of one id with other texts stay apart."""
+def recurring_lines(docs: DataFrame, by_sql: bool = False) -> DataFrame:
+    """docs(doc_id, text) -> (_id, _row, _pos): lines, from 0, whose template recurs. _row: xxhash64 of the text, so repeated rows of one id with other texts stay apart. by_sql: as OP3_SQL has it."""
     least = _threshold(docs.count())
-    d = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_row"), F.split("text", "\n").alias("ls")).where("ls is not null")
+    d = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_row"), F.split("text", "\n").alias("ls"), F.length("text").alias("total")).where("ls is not null")
     d = d.withColumn("hs", F.expr("transform(ls, x -> xxhash64(x))"))
-    lines = d.select("_id", "_row", F.expr("""explode(transform(ls, (x, i) -> struct(
+    lines = d.select("_id", "_row", "total", F.expr("""explode(transform(ls, (x, i) -> struct(
         i as pos, xxhash64(if(i > 0, hs[i - 1], 0), if(i < size(hs) - 1, hs[i + 1], 0)) as ctx,
-        filter(split(x, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '') as ws)))""").alias("l"))
-    lines = lines.select("_id", "_row", F.col("l.pos").alias("_pos"), F.col("l.ctx").alias("ctx"), F.col("l.ws").alias("ws")).where(F.size("ws") >= MIN_TOKENS)
+        length(x) as chars, filter(split(x, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '') as ws)))""").alias("l"))
+    lines = lines.select("_id", "_row", F.col("l.pos").alias("_pos"), *([F.col("l.ctx").alias("ctx")] if by_sql else [F.col("l.chars").alias("chars"), "total"]), F.col("l.ws").alias("ws"))
+    lines = lines.where(F.size("ws") >= MIN_TOKENS)
     lead = F.transform(F.slice("ws", 1, DEPTH), lambda w: F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(w))
     lines = lines.withColumn("leaf", F.xxhash64(F.size("ws"), lead))
     popular = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("leaf")
     popular = materialise(popular, "popular")  # tables of their own, so that joins on a hot leaf or template can be split
-    kept = lines.join(popular, "leaf").withColumn("ws", F.transform("ws", lambda w: F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(w)))
+    kept = lines.join(popular, "leaf").withColumn("ws", F.transform("ws", lambda w: F.when(w.rlike("[0-9]") | (w == FIELD), F.lit(None)).otherwise(F.xxhash64(w))))  # tokens by hash, fields null
     kept = materialise(kept.withColumn("line", F.xxhash64("_id", "_row", "_pos")), "lines")
     words = kept.select("leaf", "line", F.size("ws").alias("n"), F.posexplode("ws").alias("p", "w"))
-    constant = words.where(F.col("w") != FIELD).groupBy("leaf", "p", "w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("leaf", "p", "w")
+    constant = words.where("w is not null").groupBy("leaf", "p", "w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("leaf", "p", "w")
     constant = materialise(constant, "constant")
     # the tokens of a line that are constant: their number, and a hash that does not depend on order
     share = words.join(constant, ["leaf", "p", "w"]).groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("fixed"), F.max("n").alias("n"), F.sum(F.xxhash64("p", "w").cast("decimal(20,0)")).alias("shape"))
     share = share.where(F.col("fixed") >= MIN_CONSTANT * F.col("n")).select("leaf", "line", F.xxhash64("leaf", "shape", "fixed").alias("template"))
-    tagged = materialise(kept.select("leaf", "line", "_id", "_row", "_pos", "ctx").join(share, ["leaf", "line"]).drop("leaf", "line"), "templates")
+    tagged = materialise(kept.select("leaf", "line", "_id", "_row", "_pos", *(["ctx"] if by_sql else ["chars", "total"])).join(share, ["leaf", "line"]).drop("leaf", "line"), "templates")
     docs_of = tagged.select("template", "_id", "_row").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"))
+    if not by_sql:
+        frequent = materialise(docs_of.where(F.col("n_docs") >= least).select("template"), "frequent")
+        hits = materialise(tagged.join(frequent, "template"), "hits")
+        own = hits.groupBy("_id", "_row").agg(F.sum("chars").alias("chars"), F.max("total").alias("total")).where(2 * F.col("chars") <= F.col("total")).select("_row").distinct()
+        found = hits.join(own, "_row").select("template", "_row").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n_texts")).where(F.col("n_texts") >= least).select("template")
+        return hits.join(materialise(found, "found"), "template").select("_id", "_row", "_pos")
     contexts = tagged.select("template", "ctx").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n_ctx"))
     found = docs_of.join(contexts, "template").where((F.col("n_docs") >= least) & (2 * F.col("n_ctx") >= F.col("n_docs"))).select("template")
     found = materialise(found, "found")
     return tagged.join(found, "template").select("_id", "_row", "_pos")
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, by_sql: bool = False) -> DataFrame:
     """docs, any columns with doc_id and text -> the same rows with _cv_text (recurring lines gone), _cv_lines, _cv_dropped (array of line numbers).
 
     Null text: null, 0 lines, none dropped. Empty text: one line, kept. A document whose every line recurs keeps an
     empty text. Repeated rows are treated alike. Extra columns pass through untouched.
     """
-    gone = recurring_lines(docs).groupBy("_id", "_row").agg(F.array_sort(F.collect_set("_pos")).alias("_cv_dropped"))
+    gone = recurring_lines(docs, by_sql).groupBy("_id", "_row").agg(F.array_sort(F.collect_set("_pos")).alias("_cv_dropped"))
     gone = gone.withColumnRenamed("_id", "_cv_id").withColumnRenamed("_row", "_cv_row")
     out = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_cv_id")) & (F.xxhash64(docs["text"]) == F.col("_cv_row")), "left").drop("_cv_id", "_cv_row")
     kept = F.when(F.col("_cv_dropped").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_cv_dropped", i)), "\n"))
@@ -78,7 +88,7 @@ def without_recurring_lines(docs: DataFrame) -> DataFrame:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), by_sql=True)
     return out.select(
         "doc_id",
         F.col("_cv_lines").alias("n_lines"),

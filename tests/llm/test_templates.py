@@ -25,6 +25,19 @@ def test_templates_generalise_and_copies_stay(spark):
     assert all(rows[1000 + i]._cv_dropped is None for i in range(60))
 
 
+def lines_dropped(spark, tail, n=40, more=()):
+    """The tail stands at the end of n otherwise different documents."""
+    own = lambda i: "\n".join(" ".join(f"w{chr(97 + k)}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + j)}" for j in range(12)) for k in range(4))
+    rows = [(i, f"{own(i)}\n{tail(i)}") for i in range(n)] + [(5000 + k, t) for k, t in enumerate(more)]
+    return {r.doc_id: r._cv_dropped or [] for r in T.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_inner_lines_of_a_passage_go_and_near_copies_stay(spark):
+    copies = ["\n".join(f"line {'abcdef'[k]} of the copied document" if k != i % 6 else f"changed{chr(97 + i)} words{chr(97 + i)}" for k in range(6)) for i in range(20)]
+    got = lines_dropped(spark, lambda i: "All rights reserved here\nTerms of use apply\nContact the editors\nBack to top", more=copies)
+    assert all(got[i] == [4, 5, 6, 7] for i in range(40)) and all(got[5000 + k] == [] for k in range(20))
+
+
 def test_edges(spark):
     docs = edges.documents(spark)
     out = T.line_dedup(docs)
