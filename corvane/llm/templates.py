@@ -40,14 +40,14 @@ def recurring_lines(docs: DataFrame, by_sql: bool = False) -> DataFrame:
         i as pos, xxhash64(if(i > 0, hs[i - 1], 0), if(i < size(hs) - 1, hs[i + 1], 0)) as ctx,
         length(x) as chars, filter(split(x, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '') as ws)))""").alias("l"))
     lines = lines.select("_id", "_row", F.col("l.pos").alias("_pos"), *([F.col("l.ctx").alias("ctx")] if by_sql else [F.col("l.chars").alias("chars"), "total"]), F.col("l.ws").alias("ws"))
-    lines = lines.where(F.size("ws") >= MIN_TOKENS)
+    lines = lines.where(F.size("ws") >= (MIN_TOKENS if by_sql else 1))
     lead = F.transform(F.slice("ws", 1, DEPTH), lambda w: F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(w))
     lines = lines.withColumn("leaf", F.xxhash64(F.size("ws"), lead))
     popular = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("leaf")
     popular = materialise(popular, "popular")  # tables of their own, so that joins on a hot leaf or template can be split
     kept = lines.join(popular, "leaf").withColumn("ws", F.transform("ws", lambda w: F.when(w.rlike("[0-9]") | (w == FIELD), F.lit(None)).otherwise(F.xxhash64(w))))  # tokens by hash, fields null
     kept = materialise(kept.withColumn("line", F.xxhash64("_id", "_row", "_pos")), "lines")
-    words = kept.select("leaf", "line", F.size("ws").alias("n"), F.posexplode("ws").alias("p", "w"))
+    words = kept.select("leaf", "line", F.size("ws" if by_sql else F.filter("ws", lambda w: w.isNotNull())).alias("n"), F.posexplode("ws").alias("p", "w"))
     constant = words.where("w is not null").groupBy("leaf", "p", "w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("leaf", "p", "w")
     constant = materialise(constant, "constant")
     # the tokens of a line that are constant: their number, and a hash that does not depend on order

@@ -38,6 +38,11 @@ def test_inner_lines_of_a_passage_go_and_near_copies_stay(spark):
     assert all(got[i] == [4, 5, 6, 7] for i in range(40)) and all(got[5000 + k] == [] for k in range(20))
 
 
+def test_fields_and_single_words_go(spark):
+    got = lines_dropped(spark, lambda i: f"Page {i} of {i + 9}\nCopyright {1990 + i} Foo Inc\nShare")
+    assert all(got[i] == [4, 5, 6] for i in range(40))
+
+
 def test_edges(spark):
     docs = edges.documents(spark)
     out = T.line_dedup(docs)
