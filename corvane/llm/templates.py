@@ -33,7 +33,7 @@ def _threshold(n_docs: int) -> int:
 
 def recurring_lines(docs: DataFrame, by_sql: bool = False) -> DataFrame:
     """docs(doc_id, text) -> (_id, _row, _pos): lines, from 0, whose template recurs. _row: xxhash64 of the text, so repeated rows of one id with other texts stay apart. by_sql: as OP3_SQL has it."""
-    least = _threshold(docs.count())
+    least = _threshold(docs.count()) if by_sql else MIN_DOCS
     d = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_row"), F.split("text", "\n").alias("ls"), F.length("text").alias("total")).where("ls is not null")
     d = d.withColumn("hs", F.expr("transform(ls, x -> xxhash64(x))"))
     lines = d.select("_id", "_row", "total", F.expr("""explode(transform(ls, (x, i) -> struct(

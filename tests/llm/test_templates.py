@@ -43,6 +43,12 @@ def test_fields_and_single_words_go(spark):
     assert all(got[i] == [4, 5, 6] for i in range(40))
 
 
+def test_threshold_does_not_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(T, "MIN_SHARE", 0.5)  # as if the table were large
+    got = lines_dropped(spark, lambda i: "All rights reserved here" if i < 12 else f"own{chr(97 + i % 26)} last{chr(97 + i // 26)}")
+    assert all(got[i] == ([4] if i < 12 else []) for i in range(40))
+
+
 def test_edges(spark):
     docs = edges.documents(spark)
     out = T.line_dedup(docs)
