@@ -27,17 +27,23 @@ DEPTH = 24
 TRAIN_PAGES = 400
 ROUNDS = 300
 
+#: Elements whose content is no text of the page; to the end of the page, as in browsers, only those of RAW where no closing tag follows.
+SKIPPED = "script style noscript template svg iframe object head title textarea annotation annotation-xml canvas audio video".split()
+RAW = frozenset(["script", "style"])
 _token = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|svg|iframe|object|head|title|textarea|math|canvas|audio|video)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))"
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({'|'.join(SKIPPED)})(?=[\s/>])[^>]*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|([^<]+|<)",
     re.S | re.I,
 )
-_head_end = re.compile(r"<body\b|<(?:article|main|div|p|h1|nav|section)\b", re.I)
+_closing = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in SKIPPED}
 _named = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _hidden = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _parts = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input "
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts mpadded mphantom menclose mstyle merror mtable mtr mtd semantics".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: What the words of an element's class, id or role say of the text in it.
 HINTS = {
@@ -92,6 +98,19 @@ def _flags(tag: str, attrs: str, above: int) -> int:
     return above | own
 
 
+def _end_of_skipped(page: str, opener: re.Match, unclosed: set[str]) -> int:
+    """Where the element's content ends. Without a closing tag it has none, so that the page goes on; it is looked for once a page."""
+    tag, at = opener[1].lower(), opener.end()
+    if opener[0].endswith("/>"):
+        return at
+    if tag not in unclosed:
+        end = _closing[tag].search(page, at)
+        if end:
+            return end.end()
+        unclosed.add(tag)
+    return len(page) if tag in RAW else at
+
+
 def blocks(page: str | None) -> list[tuple[str, int, int, int, tuple[int, ...]]]:
     """(text, flags, kind, characters of links, path of element numbers) of each block with text, in page order."""
     out: list = []
@@ -123,7 +142,14 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int, tuple[int, ...]]]
             text.clear()
         linked = 0
 
-    for m in _token.finditer(page):
+    pos = 0
+    unclosed: set[str] = set()  # skipped elements without a closing tag from here on
+    while pos < len(page):
+        m = _token.match(page, pos)
+        pos = m.end()
+        if m[1] is not None:
+            pos = _end_of_skipped(page, m, unclosed)
+            continue
         words = m[5]
         if words is not None:
             text.append(words)

@@ -42,6 +42,17 @@ def test_parts_of_a_page():
     assert M.main_text(PAGE, M.classifier()) == "The title\n\nFirst & second.\n\nA < B and more link text.\n\nBe."
 
 
+def test_unclosed_and_custom_elements_hide_no_article():
+    body = "<article><h1>The title</h1><p>Some words of the article, long enough to be read.</p><p>And some more of them follow here.</p></article>"
+    want = "The title\n\nSome words of the article, long enough to be read.\n\nAnd some more of them follow here."
+    for before in ["<head><title>T</title><meta charset=utf-8><body>", "<head><script>document.write('<div>x')</script><body>", "<video-player></video-player>", "<title-bar src=x></title-bar>", "<template-x>", "<svg>", "<noscript>", "<title>T</title ><script>var a;</script x>"]:
+        assert M.main_text(f"<!DOCTYPE html><html>{before}{body}</html>", M.classifier()) == want, before
+    assert M.main_text(f"<html>{body}<script>var a = 1;", M.classifier()) == want
+    formula = body.replace("more of them", "<math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></math>")
+    assert M.main_text(formula, M.classifier()).endswith("And some x=2 follow here.")
+    assert len(M.blocks("<template>" * 50000 + "<p>x")) == 1
+
+
 def test_page_table(spark, small):
     """Against a plain reading of this table's template: the article's blocks."""
     import html
