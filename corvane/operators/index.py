@@ -89,14 +89,15 @@ def top(index: DataFrame, metric: str, key: str, n: int) -> DataFrame:
     return index.orderBy(F.desc(metric), key).limit(n)
 
 
-def relations(postings: DataFrame, max_df: int, details: int = 10) -> DataFrame:
+def relations(postings: DataFrame, max_df: int | None, details: int = 10) -> DataFrame:
     """postings(term, doc_id) -> (source, target, weight, details): documents that share terms, the smaller id first.
 
-    The join runs on terms. Terms in more than max_df documents say little and would pair all of those; they are left
-    out, which is part of the result's definition.
+    The join runs on terms. Terms in more than max_df documents would pair all of those and are left out; None counts
+    every shared term, at a row for each pair of a term's documents.
     """
-    p = postings.select("term", "doc_id").distinct()
-    rare = p.join(p.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") <= max_df).select("term"), "term")
+    rare = postings.select("term", "doc_id").distinct()
+    if max_df is not None:
+        rare = rare.join(rare.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") <= max_df).select("term"), "term")
     a, b = rare.select("term", F.col("doc_id").alias("source")), rare.select("term", F.col("doc_id").alias("target"))
     pairs = a.join(b, "term").where("source < target")
     return pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"), F.array_join(F.slice(F.array_sort(F.collect_set("term")), 1, details), ",").alias("details"))

@@ -40,3 +40,14 @@ def test_failed_manifest_keeps_all(spark):
 def test_median_of_one_value(spark):
     r = P.numeric_stats(spark.createDataFrame([(2.0,)], "x double"), ["x"]).first()
     assert (r["count"], r["median"], r["std"]) == (1, 2.0, None)
+
+
+def test_relations_of_all_shared_terms(spark):
+    from itertools import combinations
+
+    from corvane.operators import index as I
+
+    terms = {i: {"all", f"third{i % 3}", f"own{i}"} for i in range(30)}
+    rows = I.relations(spark.createDataFrame([(t, i) for i, ts in terms.items() for t in sorted(ts)], "term string, doc_id long"), None).collect()
+    want = {(i, j): terms[i] & terms[j] for i, j in combinations(terms, 2)}
+    assert {(r.source, r.target): (r.weight, r.details) for r in rows} == {k: (len(v), ",".join(sorted(v))) for k, v in want.items()}
