@@ -11,7 +11,7 @@ from __future__ import annotations
 import html as htmllib
 import random
 import re
-from collections import Counter, deque
+from collections import defaultdict, deque
 from functools import cache
 
 import numpy as np
@@ -28,14 +28,12 @@ TRAIN_PAGES = 400
 ROUNDS = 300
 
 #: Elements whose content is no text of the page; to the end of the page, as in browsers, only those of RAW where no closing tag follows.
-SKIPPED = "script style noscript template svg iframe object head title textarea annotation annotation-xml canvas audio video".split()
+SKIPPED = frozenset("script style noscript template svg iframe object title textarea annotation annotation-xml canvas audio video".split())
 RAW = frozenset(["script", "style"])
-_token = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({'|'.join(SKIPPED)})(?=[\s/>])[^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|([^<]+|<)",
-    re.S | re.I,
-)
-_closing = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in SKIPPED}
+#: A tag as browsers end it: a quote hides > only after =. Possessive, so that a tag is read once.
+_tag = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|))*+)>")
+_unquoted_tag = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_closing = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in SKIPPED}
 _named = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _hidden = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _parts = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -98,68 +96,127 @@ def _flags(tag: str, attrs: str, above: int) -> int:
     return above | own
 
 
-def _end_of_skipped(page: str, opener: re.Match, unclosed: set[str]) -> int:
-    """Where the element's content ends. Without a closing tag it has none, so that the page goes on; it is looked for once a page."""
-    tag, at = opener[1].lower(), opener.end()
-    if opener[0].endswith("/>"):
+def _markup_end(page: str, at: int) -> int:
+    """Where the comment, declaration or other markup that is no tag ends; `at` itself if it is text."""
+    if page.startswith("<!--", at):
+        end = page.find("-->", at + 2)
+        return len(page) if end < 0 else end + 3
+    if page.startswith("<![CDATA[", at):
+        end = page.find("]]>", at)
+        return len(page) if end < 0 else end + 3
+    return page.index(">", at) + 1 if page[at + 1 : at + 2] in ("!", "?", "/") else at
+
+
+def _skipped_end(page: str, tag: str, at: int, closed: bool, unclosed: set[str]) -> int:
+    """Where the skipped element's content ends. Without a closing tag it has none, so that the page goes on; it is looked for once a page."""
+    if closed and tag not in RAW:
         return at
     if tag not in unclosed:
         end = _closing[tag].search(page, at)
         if end:
-            return end.end()
+            stop = page.find(">", end.end())
+            return len(page) if stop < 0 else stop + 1
         unclosed.add(tag)
-    return len(page) if tag in RAW else at
+    return len(page) if tag in RAW and not closed else at
+
+
+_SCOPES = ("ul", "ol", "table", "select", "dl")
+_ITEMS = frozenset(["li", "tr", "td", "th", "option", "dd", "dt"])
+
+
+class _Tree:
+    """The open elements: (tag, flags, number, kind, place of the innermost block), with the places of each tag, so that no closing tag walks the stack."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, int, int, int]] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.n = self.links = 0
+
+    def cut(self, at: int) -> None:
+        """Close the elements from `at` on."""
+        for x in self.stack[at:]:
+            self.places[x[0]].pop()
+            if x[0] == "a":
+                self.links = 0
+        del self.stack[at:]
+
+    def open(self, tag: str, attrs: str, inline: bool) -> None:
+        self.n += 1
+        _, flags, _, kind, block = self.stack[-1] if self.stack else ("", 0, 0, 4, -1)
+        self.places[tag].append(len(self.stack))
+        if not inline:
+            kind, block = _kind(tag), len(self.stack)
+        self.stack.append((tag, _flags(tag, attrs, flags), self.n, kind, block))
+
+    def close(self, tag: str, inline: bool) -> None:
+        """Close the innermost such element; an inline one below an open block was closed too late, and the block stays open."""
+        at = self.places[tag]
+        if at and not (inline and at[-1] < self.stack[-1][4]):
+            self.cut(at[-1])
+
+    def make_room(self, tag: str) -> None:
+        """A block ends an open paragraph, an item its forerunner in the same list or table."""
+        if self.places["p"]:
+            self.cut(self.places["p"][-1])
+        if tag in _ITEMS and self.places[tag]:
+            at = self.places[tag][-1]
+            if at > max(self.places[x][-1] if self.places[x] else -1 for x in _SCOPES):
+                self.cut(at)
 
 
 def blocks(page: str | None) -> list[tuple[str, int, int, int, tuple[int, ...]]]:
-    """(text, flags, kind, characters of links, path of element numbers) of each block with text, in page order."""
+    """(text, flags, kind, characters of links, path of element numbers) of each block with text, in page order; in time linear in the page."""
     out: list = []
     if not page:
         return out
-    stack: list[tuple[str, int, int]] = []  # tag, flags, number
-    opened: Counter[str] = Counter()
+    tree = _Tree()
     text: list[str] = []
-    linked = n = 0
-    links = 0
+    linked = pos = 0
     flags, kind = 0, 4
 
-    def cut(at: int) -> None:
-        """Close the elements from `at` on."""
-        nonlocal links
-        for x in stack[at:]:
-            opened[x[0]] -= 1
-            if x[0] == "a":
-                links = 0
-        del stack[at:]
-
     def close_block() -> None:
         nonlocal linked
         if text:
             t = " ".join(htmllib.unescape("".join(text)).split())
             if t:
-                path = tuple(x[2] for x in stack[-DEPTH:] if x[0] not in INLINE)
+                path = tuple(x[2] for x in tree.stack[-DEPTH:] if x[0] not in INLINE)
                 out.append((t, flags, kind, min(linked, len(t)), path))
             text.clear()
         linked = 0
 
-    pos = 0
     unclosed: set[str] = set()  # skipped elements without a closing tag from here on
+    last = page.rfind(">")
+    pattern = _tag
     while pos < len(page):
-        m = _token.match(page, pos)
-        pos = m.end()
-        if m[1] is not None:
-            pos = _end_of_skipped(page, m, unclosed)
-            continue
-        words = m[5]
-        if words is not None:
+        at = page.find("<", pos)
+        if at < 0 or at > last:  # no tag can end any more
+            at = page.find("<!--", pos)
+            at = len(page) if at < 0 else at
+        words = page[pos:at]
+        m = None
+        pos = at
+        if at < len(page):
+            m = pattern.match(page, at)
+            if m is None and page[at + 1 : at + 3].lstrip("/")[:1].isalpha() and page[at + 1 : at + 3].isascii():
+                pattern = _unquoted_tag  # a quote without its fellow: from here on quotes hide nothing
+                m = pattern.match(page, at)
+            if m is None:
+                pos = _markup_end(page, at)
+                if pos == at:
+                    words += "<"
+                    pos += 1
+            else:
+                pos = m.end()
+        if words:
             text.append(words)
-            if links:
+            if tree.links:
                 linked += len(words)
+        if m is None:
             continue
-        tag = m[3]
-        if tag is None:
+        closing, tag, attrs = m[1], m[2].lower(), m[3]
+        if tag in SKIPPED and not closing:
+            pos = _skipped_end(page, tag, pos, attrs.endswith("/"), unclosed)
             continue
-        tag = tag.lower()
         if tag in VOID:
             if tag == "br":
                 text.append(" ")
@@ -169,37 +226,25 @@ def blocks(page: str | None) -> list[tuple[str, int, int, int, tuple[int, ...]]]
         inline = tag in INLINE
         if not inline:
             close_block()
-        if m[2]:
+        if closing:
             if tag == "a":
-                links = max(0, links - 1)
-            if opened[tag]:
-                at = len(stack) - 1
-                while stack[at][0] != tag and not (inline and stack[at][0] not in INLINE):
-                    at -= 1
-                if stack[at][0] == tag:  # else closed too late: the blocks in between stay open
-                    cut(at)
+                tree.links = max(0, tree.links - 1)
+            tree.close(tag, inline)
         else:
-            if not inline and opened["p"]:
-                at = len(stack) - 1
-                while stack[at][0] != "p":
-                    at -= 1
-                cut(at)
-            if tag in ("li", "tr", "td", "th", "option", "dd", "dt") and opened[tag]:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        cut(k)
-                        break
-                    if stack[k][0] in ("ul", "ol", "table", "select", "dl"):
-                        break
+            if not inline:
+                tree.make_room(tag)
             if tag == "a":
-                links += 1
-            if not (m[4] and m[4].endswith("/")):
-                n += 1
-                opened[tag] += 1
-                stack.append((tag, _flags(tag, m[4], stack[-1][1] if stack else 0), n))
-        flags = stack[-1][1] if stack else 0
-        if not inline or m[2]:
-            kind = next((_kind(x[0]) for x in reversed(stack) if x[0] not in INLINE), 4)
+                tree.links += 1
+            if not attrs.endswith("/"):
+                tree.open(tag, attrs, inline)
+        if tree.stack:
+            flags = tree.stack[-1][1]
+            if not inline or closing:
+                kind = tree.stack[-1][3]
+        else:
+            flags = 0
+            if not inline or closing:
+                kind = 4
     close_block()
     return out
 

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 
@@ -73,3 +75,61 @@ def test_edges(spark):
     assert next(r for r in out if r.page_id == 5).text.count("\n\n") == 2999
     assert [r.text for r in out if r.page_id in (1, 2, 3)] == [""] * 4
     assert M.extract(spark.createDataFrame([], df.schema)).count() == 0
+
+
+class _Plain(HTMLParser):
+    """Texts of blocks as the library's own HTML parser reads the page, without a tree."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found, self.text, self.hidden = [], [], []
+
+    def end(self):
+        t = " ".join("".join(self.text).split())
+        self.found += [t] if t else []
+        self.text = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in M.SKIPPED:
+            self.hidden.append(tag)
+        elif tag == "br":
+            self.text.append(" ")
+        elif tag not in M.INLINE and (tag not in M.VOID or tag == "hr"):
+            self.end()
+
+    def handle_endtag(self, tag):
+        if self.hidden and tag == self.hidden[-1]:
+            self.hidden.pop()
+        elif tag not in M.INLINE and tag not in M.VOID:
+            self.end()
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.text.append(data)
+
+
+def test_block_texts_against_another_parser(spark, small):
+    for r in spark.read.parquet(f"{small}/pages.parquet").collect() + [(0, "", PAGE)]:
+        p = _Plain()
+        p.feed(r[2])
+        p.close()
+        p.end()
+        assert [b[0] for b in M.blocks(r[2])] == p.found
+
+
+def test_self_closed_scripts_and_quotes_hide_nothing():
+    w = M.classifier()
+    assert M.main_text("<p>First words of it.</p><script src=x/>var leak = 1;</script><p>Second words of it.</p>", w) == "First words of it.\n\nSecond words of it."
+    assert M.main_text('<p>First words of it.</p><script src="x"/><p>Second words of it.</p>', w) == "First words of it.\n\nSecond words of it."
+    assert M.main_text('<p title="a>b">First words of it.</p><p class=" >Second words of it.</p><p>Third.</p>', w) == "First words of it.\n\nSecond words of it.\n\nThird."
+    assert M.main_text("<p>3 < 4 and 5 > 4, it <3 that.</p><p>Then <", w) == "3 < 4 and 5 > 4, it <3 that.\n\nThen <"
+
+
+def test_hostile_pages_are_read_in_linear_time():
+    hostile = ["<a " * 340000, "<div>" * 20000 + "<b>x</i>" * 100000, "<i><div>" + "<b>" * 60000 + "</i>x" * 60000, '<a href="' * 100000 + ">", "<p>x</p>" * 100000, "<div>x" * 100000, "<script>" + "</script " * 100000, "<ul><li>x" * 60000]
+    for page in hostile:
+        start = time.process_time()
+        M.main_text(page, M.classifier())
+        assert time.process_time() - start < 5, page[:20]
+    assert M.main_text("<div>" * 20000 + "<b>x</i>" * 20000, M.classifier()) == "x" * 20000
+    assert M.main_text("<p>word.</p>" * 60000, M.classifier()).count("\n\n") == 59999
