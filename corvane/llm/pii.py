@@ -1,24 +1,27 @@
 """Personal data: fixed patterns find entities; corpus co-occurrence finds the terms that give them away.
 
 A term's disclosure of an entity is the share of the lines with the term in which it stands next to the entity, and
-the pair's pointwise mutual information. Terms over both thresholds are spans too: generalised to a tag, or removed
-where the share is near one. A pair needs several distinct lines, so copies of a document alone make no pair.
+the pair's pointwise mutual information. Next to it are the nearest words of its own line and of the lines around it.
+Terms over both thresholds are spans too: generalised to a tag, or removed where the share is near one. A pair needs
+several distinct lines of the entity, so copies of a document alone make no pair. Terms are runs of letters, lower-cased.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_rows, materialise, table
 
 KINDS = ["email", "ip", "card", "phone", "term"]
-#: Words to each side of an entity, in its line, that count as next to it.
+#: Words to each side of an entity, in its line or the one before or after, that count as next to it.
 NEAR = 8
-#: Least number of distinct lines of a pair, least share of the term's lines, least mutual information in bits; share from which a term is removed.
-MIN_CONTEXTS = 5
+#: Least number of distinct lines of the entity in a pair, least share of the term's lines, least mutual information in bits; share from which a term is removed.
+MIN_CONTEXTS = 3
 MIN_SHARE = 0.5
 MIN_BITS = 4.0
 REMOVE_SHARE = 0.9
@@ -29,7 +32,7 @@ _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _ip = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_word = re.compile(r"[^\W\d_]+")
+_word = regex.compile(r"\p{L}+")
 
 
 def _emails(t: str) -> list[tuple[int, int]]:
@@ -57,7 +60,7 @@ def base_spans(t: str | None) -> list[tuple[int, int, int]]:
         return []
     out = [(s, 0, e) for s, e in _emails(t)] if "@" in t else []
     for m in _ip.finditer(t):
-        if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m[0].split(".")):
+        if all(len(p) < 4 and int(p or 0) < 256 for p in (x.lstrip("0") for x in m[0].split("."))):
             out.append((m.start(), 1, m.end()))
     for m in _card.finditer(t):
         if 12 <= m.end() - m.start() <= 37:
@@ -72,30 +75,41 @@ def base_spans(t: str | None) -> list[tuple[int, int, int]]:
 
 
 def _next_to(t: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """For each entity the terms around it in its line, and that line's hash as the context."""
+    """For each entity the terms around it, and its line's hash as the context; the words of a line are read once."""
     import xxhash
 
+    ends = sorted(e for _, _, e in spans)
+    starts = [s for s, _, _ in spans]  # sorted as the spans are
+    lines: dict[int, tuple[int, int, list[int], list[str]]] = {}
+
+    def line_of(a: int, b: int) -> tuple[list[int], list[str]]:
+        """Places and words of the line t[a:b] that lie in no entity."""
+        if a not in lines:
+            # a word touches an entity if more of them start before its end than end before its start
+            free = [m for m in _word.finditer(t, a, b) if m.end() - m.start() >= MIN_TERM and bisect_left(starts, m.end()) == bisect_right(ends, m.start())]
+            lines[a] = (a, b, [m.start() for m in free], [m[0].lower() for m in free])
+        return lines[a][2:]
+
     found: dict[tuple[str, int, int], set[str]] = {}
+    a = b = -1
     for s, k, e in spans:
-        a = t.rfind("\n", 0, s) + 1
-        b = t.find("\n", e)
-        b = len(t) if b < 0 else b
-        inside = [(x - a, y - a) for x, _, y in spans if a <= x < b]
-
-        def free(m, inside=inside) -> bool:
-            return m.end() - m.start() >= MIN_TERM and not any(m.start() < y and m.end() > x for x, y in inside)
-
-        line = t[a:b]
-        left = [m[0] for m in _word.finditer(line, 0, s - a) if free(m)][-NEAR:]
-        right = []
-        for m in _word.finditer(line, e - a):
-            if len(right) == NEAR:
-                break
-            if free(m):
-                right.append(m[0])
+        if not (a <= s <= b and e <= b):
+            a = t.rfind("\n", 0, s) + 1
+            b = t.find("\n", e)
+            b = len(t) if b < 0 else b
+        places, words = line_of(a, b)
+        cut = bisect_left(places, s)
+        left, right = words[max(0, cut - NEAR) : cut], words[cut : cut + NEAR]
+        if len(left) < NEAR and a:
+            more = line_of(t.rfind("\n", 0, a - 1) + 1, a - 1)[1]
+            left = more[max(0, len(more) - NEAR + len(left)) :] + left
+        if len(right) < NEAR and b < len(t):
+            end = t.find("\n", b + 1)
+            right = right + line_of(b + 1, len(t) if end < 0 else end)[1][: NEAR - len(right)]
         value = t[s:e].lower() if k == 0 else "".join(c for c in t[s:e] if c.isdigit() or (k == 1 and c == "."))
-        found.setdefault((f"{KINDS[k]}:{value}", a, b), set()).update(w.lower() for w in left + right)
-    return [{"entity": name, "context": xxhash.xxh64_intdigest(t[a:b].encode("utf-8", "surrogatepass"), 42) - (1 << 63), "terms": sorted(ws)} for (name, a, b), ws in found.items()]
+        found.setdefault((f"{KINDS[k]}:{value}", a, b), set()).update(left + right)
+    context = {a: xxhash.xxh64_intdigest(t[a:b].encode("utf-8", "surrogatepass"), 42) - (1 << 63) for a, b in {(a, b) for _, a, b in found}}
+    return [{"entity": name, "context": context[a], "terms": sorted(ws)} for (name, a, _), ws in found.items()]
 
 
 _SPANS = "array<struct<start:long,kind:int,end:long>>"
@@ -114,7 +128,7 @@ def entities(docs: DataFrame) -> DataFrame:
 
 def _words_of_lines(docs: DataFrame) -> DataFrame:
     lines = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_row"), F.explode(F.split("text", "\n")).alias("line"))
-    words = F.array_distinct(F.split(F.lower("line"), r"[^\p{L}]+"))
+    words = F.array_distinct(F.split(F.lower(F.regexp_replace("line", r"[^\p{L}]+", " ")), " "))  # letters are told before they are lower-cased, as in _word
     return lines.select("doc_id", "_row", F.xxhash64("line").alias("line"), F.explode(words).alias("term"))
 
 
@@ -135,7 +149,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, min_contexts: int = MIN_
     # all words are counted before the join, which so has a row a pair and not one a place
     alone = _words_of_lines(docs).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     scored = pairs.join(alone, "term").join(lines_of, "entity")
-    scored = scored.select("term", (F.col("together") / F.col("n_term")).alias("share"), F.log2(F.col("together") * F.lit(float(n)) / (F.col("n_entity") * F.col("n_term"))).alias("bits"))
+    scored = scored.select("term", F.least(F.col("together") / F.col("n_term"), F.lit(1.0)).alias("share"), F.log2(F.col("together") * F.lit(float(n)) / (F.col("n_entity") * F.col("n_term"))).alias("bits"))
     terms = scored.where((F.col("share") >= min_share) & (F.col("bits") >= min_bits)).groupBy("term").agg(F.max("share").alias("share"), F.max("bits").alias("bits"))
     terms = materialise(terms, "terms")
     return terms, _words_of_lines(docs).join(terms.select("term"), "term").select("doc_id", "_row", "term").distinct()
@@ -167,7 +181,7 @@ def detect(docs: DataFrame, **thresholds) -> DataFrame:
 
 
 def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
-    """docs with text's entities replaced by [KIND] and disclosing terms by [TERM], or by nothing where their share is near one; one row per distinct (doc_id, text), other columns as they are."""
+    """docs with text's entities replaced by [KIND] and disclosing terms by [TERM], or by nothing where their share is near one; as many rows as docs, repeated ones too, other columns as they are."""
     found = detect(docs, **thresholds).dropDuplicates(["doc_id", "_row"]).withColumnRenamed("doc_id", "_cv_id").withColumnRenamed("_row", "_cv_row").withColumnRenamed("spans", "_cv_spans").withColumnRenamed("removed", "_cv_removed")
 
     @F.pandas_udf("string")

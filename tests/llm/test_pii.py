@@ -17,14 +17,14 @@ def brute(t):
         for m in re.finditer(p, t or ""):
             digits = re.sub(r"[^0-9]", "", m[0])
             luhn = sum(int(d) if i % 2 == 0 else (2 * int(d) - 9 if int(d) > 4 else 2 * int(d)) for i, d in enumerate(reversed(digits))) % 10 == 0
-            if [True, k == 1 and all(int(x) < 256 for x in m[0].split(".")), 12 <= len(digits) <= 19 and luhn, 9 <= len(digits) <= 15][k]:
+            if [True, k == 1 and all(float(x) < 256 for x in m[0].split(".")), 12 <= len(digits) <= 19 and luhn, 9 <= len(digits) <= 15][k]:
                 out.append((m.start(), k, m.end()))
     return sorted(out)
 
 
 ODD = [
     "a@b", "a@b.c", "x.a@b.com_y@z.org", "@@a@b.co@c.de", "a@b.c@d.e", "é@x.com mail:me+you@a-b.co.uk.", "1.2.3.4.5.6.7.8", "300.1.1.1 1.1.1.255", "1.2.3 4.5.6.7", "4111 1111 1111 1111", "4111-1111-1111-1112", "4111  1111",
-    "+1 (743) 555-3824 x", "+49 30 1234567.", "+12345", "+1+2345678901", "5 5 5", "+" * 50, "0000000000000", "1" * 40 + ".1.1.1", "",
+    "+1 (743) 555-3824 x", "+49 30 1234567.", "+12345", "+1+2345678901", "5 5 5", "+" * 50, "0000000000000", "1" * 40 + ".1.1.1", "0" * 5000 + "1.1.1.1", "1.1.1." + "0" * 5000, "9" * 5000 + ".1.1.1", "",
 ]
 
 
@@ -83,3 +83,47 @@ def test_edges(spark):
     assert P.detect(edges.empty(spark)).count() == 0
     back = P.sanitise(docs)
     assert back.columns == docs.columns and back.exceptAll(docs).count() == 0
+
+
+def near_by_hand(t, spans):
+    """Words of the three lines around each entity, those in entities and short ones apart, nearest first."""
+    out = {}
+    for s, k, e in spans:
+        n = t.count("\n", 0, s)
+        lines, at, words = t.split("\n"), 0, []
+        for i, line in enumerate(lines):
+            if abs(i - n) <= 1:
+                words += [(at + m.start(), at + m.end(), m[0]) for m in P.regex.finditer(r"\p{L}+", line)]
+            at += len(line) + 1
+        words = [(a, b, w.lower()) for a, b, w in words if b - a >= P.MIN_TERM and not any(a < y and b > x for x, _, y in spans)]
+        left, right = [w for a, b, w in words if b <= s][-P.NEAR :], [w for a, b, w in words if a >= e][: P.NEAR]
+        value = t[s:e].lower() if k == 0 else "".join(c for c in t[s:e] if c.isdigit() or (k == 1 and c == "."))
+        out.setdefault((f"{P.KINDS[k]}:{value}", n), set()).update(left + right)
+    return sorted((name, sorted(ws)) for (name, _), ws in out.items())
+
+
+def test_words_near_entities_by_hand():
+    import random
+
+    draw = random.Random(9)
+    for _ in range(400):
+        t = "".join(draw.choice([" word ", "Öl a", "\n", " a@b.co ", " 10.0.0.1", " x1y", "İst ", " and then", "\n\n"]) for _ in range(draw.randint(0, 30)))
+        spans = P.base_spans(t)
+        assert sorted((x["entity"], x["terms"]) for x in P._next_to(t, spans)) == near_by_hand(t, spans), t
+
+
+def test_many_entities_in_a_line_take_linear_time():
+    import time
+
+    t = " ".join(f"name{i} of u{i}@x{i}.org" for i in range(20000))
+    start = time.process_time()
+    assert len(P._next_to(t, P.base_spans(t))) == 20000
+    assert time.process_time() - start < 5
+
+
+def test_terms_of_odd_letters_and_neighbouring_lines(spark):
+    rows = [(i, f"row {chr(97 + i)}\nSıla İnce\nmail zeb@x.org {chr(97 + i)}") for i in range(8)] + [(9, "İnce"), (10, "x²y ⅷ a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    terms, where = P.disclosing_terms(docs, P.entities(docs), min_bits=0.0)
+    assert {r.term: round(r.share, 3) for r in terms.collect()}["İnce".lower()] == round(8 / 9, 3)
+    assert 9 in {r.doc_id for r in where.where(where.term == "İnce".lower()).collect()}
