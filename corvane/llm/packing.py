@@ -16,8 +16,8 @@ from .common import table
 from .tokens import encoder
 
 WINDOW = 4096
-#: Partly filled windows that a task holds at most; beyond it they are cut together and closed.
-MAX_OPEN = 1024
+#: Partly filled windows that a task holds at most, which bounds its memory; beyond it they are topped up and closed.
+MAX_OPEN = 4096
 
 
 class SumOfSquares:
@@ -53,7 +53,11 @@ class SumOfSquares:
 
 
 class Packer:
-    """Streams (key, ids) to pieces (key, start, ids, total, sequence, offset). Full windows of a long document are cut off first."""
+    """Streams (key, ids) to pieces (key, start, ids, total, sequence, offset). Full windows of a long document are cut off first.
+
+    ruled: ids in windows as the rule placed them, full windows of long documents apart; moved: ids cut out of the
+    emptiest windows to top up the others.
+    """
 
     def __init__(self, first_sequence: int, window: int = WINDOW, max_open: int = MAX_OPEN):
         self.window, self.max_open = window, max_open
@@ -62,6 +66,7 @@ class Packer:
         self.open: dict[int, list[tuple]] = {}
         self.next = first_sequence
         self.out: list[tuple] = []
+        self.ruled = self.moved = 0
 
     def _new(self) -> int:
         self.next += 1
@@ -87,26 +92,54 @@ class Packer:
             self.flush(last=False)
 
     def _emit(self, seq: int) -> None:
-        self.out += [(k, s, ids, total, seq, off) for k, s, ids, total, off in self.open.pop(seq)]
+        pieces = self.open.pop(seq)
+        self.ruled += sum(len(p[2]) for p in pieces)
+        self.out += [(k, s, ids, total, seq, off) for k, s, ids, total, off in pieces]
+
+    def _fill(self, seq: int, at: int, stop: int, pieces: deque[tuple]) -> list[tuple]:
+        """Pieces as an open window has them, cut off the front of `pieces`, for the places at..stop of the window."""
+        out = []
+        while at < stop:
+            k, s, ids, total = pieces.popleft()
+            take = min(len(ids), stop - at)
+            out.append((k, s, ids[:take], total, at))
+            if take < len(ids):
+                pieces.appendleft((k, s + take, ids[take:], total))
+            at += take
+        self.moved += sum(len(p[2]) for p in out)
+        return out
 
     def flush(self, last: bool = True) -> None:
-        """Join the open windows end to end and cut them into full ones; the rest is cut at powers of two, which need no padding."""
+        """Close the open windows: the fullest keep what the rule put there and are topped up with cuts of the emptiest.
+
+        As many are kept as the others can fill. What is then left, less than a window, is cut at powers of two, which
+        need no padding; or stays an open window while more is to come.
+        """
         w = self.window
-        pieces = deque((k, s, ids, total) for seq in sorted(self.open) for k, s, ids, total, _ in self.open[seq])
-        self.open.clear()
+        fill = {seq: sum(len(p[2]) for p in pieces) for seq, pieces in self.open.items()}
+        order = sorted(fill, key=lambda seq: (-fill[seq], seq))
+        kept, gaps, rest = 0, 0, sum(fill.values())
+        while kept < len(order) and gaps + w - fill[order[kept]] <= rest - fill[order[kept]]:
+            gaps += w - fill[order[kept]]
+            rest -= fill[order[kept]]
+            kept += 1
+        pieces = deque(p[:4] for seq in order[kept:] for p in self.open.pop(seq))
+        for seq in order[:kept]:
+            more = self._fill(seq, fill[seq], w, pieces)
+            self._emit(seq)
+            self.out += [(*p[:4], seq, p[4]) for p in more]
         self.levels.clear()
         self.rule.counts[:] = 0
-        left = sum(len(p[2]) for p in pieces)
+        left = rest - gaps
+        if left and not last:
+            seq = self._new()
+            self.open[seq] = [(k, s, ids, total, at) for (k, s, ids, total), at in zip(pieces, np.cumsum([0, *[len(p[2]) for p in pieces]])[:-1].tolist(), strict=True)]
+            self.levels[left].append(seq)
+            self.rule.counts[left] = 1
+            return
         while left:
-            size = w if left >= w else 1 << (left.bit_length() - 1)
-            seq, at = self._new(), 0
-            while at < size:
-                k, s, ids, total = pieces.popleft()
-                take = min(len(ids), size - at)
-                self.out.append((k, s, ids[:take], total, seq, at))
-                if take < len(ids):
-                    pieces.appendleft((k, s + take, ids[take:], total))
-                at += take
+            size, seq = 1 << (left.bit_length() - 1), self._new()
+            self.out += [(*p[:4], seq, p[4]) for p in self._fill(seq, 0, size, pieces)]
             left -= size
 
     def drain(self) -> list[tuple]:

@@ -1,9 +1,10 @@
-"""Token ids of whole texts: pieces are hashed and looked up in bulk, and only new pieces meet the tokenizer.
+"""Token ids of whole texts: pieces are looked up in bulk by their bytes, and only new pieces meet the tokenizer.
 
 The vocabulary's pre-tokenizer never joins anything across a space, so the ids of a text are those of its chunks
 between spaces and newlines in order, and marks that end a chunk after a letter are a piece of their own. The
-vocabulary is lower case, so ASCII capitals are folded first. Pieces are found by a 64-bit polynomial hash in a
-bounded table of ids; a text with the opening of a special token is encoded whole.
+vocabulary is lower case, so ASCII capitals are folded first. A piece of up to 16 bytes is its own key, two words of
+eight bytes and its length, in a bounded table; longer ones are keyed by their bytes in a dictionary, and very long
+ones go to the tokenizer each time. A text with the opening of a special token is encoded whole.
 """
 
 from __future__ import annotations
@@ -17,14 +18,20 @@ import pyarrow as pa
 
 NAME = "word_bpe_49k.json"
 END = 2
-#: Slots of the table, a power of two; it is emptied when half full.
+#: Slots of the table, a power of two; it is emptied when half full, or when it holds so many ids or longer pieces.
 SLOTS = 1 << 21
+MOST_IDS = 1 << 24
+MOST_LONG = 1 << 18
+#: Bytes of the longest piece that is remembered.
+REMEMBERED = 64
 #: Bytes of text that are looked up at once; a longer single text is encoded by the tokenizer as it is.
 BATCH_BYTES = 1 << 21
 #: Trailing marks that are split off at most.
 MOST_MARKS = 4
 
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+#: Of a word of eight bytes the first n, little-endian.
+_FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MARK = np.zeros(256, bool)
@@ -44,7 +51,7 @@ _CHARS = _bytes_to_chars()
 
 
 class Pieces:
-    """The table from a piece's hash to its ids, and the tokenizer for what is new."""
+    """The table from pieces to their ids, and the tokenizer for what is new."""
 
     def __init__(self, path: str, slots: int = SLOTS, batch_bytes: int = BATCH_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,16 +61,15 @@ class Pieces:
         self.model = self.tok.model
         self.slots, self.batch_bytes = slots, batch_bytes
         self.shift = np.uint64(64 - slots.bit_length() + 1)
-        with np.errstate(over="ignore"):
-            inverse = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
-            self.power = np.cumprod(np.full(batch_bytes, _MULTIPLIER, np.uint64))
-            self.inverse = np.cumprod(np.full(batch_bytes, inverse, np.uint64))
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(self.slots, np.uint64)
+        self.low = np.zeros(self.slots, np.uint64)
+        self.high = np.zeros(self.slots, np.uint64)
+        self.size = np.zeros(self.slots, np.uint8)  # 0: a free slot
         self.place = np.zeros(self.slots, np.int32)
         self.count = np.zeros(self.slots, np.int32)
+        self.long: dict[bytes, tuple[int, int]] = {}
         self.arena = np.zeros(1 << 16, np.uint32)
         self.used = self.entries = 0
 
@@ -75,41 +81,68 @@ class Pieces:
             return array("I", [t.id for t in self.model.tokenize(chars)])
         return array("I", self.tok.encode(s, add_special_tokens=False).ids)
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """Slots of the hashes, -1 where they are not in the table."""
-        slot = (h >> self.shift).astype(np.int64)
-        out = np.full(len(h), -1, np.int64)
-        todo = np.arange(len(h))
+    def _slots(self, key: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        low, high, size = key
+        with np.errstate(over="ignore"):
+            h = low * _MIX[0] ^ (high + size.astype(np.uint64)) * _MIX[1]
+            h = (h ^ (h >> np.uint64(29))) * _MIX[2]
+            return (h >> self.shift).astype(np.int64)
+
+    def _find(self, key: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """Slots of the pieces, -1 where they are not in the table."""
+        low, high, size = key
+        slot = self._slots(key)
+        out = np.full(len(slot), -1, np.int64)
+        todo = np.arange(len(slot))
         while len(todo):
             at = slot[todo]
-            k = self.keys[at]
-            hit = k == h[todo]
+            held = self.size[at]
+            hit = (self.low[at] == low[todo]) & (self.high[at] == high[todo]) & (held == size[todo])
             out[todo[hit]] = at[hit]
-            todo = todo[~hit & (k != 0)]
+            todo = todo[~hit & (held != 0)]
             slot[todo] = (slot[todo] + 1) & (self.slots - 1)
         return out
 
-    def _add(self, h: np.ndarray, ids: list[array]) -> None:
-        counts = np.fromiter(map(len, ids), np.int32, len(ids))
+    def _store(self, ids: list[array]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids lie in the arena now, and how many they are."""
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(counts.sum())
         while self.used + total > len(self.arena):
             self.arena = np.concatenate((self.arena, np.zeros(len(self.arena), np.uint32)))
         places = self.used + np.cumsum(counts) - counts
         self.arena[self.used : self.used + total] = np.frombuffer(b"".join(x.tobytes() for x in ids), np.uint32)
         self.used += total
-        self.entries += len(h)
-        slot = (h >> self.shift).astype(np.int64)
-        todo = np.arange(len(h))
+        return places, counts
+
+    def _add(self, key: tuple[np.ndarray, np.ndarray, np.ndarray], ids: list[array]) -> None:
+        """Enter pieces that are not in the table and differ from each other."""
+        low, high, size = key
+        places, counts = self._store(ids)
+        self.entries += len(ids)
+        slot = self._slots(key)
+        todo = np.arange(len(slot))
         while len(todo):
-            at = slot[todo]
-            free = self.keys[at] == 0
-            self.keys[at[free]] = h[todo[free]]  # of several for one slot the last stays
-            mine = free & (self.keys[at] == h[todo])
-            self.place[at[mine]] = places[todo[mine]]
-            self.count[at[mine]] = counts[todo[mine]]
-            todo = todo[~mine]
+            at, first = np.unique(slot[todo], return_index=True)
+            first = first[self.size[at] == 0]  # of several for one slot the first has it
+            mine = todo[first]
+            at = slot[mine]
+            self.low[at], self.high[at], self.size[at] = low[mine], high[mine], size[mine]
+            self.place[at], self.count[at] = places[mine], counts[mine]
+            todo = np.delete(todo, first)
             slot[todo] = (slot[todo] + 1) & (self.slots - 1)
 
+    def _long_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Places and numbers of ids of pieces over 16 bytes."""
+        fresh = [p for p in dict.fromkeys(pieces) if p not in self.long]
+        if fresh:
+            places, counts = self._store([self.ids_of(p) for p in fresh])
+            self.long.update(zip(fresh, zip(places.tolist(), counts.tolist(), strict=True), strict=True))
+        got = np.array([self.long[p] for p in pieces], np.int64)
+        for p in fresh:
+            if len(p) > REMEMBERED:
+                del self.long[p]
+        return got[:, 0], got[:, 1]
+
     def encode(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each); raw: their UTF-8 bytes, ends: where each ends."""
         n = len(raw)
@@ -138,30 +171,49 @@ class Pieces:
         first[split] = True
         last[split - 1] = True
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-        with np.errstate(over="ignore"):
-            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((low.astype(np.uint64) + np.uint64(1)) * self.power[:n])))
-            h = (total[e] - total[s]) * self.inverse[s]
-            h ^= (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(29)
-        h[h == 0] = 1
-        slot = self._find(h)
+        if self.entries > self.slots // 4 or self.used > MOST_IDS or len(self.long) > MOST_LONG:
+            self.clear()
+        size = e - s
+        place, count = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
+        bulk = np.flatnonzero(size <= 16)
+        bytes_ = np.concatenate((low, np.zeros(16, np.uint8)))
+        word8 = np.lib.stride_tricks.sliding_window_view(bytes_, 8)
+        n8 = size[bulk]
+        lo = np.ascontiguousarray(word8[s[bulk]]).view("<u8")[:, 0] & _FIRST[np.minimum(n8, 8)]
+        hi = np.ascontiguousarray(word8[np.minimum(s[bulk] + 8, n)]).view("<u8")[:, 0] & _FIRST[np.maximum(n8, 8) - 8]
+        key = (lo, hi, n8.astype(np.uint8))
+        slot = self._find(key)
         new = np.flatnonzero(slot < 0)
         if len(new):
-            hashes, at = np.unique(h[new], return_index=True)
-            if self.entries + len(hashes) > self.slots // 2 and self.entries:
+            known = {low[a:b].tobytes(): k for k, a, b in zip(new.tolist(), s[bulk[new]].tolist(), e[bulk[new]].tolist(), strict=True)}
+            if self.entries + len(known) > self.slots // 2:
+                if not self.entries:
+                    return self._halves(raw, ends)
                 self.clear()
                 return self.encode(raw, ends)
-            at = new[at]
-            self._add(hashes, [self.ids_of(low[a:b].tobytes()) for a, b in zip(s[at].tolist(), e[at].tolist(), strict=True)])
-            slot[new] = self._find(h[new])
-        count = self.count[slot].astype(np.int64)
+            at = np.fromiter(known.values(), np.int64, len(known))
+            self._add(tuple(x[at] for x in key), [self.ids_of(p) for p in known])
+            slot[new] = self._find(tuple(x[new] for x in key))
+        place[bulk], count[bulk] = self.place[slot], self.count[slot]
+        rest = np.flatnonzero(size > 16)
+        if len(rest):
+            place[rest], count[rest] = self._long_pieces([low[a:b].tobytes() for a, b in zip(s[rest].tolist(), e[rest].tolist(), strict=True)])
         stop = np.cumsum(count)
-        where = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(self.place[slot] - (stop - count), count)
+        where = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(place - (stop - count), count)
         stop = np.concatenate(([0], stop))
         per = stop[np.searchsorted(s, ends)] - stop[np.searchsorted(s, heads)]
         return self.arena[where], per
 
+    def _halves(self, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same as encode, of texts with more pieces than the table has room for; a single one goes to the tokenizer."""
+        if len(ends) == 1:
+            ids = np.array(self.tok.encode(raw.tobytes().decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, np.uint32)
+            return ids, np.array([len(ids)])
+        k = len(ends) // 2
+        a = self.encode(raw[: ends[k - 1]], ends[:k])
+        b = self.encode(raw[ends[k - 1] :], ends[k:] - ends[k - 1])
+        return np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1]))
+
 
 _loaded: dict[str, Pieces] = {}
 
