@@ -30,15 +30,15 @@ def test_signed_batches_commit_once(spark, tmp_path):
 def test_late_writer_of_a_batch_loses(spark, tmp_path):
     r = R.Rollup(spark, f"file://{tmp_path}/r")
     e = spark.createDataFrame([("1", "insert", "a", "en", "v", 10, None)], EVENTS)
-    R.signed(e).write.parquet(f"{tmp_path}/r/_aside-1-late")  # both found the batch uncommitted
-    assert r.commit("1", e) and not r._publish("_aside-1-late", "1")
+    R.signed(e).write.parquet(f"{tmp_path}/r/_aside-1-late/sums")  # both found the batch uncommitted
+    assert r.commit("1", e) and not r._publish("_aside-1-late", "batch=1")
     assert totals(r) == {("a", "en", "v"): (1, 10)}
 
 
 def test_unfinished_batches_are_unseen(spark, tmp_path):
     r = R.Rollup(spark, f"file://{tmp_path}/r")
     e = spark.createDataFrame([("1", "insert", "a", "en", "v", 10, None)], EVENTS)
-    R.signed(e).write.parquet(f"{tmp_path}/r/_aside-9")  # a writer that was lost before its rename
+    R.signed(e).write.parquet(f"{tmp_path}/r/_aside-9/sums")  # a writer that was lost before its rename
     assert totals(r) == {}
     assert r.commit("9", e) and totals(r) == {("a", "en", "v"): (1, 10)}
 
@@ -57,3 +57,47 @@ def test_edges(spark, tmp_path):
     empty = R.Rollup(spark, f"file://{tmp_path}/e")
     empty.commit("1", R.inserts(edges.empty(spark)))
     assert totals(empty) == {}
+
+
+def test_event_ids_count_once_in_all_batches(spark, tmp_path):
+    one = spark.createDataFrame([("1", "insert", "a", "en", "v", 10, None), ("2", "insert", "a", "en", "v", 5, None)], EVENTS)
+    two = spark.createDataFrame([("2", "insert", "a", "en", "v", 5, None), ("3", "insert", "a", "en", "v", 1, None), ("3", "insert", "b", "en", "v", 2, None)], EVENTS)
+    r = R.Rollup(spark, f"file://{tmp_path}/r")
+    assert r.commit("1", one) and r.commit("2", two) and totals(r) == {("a", "en", "v"): (3, 16)}
+    r = R.Rollup(spark, f"file://{tmp_path}/s", keep_ids=False)
+    assert r.commit("1", one) and r.commit("2", two) and totals(r) == {("a", "en", "v"): (4, 21)}
+
+
+def test_snapshots_add_up_what_they_hold(spark, tmp_path):
+    r = R.Rollup(spark, f"file://{tmp_path}/r")
+    assert not r.compact()
+    for k in range(4):
+        e = spark.createDataFrame([(str(k), "insert", "a", "en", "v", 10 + k, None), (f"x{k}", "insert", None, "en", "v", 1, None)], EVENTS)
+        assert r.commit(str(k), e) and not r.commit(str(k), e)
+        want = {("a", "en", "v"): (k + 1, sum(range(10, 11 + k))), (None, "en", "v"): (k + 1, k + 1)}
+        assert totals(r) == want and (k % 2 or r.compact()) and totals(r) == want
+    assert len(r.totals().inputFiles()) <= 4
+
+
+def test_one_text_of_two_sources(spark, tmp_path):
+    """Rows that differ in source or language alone are different documents, as the SQL has them; equal rows are one."""
+    rows = [(1, "a b", "en", "s1"), (1, "a b", "en", "s2"), (1, "a b", "de", "s1"), (1, "a b", "en", "s1"), (2, "", "en", "s1"), (3, None, None, None), (3, "x, y", None, None), (None, "x, y", "en", "s1")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    import pyarrow.parquet as pq
+
+    pq.write_table(pq.read_table(f"{tmp_path}/documents.parquet"), f"{tmp_path}/one.parquet")
+    sql = R.OP8_SQL.replace("FROM documents", "FROM one")
+    assert assert_same(R.op8(spark, str(tmp_path)), sql, str(tmp_path)) == 8
+
+
+def test_counts_of_a_vocabulary_file(spark, small):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    got = R.inserts(docs, {}, {"bpe": public_tokenizers.path("word_bpe_49k.json")}).groupBy("source").sum("n_tokens").collect()
+    want = {}
+    for d in docs.collect():
+        want[d.source] = want.get(d.source, 0) + len(tok.encode(d.text or "", add_special_tokens=False).ids)
+    assert {r[0]: r[1] for r in got} == want
