@@ -1,8 +1,9 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs, one per shard of a label.
 
 Every vector queries every shard of its label. A shard's beam widens until a recall audit against brute force passes,
-and a query's beam widens until it holds something below the threshold, so no beam cuts links off. Candidates are
-verified in double precision, and components are the union of what all shards found.
+and the beam of a query that is full of links takes in the whole shard, so no beam cuts links off. Candidates that
+single precision cannot settle are verified in double precision. Links are counted, not listed: a shard gives one
+edge for each component that a query newly joins, and components are the union of what all shards found.
 """
 
 from __future__ import annotations
@@ -25,14 +26,17 @@ QUERY_ROWS = 262144
 LINKS = 12
 BUILD_BEAM = 48
 SEARCH_BEAM = 48
-#: Doublings of a query's beam before it takes in the whole shard.
-DOUBLINGS = 2
 #: Recall of links in the audited queries that ends widening; audited queries of a batch.
 RECALL = 0.99
 AUDITED = 96
 BATCH = 512
-#: Single precision may be off by this much before verification.
-SLACK = 1e-4
+#: Similarities that are in memory at once.
+CELLS = 1 << 22
+
+
+def slack(dim: int) -> float:
+    """By so much a dot product of unit vectors in single precision may be off: rounding of both vectors and of each sum."""
+    return (2 * dim + 8) * 2.0**-24
 
 
 class SmallWorld:
@@ -41,6 +45,8 @@ class SmallWorld:
     def __init__(self, x: np.ndarray, ids: np.ndarray, links: int = LINKS, beam: int = BUILD_BEAM):
         self.x, self.links, self.beam = np.ascontiguousarray(x, np.float32), links, beam
         n = len(x)
+        self._seen = np.zeros(max(BATCH * n, CELLS), np.uint8)
+        self._turn = 0
         u = np.array([(xxhash.xxh64_intdigest(int(i).to_bytes(8, "little", signed=True), 5) + 1) / 2.0**64 for i in ids])
         level = np.floor(-np.log(u) / np.log(links)).astype(int)
         order = np.argsort(-level, kind="stable")  # high levels first: every node finds its upper layers built
@@ -114,12 +120,17 @@ class SmallWorld:
         ids = np.full((b, beam), -1, np.int64)
         sims = np.full((b, beam), -np.inf, np.float32)
         open_ = np.zeros((b, beam), bool)
-        seen = np.zeros((b, len(self.x)), bool)
+        self._turn += 1  # marks of earlier turns do not count, so the marks are cleared once in 255 turns
+        if self._turn == 256:
+            self._seen[:] = 0
+            self._turn = 1
+        turn = self._turn
+        seen = self._seen[: b * len(self.x)].reshape(b, len(self.x))
         k = min(entry.shape[1], beam)
         ids[:, :k] = entry[:, :k]
         sims[:, :k] = np.einsum("bkd,bd->bk", self.x[entry[:, :k]], q)
         open_[:, :k] = True
-        np.put_along_axis(seen, entry, True, axis=1)
+        np.put_along_axis(seen, entry, turn, axis=1)
         act = np.arange(b)
         while len(act):
             best = np.where(open_[act], sims[act], -np.inf)
@@ -130,10 +141,10 @@ class SmallWorld:
                 break
             open_[act, at] = False
             new = nb[ids[act, at]].astype(np.int64)
-            fresh = (new >= 0) & ~seen[act[:, None], np.maximum(new, 0)]
+            fresh = (new >= 0) & (seen[act[:, None], np.maximum(new, 0)] != turn)
             rows, cols = np.nonzero(fresh)
             targets = new[rows, cols]
-            seen[act[rows], targets] = True
+            seen[act[rows], targets] = turn
             s = np.full(new.shape, -np.inf, np.float32)
             s[rows, cols] = np.einsum("nd,nd->n", self.x[targets], q[act[rows]])
             alls = np.concatenate((sims[act], s), axis=1)
@@ -150,98 +161,120 @@ class SmallWorld:
             entry = self._beam(k, q, entry, 1)[0][:, :1]
         return self._beam(0, q, entry, min(beam, len(self.x)))
 
-    def within(self, q: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
-        """For each query the nodes found with at least that similarity; its beam widens while all of it is, twice by doubling and then to the whole shard."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
-        todo = np.arange(len(q))
-        doublings = 0
-        while len(todo):
-            if doublings > DOUBLINGS:
-                beam = len(self.x)
-            step = max(1, min(len(todo), BATCH if beam >= len(self.x) else (BATCH * 64) // beam, 2**24 // max(1, len(self.x))))
-            again = []
-            for a in range(0, len(todo), step):
-                part = todo[a : a + step]
-                if beam >= len(self.x):
-                    sims = q[part] @ self.x.T
-                    for r, i in enumerate(part.tolist()):
-                        out[i] = np.flatnonzero(sims[r] >= least)
-                    continue
+    def within(self, q: np.ndarray, least: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray | None, np.ndarray]]:
+        """(rows of q, nodes, similarities) that hold all nodes found with at least `least`; nodes None: one column a node of the shard.
+
+        A query whose beam holds nothing else widens it to the whole shard, one product that costs less than a wider search.
+        """
+        step = max(1, min(CELLS // len(self.x), BATCH * 64 // beam))
+        full = []
+        for a in range(0, len(q), step):
+            part = np.arange(a, min(a + step, len(q)))
+            if beam < len(self.x):
                 ids, sims = self.search(q[part], beam)
-                full = (sims >= least).all(axis=1)
-                for r, i in enumerate(part.tolist()):
-                    if full[r]:
-                        again.append(i)
-                    else:
-                        out[i] = ids[r][(sims[r] >= least) & (ids[r] >= 0)]
-            todo = np.array(again, np.int64)
-            beam *= 2
-            doublings += 1
-        return out
+                more = (sims >= least).all(axis=1)
+                yield part[~more], ids[~more], sims[~more]
+                part = part[more]
+            full.append(part)
+        rest = np.concatenate(full) if full else np.arange(0)
+        step = max(1, min(CELLS // len(self.x), BATCH))
+        for a in range(0, len(rest), step):
+            yield rest[a : a + step], None, q[rest[a : a + step]] @ self.x.T
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Scaled by the largest component first, so that no square leaves the range of doubles."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1)[:, None]
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
 class Shard:
-    """An indexed shard that answers batches of queries with verified links."""
+    """An indexed shard that answers batches of queries with the number of verified links and the edges that join components."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, weight: np.ndarray, threshold: float = THRESHOLD):
         self.ids, self.weight, self.threshold = ids, weight, threshold
-        self.unit = _unit(x.astype(np.float64))
+        self.unit = _unit(x)
         self.graph = SmallWorld(self.unit, ids)
         self.beam = SEARCH_BEAM
-        self.audits: list[tuple[int, float]] = []
-
-    def _found(self, ids: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
-        near = self.graph.within(q.astype(np.float32), self.threshold - SLACK, self.beam)
-        out = []
-        for k, c in enumerate(near):
-            c = c[self.ids[c] != ids[k]]
-            out.append(c[self.unit[c] @ q[k] >= self.threshold] if len(c) else c)
-        return out
-
-    def links(self, ids: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
-        """For each query the linked rows of the shard, itself excepted. Widens the shard's beam until the audit passes."""
-        q = _unit(x.astype(np.float64))
+        self.heavy = np.flatnonzero(weight > 1)
+        self.by_id = np.argsort(ids)
+        self.label = np.arange(len(ids))  # the component of each node, as far as edges were given
+        self.audits: list[tuple[int, int, int]] = []
+
+    def _own(self, ids: np.ndarray) -> np.ndarray:
+        """The queries' own nodes, -1 where they lie in other shards."""
+        at = np.minimum(np.searchsorted(self.ids, ids, sorter=self.by_id), len(self.ids) - 1)
+        return np.where(self.ids[self.by_id[at]] == ids, self.by_id[at], -1)
+
+    def _join(self, query: int, own: int, near: np.ndarray, edges: list[tuple[int, int]]) -> None:
+        """An edge from the query to each component among its links that it is not in yet."""
+        labels = self.label[near]
+        home = self.label[own] if own >= 0 else labels[0]
+        if own >= 0 and (labels == home).all():
+            return
+        if own < 0:
+            edges.append((query, int(self.ids[near[0]])))
+        others, first = np.unique(labels, return_index=True)
+        for c, k in zip(others.tolist(), first.tolist(), strict=True):
+            if c != home:
+                edges.append((query, int(self.ids[near[k]])))
+                self.label[self.label == c] = home
+
+    def _found(self, ids: np.ndarray, q: np.ndarray, edges: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """For each query its links, by weight and by number."""
+        weights, numbers = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        own, off = self._own(ids), slack(q.shape[1])
+        for rows, nodes, sims in self.graph.within(q.astype(np.float32), self.threshold - off, self.beam):
+            hit = sims >= self.threshold + off
+            doubt = (sims >= self.threshold - off) & ~hit
+            if nodes is None:
+                at = np.flatnonzero(own[rows] >= 0)
+                hit[at, own[rows[at]]] = doubt[at, own[rows[at]]] = False
+            else:
+                other = (nodes >= 0) & (nodes != own[rows][:, None])
+                hit &= other
+                doubt &= other
+            r, c = np.nonzero(doubt)
+            for k in range(0, len(r), 65536):
+                i, j = r[k : k + 65536], c[k : k + 65536]
+                hit[i, j] = np.einsum("nd,nd->n", self.unit[j if nodes is None else nodes[i, j]], q[rows[i]]) >= self.threshold
+            numbers[rows] = np.count_nonzero(hit, axis=1)
+            if nodes is None:
+                weights[rows] = numbers[rows] + hit[:, self.heavy] @ (self.weight[self.heavy] - 1)
+            else:
+                weights[rows] = np.where(hit, self.weight[nodes], 0).sum(axis=1)
+            for k in np.flatnonzero(numbers[rows]).tolist():
+                near = np.flatnonzero(hit[k])
+                self._join(int(ids[rows[k]]), int(own[rows[k]]), near if nodes is None else nodes[k, near], edges)
+        return weights, numbers
+
+    def answer(self, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """The weight of each query's links, itself excepted, and edges between linked rows that connect all that are linked.
+
+        Widens the shard's beam until the audit passes: queries with and without links, against brute force.
+        """
+        q = _unit(x)
+        own = self._own(ids)
+        edges: list[tuple[int, int]] = []
         while True:
-            found = self._found(ids, q)
-            with_links = [k for k, f in enumerate(found) if len(f)]
-            every = range(0, len(ids), max(1, len(ids) // (AUDITED // 2)))
-            some = with_links[:: max(1, len(with_links) // (AUDITED // 2))] if with_links else []
-            true = hit = 0
-            for k in {*every, *some}:
-                real = np.flatnonzero((self.unit @ q[k] >= self.threshold) & (self.ids != ids[k]))
-                true += len(real)
-                hit += len(np.intersect1d(real, found[k]))
-            recall = hit / true if true else 1.0
-            self.audits.append((self.beam, recall))
-            if recall >= RECALL or self.beam >= len(self.ids):
-                return found
+            weights, numbers = self._found(ids, q, edges)
+            linked = np.flatnonzero(numbers)
+            audited = {*range(0, len(ids), max(1, len(ids) // (AUDITED // 2))), *linked[:: max(1, len(linked) // (AUDITED // 2))].tolist()}
+            real = sum(int(np.count_nonzero(self.unit @ q[k] >= self.threshold)) - int(own[k] >= 0) for k in audited)
+            hits = int(numbers[list(audited)].sum())
+            done = hits >= RECALL * real or self.beam >= len(self.ids)
+            if done:
+                self.audits.append((self.beam, hits, real))
+                return weights, edges
             self.beam *= 2
 
 
-def _forest(pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
-    parent: dict[int, int] = {}
-
-    def root(v: int) -> int:
-        while parent.setdefault(v, v) != v:
-            parent[v] = parent[parent[v]]
-            v = parent[v]
-        return v
-
-    out = []
-    for a, b in pairs:
-        x, y = root(a), root(b)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((a, b))
-    return out
-
-
 def _tasks(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows come by (group, role): first a group's index rows, then its queries, which stream through in batches."""
+    """Rows come by (group, role): first a group's index rows, then its queries, which stream through in batches.
+
+    Out come (a, null, n): links of a vector; (a, b): an edge; (null, group, n, real): hits of audited queries and their real links.
+    """
     shard: Shard | None = None
     key = None
     index: list[tuple] = []
@@ -258,24 +291,25 @@ def _tasks(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
         queries.clear()
         if shard is None:
             return []
-        found = shard.links(ids, x)
-        rows = [(int(i), None, int(shard.weight[f].sum())) for i, f in zip(ids, found, strict=True) if len(f)]
-        return rows + [(a, b, None) for a, b in _forest((int(i), int(j)) for i, f in zip(ids, found, strict=True) for j in shard.ids[f])]
+        weights, edges = shard.answer(ids, x)
+        some = np.flatnonzero(weights)
+        rows = [(i, None, n, None) for i, n in zip(ids[some].tolist(), weights[some].tolist(), strict=True)]
+        return rows + [(a, b, None, None) for a, b in edges] + [(None, key[0], *shard.audits[-1][1:])]
 
     def emit(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["a", "b", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["a", "b", "n", "real"])
 
     waiting = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        group = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)], axis=1)
-        ids = batch.column(5).to_numpy(zero_copy_only=False)
-        weight = batch.column(6).to_numpy(zero_copy_only=False)
-        values = batch.column(7)
+        group = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)], axis=1)
+        ids = batch.column(4).to_numpy(zero_copy_only=False)
+        weight = batch.column(5).to_numpy(zero_copy_only=False)
+        values = batch.column(6)
         cut = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
         for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(ids)], strict=True):
-            now, role = tuple(group[s, :4].tolist()), group[s, 4]
+            now, role = tuple(group[s, :3].tolist()), group[s, 3]
             if now != key:
                 rows = answer()
                 if rows:
@@ -297,34 +331,37 @@ def _tasks(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """vectors(vec_id, embedding, label) -> (vec_id, n_links, component_id, kept).
+    """vectors(vec_id, embedding, label) -> (vec_id, n_links, component_id, kept, recall).
 
     Vectors link within one label and length. Null labels, and vectors that are null, empty, zero or hold null or
     non-finite components, link with nothing. Equal vectors of a label are collapsed first and weigh as many as they
-    are. Rows with a null id have no component and are not kept. Other columns are ignored.
+    are. Rows with a null id have no component and are not kept. recall: share of the real links of audited queries
+    that the label's graphs found; null for vectors that link with nothing. Other columns are ignored.
     """
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>").alias("e"))
-    size2 = F.aggregate("e", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    fine = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("e").isNotNull() & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (size2 > 0)
+    single = dict(vectors.dtypes)["embedding"] == "array<float>"
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("e"))
+    fine = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("e").isNotNull() & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
     good = v.where(fine)
     distinct = materialise(good.groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m")).withColumn("dim", F.size("e").cast("long")), "vectors")
     counts = distinct.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
-    counts = materialise(counts.select("label", "dim", F.ceil(F.col("n") / shard_rows).alias("s"), F.ceil(F.col("n") / query_rows).alias("q")), "shards")
+    counts = materialise(counts.select("label", "dim", F.ceil(F.col("n") / shard_rows).alias("s"), F.ceil(F.col("n") / query_rows).alias("q"), F.monotonically_increasing_id().alias("g")), "shards")
     groups = counts.agg(F.sum(F.col("s") * F.col("q"))).first()[0] or 1
     rows = distinct.join(counts, ["label", "dim"])
-    index = rows.select("label", "dim", F.pmod(F.xxhash64("rep"), F.col("s")).alias("shard"), F.explode(F.expr("sequence(0L, q - 1)")).alias("block"), F.lit(0).cast("long").alias("role"), "rep", "m", "e")
-    asked = rows.select("label", "dim", F.explode(F.expr("sequence(0L, s - 1)")).alias("shard"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("q")).alias("block"), F.lit(1).cast("long").alias("role"), "rep", "m", "e")
-    dealt = index.union(asked).repartition(int(min(max(2 * groups, 8), 20000)), "label", "dim", "shard", "block").sortWithinPartitions("label", "dim", "shard", "block", "role", "rep")
-    found = materialise(dealt.mapInArrow(lambda it: _tasks(it, threshold), "a long, b long, n long"), "found")
-    comp = connected_components(found.where("b is not null").select("a", "b"))
+    index = rows.select("g", F.pmod(F.xxhash64("rep"), F.col("s")).alias("shard"), F.explode(F.expr("sequence(0L, q - 1)")).alias("block"), F.lit(0).cast("long").alias("role"), "rep", "m", "e")
+    asked = rows.select("g", F.explode(F.expr("sequence(0L, s - 1)")).alias("shard"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("q")).alias("block"), F.lit(1).cast("long").alias("role"), "rep", "m", "e")
+    dealt = index.union(asked).repartition(int(min(max(2 * groups, 8), 20000)), "g", "shard", "block").sortWithinPartitions("g", "shard", "block", "role", "rep")
+    found = materialise(dealt.mapInArrow(lambda it: _tasks(it, threshold), "a long, b long, n long, real long"), "found")
+    comp = connected_components(found.where("a is not null and b is not null").select("a", "b"))
     n = found.where("b is null").groupBy(F.col("a").alias("_rep")).agg(F.sum("n").alias("_n"))
-    named = distinct.select("label", "e", "rep", "m").join(n, F.col("rep") == F.col("_rep"), "left").join(comp, F.col("rep") == F.col("node"), "left")
-    named = named.select(F.col("label").alias("_label"), F.col("e").alias("_e"), (F.coalesce("_n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    audits = found.where("a is null").groupBy(F.col("b").alias("_g")).agg((F.sum("n") / F.nullif(F.sum("real"), F.lit(0))).alias("recall"))
+    audits = counts.join(audits, F.col("g") == F.col("_g"), "left").select(F.col("label").alias("_l"), F.col("dim").alias("_d"), F.coalesce("recall", F.lit(1.0)).alias("recall"))
+    named = distinct.join(n, F.col("rep") == F.col("_rep"), "left").join(comp, F.col("rep") == F.col("node"), "left").join(materialise(audits, "audits"), (F.col("label") == F.col("_l")) & (F.col("dim") == F.col("_d")))
+    named = named.select(F.col("label").alias("_label"), F.col("e").alias("_e"), (F.coalesce("_n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"), "recall")
     named = materialise(named, "named")
     out = v.withColumn("_fine", fine)
-    linked = out.where("_fine").join(named, (F.col("label") == F.col("_label")) & (F.col("e") == F.col("_e"))).select("vec_id", "n_links", "component_id")
-    rest = out.where("not coalesce(_fine, false)").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    linked = out.where("_fine").join(named, (F.col("label") == F.col("_label")) & (F.col("e") == F.col("_e"))).select("vec_id", "n_links", "component_id", "recall")
+    rest = out.where("not coalesce(_fine, false)").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(None).cast("double").alias("recall"))
+    return linked.union(rest).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"), "recall")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

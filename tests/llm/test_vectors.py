@@ -37,15 +37,43 @@ def test_against_brute_force(spark, kw):
     assert sum(r.n_links for r in rows.values()) >= 0.99 * links.sum()
     assert sum(rows[i].component_id == c for i, c in enumerate(comp.tolist())) >= 0.99 * len(x)
     assert all(rows[i].n_links <= n for i, n in enumerate(links.tolist()))
+    assert all(0.99 <= r.recall <= 1 for r in rows.values())
 
 
 def test_audit_widens():
     x, _ = clusters(1200)
     s = V.Shard(np.arange(len(x)), x, np.ones(len(x), np.int64))
     s.beam = 1
-    found = s.links(np.arange(len(x)), x)
-    links, _ = brute(x, np.zeros(len(x), int))
-    assert sum(map(len, found)) >= 0.99 * links.sum() and s.audits[-1][1] >= V.RECALL
+    found, edges = s.answer(np.arange(len(x)), x)
+    links, comp = brute(x, np.zeros(len(x), int))
+    beam, hits, real = s.audits[-1]
+    assert found.sum() >= 0.99 * links.sum() and beam >= 1 and hits >= V.RECALL * real > 0
+    assert len(edges) <= len(x) - len(set(comp.tolist()))
+
+
+def test_a_dense_cluster_is_counted_in_full():
+    """20,000 vectors that all link: 400 million links, 19,999 edges."""
+    import time
+
+    rng = np.random.default_rng(1)
+    x = (np.ones(64) + rng.normal(size=(20000, 64)) * 0.02).astype(np.float32)
+    start = time.time()
+    s = V.Shard(np.arange(len(x)), x, np.ones(len(x), np.int64))
+    n, edges = 0, []
+    for at in range(0, len(x), 4096):
+        w, e = s.answer(np.arange(at, min(at + 4096, len(x))), x[at : at + 4096])
+        n += int(w.sum())
+        edges += e
+    assert n == 20000 * 19999 and len(edges) == 19999 and time.time() - start < 120
+
+
+def test_doubles_stay_doubles_and_labels_may_be_words(spark):
+    eps = 1e-9
+    near, far = [1.0, np.sqrt(1 / (0.98 + eps) ** 2 - 1)], [1.0, np.sqrt(1 / (0.98 - eps) ** 2 - 1)]
+    rows = [(1, [1e300, 1e300], "p"), (2, [1e300, 1.0000001e300], "p"), (3, [1e-200, 0.0], "q"), (4, [1e200, 1e198], "q"), (5, [1.0, 0.0], "r"), (6, near, "r"), (7, [1.0, 0.0], "s"), (8, far, "s")]
+    df = spark.createDataFrame([(i, [float(c) for c in x], k) for i, x, k in rows], "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in V.near_vectors(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (0, 8)}
 
 
 def test_edges(spark):
