@@ -95,24 +95,32 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, _row, start, end, n_chunks, first, source_doc_id, n_occurrences): runs of chunks that stand in two or more documents.
+    """docs(doc_id, text) -> (doc_id, _row, start, end, n_chunks, first, source_doc_id, n_sources, n_occurrences): runs of chunks that stand in two or more places, of two documents or of one.
 
-    first: this is the smallest document that has them, which keeps them. n_occurrences: of the run's most frequent
-    chunk. Runs shorter than min_span code points are left out. Null, empty and unrepeated texts give no rows; rows
-    with a null id are compared with nothing; repeated rows of one id count as one document.
+    first: these are the first places, by document and start, which keep the chunks. source_doc_id: the document that
+    has most of the run's characters in their first place; n_sources: over how many documents those places are spread.
+    n_occurrences: of the run's most frequent chunk. Runs shorter than min_span code points are left out. Null, empty
+    and unrepeated texts give no rows; rows with a null id are compared with nothing; equal rows count once, and other
+    texts of one id are places of their own.
     """
     found = materialise(chunks(docs.where("doc_id is not null")), "chunks")
-    per = found.groupBy("hi", "lo").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("other"), F.count(F.lit(1)).alias("n"))
-    again = materialise(per.where("source < other").select("hi", "lo", "source", "n"), "repeated")
-    hits = found.join(again, ["hi", "lo"]).select("doc_id", "_row", "start", "end", "n", "source", (F.col("source") == F.col("doc_id")).alias("first"))
+    place = F.struct("doc_id", "_row", "start")
+    per = found.groupBy("hi", "lo").agg(F.min(place).alias("source"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n"))
+    again = materialise(per.where("source < last").select("hi", "lo", "source", "n"), "repeated")
+    hits = found.join(again, ["hi", "lo"]).select("doc_id", "_row", "start", "end", "n", F.col("source.doc_id").alias("source"), (F.col("source") == place).alias("first"))
     hits = hits.dropDuplicates(["doc_id", "_row", "start"])
     w = Window.partitionBy("doc_id", "_row").orderBy("start")
     new = (F.lag("end").over(w).eqNullSafe(F.col("start")) & F.lag("first").over(w).eqNullSafe(F.col("first"))).cast("int")
     runs = hits.withColumn("new", 1 - new).withColumn("run", F.sum("new").over(w))
-    spans = runs.groupBy("doc_id", "_row", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_chunks"), F.min("first").alias("first"), F.min("source").alias("source_doc_id"), F.max("n").alias("n_occurrences")
+    by_source = runs.groupBy("doc_id", "_row", "run", "source").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum(F.col("end") - F.col("start")).alias("chars"), F.count(F.lit(1)).alias("n_chunks"), F.min("first").alias("first"), F.max("n").alias("n")
     )
-    return spans.where(F.col("end") - F.col("start") >= min_span).drop("run")
+    spans = by_source.groupBy("doc_id", "_row", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_chunks").alias("n_chunks"), F.min("first").alias("first"),
+        F.min(F.struct((-F.col("chars")).alias("less"), "source")).alias("most"), F.count(F.lit(1)).alias("n_sources"), F.max("n").alias("n_occurrences"),
+    )
+    spans = spans.select("doc_id", "_row", "start", "end", "n_chunks", "first", F.col("most.source").alias("source_doc_id"), "n_sources", "n_occurrences")
+    return spans.where(F.col("end") - F.col("start") >= min_span)
 
 
 def without_repeats(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
