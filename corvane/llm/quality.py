@@ -7,7 +7,9 @@ bad ones and wherever a line stands in several documents of the sample.
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, table
 
-#: Labelled documents that the field is fitted to, at most; those whose id hashes lowest.
+#: Labelled documents that the field is fitted to, at most; those whose id hashes lowest. Longer texts are not fitted to.
 SAMPLE = 2000
+SAMPLE_CHARS = 20000
 #: Least share of words in lines labelled content.
 CONTENT_SHARE = 0.5
 MIN_WORDS = 50
@@ -78,7 +81,7 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     starts = np.concatenate(([0], np.flatnonzero(raw == 10)[:-1] + 1))
     size = np.diff(np.append(starts, len(raw))) - 1
     kinds = np.stack([np.add.reduceat(m[raw], starts, dtype=np.int64) for m in _MEMBER])
-    split = [x.split() for x in lines]
+    split = [x.encode("utf-8", "surrogatepass").split() for x in lines]  # of bytes, so that white space is that of base_counts
     words = np.fromiter(map(len, split), np.int64, n)
     distinct = np.fromiter((len(set(x)) for x in split), np.int64, n)
     dup = np.zeros(n)
@@ -143,65 +146,89 @@ class LineField:
         return out
 
 
-def fit(texts: list[str], good: list[int], rounds: int = 200, step: float = 0.1, ridge: float = 1e-3) -> LineField:
-    """Maximum conditional likelihood by forward-backward and Adam. Without both kinds of labels: everything is content."""
+def _likelihood(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, y: np.ndarray, ridge: float) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
+    """Mean log-likelihood of the sequences, less the ridge, and its gradient at theta, by the scaled forward-backward recursion.
+
+    Sequence k is the lines starts[k] to starts[k] + sizes[k] of x; sizes fall, so at each place the sequences that reach it come first.
+    """
+    n, places = len(sizes), range(int(sizes[0]))
+    reach = [int(np.searchsorted(-sizes, -t, "left")) for t in places]  # sequences with more than t lines
+    rows = [starts[:m] + t for t, m in zip(places, reach, strict=True)]
+    moves = np.zeros((2, 2))
+    for before, after in itertools.pairwise(rows):
+        np.add.at(moves, (y[before[: len(after)]], y[after]), 1)
+    target = np.concatenate((x.T @ y, moves.ravel())) / n
+
+    def at(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        move = np.exp(np.clip(theta[N_FEATURES:], -30, 30)).reshape(2, 2)
+        psi = np.exp(np.clip(x @ theta[:N_FEATURES], -30, 30))
+        alpha, scale = [], []
+        for t, r in enumerate(rows):
+            a = alpha[t - 1][: len(r)] @ move if t else np.ones((len(r), 2))
+            a[:, 1] *= psi[r]
+            scale.append(a.sum(axis=1))
+            alpha.append(a / scale[t][:, None])
+        p1, pair = np.zeros(len(x)), np.zeros((2, 2))
+        beta = np.ones((len(rows[-1]), 2))
+        for t in range(len(rows) - 1, -1, -1):
+            p1[rows[t]] = alpha[t][:, 1] * beta[:, 1]
+            if t:
+                beta[:, 1] *= psi[rows[t]]
+                beta /= scale[t][:, None]
+                pair += alpha[t - 1][: len(beta)].T @ beta
+                beta = np.concatenate((beta @ move.T, np.ones((len(rows[t - 1]) - len(beta), 2))))
+        value = target @ theta - sum(float(np.log(c).sum()) for c in scale) / n - ridge / 2 * float(theta @ theta)
+        return value, target - np.concatenate((x.T @ p1, (pair * move).ravel())) / n - ridge * theta
+
+    return at
+
+
+def fit(texts: list[str], good: list[int], rounds: int = 200, ridge: float = 1e-3) -> LineField:
+    """Maximum conditional likelihood by quasi-Newton steps, at most `rounds`. Without both kinds of labels: everything is content."""
     if not texts or len(set(good)) < 2:
         return LineField(np.eye(N_FEATURES)[0], np.zeros((2, 2)))
-    x, words, stops = line_features(texts)
+    x, _, stops = line_features(texts)
     df = Counter(line for t in texts for line in set(t.split("\n")))
     y, at = np.zeros(len(x), np.int64), 0
     seqs = []
     for t, g, stop in zip(texts, good, stops.tolist(), strict=True):
         y[at:stop] = [int(bool(g) and df[line] < TRAIN_RECURS) for line in t.split("\n")]
-        seqs += [(s, min(s + TRAIN_LINES, stop)) for s in range(at, stop, TRAIN_LINES)]
+        seqs += [(s, min(TRAIN_LINES, stop - s)) for s in range(at, stop, TRAIN_LINES)]
         at = stop
-    length = max(e - s for s, e in seqs)
-    n = len(seqs)
-    index = np.zeros((n, length), np.int64)
-    mask = np.zeros((n, length), bool)
-    for k, (s, e) in enumerate(seqs):
-        index[k, : e - s] = np.arange(s, e)
-        mask[k, : e - s] = True
-    yy = y[index]
-    moves = np.zeros((2, 2))
-    both = mask[:, 1:] & mask[:, :-1]
-    np.add.at(moves, (yy[:, :-1][both], yy[:, 1:][both]), 1)
-    target = np.concatenate((x.T @ y, moves.ravel())) / n
-    theta, m, v = np.zeros(N_FEATURES + 4), np.zeros(N_FEATURES + 4), np.zeros(N_FEATURES + 4)
-    for r in range(1, rounds + 1):
-        move = theta[N_FEATURES:].reshape(2, 2)
-        e = (x @ theta[:N_FEATURES])[index]
-        a = np.zeros((length, n, 2))
-        a[0, :, 1] = e[:, 0]
-        for t in range(1, length):
-            nxt = np.logaddexp(a[t - 1, :, :1] + move[0], a[t - 1, :, 1:] + move[1])
-            nxt[:, 1] += e[:, t]
-            a[t] = np.where(mask[:, t, None], nxt, a[t - 1])
-        z = np.logaddexp(a[-1, :, 0], a[-1, :, 1])
-        b = np.zeros((length, n, 2))
-        pair = np.zeros((2, 2))
-        for t in range(length - 2, -1, -1):
-            ahead = b[t + 1].copy()
-            ahead[:, 1] += e[:, t + 1]
-            on = mask[:, t + 1]
-            both_ways = a[t][:, :, None] + move[None] + ahead[:, None, :] - z[:, None, None]
-            pair += np.exp(both_ways[on]).sum(axis=0)
-            b[t] = np.where(on[:, None], np.logaddexp(move[:, 0] + ahead[:, :1], move[:, 1] + ahead[:, 1:]), 0.0)
-        p1 = np.exp(a[:, :, 1] + b[:, :, 1] - z).T[mask]
-        grad = target - np.concatenate((x[index[mask]].T @ p1, pair.ravel())) / n - ridge * theta
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        theta = theta + step * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.999**r)) + 1e-8)
+    starts, sizes = np.array(sorted(seqs, key=lambda s: -s[1])).T
+    f = _likelihood(x, starts, sizes, y, ridge)
+    theta = np.zeros(N_FEATURES + 4)
+    value, grad = f(theta)
+    inverse = np.eye(len(theta))
+    for _ in range(rounds):
+        way = inverse @ grad
+        if grad @ way <= 0:
+            inverse, way = np.eye(len(theta)), grad
+        step = 1.0
+        while True:
+            new = theta + step * way
+            v, g = f(new)
+            if v >= value + 1e-4 * step * float(grad @ way) or step < 1e-8:
+                break
+            step /= 2
+        s, d = new - theta, grad - g
+        if step < 1e-8 or v - value < 1e-9:
+            break
+        if s @ d > 1e-12:
+            left = np.eye(len(theta)) - np.outer(s, d) / (s @ d)
+            inverse = left @ inverse @ left.T + np.outer(s, s) / (s @ d)
+        theta, value, grad = new, v, g
     return LineField(theta[:N_FEATURES], theta[N_FEATURES:].reshape(2, 2))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LineField:
-    """The field fitted to `sample` labelled documents at most; the sample's ids and texts alone reach the driver."""
+    """The field fitted to `sample` labelled documents at most, those over SAMPLE_CHARS code points left out; their ids and texts alone reach the driver."""
     some = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     ids = {r.doc_id: r.quality for r in some.collect()}
     if not ids:
         return fit([], [])
     named = docs.sparkSession.createDataFrame([(k,) for k in ids], "_cv_id long")
-    rows = docs.join(F.broadcast(named), docs["doc_id"] == F.col("_cv_id")).where("text is not null").groupBy("_cv_id").agg(F.min("text").alias("text")).collect()
+    rows = docs.join(F.broadcast(named), docs["doc_id"] == F.col("_cv_id")).where(F.length("text") <= SAMPLE_CHARS).groupBy("_cv_id").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r[0])
     return fit([r.text for r in rows], [int(ids[r[0]] > 0) for r in rows])
 

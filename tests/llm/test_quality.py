@@ -34,6 +34,32 @@ def test_viterbi_is_the_best_path():
         assert cost(f.decode(e)) == pytest.approx(max(map(cost, itertools.product([0, 1], repeat=len(e)))))
 
 
+def test_gradient_is_that_of_all_labellings():
+    """Log-likelihood of three short sequences by listing every labelling, its gradient by differences."""
+    rng = np.random.default_rng(5)
+    starts, sizes = np.array([0, 4, 7]), np.array([4, 3, 1])
+    x, y = rng.normal(size=(8, Q.N_FEATURES)), rng.integers(0, 2, 8)
+    f = Q._likelihood(x, starts, sizes, y, 0.01)
+
+    def by_hand(theta):
+        e, move, out = x @ theta[: Q.N_FEATURES], theta[Q.N_FEATURES :].reshape(2, 2), 0.0
+        for s, n in zip(starts, sizes, strict=True):
+            score = lambda z, s=s: sum(e[s + k] for k, v in enumerate(z) if v) + sum(move[a, b] for a, b in itertools.pairwise(z))
+            out += score(y[s : s + n].tolist()) - np.log(sum(np.exp(score(z)) for z in itertools.product([0, 1], repeat=int(n))))
+        return out / 3 - 0.005 * theta @ theta
+
+    theta = rng.normal(size=Q.N_FEATURES + 4)
+    value, grad = f(theta)
+    assert value == pytest.approx(by_hand(theta))
+    for k in range(len(theta)):
+        d = np.eye(len(theta))[k] * 1e-6
+        assert grad[k] == pytest.approx((by_hand(theta + d) - by_hand(theta - d)) / 2e-6, abs=1e-5)
+
+
+def test_words_of_shares_are_those_of_the_base_rules():
+    assert Q.line_features(["a\u00a0b c", "d\x1ce"])[1].tolist() == [2, 1]
+
+
 def test_held_out_documents(spark, medium):
     """Fitted to one half of the labelled documents; of the other half, no good document is lost and few bad ones stay."""
     docs = spark.read.parquet(f"{medium}/documents.parquet")
