@@ -4,6 +4,9 @@ Masks come from a random map of bit positions to vectors of radius + 1 bits: for
 holds the positions whose vector has odd inner product with v. Any `radius` differing positions span at most
 `radius` dimensions, so some v is orthogonal to all of them and that mask sees none of them: every pair within the
 radius shares a bucket in some table, by construction and not by chance.
+
+near_duplicates() links fingerprints alone. near_documents() takes the clusters that fingerprints of word pairs make
+within a wider radius as candidates and links those texts whose five-word shingles are similar enough, by exact sets.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_rows, materialise, table
@@ -23,6 +26,13 @@ from .components import connected_components
 RADIUS = 4
 SHINGLE = 4
 BLOCK = 4096
+#: Near documents: width and radius of the fingerprints that propose candidates, width and least Jaccard similarity of the shingles that decide.
+PAIR = 2
+PAIR_RADIUS = 6
+WORDS = 5
+SIMILARITY = 0.8
+#: Code points of a cluster that one block holds on average.
+BLOCK_CHARS = 1 << 24
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -118,7 +128,9 @@ def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
     """
     tables = F.array(*[F.struct(F.lit(k).cast("short").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks(radius))])
     rows = prints.select("fp", "rep", F.explode(tables).alias("b")).select("b.t", "b.key", "fp", "rep")
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("t", "key"))).where("n > 1")
+    sizes = rows.groupBy(F.col("t").alias("st"), F.col("key").alias("skey")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = materialise(sizes, "buckets")  # counted with partial sums; the join with it can be split where a bucket is hot
+    rows = rows.join(sizes, (F.col("t") == F.col("st")) & (F.col("key") == F.col("skey")))
     rows = rows.withColumn("k", F.ceil(F.col("n") / block).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
     rows = rows.select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "rep")
@@ -143,10 +155,121 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, fps.fp == F.col("_fp"), "left").select("doc_id", "_row", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """Documents without the near copies: of each component the smallest doc_id stays. Rows with a null id stay, and so do repeated rows of one id and text."""
-    found = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_cv_id"), F.col("_row").alias("_cv_row")).distinct()
-    return docs.join(found, (docs["doc_id"] == F.col("_cv_id")) & (F.xxhash64(docs["text"]) == F.col("_cv_row")), "left_anti")
+def shingles(text: str | None, width: int = WORDS) -> np.ndarray:
+    """Sorted distinct XXH64 of the lower-cased word shingles; fewer words: of the whole sequence; no words: none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[k : k + width]), 7) for k in range(max(1, len(words) - width + 1))], np.uint64)) if words else np.zeros(0, np.uint64)
+
+
+def _similar_forest(fp: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the pairs within the radius whose sets are similar; two empty sets are alike.
+
+    Each row is compared once with what is not yet reached, so a group of copies costs a comparison a row.
+    """
+    sizes = np.array([len(x) for x in sets])
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    marked = np.zeros(len(values) + 1, bool)
+    edges = []
+    left = np.arange(len(fp))
+    while len(left) > 1:
+        front, left = left[:1], left[1:]
+        while len(front) and len(left):
+            nxt = []
+            for i in front.tolist():
+                near = left[np.bitwise_count(fp[left] ^ fp[i]) <= radius]
+                if not len(near):
+                    continue
+                mine = flat[ends[i] - sizes[i] : ends[i]]
+                marked[mine] = True
+                counts, at = sizes[near], np.concatenate(([0], np.cumsum(sizes[near])))
+                where = np.arange(at[-1]) + np.repeat(ends[near] - sizes[near] - at[:-1], counts)
+                common = np.diff(np.concatenate(([0], np.cumsum(marked[flat[where]])))[at])
+                marked[mine] = False
+                hit = near[common >= similarity * (sizes[i] + counts - common)]
+                edges += [(i, j) for j in hit.tolist()]
+                if len(hit):
+                    nxt.append(hit)
+                    left = left[~np.isin(left, hit, assume_unique=True)]
+                    if not len(left):
+                        break
+            front = np.concatenate(nxt) if nxt else left[:0]
+    return edges
+
+
+def _verified(batches: Iterator[pa.RecordBatch], radius: int, similarity: float, width: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (cluster, i, j); of each such group the edges between similar texts."""
+    key, fp, nodes, sets = None, [], [], []
+
+    def close() -> pa.RecordBatch:
+        edges = _similar_forest(np.array(fp, np.int64).view(np.uint64), sets, radius, similarity) if len(fp) > 1 else []
+        out = pa.RecordBatch.from_arrays([pa.array([nodes[e[k]] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        for x in (fp, nodes, sets):
+            x.clear()
+        return out
+
+    for batch in batches:
+        for c, i, j, f, node, text in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+            if (c, i, j) != key:
+                if len(fp) > 1:
+                    yield close()
+                close()
+                key = (c, i, j)
+            fp.append(f)
+            nodes.append(node)
+            sets.append(shingles(text, width))
+    yield close()
+
+
+def near_documents(docs: DataFrame, similarity: float = SIMILARITY, width: int = WORDS, radius: int = PAIR_RADIUS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, _row, component_id, keeper): texts link if their fingerprints of word pairs differ in at most `radius` bits and their `width`-word shingles reach the similarity.
+
+    component_id: smallest doc_id reachable; keeper: whether this is the component's first text by (doc_id, _row), the
+    one to keep. Equal texts are one node, whatever their number; texts without a word are alike. Rows with a null id
+    have no component and are keepers. _row: xxhash64 of the text. Repeated rows are treated alike. Other columns are
+    ignored. A cluster of candidates is dealt over pairs of blocks by its size, so no task holds more than two blocks.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_row"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"), F.col("text").alias("text"))
+    fps = map_rows(rows, lambda ids, rows, chars, texts: [ids, rows, chars, [fingerprint(t, PAIR) for t in texts]], "doc_id long, _row long, chars long, fp long")
+    fps = materialise(fps, "fingerprints")
+    nodes = fps.where("doc_id is not null").groupBy("_row").agg(F.min("fp").alias("fp"), F.min("chars").alias("chars"), F.min("doc_id").alias("first_id"))
+    nodes = materialise(nodes, "texts")
+    prints = materialise(nodes.groupBy("fp").agg(F.min("_row").alias("rep")), "prints")
+    comp = connected_components(links(prints, radius))
+    clusters = prints.join(comp, prints.rep == comp.node, "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("cluster"))
+    member = materialise(nodes.join(clusters, nodes.fp == F.col("_fp")).select("_row", "fp", "chars", "first_id", "cluster"), "members")
+    sizes = member.groupBy(F.col("cluster").alias("_cluster")).agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("total")).where("n > 1")
+    sizes = materialise(sizes.select("_cluster", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / block_chars)).cast("int").alias("k")), "clusters")
+    member = member.join(sizes, F.col("cluster") == F.col("_cluster")).select("_row", "fp", "first_id", "cluster", "k")
+    member = materialise(member, "candidates").withColumnRenamed("_row", "_node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_t"), F.col("text").alias("text"))
+    texts = texts.join(member, (F.col("_id") == F.col("first_id")) & (F.col("_t") == F.col("_node"))).select("cluster", "k", "fp", "_node", "text").dropDuplicates(["_node"])
+    texts = texts.withColumn("own", F.pmod(F.xxhash64("_node"), F.greatest("k", F.lit(1))).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, greatest(k, 1) - 1)")))
+    texts = texts.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "_node", "text")
+    texts = texts.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    edges = materialise(texts.mapInArrow(lambda it: _verified(it, radius, similarity, width), "a long, b long"), "links")
+    comp = connected_components(edges)
+    named = nodes.join(comp, nodes["_row"] == comp.node, "left").select(F.col("_row").alias("_n"), "first_id", F.coalesce("component", "_row").alias("c"))
+    named = materialise(named, "components")
+    first = materialise(named.groupBy(F.col("c").alias("_c")).agg(F.min(F.struct("first_id", "_n")).alias("first")), "first")
+    named = named.join(first, F.col("c") == F.col("_c")).select("_n", F.col("first.first_id").alias("_first"), F.col("first._n").alias("_kept"))
+    out = fps.join(materialise(named, "named"), fps["_row"] == F.col("_n"), "left")
+    has = F.col("doc_id").isNotNull()
+    keeper = ~has | ((F.col("doc_id") == F.col("_first")) & (F.col("_row") == F.col("_kept")))
+    return out.select("doc_id", "_row", F.when(has, F.col("_first")).alias("component_id"), keeper.alias("keeper"))
+
+
+def keep_one(docs: DataFrame, **kw) -> DataFrame:
+    """One document of each component of near_documents(): the first by doc_id, once if its row is repeated. Rows with a null id stay."""
+    found = materialise(near_documents(docs, **kw).where("doc_id is not null").groupBy("doc_id", "_row").agg(F.first("keeper").alias("keeper"), F.count(F.lit(1)).alias("n")), "keepers")
+    named = found.where("not keeper or n > 1").select(F.col("doc_id").alias("_cv_id"), F.col("_row").alias("_cv_row"), F.col("keeper").alias("_cv_keeper"))
+    same = (docs["doc_id"].cast("long") == F.col("_cv_id")) & (F.xxhash64(docs["text"]) == F.col("_cv_row"))
+    out = docs.join(named, same, "left_anti")
+    repeated = named.where("_cv_keeper")
+    if repeated.isEmpty():
+        return out
+    return out.union(docs.join(repeated, same).dropDuplicates(["_cv_id", "_cv_row"]).select(*docs.columns))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,10 +8,10 @@ import corpus_pipeline as CP
 import public_tokenizers
 from oracle import rows_of
 from test_packing import check
-from test_simhash import brute_components
+from test_simhash import brute_documents
 from tokenizers import Tokenizer
 
-from corvane.llm import mixing, quality, simhash, templates, tokens
+from corvane.llm import mixing, quality, templates, tokens
 
 
 def sql_on(docs, sql):
@@ -50,7 +50,7 @@ def test_stages(spark, small, tmp_path):
     text = {r.doc_id: "\n".join(x for k, x in enumerate(r.text.split("\n")) if k not in gone[r.doc_id]) for r in given}
     assert {r.doc_id: r.text for r in kept} == text and all(r.n_chars == len(r.text) for r in kept)
     given, kept, _ = out["simhash_near_dedup"]
-    comp = brute_components({r.doc_id: simhash.fingerprint(r.text) for r in given})
+    comp = brute_documents({r.doc_id: r.text for r in given})
     assert {r.doc_id for r in kept} == set(comp.values()) and len(kept) == len(set(comp.values()))
     given, kept, frame = out["mix_sources"]
     names, rows = sql_on(frame, mixing.OP10_SQL)

@@ -32,11 +32,11 @@ def brute_print(t):
     return v - (v >> 63 << 64)
 
 
-def brute_components(prints: dict[int, int]) -> dict[int, int]:
+def brute_components(prints: dict[int, int], radius=S.RADIUS, alike=lambda a, b: True) -> dict[int, int]:
     comp = {i: i for i in prints}
     ids = sorted(prints)
     f = np.array([prints[i] for i in ids], np.int64).view(np.uint64)
-    near = {i: [ids[j] for j in np.flatnonzero(np.bitwise_count(f ^ f[k]) <= S.RADIUS)] for k, i in enumerate(ids)}
+    near = {i: [ids[j] for j in np.flatnonzero(np.bitwise_count(f ^ f[k]) <= radius) if alike(i, ids[j])] for k, i in enumerate(ids)}
     while True:
         low = {i: min(comp[j] for j in near[i]) for i in ids}
         if low == comp:
@@ -81,6 +81,55 @@ def test_blocks_lose_no_link(spark):
         assert {i: got.get(i, i) for i in want} == want
 
 
+def brute_documents(texts: dict[int, str]) -> dict[int, int]:
+    """Components by the definition: all pairs, sets of the word tuples themselves."""
+    words = {i: (t or "").encode().lower().split() for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    return brute_components({i: S.fingerprint(t, S.PAIR) for i, t in texts.items()}, S.PAIR_RADIUS, alike)
+
+
+def family(seed, n):
+    """Copies of one text with few to many changed words, copies of copies, and texts of their own."""
+    draw = random.Random(seed)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 7)))
+    out = [[word() for _ in range(120)]]
+    while len(out) < n:
+        w = list(draw.choice(out))
+        for _ in range(draw.choice([0, 1, 1, 2, 3, 6, 60])):
+            w[draw.randrange(len(w))] = word()
+        out.append(w)
+    return {i: " ".join(w) for i, w in enumerate(out)}
+
+
+def test_documents_against_all_pairs(spark):
+    texts = {i + 200 * k: t for k in range(2) for i, t in family(k, 90).items()}
+    want = brute_documents(texts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert 5 < len(set(want.values())) < len(texts)
+    for chars in (S.BLOCK_CHARS, 3000):  # whole clusters, and many pairs of blocks
+        rows = S.near_documents(df, block_chars=chars).collect()
+        assert {r.doc_id: r.component_id for r in rows} == want
+        assert all(r.keeper == (want[r.doc_id] == r.doc_id) for r in rows) and len(rows) == len(texts)
+    assert {r.doc_id for r in S.keep_one(df).collect()} == set(want.values())
+
+
+def test_most_similar_pairs_are_candidates():
+    """How many of the pairs with a 5-word similarity of 0.8 the wider fingerprints propose; the rest differ in more bits."""
+    draw = random.Random(12)
+    hit = n = 0
+    for seed in range(150):
+        base = family(1000 + seed, 1)[0].split()
+        w = list(base)
+        for _ in range(2):
+            w[draw.randrange(len(w))] = "zz" + str(draw.random())
+        a, b = S.shingles(" ".join(base)), S.shingles(" ".join(w))
+        if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+            n += 1
+            hit += ((S.fingerprint(" ".join(base), S.PAIR) ^ S.fingerprint(" ".join(w), S.PAIR)) % 2**64).bit_count() <= S.PAIR_RADIUS
+    assert n > 100 and hit >= 0.75 * n
+
+
 def test_components_of_a_long_path(spark):
     from corvane.llm.components import connected_components
 
@@ -102,4 +151,8 @@ def test_edges(spark):
     kept = S.keep_one(docs)
     assert kept.columns == docs.columns
     assert {(r.doc_id, r.text[:7] if r.doc_id == 2 else "") for r in kept.collect()} == {(2, "another"), *((k, "") for k in (1, 3, 6, 7, 8, 9, None))}
+    assert len(kept.collect()) == 8
+    named = {(r.doc_id, r.component_id, r.keeper) for r in S.near_documents(docs).collect()}
+    assert {(1, 1, True), (2, 1, False), (2, 2, True), (3, 3, True), (4, 3, False), (None, None, True)} <= named
+    assert S.near_documents(edges.empty(spark)).count() == 0
     assert S.near_duplicates(edges.empty(spark)).count() == S.keep_one(edges.empty(spark)).count() == 0
