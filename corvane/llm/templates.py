@@ -5,9 +5,7 @@ variable fields. Within a leaf, a token seen at its position in at least `min_do
 is a variable field, so lines of a leaf generalise to templates without regard to their order. A template recurs
 if enough of its tokens without a digit are constant and at least `MIN_DOCS` different texts have it that are mostly
 their own: lines that travel with their whole document are copies of documents, which are not this operator's.
-
-The query op3 keeps to OP3_SQL, which says less: its threshold grows with the table, digit tokens count against a
-template, one-token lines stay, and copies are told by the two neighbour lines.
+Thresholds are numbers of lines, documents and texts, the same at every size.
 """
 
 from __future__ import annotations
@@ -17,63 +15,48 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-#: Leading tokens in a path; least and relative number of documents of a recurring template; least share of constants; least tokens.
+#: Leading tokens in a path; least number of documents of a recurring template; least share of constants.
 DEPTH = 3
 MIN_DOCS = 10
-MIN_SHARE = 0.0002
 MIN_CONSTANT = 0.8
-MIN_TOKENS = 2
 FIELD = "<*>"
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
-def _threshold(n_docs: int) -> int:
-    return max(MIN_DOCS, -int(-n_docs * MIN_SHARE // 1))
-
-
-def recurring_lines(docs: DataFrame, by_sql: bool = False) -> DataFrame:
-    """docs(doc_id, text) -> (_id, _row, _pos): lines, from 0, whose template recurs. _row: xxhash64 of the text, so repeated rows of one id with other texts stay apart. by_sql: as OP3_SQL has it."""
-    least = _threshold(docs.count()) if by_sql else MIN_DOCS
-    d = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_row"), F.split("text", "\n").alias("ls"), F.length("text").alias("total")).where("ls is not null")
-    d = d.withColumn("hs", F.expr("transform(ls, x -> xxhash64(x))"))
-    lines = d.select("_id", "_row", "total", F.expr("""explode(transform(ls, (x, i) -> struct(
-        i as pos, xxhash64(if(i > 0, hs[i - 1], 0), if(i < size(hs) - 1, hs[i + 1], 0)) as ctx,
-        length(x) as chars, filter(split(x, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '') as ws)))""").alias("l"))
-    lines = lines.select("_id", "_row", F.col("l.pos").alias("_pos"), *([F.col("l.ctx").alias("ctx")] if by_sql else [F.col("l.chars").alias("chars"), "total"]), F.col("l.ws").alias("ws"))
-    lines = lines.where(F.size("ws") >= (MIN_TOKENS if by_sql else 1))
+def recurring_lines(docs: DataFrame, least: int = MIN_DOCS) -> DataFrame:
+    """docs(doc_id, text) -> (_id, _row, _pos): lines, from 0, whose template recurs. _row: xxhash64 of the text, so repeated rows of one id with other texts stay apart."""
+    d = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_row"), F.monotonically_increasing_id().alias("rid"), F.split("text", "\n").alias("ls"), F.length("text").alias("total")).where("ls is not null")
+    lines = d.select("_id", "_row", "rid", "total", F.expr("""explode(transform(ls, (x, i) -> struct(
+        i as pos, length(x) as chars, filter(split(x, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '') as ws)))""").alias("l"))
+    lines = lines.select("_id", "_row", "rid", "total", F.col("l.pos").alias("_pos"), F.col("l.chars").alias("chars"), F.col("l.ws").alias("ws")).where(F.size("ws") > 0)
     lead = F.transform(F.slice("ws", 1, DEPTH), lambda w: F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(w))
     lines = lines.withColumn("leaf", F.xxhash64(F.size("ws"), lead))
     popular = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("leaf")
     popular = materialise(popular, "popular")  # tables of their own, so that joins on a hot leaf or template can be split
     kept = lines.join(popular, "leaf").withColumn("ws", F.transform("ws", lambda w: F.when(w.rlike("[0-9]") | (w == FIELD), F.lit(None)).otherwise(F.xxhash64(w))))  # tokens by hash, fields null
-    kept = materialise(kept.withColumn("line", F.xxhash64("_id", "_row", "_pos")), "lines")
-    words = kept.select("leaf", "line", F.size("ws" if by_sql else F.filter("ws", lambda w: w.isNotNull())).alias("n"), F.posexplode("ws").alias("p", "w"))
-    constant = words.where("w is not null").groupBy("leaf", "p", "w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("leaf", "p", "w")
+    kept = materialise(kept, "lines")
+    words = kept.select("leaf", "rid", "_pos", F.size(F.filter("ws", lambda w: w.isNotNull())).alias("n"), F.posexplode("ws").alias("p", "w")).where("w is not null")
+    constant = words.groupBy("leaf", "p", "w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("leaf", "p", "w")
     constant = materialise(constant, "constant")
     # the tokens of a line that are constant: their number, and a hash that does not depend on order
-    share = words.join(constant, ["leaf", "p", "w"]).groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("fixed"), F.max("n").alias("n"), F.sum(F.xxhash64("p", "w").cast("decimal(20,0)")).alias("shape"))
-    share = share.where(F.col("fixed") >= MIN_CONSTANT * F.col("n")).select("leaf", "line", F.xxhash64("leaf", "shape", "fixed").alias("template"))
-    tagged = materialise(kept.select("leaf", "line", "_id", "_row", "_pos", *(["ctx"] if by_sql else ["chars", "total"])).join(share, ["leaf", "line"]).drop("leaf", "line"), "templates")
+    share = words.join(constant, ["leaf", "p", "w"]).groupBy("leaf", "rid", "_pos").agg(F.count(F.lit(1)).alias("fixed"), F.max("n").alias("n"), F.sum(F.xxhash64("p", "w").cast("decimal(20,0)")).alias("shape"))
+    share = share.where(F.col("fixed") >= MIN_CONSTANT * F.col("n")).select("rid", "_pos", F.xxhash64("leaf", "shape", "fixed").alias("template"))
+    tagged = materialise(kept.select("rid", "_pos", "_id", "_row", "chars", "total").join(share, ["rid", "_pos"]), "templates")
     docs_of = tagged.select("template", "_id", "_row").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"))
-    if not by_sql:
-        frequent = materialise(docs_of.where(F.col("n_docs") >= least).select("template"), "frequent")
-        hits = materialise(tagged.join(frequent, "template"), "hits")
-        own = hits.groupBy("_id", "_row").agg(F.sum("chars").alias("chars"), F.max("total").alias("total")).where(2 * F.col("chars") <= F.col("total")).select("_row").distinct()
-        found = hits.join(own, "_row").select("template", "_row").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n_texts")).where(F.col("n_texts") >= least).select("template")
-        return hits.join(materialise(found, "found"), "template").select("_id", "_row", "_pos")
-    contexts = tagged.select("template", "ctx").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n_ctx"))
-    found = docs_of.join(contexts, "template").where((F.col("n_docs") >= least) & (2 * F.col("n_ctx") >= F.col("n_docs"))).select("template")
-    found = materialise(found, "found")
-    return tagged.join(found, "template").select("_id", "_row", "_pos")
-
-
-def line_dedup(docs: DataFrame, by_sql: bool = False) -> DataFrame:
+    frequent = materialise(docs_of.where(F.col("n_docs") >= least).select("template"), "frequent")
+    hits = materialise(tagged.join(frequent, "template"), "hits")
+    own = hits.groupBy("rid", "_row").agg(F.sum("chars").alias("chars"), F.max("total").alias("total")).where(2 * F.col("chars") <= F.col("total")).select("_row").distinct()
+    found = hits.join(materialise(own, "own"), "_row").select("template", "_row").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n_texts")).where(F.col("n_texts") >= least).select("template")
+    return hits.join(materialise(found, "found"), "template").select("_id", "_row", "_pos")
+
+
+def line_dedup(docs: DataFrame) -> DataFrame:
     """docs, any columns with doc_id and text -> the same rows with _cv_text (recurring lines gone), _cv_lines, _cv_dropped (array of line numbers).
 
     Null text: null, 0 lines, none dropped. Empty text: one line, kept. A document whose every line recurs keeps an
     empty text. Repeated rows are treated alike. Extra columns pass through untouched.
     """
-    gone = recurring_lines(docs, by_sql).groupBy("_id", "_row").agg(F.array_sort(F.collect_set("_pos")).alias("_cv_dropped"))
+    gone = recurring_lines(docs).groupBy("_id", "_row").agg(F.array_sort(F.collect_set("_pos")).alias("_cv_dropped"))
     gone = gone.withColumnRenamed("_id", "_cv_id").withColumnRenamed("_row", "_cv_row")
     out = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_cv_id")) & (F.xxhash64(docs["text"]) == F.col("_cv_row")), "left").drop("_cv_id", "_cv_row")
     kept = F.when(F.col("_cv_dropped").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_cv_dropped", i)), "\n"))
@@ -88,7 +71,7 @@ def without_recurring_lines(docs: DataFrame) -> DataFrame:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), by_sql=True)
+    out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
         "doc_id",
         F.col("_cv_lines").alias("n_lines"),
@@ -99,25 +82,24 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = f"""
-WITH least AS (SELECT greatest({MIN_DOCS}, CAST(ceil(count(*) * {MIN_SHARE}) AS BIGINT)) AS k FROM documents),
-d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
-raw AS (SELECT doc_id, text, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
-ctx AS (SELECT doc_id, text, line, pos, lag(line) OVER w AS before, lead(line) OVER w AS after FROM raw WINDOW w AS (PARTITION BY doc_id, text ORDER BY pos)),
-toks AS (SELECT *, list_transform(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{FIELD}' ELSE x END) AS ws FROM ctx),
-leafed AS (SELECT *, len(ws) AS n, ws[1:{DEPTH}] AS leads FROM toks WHERE len(ws) >= {MIN_TOKENS}),
-popular AS (SELECT n, leads FROM leafed GROUP BY n, leads HAVING count(*) >= (SELECT k FROM least)),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+raw AS (SELECT rid, doc_id, text, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d WHERE text IS NOT NULL),
+toks AS (SELECT *, list_transform(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{FIELD}' ELSE x END) AS ws FROM raw),
+leafed AS (SELECT *, len(ws) AS n, ws[1:{DEPTH}] AS leads FROM toks WHERE len(ws) > 0),
+popular AS (SELECT n, leads FROM leafed GROUP BY n, leads HAVING count(*) >= {MIN_DOCS}),
 kept AS (SELECT l.* FROM leafed l JOIN popular p ON l.n = p.n AND l.leads = p.leads),
-words AS (SELECT n, leads, doc_id, text, pos, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM kept),
-constant AS (SELECT n, leads, p, w FROM words WHERE w <> '{FIELD}' GROUP BY n, leads, p, w HAVING count(*) >= (SELECT k FROM least)),
-shaped AS (SELECT words.n, words.leads, doc_id, text, pos, string_agg(words.p || ':' || words.w, ' ' ORDER BY words.p) AS shape, count(*) AS fixed
+words AS (SELECT n, leads, rid, pos, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM kept),
+constant AS (SELECT n, leads, p, w FROM words WHERE w <> '{FIELD}' GROUP BY n, leads, p, w HAVING count(*) >= {MIN_DOCS}),
+shaped AS (SELECT words.n, words.leads, rid, pos, string_agg(words.p || ':' || words.w, ' ' ORDER BY words.p) AS shape, count(*) AS fixed
   FROM words JOIN constant c ON words.n = c.n AND words.leads = c.leads AND words.p = c.p AND words.w = c.w GROUP BY ALL),
-tagged AS (SELECT k.doc_id, k.text, k.pos, k.before, k.after, s.n || '|' || array_to_string(s.leads, ' ') || '|' || s.shape AS template
-  FROM kept k JOIN shaped s ON k.doc_id = s.doc_id AND k.text = s.text AND k.pos = s.pos WHERE s.fixed >= {MIN_CONSTANT} * s.n),
-recurs AS (SELECT template FROM tagged GROUP BY template HAVING count(DISTINCT (doc_id, text)) >= (SELECT k FROM least)
-  AND 2 * count(DISTINCT (coalesce(before, '\\x00'), coalesce(after, '\\x00'))) >= count(DISTINCT (doc_id, text))),
-gone AS (SELECT doc_id, text, count(*) AS n_dropped, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS dropped_lines, list(pos) AS ps FROM tagged JOIN recurs USING (template) GROUP BY doc_id, text)
-SELECT o.doc_id, coalesce(len(string_split(o.text, chr(10))), 0) AS n_lines, coalesce(g.n_dropped, 0) AS n_dropped, coalesce(g.dropped_lines, '') AS dropped_lines,
+tagged AS (SELECT k.rid, k.doc_id, k.text, k.line, k.pos, s.n || '|' || array_to_string(s.leads, ' ') || '|' || s.shape AS template
+  FROM kept k JOIN shaped s ON k.rid = s.rid AND k.pos = s.pos WHERE s.fixed >= {MIN_CONSTANT} * len(list_filter(k.ws, lambda x: x <> '{FIELD}'))),
+hits AS (SELECT * FROM tagged WHERE template IN (SELECT template FROM tagged GROUP BY template HAVING count(DISTINCT (doc_id, text)) >= {MIN_DOCS})),
+own AS (SELECT DISTINCT text FROM (SELECT text FROM hits GROUP BY rid, text HAVING 2 * sum(length(line)) <= length(text))),
+recurs AS (SELECT template FROM hits JOIN own USING (text) GROUP BY template HAVING count(DISTINCT text) >= {MIN_DOCS}),
+gone AS (SELECT rid, count(*) AS n_dropped, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS dropped_lines, list(pos) AS ps FROM hits JOIN recurs USING (template) GROUP BY rid)
+SELECT o.doc_id, coalesce(len(o.ls), 0) AS n_lines, coalesce(g.n_dropped, 0) AS n_dropped, coalesce(g.dropped_lines, '') AS dropped_lines,
   CASE WHEN o.text IS NULL THEN 0 WHEN g.ps IS NULL THEN length(o.text)
-    ELSE length(array_to_string(list_filter(list_transform(range(len(string_split(o.text, chr(10)))), lambda i: CASE WHEN list_contains(g.ps, i) THEN NULL ELSE string_split(o.text, chr(10))[i + 1] END), lambda x: x IS NOT NULL), chr(10))) END AS n_chars_kept
-FROM documents o LEFT JOIN gone g ON o.doc_id = g.doc_id AND o.text = g.text
+    ELSE length(array_to_string(list_filter(list_transform(range(len(o.ls)), lambda i: CASE WHEN list_contains(g.ps, i) THEN NULL ELSE o.ls[i + 1] END), lambda x: x IS NOT NULL), chr(10))) END AS n_chars_kept
+FROM d o LEFT JOIN gone g ON o.rid = g.rid
 """

@@ -43,12 +43,27 @@ def test_fields_and_single_words_go(spark):
     assert all(got[i] == [4, 5, 6] for i in range(40))
 
 
-def test_threshold_does_not_grow_with_the_table(spark, monkeypatch):
-    monkeypatch.setattr(T, "MIN_SHARE", 0.5)  # as if the table were large
-    got = lines_dropped(spark, lambda i: "All rights reserved here" if i < 12 else f"own{chr(97 + i % 26)} last{chr(97 + i // 26)}")
+def test_threshold_does_not_grow_with_the_table(spark):
+    more = [f"other{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)} words" for k in range(2000)]
+    got = lines_dropped(spark, lambda i: "All rights reserved here" if i < 12 else f"own{chr(97 + i % 26)} last{chr(97 + i // 26)}", more=more)
     assert all(got[i] == ([4] if i < 12 else []) for i in range(40))
 
 
+def test_repeated_rows_and_ties_against_sql(spark, tmp_path):
+    """Equal rows, texts of one id, templates in exactly as many documents as are needed and in one fewer."""
+    own = lambda i: "\n".join(f"x{chr(97 + i % 26)}{chr(97 + k)} y{chr(97 + i // 26)} z{chr(97 + k)}{chr(97 + i % 26)} and more of it" for k in range(5))
+    rows = []
+    for i in range(60):
+        t = own(i) + ("\nTerms of use" if i < T.MIN_DOCS else "\nTerms of sale" if i < 2 * T.MIN_DOCS - 1 else "") + (f"\n{i} 2 3\nShare\nPage {i}, <*> x" if i % 2 else "")
+        rows += [(i // 2 if i > 50 else i, t)] * (3 if i % 5 == 0 else 1)
+    rows += [(None, own(1) + "\nShare"), (100, None), (101, ""), (102, "\n\n")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/parts")
+    next(iter((tmp_path / "parts").glob("*.parquet"))).rename(tmp_path / "documents.parquet")
+    assert assert_same(T.op3(spark, str(tmp_path)), T.OP3_SQL, str(tmp_path)) == len(rows)
+    dropped = {r.doc_id: r.dropped_lines for r in T.op3(spark, str(tmp_path)).collect()}
+    assert dropped[0] == "5" and dropped[1] == "5,7,8" and dropped[12] == ""
+
+
 def test_edges(spark):
     docs = edges.documents(spark)
     out = T.line_dedup(docs)
