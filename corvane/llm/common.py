@@ -17,17 +17,23 @@ from pyspark.sql.pandas.types import to_arrow_schema
 _made: list[tuple[SparkSession, str]] = []
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one is set only where that is unset (tests)."""
+    """The folder that spark.checkpoint.dir names, or the session's checkpoint folder; where neither is set, a local one of a local master alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    context = spark.sparkContext
+    current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    own = f"file://{tempfile.mkdtemp(prefix='checkpoint-')}"
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='checkpoint-')}"
+    return _own[context.applicationId]
 
 
 def _delete(spark: SparkSession, path: str) -> None:

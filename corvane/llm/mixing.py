@@ -17,14 +17,20 @@ SEED = 17
 ALPHA = 0.5
 STEP = 8.0
 TERMS = 63
+#: The highest rate that is drawn; a sum of more parts would be evaluated in every row.
+MAX_RATE = 1e6
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA) -> DataFrame:
     """docs(source, text) -> (_cv_source, _cv_rate, _cv_parts, _cv_cdf), a row a source.
 
     weights: target weight by source, unnamed sources 0; else size^alpha. Sizes are code points; null sources are a
-    source of their own; a source without text has rate 1. The total size stays as it is.
+    source of their own; a source without text has rate 1. The total size stays as it is. Weights below zero or not
+    finite, and rates over MAX_RATE, are errors.
     """
+    for k, v in (weights or {}).items():
+        if not 0 <= v < float("inf"):
+            raise ValueError(f"weight of {k}: {v}")
     sizes = docs.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("double").alias("size"))
     if weights is None:
         w: Column = F.pow("size", F.lit(float(alpha)))
@@ -35,6 +41,9 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
     tw, ts = float(total.tw or 0), float(total.ts or 0)
     rate = F.when(F.col("size") > 0, F.col("w") * F.lit(ts) / (F.lit(tw) * F.col("size")) if tw > 0 else F.lit(0.0)).otherwise(F.lit(1.0))
     out = sizes.select(F.col("source").alias("_cv_source"), rate.alias("_cv_rate"))
+    high = out.where(F.col("_cv_rate") > MAX_RATE).first()
+    if high:
+        raise ValueError(f"source {high._cv_source} would be repeated {high._cv_rate:g} times")
     out = out.withColumn("_cv_parts", F.greatest(F.lit(1), F.ceil(F.col("_cv_rate") / STEP)).cast("int")).withColumn("_m", F.col("_cv_rate") / F.col("_cv_parts"))
     cdf = f"""aggregate(sequence(1, {TERMS}), struct(exp(-_m) as p, exp(-_m) as c, array(exp(-_m)) as a),
         (s, k) -> struct(s.p * _m / k as p, s.c + s.p * _m / k as c, concat(s.a, array(s.c + s.p * _m / k)) as a), s -> s.a)"""

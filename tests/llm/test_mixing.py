@@ -36,6 +36,16 @@ def test_high_rates(spark):
     assert n == pytest.approx(500, abs=90)
 
 
+def test_odd_weights_are_refused(spark):
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1, "rare").otherwise("rest").alias("source"), F.when(F.col("id") < 1, "a").otherwise(F.lit("abc" * 1000)).alias("text"))
+    for w in ({"rare": -1.0}, {"rare": float("nan")}, {"rare": float("inf")}):
+        with pytest.raises(ValueError, match="weight of rare"):
+            M.mixed(docs, weights=w)
+    docs = docs.union(docs.select("doc_id", F.lit("rest"), F.repeat(F.lit("abc"), F.lit(100000))))
+    with pytest.raises(ValueError, match="source rare"):
+        M.mixed(docs, weights={"rare": 1.0})
+
+
 def test_order_is_mixed_and_repeatable(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("abc").alias("text"))
     a, b = [[r.doc_id for r in M.mixed(docs).collect()] for _ in range(2)]
