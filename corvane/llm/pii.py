@@ -4,12 +4,17 @@ A term's disclosure of an entity is the share of the lines with the term in whic
 the pair's pointwise mutual information. Next to it are the nearest words of its own line and of the lines around it.
 Terms over both thresholds are spans too: generalised to a tag, or removed where the share is near one. A pair needs
 several distinct lines of the entity, so copies of a document alone make no pair. Terms are runs of letters, lower-cased.
+
+Keys and tokens are entities too, told by how much they say for themselves: long runs that change between letters and
+digits often, of at least so many bits by the entropy of their own characters.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, materialise, table
 
-KINDS = ["email", "ip", "card", "phone", "term"]
+KINDS = ["email", "ip", "card", "phone", "term", "secret"]
+TERM, SECRET = 4, 5
 #: Words to each side of an entity, in its line or the one before or after, that count as next to it.
 NEAR = 8
 #: Least number of distinct lines of the entity in a pair, least share of the term's lines, least mutual information in bits; share from which a term is removed.
@@ -26,12 +32,18 @@ MIN_SHARE = 0.5
 MIN_BITS = 4.0
 REMOVE_SHARE = 0.9
 MIN_TERM = 3
+#: Least length of a secret, changes between letters and digits in it, and bits: its length times the entropy of its characters.
+SECRET_CHARS = 20
+SECRET_CHANGES = 5
+SECRET_BITS = 60.0
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _ip = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_run = re.compile(rf"[A-Za-z0-9_+/=-]{{{SECRET_CHARS},}}")
+_changes = re.compile(r"[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")
 _word = regex.compile(r"\p{L}+")
 
 
@@ -74,6 +86,20 @@ def base_spans(t: str | None) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def secret_spans(t: str | None, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Runs that are secrets by their own information and touch no base span, as base_spans() has them."""
+    out = []
+    for m in _run.finditer(t or ""):
+        w = m[0]
+        if len(_changes.findall(w)) < SECRET_CHANGES:
+            continue
+        n = len(w)
+        bits = sum(k * math.log2(n / k) for k in Counter(w).values())
+        if bits >= SECRET_BITS and not any(s < m.end() and e > m.start() for s, _, e in base):
+            out.append((m.start(), SECRET, m.end()))
+    return out
+
+
 def _next_to(t: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     """For each entity the terms around it, and its line's hash as the context; the words of a line are read once."""
     import xxhash
@@ -106,7 +132,7 @@ def _next_to(t: str, spans: list[tuple[int, int, int]]) -> list[dict]:
         if len(right) < NEAR and b < len(t):
             end = t.find("\n", b + 1)
             right = right + line_of(b + 1, len(t) if end < 0 else end)[1][: NEAR - len(right)]
-        value = t[s:e].lower() if k == 0 else "".join(c for c in t[s:e] if c.isdigit() or (k == 1 and c == "."))
+        value = t[s:e].lower() if k == 0 else t[s:e] if k == SECRET else "".join(c for c in t[s:e] if c.isdigit() or (k == 1 and c == "."))
         found.setdefault((f"{KINDS[k]}:{value}", a, b), set()).update(left + right)
     context = {a: xxhash.xxh64_intdigest(t[a:b].encode("utf-8", "surrogatepass"), 42) - (1 << 63) for a, b in {(a, b) for _, a, b in found}}
     return [{"entity": name, "context": context[a], "terms": sorted(ws)} for (name, a, _), ws in found.items()]
@@ -119,7 +145,8 @@ def entities(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, _row, spans, near): fixed-pattern entities of every row. _row: xxhash64 of the text."""
 
     def scan(ids: list, rows: list, texts: list) -> list:
-        spans = [base_spans(t) for t in texts]
+        base = [base_spans(t) for t in texts]
+        spans = [sorted(x + secret_spans(t, x)) for t, x in zip(texts, base, strict=True)]
         return [ids, rows, [[{"start": s, "kind": k, "end": e} for s, k, e in x] for x in spans], [_next_to(t, x) if x else [] for t, x in zip(texts, spans, strict=True)]]
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_row"), F.col("text").alias("text"))
@@ -171,7 +198,7 @@ def detect(docs: DataFrame, **thresholds) -> DataFrame:
         out = []
         for t, h in zip(texts, hits, strict=True):
             known = {x["term"] for x in h}
-            out.append([{"start": m.start(), "kind": 4, "end": m.end()} for m in _word.finditer(t) if m[0].lower() in known])
+            out.append([{"start": m.start(), "kind": TERM, "end": m.end()} for m in _word.finditer(t) if m[0].lower() in known])
         return [ids, rows, out, [[x["term"] for x in h if x["share"] >= REMOVE_SHARE] for h in hits]]
 
     more = map_rows(texts, locate, f"_more_id long, _more_row long, more {_SPANS}, removed array<string>")
@@ -197,7 +224,7 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
             for x in sorted(sp, key=lambda x: (x["start"], x["kind"])):
                 if x["start"] >= at:
                     word = t[x["start"] : x["end"]]
-                    parts += [t[at : x["start"]], "" if x["kind"] == 4 and word.lower() in drop else f"[{KINDS[x['kind']].upper()}]"]
+                    parts += [t[at : x["start"]], "" if x["kind"] == TERM and word.lower() in drop else f"[{KINDS[x['kind']].upper()}]"]
                     at = x["end"]
             out.append("".join([*parts, t[at:]]))
         return pd.Series(out, dtype=object)
@@ -218,6 +245,6 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
     base = joined(F.filter("spans", lambda x: x["kind"] < 4))
-    return found.select("doc_id", *[count(k).alias(f"n_{KINDS[k]}") for k in range(4)], F.sha2(base, 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), count(4).alias("n_term"))
+    return found.select("doc_id", *[count(k).alias(f"n_{KINDS[k]}") for k in range(4)], F.sha2(base, 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), count(TERM).alias("n_term"), count(SECRET).alias("n_secret"), F.size("spans").cast("long").alias("n_spans"))
 
 
