@@ -36,7 +36,7 @@ def capitalised_terms(c: Column) -> Column:
 
 
 def book_titles(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(r"\x{300a}([^\x{300b}]+)\x{300b}"), 1)
+    return F.regexp_extract_all(c, F.lit(r"《([^》]+)》"), 1)
 
 
 def cjk_terms(c: Column, suffixes: str) -> Column:
@@ -69,16 +69,16 @@ def visual_width(c: Column) -> Column:
 
 
 # fixed values: patterns of list items, headings, captions and LaTeX, and words that open sections
-LIST_ITEM = r"^([0-9]+[.\x{3001})\x{ff09}]|[\x{2460}-\x{2469}]|[一二三四五六七八九十]+[.\x{3001}]|[a-zA-Z][.\x{3001})]|[-\x{2022}\x{00b7}\x{25aa}\x{2023}\x{2043}]|\([0-9]+\)|\x{ff08}[0-9]+\x{ff09}|\[[0-9A-Za-z_]\])"
+LIST_ITEM = r"^([0-9]+[.、)）]|[①-⑩]|[一二三四五六七八九十]+[.、]|[a-zA-Z][.、)]|[-•·▪‣⁃]|\([0-9]+\)|（[0-9]+）|\[[0-9A-Za-z_]\])"
 CHAPTER = r"^第[一二三四五六七八九十0-9]+[章节部分篇]"
 CHAPTER_DOCX = r"^第[一二三四五六七八九十百0-9]+[章节部篇]"
 NUMBERED = r"^[0-9]+(\.[0-9]+)*\s+\S"
-HAN_NUMBERED = r"^[\x{ff08}(]?[一二三四五六七八九十]+[\x{ff09}).\x{3001}]"
+HAN_NUMBERED = r"^[（(]?[一二三四五六七八九十]+[）).、]"
 OPENING = r"^(引言|前言|绪论|摘要|Abstract|结论|总结|展望|致谢|参考文献|References|关键词|Keywords|研究背景|研究方法|实验|结果|讨论|分析|文献综述|相关工作)"
 OPENING_DOCX = r"^(引言|摘要|结论|参考文献|致谢|附录|abstract|references|introduction|conclusion|summary)"
-COLON = r"[:\x{ff1a}]"
+COLON = r"[:：]"
 PREFIXED = r"(引言|摘要|结论|总结|概述|前言|背景)"
-CAPTION = r"^(表\s*[-.\x{2013}]\s*[0-9]+\s*[-.\x{2013}]\s*[0-9]+|表\s*[0-9]+\s*[-.\x{2013}]\s*[0-9]+|表\s*[0-9]+\s+|(?i:table)\s*[0-9]+\s*|表格\s*[0-9]+\s+)"
+CAPTION = r"^(表\s*[-.–]\s*[0-9]+\s*[-.–]\s*[0-9]+|表\s*[0-9]+\s*[-.–]\s*[0-9]+|表\s*[0-9]+\s+|(?i:table)\s*[0-9]+\s*|表格\s*[0-9]+\s+)"
 BODY_MARKS = r"[。，；、（）]"
 LATEX = r"(\\[a-zA-Z]+(\{[^}]*\})*|\^\{[^}]*\}|_(\{[^}]*\}|[a-zA-Z0-9]))"
 
@@ -101,7 +101,7 @@ def heading_level_style(style: Column, c: Column) -> Column:
     st, n = F.lower(F.coalesce(style, F.lit(""))), F.length(c)
     return (
         F.when(F.trim(c) == "", 0).when(F.contains(st, F.lit("heading 1")), 1).when(F.contains(st, F.lit("heading 2")), 2).when(F.contains(st, F.lit("heading 3")), 3).when(n > 80, 0)
-        .when(c.rlike(CHAPTER_DOCX), 1).when(c.rlike(r"^[0-9]+\s+\S") & (n < 50), 1).when(c.rlike(r"^[一二三四五六七八九十]+[\x{3001}\x{ff0e}.]"), 2)
+        .when(c.rlike(CHAPTER_DOCX), 1).when(c.rlike(r"^[0-9]+\s+\S") & (n < 50), 1).when(c.rlike(r"^[一二三四五六七八九十]+[、．.]"), 2)
         .when(F.lower(c).rlike(OPENING_DOCX) & c.rlike(COLON), 2).when(c.rlike(r"^[0-9]+\.[0-9]+[.\s]") & (~F.contains(st, F.lit("first paragraph")) | (n < 50)), 3).otherwise(0)
     )
 
@@ -110,11 +110,11 @@ def heading_level_plain(c: Column) -> Column:
     """Lines without styles: decimal numbering by depth, a number with dot up to 50 characters 3, Chinese numbering 2, chapters 1, a short part before a full-width colon 2; else 0."""
     t = F.trim(c)
     n = F.length(t)
-    head = F.trim(F.substring_index(t, "\uff1a", 1))
+    head = F.trim(F.substring_index(t, "：", 1))
     return (
         F.when(t.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+\s+\S"), 4).when(t.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\s+\S"), 3).when(t.rlike(r"^[0-9]+\.[0-9]+\s+\S"), 2)
-        .when(t.rlike(r"^[0-9]+[.\x{3001}]\s*\S") & (n <= 50), 3).when(t.rlike(r"^[一二三四五六七八九十]+[\x{3001}.\s]"), 2).when(t.rlike(CHAPTER), 1)
-        .when(F.contains(t, F.lit("\uff1a")) & (n <= 80) & (F.length(head) <= 15) & (head.rlike(PREFIXED) | (F.length(head) <= 10)), 2).otherwise(0)
+        .when(t.rlike(r"^[0-9]+[.、]\s*\S") & (n <= 50), 3).when(t.rlike(r"^[一二三四五六七八九十]+[、.\s]"), 2).when(t.rlike(CHAPTER), 1)
+        .when(F.contains(t, F.lit("：")) & (n <= 80) & (F.length(head) <= 15) & (head.rlike(PREFIXED) | (F.length(head) <= 10)), 2).otherwise(0)
     )
 
 
@@ -165,7 +165,7 @@ def extension(c: Column) -> Column:
 
 
 def truncate(c: Column, n: int = 120) -> Column:
-    return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n - 1), F.lit("\u2026"))).otherwise(c)
+    return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n - 1), F.lit("…"))).otherwise(c)
 
 
 def slide_list(c: Column) -> Column:
@@ -197,7 +197,7 @@ def relative_age(ts: Column, now: Column) -> Column:
 
 def iso_date(c: Column) -> Column:
     """First date with year, month and day apart by dot, dash or the year and month signs, zero-padded."""
-    p = r"([0-9]{4})[\x{5e74}.-]([0-9]{1,2})[\x{6708}.-]([0-9]{1,2})"
+    p = r"([0-9]{4})[年.-]([0-9]{1,2})[月.-]([0-9]{1,2})"
     return F.when(c.rlike(p), F.concat_ws("-", F.regexp_extract(c, p, 1), F.lpad(F.regexp_extract(c, p, 2), 2, "0"), F.lpad(F.regexp_extract(c, p, 3), 2, "0")))
 
 

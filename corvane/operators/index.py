@@ -12,18 +12,31 @@ def keywords(docs: DataFrame, min_length: int = 4, min_count: int = 5) -> DataFr
     return words.groupBy("keyword", "doc_id").agg(F.count(F.lit(1)).alias("frequency")).where(F.col("frequency") >= min_count)
 
 
+#: Document ids that one row of a posting list covers, so that a common word's list is many rows and none is unbounded.
+BLOCK_IDS = 1024
+
+
+def posting_lists(postings: DataFrame, key: str, ids: int = BLOCK_IDS) -> DataFrame:
+    """(key, block, documents): the sorted documents of a key as text, a row for each range of `ids` document ids."""
+    block = F.floor(F.col("doc_id") / ids).alias("block")
+    return postings.groupBy(key, block).agg(F.array_join(F.array_sort(F.collect_set("doc_id")).cast("array<string>"), ",").alias("documents"))
+
+
+def keyword_totals(postings: DataFrame) -> DataFrame:
+    """(keyword, frequency, document_count)."""
+    return postings.groupBy("keyword").agg(F.sum("frequency").alias("frequency"), F.count(F.lit(1)).alias("document_count"))
+
+
 def keyword_index(postings: DataFrame) -> DataFrame:
-    """(keyword, frequency, document_count, documents): sums and the sorted posting list as text."""
-    return postings.groupBy("keyword").agg(
-        F.sum("frequency").alias("frequency"), F.count(F.lit(1)).alias("document_count"), F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), ",").alias("documents")
-    )
+    """(keyword, frequency, document_count, block, documents): totals with the posting lists."""
+    return keyword_totals(postings).join(posting_lists(postings, "keyword"), "keyword")
 
 
 def concept_index(mentions: DataFrame) -> DataFrame:
-    """mentions(concept, doc_id, definition, importance, ord) -> last definition that is there, greatest importance, mentions and documents."""
+    """mentions(concept, doc_id, definition, importance, ord) -> last definition that is there, greatest importance, mentions and documents; posting_lists() has which ones."""
     return mentions.groupBy("concept").agg(
         F.max_by("definition", F.when(F.col("definition").isNotNull(), F.col("ord"))).alias("definition"), F.max("importance").alias("importance"),
-        F.count(F.lit(1)).alias("mention_count"), F.count_distinct("doc_id").alias("document_count"), F.array_join(F.array_sort(F.collect_set("doc_id")).cast("array<string>"), ",").alias("documents"),
+        F.count(F.lit(1)).alias("mention_count"), F.count_distinct("doc_id").alias("document_count"),
     )
 
 
@@ -89,22 +102,29 @@ def top(index: DataFrame, metric: str, key: str, n: int) -> DataFrame:
     return index.orderBy(F.desc(metric), key).limit(n)
 
 
-def relations(postings: DataFrame, max_df: int | None, details: int = 10) -> DataFrame:
-    """postings(term, doc_id) -> (source, target, weight, details): documents that share terms, the smaller id first.
+def relations(postings: DataFrame, max_df: int | None = None, details: int = 10, block: int = 2000) -> DataFrame:
+    """postings(kind, term, doc_id) -> (source, target, type, weight, details): documents that share terms of a kind, the smaller id first.
 
-    The join runs on terms. Terms in more than max_df documents would pair all of those and are left out; None counts
-    every shared term, at a row for each pair of a term's documents.
+    weight: all shared terms; details: the first of them by name. The join runs on terms, and a term of many documents
+    is dealt over pairs of blocks, so no task meets more than `block` documents of it on a side. The pairs of a term
+    grow with the square of its documents; max_df leaves out terms of more documents than that.
     """
-    rare = postings.select("term", "doc_id").distinct()
+    own = postings.select(F.coalesce("kind", F.lit("")).alias("kind"), "term", "doc_id").where("term is not null and doc_id is not null").distinct()
+    sizes = own.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1")
     if max_df is not None:
-        rare = rare.join(rare.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") <= max_df).select("term"), "term")
-    a, b = rare.select("term", F.col("doc_id").alias("source")), rare.select("term", F.col("doc_id").alias("target"))
-    pairs = a.join(b, "term").where("source < target")
-    return pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"), F.array_join(F.slice(F.array_sort(F.collect_set("term")), 1, details), ",").alias("details"))
+        sizes = sizes.where(F.col("_df") <= max_df)
+    own = own.join(sizes.withColumn("_k", F.ceil(F.col("_df") / block).cast("int")), ["kind", "term"])
+    own = own.withColumn("_own", F.pmod(F.xxhash64("doc_id"), F.col("_k")).cast("int"))
+    a = own.select("kind", "term", F.col("doc_id").alias("a"), F.col("_own").alias("i"), F.explode(F.expr("sequence(_own, _k - 1)")).alias("j"))
+    b = own.select("kind", "term", F.col("doc_id").alias("b"), F.explode(F.expr("sequence(0, _own)")).alias("i"), F.col("_own").alias("j"))
+    pairs = a.join(b, ["kind", "term", "i", "j"]).where("i < j or a < b")
+    pairs = pairs.groupBy(F.least("a", "b").alias("source"), F.greatest("a", "b").alias("target"), F.col("kind").alias("type"))
+    return pairs.agg(F.count(F.lit(1)).alias("weight"), F.array_join(F.slice(F.array_sort(F.collect_list("term")), 1, details), ",").alias("details"))
 
 
 def related(edges: DataFrame, links: int = 15) -> DataFrame:
-    """(doc_id, related, weight, rank): the strongest partners of each document."""
+    """(doc_id, related, weight, rank): the strongest partners of each document, over all kinds of relations."""
+    edges = edges.groupBy("source", "target").agg(F.sum("weight").alias("weight"))
     both = edges.select(F.col("source").alias("doc_id"), F.col("target").alias("related"), "weight").union(edges.select(F.col("target"), F.col("source"), "weight"))
     w = Window.partitionBy("doc_id").orderBy(F.desc("weight"), "related")
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= links)

@@ -1,4 +1,7 @@
-"""One-to-one matching of names: scores in SQL, greedy consumption in order, strategy cascade."""
+"""One-to-one matching of names within listings: scores in SQL, greedy consumption in order, strategy cascade.
+
+Inputs have a column name and may have a column listing; names meet within their listing alone.
+"""
 
 from __future__ import annotations
 
@@ -6,41 +9,60 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import name_numbers, name_tokens
+from corvane.sources.tables import written
+
+PAIRS = ["listing", "l", "r", "score"]
+
+
+def _named(names: DataFrame, side: str) -> DataFrame:
+    listing = F.coalesce("listing", F.lit("")) if "listing" in names.columns else F.lit("")
+    return names.select(listing.alias("listing"), F.col("name").alias(side)).where("name is not null")
 
 
 def number_scores(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l, r, score) by numbers in names: equal last numbers 1.0, the left's last one among the right's 0.8. Joined on the number, not on all pairs."""
-    a = left.select(F.col("name").alias("l"), F.try_element_at(name_numbers(F.col("name")), F.lit(-1)).alias("_n")).where("_n is not null")
-    b = right.select(F.col("name").alias("r"), F.try_element_at(name_numbers(F.col("name")), F.lit(-1)).alias("_last"), F.explode(F.array_distinct(name_numbers(F.col("name")))).alias("_n"))
-    return a.join(b, "_n").select("l", "r", F.when(F.col("_last") == F.col("_n"), 1.0).otherwise(0.8).alias("score"))
+    """(listing, l, r, score) by numbers in names: equal last numbers 1.0, the left's last one among the right's 0.8. Joined on the number, not on all pairs."""
+    a = _named(left, "l").select("listing", "l", F.try_element_at(name_numbers(F.col("l")), F.lit(-1)).alias("_n")).where("_n is not null")
+    b = _named(right, "r").select("listing", "r", F.try_element_at(name_numbers(F.col("r")), F.lit(-1)).alias("_last"), F.explode(F.array_distinct(name_numbers(F.col("r")))).alias("_n"))
+    return a.join(b, ["listing", "_n"]).select("listing", "l", "r", F.when(F.col("_last") == F.col("_n"), 1.0).otherwise(0.8).alias("score"))
 
 
 def token_scores(left: DataFrame, right: DataFrame, least: float = 0.3) -> DataFrame:
-    """(l, r, score) by Jaccard similarity of name tokens over `least`; pairs come from shared tokens."""
-    a = left.select(F.col("name").alias("l"), name_tokens(F.col("name")).alias("_a"))
-    b = right.select(F.col("name").alias("r"), name_tokens(F.col("name")).alias("_b"))
-    shared = a.select("l", F.size("_a").alias("_na"), F.explode("_a").alias("_t")).join(b.select("r", F.size("_b").alias("_nb"), F.explode("_b").alias("_t")), "_t")
-    both = shared.groupBy("l", "r", "_na", "_nb").agg(F.count(F.lit(1)).alias("_n"))
+    """(listing, l, r, score) by Jaccard similarity of name tokens over `least`; pairs come from shared tokens."""
+    a = _named(left, "l").select("listing", "l", name_tokens(F.col("l")).alias("_a"))
+    b = _named(right, "r").select("listing", "r", name_tokens(F.col("r")).alias("_b"))
+    shared = a.select("listing", "l", F.size("_a").alias("_na"), F.explode("_a").alias("_t")).join(b.select("listing", "r", F.size("_b").alias("_nb"), F.explode("_b").alias("_t")), ["listing", "_t"])
+    both = shared.groupBy("listing", "l", "r", "_na", "_nb").agg(F.count(F.lit(1)).alias("_n"))
     score: Column = F.col("_n") / (F.col("_na") + F.col("_nb") - F.col("_n"))
-    return both.select("l", "r", F.round(score, 6).alias("score")).where(F.col("score") > least)
+    return both.select("listing", "l", "r", F.round(score, 6).alias("score")).where(F.col("score") > least)
 
 
 def similarity_scores(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
-    """(l, r, score) by the Ratcliff-Obershelp ratio over `least`; all pairs are scored, so this is for listings of files."""
+    """(listing, l, r, score) by the Ratcliff-Obershelp ratio over `least`.
+
+    The ratio has no key to join on, so names meet by listing. Only pairs whose lengths and counts of characters allow
+    more than `least` reach the scorer: no more can match than the shorter name, or than the common characters, have.
+    """
     import pandas as pd
 
     @F.pandas_udf("double")
     def ratio(a, b):
         from difflib import SequenceMatcher
 
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    def counted(names: DataFrame, side: str) -> DataFrame:
+        letters = F.array_sort(F.filter(F.split(side, ""), lambda x: x != ""))
+        runs = F.transform(letters, lambda x, i: F.concat(x, (i - F.array_position(letters, x)).cast("string")))  # the k-th of a character is itself and k
+        return _named(names, side).withColumn(f"_{side}", runs)
 
-    pairs = left.select(F.col("name").alias("l")).join(right.select(F.col("name").alias("r")))
-    return pairs.select("l", "r", F.round(ratio("l", "r"), 6).alias("score")).where(F.col("score") > least)
+    pairs = counted(left, "l").join(counted(right, "r"), "listing")
+    both, bound = F.size("_l") + F.size("_r"), F.lit(least)
+    pairs = pairs.where((2 * F.least(F.size("_l"), F.size("_r")) > bound * both) & (2 * F.size(F.array_intersect("_l", "_r")) > bound * both)) if least > 0 else pairs
+    return pairs.select("listing", "l", "r", F.round(ratio("l", "r"), 6).alias("score")).where(F.col("score") > least)
 
 
 def greedy(scores: DataFrame) -> DataFrame:
-    """(l, r, score): lefts in name order take their best free right, the first in name order on ties. Sequential by nature: one task per listing."""
+    """(listing, l, r, score): lefts in name order take their best free right, the first in name order on ties. Sequential by nature: one task per listing."""
     import pandas as pd
 
     def consume(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -50,24 +72,23 @@ def greedy(scores: DataFrame) -> DataFrame:
             if len(free):
                 best = free.loc[free["score"].idxmax()]
                 used.add(best["r"])
-                rows.append((left, best["r"], float(best["score"])))
-        return pd.DataFrame(rows, columns=["l", "r", "score"])
+                rows.append((best["listing"], left, best["r"], float(best["score"])))
+        return pd.DataFrame(rows, columns=PAIRS)
 
-    return scores.groupBy(F.lit(1).alias("_one")).applyInPandas(lambda pdf: consume(pdf[["l", "r", "score"]]), "l string, r string, score double")
+    return scores.groupBy("listing").applyInPandas(lambda pdf: consume(pdf[PAIRS].reset_index(drop=True)), "listing string, l string, r string, score double")
 
 
 def auto(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Numbers if they pair four fifths of the left; else tokens, else similarity, where they pair strictly more; else numbers."""
-    n_left = left.count()
-    by_number = greedy(number_scores(left, right)).withColumn("strategy", F.lit("number"))
-    n = by_number.count()
-    if n >= 0.8 * n_left:
-        return by_number
-    by_token = greedy(token_scores(left, right)).withColumn("strategy", F.lit("keyword"))
-    if by_token.count() > n:
-        return by_token
-    by_likeness = greedy(similarity_scores(left, right)).withColumn("strategy", F.lit("similarity"))
-    return by_likeness if by_likeness.count() > n else by_number
+    """For each listing numbers if they pair four fifths of its lefts; else tokens, else similarity, where they pair strictly more; else numbers."""
+    n_left = _named(left, "l").groupBy("listing").agg(F.count(F.lit(1)).alias("n_left"))
+    found = None
+    for strategy, scores in (("number", number_scores), ("keyword", token_scores), ("similarity", similarity_scores)):
+        one = greedy(scores(left, right)).withColumn("strategy", F.lit(strategy))
+        found = one if found is None else found.union(one)
+    found = written(found, "matches")
+    per = n_left.join(found.groupBy("listing").pivot("strategy", ["number", "keyword", "similarity"]).count(), "listing", "left").na.fill(0)
+    pick = F.when(F.col("number") >= 0.8 * F.col("n_left"), "number").when(F.col("keyword") > F.col("number"), "keyword").when(F.col("similarity") > F.col("number"), "similarity").otherwise("number")
+    return found.join(per.select("listing", pick.alias("strategy")), ["listing", "strategy"]).select(*PAIRS, "strategy")
 
 
 def occurrences(used: DataFrame, known: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.sources.tables import written
+
 ISSUE = ["doc_id", "category", "severity", "rule", "expected", "actual", "location"]
 
 
@@ -127,3 +131,31 @@ def summary_report(docs: DataFrame, reports: dict[str, DataFrame]) -> DataFrame:
         out = out.join(r.select("doc_id", F.col("n").alias(name)), "doc_id", "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
     total = sum((F.col(n) for n in reports), F.lit(0))
     return out.withColumn("total", total.cast("long"))
+
+
+def inspect_and_fix(docs: DataFrame, inspect: Callable[[DataFrame], DataFrame], fix: Callable[[DataFrame, DataFrame], DataFrame], most_rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(docs after the fixes, rounds(doc_id, round, rule, n)): inspect, fix and inspect again, until all grades are A or A- or nothing more can be fixed, at most so many rounds.
+
+    inspect: issues(doc_id, severity, rule) of docs; fix: docs with the repairs of todo(doc_id, rule). A round mends one
+    rule of each document that is not good enough, critical ones first, then by name; each round's documents are written.
+    """
+    history = None
+    for n in range(1, most_rounds + 1):
+        issues = written(inspect(docs), "issues")
+        poor = grade(issues).where("grade not in ('A', 'A-')").select("doc_id")
+        per = issues.join(poor, "doc_id").groupBy("doc_id", "rule").agg(F.min("severity").alias("severity"), F.count(F.lit(1)).alias("n"))
+        first = per.groupBy("doc_id").agg(F.min(F.struct("severity", "rule", "n")).alias("f"))  # critical comes before warning
+        todo = written(first.select("doc_id", F.lit(n).alias("round"), "f.rule", "f.n"), "todo")
+        if todo.isEmpty():
+            break
+        docs = written(fix(docs, todo.select("doc_id", "rule")), "fixed")
+        history = todo if history is None else history.union(todo)
+    return docs, history if history is not None else docs.sparkSession.createDataFrame([], "doc_id long, round int, rule string, n long")
+
+
+def fix_paragraphs(paragraphs: DataFrame, todo: DataFrame, alignment: str = "both", line: float = 1.5) -> DataFrame:
+    """paragraphs as paragraph_issues() takes them, with the rule that todo(doc_id, rule) names mended."""
+    out = paragraphs.join(todo, "doc_id", "left")
+    rule = F.coalesce("rule", F.lit(""))
+    new = {"alignment": F.when(rule == "alignment", F.lit(alignment)), "line": F.when(rule == "line", F.lit(line)), "first_line_chars": F.when(rule == "indent", F.lit(2.0))}
+    return out.select(*[F.coalesce(new[c], F.col(c)).alias(c) if c in new else F.col(c) for c in paragraphs.columns])

@@ -5,23 +5,28 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.operators import index as I
-from corvane.sources.tables import load, values, values_sql
+from corvane.operators.knowledge import KnowledgeBase
+from corvane.sources.tables import load, scratch, values, values_sql
 
 KEYWORD_SQL = r"""kw AS (SELECT keyword, doc_id, count(*) AS frequency FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS keyword FROM documents)
  WHERE length(keyword) >= 4 GROUP BY keyword, doc_id HAVING count(*) >= 5)"""
 CONCEPTS = "('graph', 1, 'first', 0.5, 1), ('graph', 2, CAST(NULL AS STRING), 0.9, 2), ('graph', 2, 'second', 0.2, 3), ('tree', 3, CAST(NULL AS STRING), 0.4, 4)"
 MENTIONS = ", ".join(["(1, 'person', 'Li Wei')"] * 3 + ["(1, 'person', 'Wang')"] + ["(1, 'term', 'graph theory')"] * 2 + ["(1, 'work', 'Essays')", "(2, 'work', 'Essays')", "(2, 'term', 'graph theory')"] + ["(2, 'person', 'Li Wei')"] * 2)
+HAN_TEXTS = "(-1, '王小明读《资本论》，王小明喜欢唯物史观。'), (-2, '李华与李华谈历史唯物主义。Historical Materialism and Historical Materialism.'), (-3, '《诗》'), (-4, ''), (-5, '《资本论》与《诗经》'), (-6, '《诗经》和《资本论》')"
 LOG = "(1, 'init', 10), (2, 'update', 3), (3, 'update', 1), (4, 'register', 8), (5, 'update', 0), (6, 'update', 2)"
-MAX_DF = 12
 
 
-def _terms(s, d):
-    return I.keywords(load(s, d, "documents")).select(F.col("keyword").alias("term"), "doc_id")
+def _shared(s, d):
+    """Keywords and cited works of documents, as what relations share."""
+    works = I.document_entities(I.mentions(_texts(s, d))).where("type = 'work'").select(F.lit("shared_works").alias("kind"), F.col("name").alias("term"), "doc_id")
+    return I.keywords(load(s, d, "documents")).select(F.lit("shared_terms").alias("kind"), F.col("keyword").alias("term"), "doc_id").union(works)
 
 
-EDGES_SQL = f"""p AS (SELECT DISTINCT keyword AS term, doc_id FROM kw), rare AS (SELECT * FROM p WHERE term IN (SELECT term FROM p GROUP BY term HAVING count(*) <= {MAX_DF})),
- pairs AS (SELECT a.doc_id AS source, b.doc_id AS target, a.term FROM rare a JOIN rare b ON a.term = b.term AND a.doc_id < b.doc_id),
- edges AS (SELECT source, target, count(*) AS weight, array_to_string(list_sort(list(DISTINCT term))[1:10], ',') AS details FROM pairs GROUP BY source, target)"""
+EDGES_SQL = f"""wk AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(text, '{I.WORK}', 1), lambda x: length(x) BETWEEN 2 AND 20)) AS name FROM (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM {values_sql('doc_id, text', HAN_TEXTS)})),
+ wr AS (SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, name) AS rank FROM wk GROUP BY doc_id, name),
+ p AS (SELECT DISTINCT 'shared_terms' AS kind, keyword AS term, doc_id FROM kw UNION ALL SELECT 'shared_works', name, doc_id FROM wr WHERE rank <= 30),
+ pairs AS (SELECT a.doc_id AS source, b.doc_id AS target, a.kind AS type, a.term FROM p a JOIN p b ON a.kind = b.kind AND a.term = b.term AND a.doc_id < b.doc_id),
+ edges AS (SELECT source, target, type, count(*) AS weight, array_to_string(list_sort(list(DISTINCT term))[1:10], ',') AS details FROM pairs GROUP BY ALL)"""
 
 
 def _entities(s):
@@ -33,56 +38,94 @@ LIMIT_SQL = f"""per AS (SELECT doc_id, type, name, count(*) AS count FROM {value
  ents AS (SELECT * FROM ok WHERE rank <= CASE type WHEN 'term' THEN 50 ELSE 30 END)"""
 
 
-HAN_TEXTS = "(-1, '王小明读《资本论》，王小明喜欢唯物史观。'), (-2, '李华与李华谈历史唯物主义。Historical Materialism and Historical Materialism.'), (-3, '《诗》'), (-4, '')"
 
 
 def _texts(s, d):
     return load(s, d, "documents").select("doc_id", "text").union(values(s, "doc_id, text", HAN_TEXTS))
 
 
+def _kb(s, d):
+    """Built of all but one language; updated with another left out, titles of a third changed; another agent's documents registered."""
+    docs = load(s, d, "documents").select("doc_id", F.col("source").alias("title"), "text", "lang")
+    kb = KnowledgeBase(s, scratch(s, "kb"))
+    kb.init(docs.where("lang <> 'fr'"))
+    kb.update(docs.where("lang <> 'es'").withColumn("title", F.when(F.col("lang") == "de", F.concat("title", F.lit("!"))).otherwise(F.col("title"))))
+    kb.register(values(s, "doc_id, text", HAN_TEXTS).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("han").alias("title"), "text"), "reader")
+    return kb
+
+
 def queries():
     q = {}
+    q["c04_kb_status"] = lambda s, d: _kb(s, d).status()
+    q["c04_kb_log"] = lambda s, d: _kb(s, d).table("log")
+    q["c04_kb_documents"] = lambda s, d: _kb(s, d).table("documents").select("doc_id", "title", "agent", "added", "updated")
+    q["c04_kb_sources"] = lambda s, d: _kb(s, d).sources()
+    q["c04_kb_query_keywords"] = lambda s, d: _kb(s, d).query("keywords", "TIO")
+    q["c04_kb_query_entities"] = lambda s, d: _kb(s, d).query("entities", "本")
+    q["c04_kb_relations"] = lambda s, d: _kb(s, d).table("relations")
     q["a10_extracted_entities"] = lambda s, d: I.document_entities(I.mentions(_texts(s, d)))
     q["a07_keyword_index"] = lambda s, d: I.keyword_index(I.keywords(load(s, d, "documents")))
     q["a08_concept_index"] = lambda s, d: I.concept_index(values(s, "concept, doc_id, definition, importance, ord", CONCEPTS).withColumn("importance", F.col("importance").cast("double")))
+    q["a08_concept_postings"] = lambda s, d: I.posting_lists(values(s, "concept, doc_id, definition, importance, ord", CONCEPTS), "concept")
     q["a09_entity_index"] = lambda s, d: I.entity_index(_entities(s)).select("type", F.coalesce("name", F.lit("(all)")).alias("name"), "count", "document_count")
     q["a10_document_entities"] = lambda s, d: _entities(s)
-    q["a12_catalog"] = lambda s, d: I.catalog(load(s, d, "documents"), I.keyword_index(I.keywords(load(s, d, "documents"))), I.relations(_terms(s, d), MAX_DF))
-    q["j11_relations"] = lambda s, d: I.relations(_terms(s, d), MAX_DF)
-    q["j12_related"] = lambda s, d: I.related(I.relations(_terms(s, d), MAX_DF))
+    q["a12_catalog"] = lambda s, d: I.catalog(load(s, d, "documents"), I.keyword_totals(I.keywords(load(s, d, "documents"))), I.relations(_shared(s, d)))
+    q["j11_relations"] = lambda s, d: I.relations(_shared(s, d))
+    q["j12_related"] = lambda s, d: I.related(I.relations(_shared(s, d)))
     q["j18_purge"] = lambda s, d: I.keyword_index(I.purge(I.keywords(load(s, d, "documents")), load(s, d, "labels").where("quality = 0")))
     q["c04_incremental_merge"] = lambda s, d: I.keyword_index(I.merge_postings(I.keywords(load(s, d, "documents").where("lang <> 'fr'")), I.keywords(load(s, d, "documents").where("lang in ('fr', 'de')")), load(s, d, "documents").where("lang = 'es'").select("doc_id")))
-    q["p06_search"] = lambda s, d: I.search(I.keyword_index(I.keywords(load(s, d, "documents"))), "keyword", "TIO", [F.desc("frequency"), "keyword"])
-    q["o02_top_keywords"] = lambda s, d: I.top(I.keyword_index(I.keywords(load(s, d, "documents"))).select("keyword", "frequency"), "frequency", "keyword", 20)
+    q["p06_search"] = lambda s, d: I.search(I.keyword_totals(I.keywords(load(s, d, "documents"))), "keyword", "TIO", [F.desc("frequency"), "keyword"])
+    q["o02_top_keywords"] = lambda s, d: I.top(I.keyword_totals(I.keywords(load(s, d, "documents"))).select("keyword", "frequency"), "frequency", "keyword", 20)
     q["w09_log_tail"] = lambda s, d: I.log_tail(values(s, "version, action, n", LOG))
     return q
 
 
-def oracle_sql():
-    q = {}
-    index = "SELECT keyword, CAST(sum(frequency) AS BIGINT) AS frequency, count(*) AS document_count, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS documents FROM kw"
-    q["a07_keyword_index"] = f"WITH {KEYWORD_SQL} {index} GROUP BY keyword"
-    rows = CONCEPTS.replace("AS STRING", "AS VARCHAR")
-    q["a08_concept_index"] = f"""SELECT concept, arg_max(definition, CASE WHEN definition IS NOT NULL THEN ord END) AS definition, CAST(max(importance) AS DOUBLE) AS importance, count(*) AS mention_count, count(DISTINCT doc_id) AS document_count,
- array_to_string(list_sort(list(DISTINCT doc_id)), ',') AS documents FROM {values_sql("concept, doc_id, definition, importance, ord", rows)} GROUP BY concept"""
-    q["a09_entity_index"] = f"""WITH {LIMIT_SQL} SELECT type, coalesce(name, '(all)') AS name, CAST(sum(count) AS BIGINT) AS count, count(DISTINCT doc_id) AS document_count FROM ents GROUP BY ROLLUP (type, name) HAVING type IS NOT NULL"""
-    q["a10_document_entities"] = f"WITH {LIMIT_SQL} SELECT * FROM ents"
+def _entity_sql(texts):
     win = lambda n: f"list_transform(range(1, greatest(length(text), 1) + 1), lambda i: substr(text, i, {n}))"
     named = rf"regexp_matches(x, '^[{I.SURNAMES}][\x{{4e00}}-\x{{9fff}}]{{1,2}}$') AND NOT regexp_matches(x, '{I.NO_NAMES}')"
-    q["a10_extracted_entities"] = f"""WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM {values_sql("doc_id, text", HAN_TEXTS)}),
+    return f"""t AS {texts},
  m AS (SELECT doc_id, 'person' AS type, unnest(list_filter(list_concat({win(2)}, {win(3)}), lambda x: {named})) AS name FROM t WHERE regexp_matches(text, '[{I.SURNAMES}]')
   {" ".join(f"UNION ALL SELECT doc_id, 'term', unnest(list_filter(regexp_extract_all(text, '{p}'), lambda x: length(x) BETWEEN 2 AND 20)) FROM t" for p in I.TERMS)}
   UNION ALL SELECT doc_id, 'work', unnest(list_filter(regexp_extract_all(text, '{I.WORK}', 1), lambda x: length(x) BETWEEN 2 AND 20)) FROM t),
- per AS (SELECT doc_id, type, name, count(*) AS count FROM m GROUP BY ALL), ok AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, type ORDER BY count DESC, name) AS INTEGER) AS rank FROM per WHERE count >= CASE type WHEN 'work' THEN 1 ELSE 2 END)
- SELECT * FROM ok WHERE rank <= CASE type WHEN 'term' THEN 50 ELSE 30 END"""
+ per AS (SELECT doc_id, type, name, count(*) AS count FROM m GROUP BY ALL), ok AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, type ORDER BY count DESC, name) AS INTEGER) AS rank FROM per WHERE count >= CASE type WHEN 'work' THEN 1 ELSE 2 END)"""
+
+
+def oracle_sql():
+    q = {}
+    totals = "SELECT keyword, CAST(sum(frequency) AS BIGINT) AS frequency, count(*) AS document_count FROM own GROUP BY keyword"
+    lists = f"SELECT keyword, CAST(floor(doc_id / {I.BLOCK_IDS}) AS BIGINT) AS block, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS documents FROM own GROUP BY ALL"
+    index = lambda where="true": f"WITH {KEYWORD_SQL}, own AS (SELECT * FROM kw WHERE {where}) SELECT * FROM ({totals}) JOIN ({lists}) USING (keyword)"
+    q["a07_keyword_index"] = index()
+    rows = CONCEPTS.replace("AS STRING", "AS VARCHAR")
+    q["a08_concept_index"] = f"""SELECT concept, arg_max(definition, CASE WHEN definition IS NOT NULL THEN ord END) AS definition, CAST(max(importance) AS DOUBLE) AS importance, count(*) AS mention_count, count(DISTINCT doc_id) AS document_count FROM {values_sql("concept, doc_id, definition, importance, ord", rows)} GROUP BY concept"""
+    q["a08_concept_postings"] = f"SELECT concept, 0::BIGINT AS block, array_to_string(list_sort(list(DISTINCT doc_id)), ',') AS documents FROM {values_sql('concept, doc_id, definition, importance, ord', rows)} GROUP BY concept"
+    q["a09_entity_index"] = f"""WITH {LIMIT_SQL} SELECT type, coalesce(name, '(all)') AS name, CAST(sum(count) AS BIGINT) AS count, count(DISTINCT doc_id) AS document_count FROM ents GROUP BY ROLLUP (type, name) HAVING type IS NOT NULL"""
+    q["a10_document_entities"] = f"WITH {LIMIT_SQL} SELECT * FROM ents"
+    texts = f"(SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM {values_sql('doc_id, text', HAN_TEXTS)})"
+    q["a10_extracted_entities"] = f"WITH {_entity_sql(texts)} SELECT * FROM ok WHERE rank <= CASE type WHEN 'term' THEN 50 ELSE 30 END"
+    kept = "doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'es')"
+    ents = f"""{_entity_sql("(SELECT doc_id, text FROM documents WHERE lang <> 'es' UNION ALL SELECT doc_id, text FROM " + values_sql("doc_id, text", HAN_TEXTS) + ")")},
+ en AS (SELECT doc_id, type, name, count FROM ok WHERE rank <= CASE type WHEN 'term' THEN 50 ELSE 30 END),
+ rel AS (SELECT a.doc_id AS source, b.doc_id AS target, 'shared_' || a.type || 's' AS type, count(*) AS weight, array_to_string(list_sort(list(a.name))[1:10], ',') AS details FROM en a JOIN en b ON a.type = b.type AND a.name = b.name AND a.doc_id < b.doc_id WHERE a.type <> 'person' GROUP BY ALL)"""
+    q["c04_kb_status"] = f"""WITH {KEYWORD_SQL}, {ents} SELECT 3::BIGINT AS version, (SELECT count(*) FROM documents WHERE lang <> 'es') + 6 AS document_count, (SELECT count(DISTINCT keyword) FROM kw WHERE {kept}) AS keyword_count,
+ (SELECT count(*) FROM (SELECT DISTINCT type, name FROM en)) AS entity_count, (SELECT count(*) FROM rel) AS relation_count"""
+    lang = lambda k: f"(SELECT count(*) FROM documents WHERE lang {k})"
+    q["c04_kb_log"] = f"SELECT * FROM (VALUES (1::BIGINT, 'init', 'documents', {lang(chr(60) + chr(62) + ' ' + chr(39) + 'fr' + chr(39))}, 0::BIGINT, 0::BIGINT), (2, 'update', 'documents', {lang('= ' + chr(39) + 'fr' + chr(39))}, {lang('= ' + chr(39) + 'de' + chr(39))}, {lang('= ' + chr(39) + 'es' + chr(39))}), (3, 'register', 'reader', 6, 0, 0)) AS t(version, action, agent, n_new, n_changed, n_removed)"
+    documents = f"""SELECT doc_id, CASE WHEN lang = 'de' THEN source || '!' ELSE source END AS title, 'documents' AS agent, CASE WHEN lang = 'fr' THEN 2 ELSE 1 END::BIGINT AS added, CASE WHEN lang IN ('de', 'fr') THEN 2 ELSE 1 END::BIGINT AS updated FROM documents WHERE lang <> 'es'
+ UNION ALL SELECT doc_id, 'han', 'reader', 3, 3 FROM {values_sql("doc_id, text", HAN_TEXTS)}"""
+    q["c04_kb_documents"] = documents
+    q["c04_kb_sources"] = f"SELECT agent, count(*) AS doc_count, max(updated) AS last_version FROM ({documents}) GROUP BY agent"
+    q["c04_kb_query_keywords"] = f"WITH {KEYWORD_SQL}, own AS (SELECT * FROM kw WHERE {kept}) {totals} HAVING contains(keyword, 'tio') ORDER BY 2 DESC, keyword LIMIT 10"
+    q["c04_kb_query_entities"] = f"WITH {ents}, q AS (SELECT type, name, CAST(sum(count) AS BIGINT) AS count, count(*) AS document_count FROM en WHERE contains(name, '本') GROUP BY ALL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY type ORDER BY count DESC, name) AS INTEGER) AS rank FROM q) SELECT * FROM r WHERE rank <= 10"
+    q["c04_kb_relations"] = f"WITH {ents} SELECT * FROM rel"
     q["a12_catalog"] = f"""WITH {KEYWORD_SQL}, {EDGES_SQL}, ix AS (SELECT keyword, sum(frequency) AS f FROM kw GROUP BY keyword), best AS (SELECT * FROM ix ORDER BY f DESC, keyword LIMIT 20)
  SELECT (SELECT count(*) FROM documents) AS document_count, (SELECT count(*) FROM ix) AS keyword_count, (SELECT count(*) FROM edges) AS relation_count, (SELECT string_agg(keyword, ',' ORDER BY f DESC, keyword) FROM best) AS top_keywords"""
     q["j11_relations"] = f"WITH {KEYWORD_SQL}, {EDGES_SQL} SELECT * FROM edges"
-    q["j12_related"] = f"""WITH {KEYWORD_SQL}, {EDGES_SQL}, b AS (SELECT source AS doc_id, target AS related, weight FROM edges UNION ALL SELECT target, source, weight FROM edges),
+    q["j12_related"] = f"""WITH {KEYWORD_SQL}, {EDGES_SQL}, w AS (SELECT source, target, CAST(sum(weight) AS BIGINT) AS weight FROM edges GROUP BY ALL), b AS (SELECT source AS doc_id, target AS related, weight FROM w UNION ALL SELECT target, source, weight FROM w),
  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, related) AS INTEGER) AS rank FROM b) SELECT * FROM r WHERE rank <= 15"""
-    q["j18_purge"] = f"WITH {KEYWORD_SQL} {index} WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) GROUP BY keyword"
-    q["c04_incremental_merge"] = f"WITH {KEYWORD_SQL} {index} WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'es') GROUP BY keyword"
-    q["p06_search"] = f"WITH {KEYWORD_SQL} {index} WHERE contains(keyword, 'tio') GROUP BY keyword ORDER BY sum(frequency) DESC, keyword LIMIT 10"
+    q["j18_purge"] = index("doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+    q["c04_incremental_merge"] = index("doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'es')")
+    q["p06_search"] = f"WITH {KEYWORD_SQL}, own AS (SELECT * FROM kw) {totals} HAVING contains(keyword, 'tio') ORDER BY 2 DESC, keyword LIMIT 10"
     q["o02_top_keywords"] = f"WITH {KEYWORD_SQL} SELECT keyword, CAST(sum(frequency) AS BIGINT) AS frequency FROM kw GROUP BY keyword ORDER BY 2 DESC, 1 LIMIT 20"
     q["w09_log_tail"] = f"SELECT * FROM {values_sql('version, action, n', LOG)} ORDER BY version DESC LIMIT 5"
     return q

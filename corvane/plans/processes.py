@@ -12,8 +12,8 @@ from corvane.plans import operations
 from corvane.sources.tables import load, scratch, values, values_sql
 from corvane.streaming import progress as G
 
-LEFT_FILES = "('report_01.docx'), ('report_02.docx'), ('notes final.txt'), ('budget 2024 v7.xlsx')"
-RIGHT_FILES = "('summary_01.pdf'), ('summary_3_02.pdf'), ('final notes.md'), ('7_of_9.csv'), ('report_02_copy_5.docx')"
+LEFT_FILES = "('a', 'report_01.docx'), ('a', 'report_02.docx'), ('a', 'notes final.txt'), ('a', 'budget 2024 v7.xlsx'), ('b', 'minutes of may.txt'), ('b', 'minutes of june.txt'), ('c', 'abcdef'), ('c', 'ghijkl'), ('d', 'report_01.docx')"
+RIGHT_FILES = "('a', 'summary_01.pdf'), ('a', 'summary_3_02.pdf'), ('a', 'final notes.md'), ('a', '7_of_9.csv'), ('a', 'report_02_copy_5.docx'), ('b', 'june minutes.txt'), ('b', 'may minutes.txt'), ('c', 'ghijkx'), ('c', 'xabcdef'), ('d', 'other.docx')"
 SLOTS = "(1, 's1', 11, 'Title 1', 40, 'Old heading', 1, 400.0, 80.0, 32.0, 1), (1, 's2', 12, 'Body', 200, 'A body text of some length that stands here already', 5, 300.0, 200.0, CAST(NULL AS DOUBLE), 2), (2, 's3', 13, 'Title 1', 30, 'Name', 1, 60.0, 30.0, 26.0, 1), (2, 's4', 14, 'Foot', 660, 'page', 1, 100.0, 20.0, 10.0, 1)"
 SLOT_COLUMNS = "slide, slot_id, shape_id, shape_name, top, text, n_text, width, height, font_px, old_paragraphs"
 PLAN = "(1, 1, 's1', NULL, NULL, 'Hello'), (2, 1, NULL, 12, 'x', 'Some words'), (3, 2, NULL, 99, 'Title 1', 'A text that is far too long for its slot'), (4, 2, 'zz', NULL, NULL, 'lost')"
@@ -96,19 +96,52 @@ def _stream(s, d):
     base = scratch(s, "progress")
     G.log_lines(load(s, d, "events")).write.text(f"{base}/in")
     G.run_stream(s, f"{base}/in", f"{base}/out", f"{base}/offsets")
-    out = s.read.parquet(f"{base}/out")
-    return out.groupBy("task_id").agg(F.max_by(F.struct("status", "percent", "n_events"), "batch").alias("s")).select("task_id", "s.*")
+    return G.last_states(s, f"{base}/out")
+
+
+def _run(s, d):
+    """Orders as workflows of steps: a customer's orders in turn, priorities as strategies."""
+    o = load(s, d, "orders")
+    strategy = F.when(F.col("o_orderpriority").startswith("1"), "skip").when(F.col("o_orderpriority").startswith("2"), "retry").when(F.col("o_orderpriority").startswith("3"), "fail")
+    return o.select(F.col("o_custkey").alias("workflow"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("s"), "o_orderkey").alias("id"), (F.col("o_orderkey") % 5 != 0).alias("condition"), (F.col("o_orderstatus") != "F").alias("success"), strategy.alias("strategy"))
+
+
+def _step_events(s, d):
+    kind = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "completed").otherwise("other")
+    return load(s, d, "events").select(F.col("user_id").alias("project"), F.col("event_id").alias("seq"), F.date_format("ts", "HH").alias("step"), kind.alias("event"), F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("string")).otherwise("").alias("output"))
+
+
+MATRIX = ("('intro', 'a', 'structure ia'), ('intro', 'g', 'structure ig'), ('defense', 'g', 'structure dg')", "('plain', 'grey'), ('tech', 'blue')", "('a', 'impact'), ('g', 'balance')")
+
+
+def _choices(s, d):
+    c = load(s, d, "customer")
+    k = F.col("c_custkey")
+    return c.select(k.alias("project"), F.when(k % 3 == 0, "intro").when(k % 3 == 1, "defense").alias("type"), F.when(k % 4 == 0, "tech").when(k % 4 == 1, "odd").alias("style"), F.when(k % 5 < 2, "a").when(k % 5 == 2, "g").alias("track"))
+
+
+def _leaves(s, d, override):
+    """Nested settings of each part: the override changes leaves, subtrees and leaves above them."""
+    p = load(s, d, "part").select(F.col("p_partkey").alias("config"), F.col("p_name").alias("v"))
+    k = F.col("config")
+    paths = F.when(k % 3 == 0, F.array(F.lit("a.b.c"), F.lit("n"))).when(k % 3 == 1, F.array(F.lit("a.b"))).otherwise(F.array(F.lit("t.x"), F.lit("a.q"))) if override else F.array(*[F.lit(x) for x in ("a.b.c", "a.b.d", "a.bc", "t", "u.v")])
+    return p.select("config", F.explode(paths).alias("path"), F.col("v").alias("value")).withColumn("value", F.concat(F.lit("new " if override else "old "), "value"))
 
 
 def queries():
     q = {}
+    q["c01_run_steps"] = lambda s, d: W.run_steps(_run(s, d))
+    q["c03_step_states"] = lambda s, d: W.step_states(_step_events(s, d))
+    q["c05_chosen_config"] = lambda s, d: W.chosen_config(_choices(s, d), values(s, "type, track, structure", MATRIX[0]), values(s, "style, visual", MATRIX[1]), values(s, "track, focus", MATRIX[2]), ("intro", "plain", "g"))
+    q["c05_core_points"] = lambda s, d: W.core_points(load(s, d, "orders").select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("pos"), F.concat_ws(" ", F.lit("order"), "o_orderpriority", "o_orderstatus").alias("text")))
+    q["f29_deep_merge"] = lambda s, d: W.deep_merge(_leaves(s, d, False), _leaves(s, d, True))
     q["t02_fold_stream"] = _stream
-    q["j06_number_scores"] = lambda s, d: M.number_scores(values(s, "name", LEFT_FILES), values(s, "name", RIGHT_FILES))
-    q["j06_greedy_numbers"] = lambda s, d: M.greedy(M.number_scores(values(s, "name", LEFT_FILES), values(s, "name", RIGHT_FILES)))
-    q["j07_token_scores"] = lambda s, d: M.token_scores(values(s, "name", LEFT_FILES), values(s, "name", RIGHT_FILES), 0.2)
-    q["j08_similarity"] = lambda s, d: M.greedy(M.similarity_scores(values(s, "name", LEFT_FILES), values(s, "name", RIGHT_FILES)))
-    q["f08_similarity_ratio"] = lambda s, d: M.similarity_scores(values(s, "name", "('abcd'), ('report one'), ('zzz')"), values(s, "name", "('bcde'), ('report two'), ('abcd')"), 0.0)
-    q["j09_auto_match"] = lambda s, d: M.auto(values(s, "name", LEFT_FILES), values(s, "name", RIGHT_FILES))
+    q["j06_number_scores"] = lambda s, d: M.number_scores(values(s, "listing, name", LEFT_FILES), values(s, "listing, name", RIGHT_FILES))
+    q["j06_greedy_numbers"] = lambda s, d: M.greedy(M.number_scores(values(s, "listing, name", LEFT_FILES), values(s, "listing, name", RIGHT_FILES)))
+    q["j07_token_scores"] = lambda s, d: M.token_scores(values(s, "listing, name", LEFT_FILES), values(s, "listing, name", RIGHT_FILES), 0.2)
+    q["j08_similarity"] = lambda s, d: M.greedy(M.similarity_scores(values(s, "listing, name", LEFT_FILES), values(s, "listing, name", RIGHT_FILES)))
+    q["f08_similarity_ratio"] = lambda s, d: M.similarity_scores(values(s, "name", "('abcd'), ('report one'), ('zzz')"), values(s, "name", "('bcde'), ('report two'), ('abcd')"), 0.0).drop("listing")
+    q["j09_auto_match"] = lambda s, d: M.auto(values(s, "listing, name", LEFT_FILES), values(s, "listing, name", RIGHT_FILES))
     q["j13_named_lookup"] = lambda s, d: S.named(values(s, "course, who", "('a', 'Li'), ('b', 'Wu'), ('c', 'Xi')"), values(s, "pos, name, id", "(1, 'Li', 't1'), (2, 'Li', 't2'), (3, 'Wu', 't3')"), "who", "teacher")
     q["j14_slot_lookup"] = lambda s, d: D.slot_lookup(_plan(s).withColumn("shape_id", F.col("shape_id").cast("string")), _slots(s))
     q["j15_cell_errors"] = lambda s, d: D.cell_errors(values(s, "edit, table_id, row, col", EDITS), values(s, "table_id, n_rows, n_cols", SIZES))
@@ -184,10 +217,27 @@ def problem(s):
 
 def oracle_sql():
     q = {}
-    nums = lambda rows: f"(SELECT name, regexp_extract_all(name, '[0-9]+') AS ns FROM {values_sql('name', rows)})"
-    q["j06_number_scores"] = f"SELECT l.name AS l, r.name AS r, CASE WHEN l.ns[-1] = r.ns[-1] THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS score FROM {nums(LEFT_FILES)} l, {nums(RIGHT_FILES)} r WHERE len(l.ns) > 0 AND list_contains(r.ns, l.ns[-1])"
-    toks = lambda rows: rf"(SELECT name, list_distinct(list_filter(string_split(regexp_replace(lower(name), '[^\p{{L}}\p{{N}}_]', ' ', 'g'), ' '), lambda x: x <> '')) AS ts FROM {values_sql('name', rows)})"
-    q["j07_token_scores"] = f"WITH p AS (SELECT l.name AS l, r.name AS r, len(list_intersect(l.ts, r.ts)) AS n, len(l.ts) + len(r.ts) AS m FROM {toks(LEFT_FILES)} l, {toks(RIGHT_FILES)} r) SELECT l, r, round(n / CAST(m - n AS DOUBLE), 6) AS score FROM p WHERE n > 0 AND n / CAST(m - n AS DOUBLE) > 0.2"
+    q["c01_run_steps"] = """WITH o AS (SELECT o_custkey AS workflow, o_orderkey AS pos, 's' || o_orderkey AS id, o_orderkey % 5 <> 0 AS c, o_orderstatus <> 'F' AS ok, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'skip' WHEN '2' THEN 'retry' WHEN '3' THEN 'fail' END AS st FROM orders),
+ f AS (SELECT workflow, min(pos) AS stop FROM o WHERE c AND NOT ok AND coalesce(st, 'fail') = 'fail' GROUP BY workflow)
+ SELECT o.workflow, pos, id, CASE WHEN pos > stop THEN 'not run' WHEN NOT c THEN 'skipped' WHEN ok THEN 'completed' WHEN pos = stop THEN 'failed' ELSE 'error: ' || st END AS outcome,
+  CAST(floor((row_number() OVER (PARTITION BY o.workflow ORDER BY pos) - 1) * 100 / count(*) OVER (PARTITION BY o.workflow)) AS BIGINT) AS progress FROM o LEFT JOIN f USING (workflow)"""
+    q["c03_step_states"] = """WITH e AS (SELECT user_id AS project, event_id AS seq, strftime(ts, '%H') AS step, event_type = 'error' AS bad, CASE WHEN event_type = 'error' THEN 'error: ' || CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS VARCHAR) ELSE '' END WHEN event_id % 3 = 0 THEN CAST(event_id AS VARCHAR) END AS output
+  FROM events WHERE event_type IN ('error', 'purchase'))
+ SELECT project, step, bool_or(NOT bad) AS completed, arg_max(bad, seq) AS failed, arg_max(output, CASE WHEN output IS NOT NULL THEN seq END) AS output FROM e GROUP BY ALL"""
+    q["c05_chosen_config"] = f"""WITH c AS (SELECT c_custkey AS project, CASE c_custkey % 3 WHEN 1 THEN 'defense' ELSE 'intro' END AS type, CASE c_custkey % 4 WHEN 0 THEN 'tech' WHEN 1 THEN 'odd' ELSE 'plain' END AS style, CASE WHEN c_custkey % 5 < 2 THEN 'a' ELSE 'g' END AS track FROM customer)
+ SELECT project, c.type, c.style, c.track, coalesce(structure, 'structure ig') AS structure, coalesce(visual, 'grey') AS visual, coalesce(focus, 'balance') AS focus FROM c LEFT JOIN {values_sql("type, track, structure", MATRIX[0])} m ON c.type = m.type AND c.track = m.track
+ LEFT JOIN {values_sql("style, visual", MATRIX[1])} v ON c.style = v.style LEFT JOIN {values_sql("track, focus", MATRIX[2])} f ON c.track = f.track"""
+    q["c05_core_points"] = "SELECT page, rank, substr(t, 1, 15) AS text FROM (SELECT o_custkey AS page, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS rank, 'order ' || o_orderpriority || ' ' || o_orderstatus AS t FROM orders) WHERE rank <= 5"
+    q["f29_deep_merge"] = """WITH b AS (SELECT p_partkey AS config, unnest(['a.b.c', 'a.b.d', 'a.bc', 't', 'u.v']) AS path, 'old ' || p_name AS value FROM part),
+ o AS (SELECT p_partkey AS config, unnest(CASE p_partkey % 3 WHEN 0 THEN ['a.b.c', 'n'] WHEN 1 THEN ['a.b'] ELSE ['t.x', 'a.q'] END) AS path, 'new ' || p_name AS value FROM part)
+ SELECT * FROM o UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.config = b.config AND (o.path = b.path OR starts_with(b.path, o.path || '.') OR starts_with(o.path, b.path || '.')))"""
+    # worked out by hand from the rules: consumption in name order; options in order, fewest first
+    q["j06_greedy_numbers"] = "SELECT * FROM (VALUES ('a', 'budget 2024 v7.xlsx', '7_of_9.csv', 0.8::DOUBLE), ('a', 'report_01.docx', 'summary_01.pdf', 1.0), ('a', 'report_02.docx', 'summary_3_02.pdf', 1.0)) AS t(listing, l, r, score)"
+    q["g03_solve"] = "SELECT * FROM (VALUES ('p1', 'C1', 0, 'Mon-2', 'R1'), ('p1', 'C2', 0, 'Mon-1', 'R1'), ('p1', 'C3', 0, 'Mon-1', 'R2'), ('p2', 'C1', 0, 'Mon-1', 'R1'), ('p2', 'C2', 0, NULL, NULL)) AS t(plan, course, slot, time, room)"
+    nums = lambda rows: f"(SELECT listing, name, regexp_extract_all(name, '[0-9]+') AS ns FROM {values_sql('listing, name', rows)})"
+    q["j06_number_scores"] = f"SELECT l.listing, l.name AS l, r.name AS r, CASE WHEN l.ns[-1] = r.ns[-1] THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS score FROM {nums(LEFT_FILES)} l JOIN {nums(RIGHT_FILES)} r USING (listing) WHERE len(l.ns) > 0 AND list_contains(r.ns, l.ns[-1])"
+    toks = lambda rows: rf"(SELECT listing, name, list_distinct(list_filter(string_split(regexp_replace(lower(name), '[^\p{{L}}\p{{N}}_]', ' ', 'g'), ' '), lambda x: x <> '')) AS ts FROM {values_sql('listing, name', rows)})"
+    q["j07_token_scores"] = f"WITH p AS (SELECT l.listing, l.name AS l, r.name AS r, len(list_intersect(l.ts, r.ts)) AS n, len(l.ts) + len(r.ts) AS m FROM {toks(LEFT_FILES)} l JOIN {toks(RIGHT_FILES)} r USING (listing)) SELECT listing, l, r, round(n / CAST(m - n AS DOUBLE), 6) AS score FROM p WHERE n > 0 AND n / CAST(m - n AS DOUBLE) > 0.2"
     q["f08_similarity_ratio"] = "SELECT * FROM (VALUES ('abcd', 'bcde', 0.75::DOUBLE), ('abcd', 'abcd', 1.0), ('report one', 'report two', 0.8), ('report one', 'bcde', 0.142857), ('abcd', 'report two', 0.0)) AS t(l, r, score) WHERE score > 0"
     q["j13_named_lookup"] = "SELECT * FROM (VALUES ('a', 'Li', 't2'), ('b', 'Wu', 't3'), ('c', 'Xi', 'Xi')) AS t(course, who, teacher)"
     q["j14_slot_lookup"] = "SELECT * FROM (VALUES (1, 's1', 'slot_id'), (2, 's2', 'shape_id'), (3, 's3', 'shape_name'), (4, NULL, 'none')) AS t(plan_row, slot_id, \"by\")"

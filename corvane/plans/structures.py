@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import text as X
+from corvane.operators import language as N
 from corvane.operators import rules as R
 from corvane.operators import structure as T
 from corvane.plans.texts import PLAIN_SQL
@@ -57,8 +58,17 @@ ISSUES_SQL = f"(SELECT doc_id, 'content' AS category, CASE severity WHEN 'ERROR'
 COUNTS = "concat('# T\n![a](b) [c](d)\n|x|', text)"
 
 
+def _formats(s, d):
+    """Lines of documents as paragraphs, some of them against the format."""
+    n = F.length("line")
+    return _lines(s, d).select("doc_id", "pos", F.when(n % 4 == 0, "left").otherwise("both").alias("alignment"), F.when(n % 5 == 0, 2.0).otherwise(1.5).alias("line"), F.lit(0.0).alias("first_line"), F.when(n % 7 == 0, 0.0).otherwise(2.0).alias("first_line_chars"))
+
+
 def queries():
     q = {}
+    q["f32_language"] = lambda s, d: N.detect(load(s, d, "documents"), N.profiles(load(s, d, "documents")))
+    q["r06_inspect_and_fix"] = lambda s, d: R.inspect_and_fix(_formats(s, d), R.paragraph_issues, R.fix_paragraphs)[1]
+    q["r06_grades_after"] = lambda s, d: R.grade(R.paragraph_issues(R.inspect_and_fix(_formats(s, d), R.paragraph_issues, R.fix_paragraphs)[0]))
     q["w02_markdown_sections"] = lambda s, d: T.markdown_sections(values(s, "doc_id, pos, line", MD))
     q["w03_regions"] = lambda s, d: T.regions(_paras(s))
     q["w04_neighbour_headings"] = lambda s, d: T.neighbour_headings(_lines(s, d).withColumnRenamed("line", "text"))
@@ -99,6 +109,19 @@ def queries():
 
 def oracle_sql():
     q = {}
+    q["w08_json_blocks"] = "SELECT doc_id, 1::BIGINT AS start, 1::BIGINT AS \"end\", true AS valid FROM documents WHERE len(string_split(text, chr(10))) > 1"  # prose lines open no braces
+    q["f32_language"] = rf"""WITH h AS (SELECT doc_id, lang, ' ' || regexp_replace(lower(array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1:{N.PARAGRAPHS}], ' ')), '[\x20\x09-\x0d0-9]+', ' ', 'g') || ' ' AS t FROM documents WHERE text IS NOT NULL),
+ g AS (SELECT doc_id, lang, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS gram FROM h WHERE length(t) > 2),
+ p AS (SELECT lang, gram, count(*) AS n FROM g WHERE lang IS NOT NULL GROUP BY ALL), tot AS (SELECT lang, sum(n) AS nn FROM p GROUP BY lang),
+ k AS (SELECT lang, gram, ln(n + 1.0) AS gain FROM p), b AS (SELECT lang, -ln(nn + (SELECT count(DISTINCT gram) FROM p)) AS base FROM tot),
+ d AS (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY ALL), sz AS (SELECT doc_id, sum(n) AS size FROM d GROUP BY doc_id),
+ sc AS (SELECT d.doc_id, k.lang, sum(d.n * gain) AS gain FROM d JOIN k ON d.gram = k.gram GROUP BY ALL), r AS (SELECT sc.doc_id, sc.lang, row_number() OVER (PARTITION BY sc.doc_id ORDER BY round(gain + size * base, 6) DESC, sc.lang) AS rank FROM sc JOIN sz ON sc.doc_id = sz.doc_id JOIN b ON sc.lang = b.lang)
+ SELECT o.doc_id, r.lang AS language FROM documents o LEFT JOIN r ON o.doc_id = r.doc_id AND rank = 1"""
+    fixes = f"""n AS (SELECT doc_id, count(*) FILTER (length(line) % 7 = 0) AS c, count(*) FILTER (length(line) % 4 = 0) AS al, count(*) FILTER (length(line) % 5 = 0) AS ln FROM {LINES_SQL} GROUP BY doc_id)"""
+    q["r06_inspect_and_fix"] = f"""WITH {fixes} SELECT doc_id, 1 AS round, 'indent' AS rule, c AS n FROM n WHERE c > 0 UNION ALL SELECT doc_id, 1 + CAST(c > 0 AS INTEGER), 'alignment', al FROM n WHERE al + ln > 5 AND al > 0
+ UNION ALL SELECT doc_id, 1 + CAST(c > 0 AS INTEGER) + CAST(al > 0 AS INTEGER), 'line', ln FROM n WHERE al + ln > 5 AND (al = 0 OR ln > 5)"""
+    q["r06_grades_after"] = f"""WITH {fixes}, f AS (SELECT doc_id, CASE WHEN al + ln > 5 THEN 0 ELSE al END + CASE WHEN al + ln > 5 AND (al = 0 OR ln > 5) THEN 0 ELSE ln END AS n_warning FROM n)
+ SELECT doc_id, 0::BIGINT AS n_critical, CAST(n_warning AS BIGINT) AS n_warning, 'A-' AS grade FROM f WHERE n_warning > 0"""
     q["w02_markdown_sections"] = f"""WITH t AS (SELECT *, CAST(regexp_matches(line, '^#+ *[^# ]') AS INTEGER) AS h FROM {values_sql("doc_id, pos, line", MD)}), c AS (SELECT *, sum(h) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM t)
  SELECT doc_id, CAST(section AS BIGINT) AS section, max(CASE WHEN h = 1 THEN regexp_replace(line, '^#+ *', '') END) AS title, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (h = 0), '') AS body FROM c WHERE section > 0 GROUP BY doc_id, section"""
     regions = rf"""p AS (SELECT doc_id, pos, text AS t, {PLAIN_SQL.replace(chr(10), " ")} > 0 AS h, regexp_matches(lower(trim(text)), '{T.CONTENTS_WORDS}') AS c, regexp_matches(lower(trim(text)), '{T.REFERENCE_WORDS}') AS r, length(trim(text)) > 5 AS l FROM (SELECT *, text AS t FROM {values_sql("doc_id, pos, text", PARAS)})),

@@ -48,7 +48,7 @@ CASES = {
     "f24_hours": ("t", "('4 hours'), ('none'), ('2x3')", {"hours": (lambda: X.hours(F.col("t")), "coalesce(TRY_CAST(regexp_extract(t, '([0-9]+)', 1) AS INTEGER), 2)")}),
     "f27_human_size": ("n", SIZES, {"size": (lambda: X.human_size(F.col("n").cast("long")), "CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f', n / 1024.0) || ' KB' WHEN n < 1073741824 THEN printf('%.1f', n / 1048576.0) || ' MB' ELSE printf('%.1f', n / 1073741824.0) || ' GB' END")}),
     "f28_relative_age": ("s", AGES, {"age": (lambda: X.relative_age(F.expr("timestamp_seconds(1700000000 - s)"), F.expr("timestamp_seconds(1700000000)")), "CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN s // 60 || ' minutes ago' WHEN s < 86400 THEN s // 3600 || ' hours ago' WHEN s < 604800 THEN s // 86400 || ' days ago' ELSE strftime(make_timestamp((1700000000 - CAST(s AS BIGINT)) * 1000000), '%Y-%m-%d') END")}),
-    "f30_iso_date": ("t", DATES, {"day": (lambda: X.iso_date(F.col("t")), r"CASE WHEN regexp_matches(t, '([0-9]{4})[\x{5e74}.-]([0-9]{1,2})[\x{6708}.-]([0-9]{1,2})') THEN regexp_extract(t, '([0-9]{4})[\x{5e74}.-]([0-9]{1,2})[\x{6708}.-]([0-9]{1,2})', 1) || '-' || lpad(regexp_extract(t, '([0-9]{4})[\x{5e74}.-]([0-9]{1,2})[\x{6708}.-]([0-9]{1,2})', 2), 2, '0') || '-' || lpad(regexp_extract(t, '([0-9]{4})[\x{5e74}.-]([0-9]{1,2})[\x{6708}.-]([0-9]{1,2})', 3), 2, '0') END")}),
+    "f30_iso_date": ("t", DATES, {"day": (lambda: X.iso_date(F.col("t")), r"CASE WHEN regexp_matches(t, '([0-9]{4})[年.-]([0-9]{1,2})[月.-]([0-9]{1,2})') THEN regexp_extract(t, '([0-9]{4})[年.-]([0-9]{1,2})[月.-]([0-9]{1,2})', 1) || '-' || lpad(regexp_extract(t, '([0-9]{4})[年.-]([0-9]{1,2})[月.-]([0-9]{1,2})', 2), 2, '0') || '-' || lpad(regexp_extract(t, '([0-9]{4})[年.-]([0-9]{1,2})[月.-]([0-9]{1,2})', 3), 2, '0') END")}),
     "f33_fitted_width": ("w, h", "(2400, 1000), (800, 600), (1999, 777)", {"new_w": (lambda: X.fitted_width(F.col("w"), F.col("h"))[0], "least(w, 1200)"), "new_h": (lambda: X.fitted_width(F.col("w"), F.col("h"))[1], "CASE WHEN w > 1200 THEN CAST(floor(h * CAST(1200 AS DOUBLE) / w) AS INTEGER) ELSE h END")}),
 }
 def _case(name):

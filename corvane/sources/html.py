@@ -35,6 +35,8 @@ class _Markdown(HTMLParser):
         a = dict(attrs)
         if tag in ("head", "script", "style", "noscript"):
             self.skip += 1
+        elif tag == "body":
+            self.skip = 0  # a head that was left open ends here
         elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             self.out.append("\n\n" + "#" * int(tag[1]) + " ")
         elif tag in ("p", "div", "article", "section", "table", "blockquote"):

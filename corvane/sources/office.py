@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
@@ -117,8 +119,8 @@ def _reader(files: DataFrame, parse: Callable, columns: str) -> DataFrame:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
-                    rows += [(path, None, *r) for r in parse(bytes(content))]
-                except (zipfile.BadZipFile, ET.ParseError, KeyError, AttributeError, ValueError, IndexError, TypeError) as e:
+                    rows += [(path, None, *r) for r in list(parse(bytes(content)))]
+                except (zipfile.BadZipFile, ET.ParseError, zlib.error, struct.error, LookupError, AttributeError, ValueError, TypeError, RuntimeError) as e:
                     rows.append((path, f"{type(e).__name__}: {e}", *[None] * (len(names) - 2)))
             yield pd.DataFrame(rows, columns=names, dtype=object)
 

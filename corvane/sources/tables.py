@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,13 +21,25 @@ def values_sql(columns: str, rows: str) -> str:
     return f"(SELECT * FROM (VALUES {rows}) AS t({columns}))"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names, or a temporary one where it is unset."""
-    import tempfile
-    import uuid
+_own: dict[str, str] = {}
 
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names, or in the session's checkpoint folder; where neither is set, in a local one of a local master alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if not base:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = current.get() if current.isDefined() else f"file://{tempfile.gettempdir()}"
+        current = context._jsc.sc().getCheckpointDir()
+        base = current.get() if current.isDefined() else _own.get(context.applicationId)
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _own[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='tables-')}"
     return f"{base}/tables-{uuid.uuid4().hex}/{name}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once: written to a scratch path and read back."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

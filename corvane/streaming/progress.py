@@ -37,48 +37,82 @@ def fold(events: DataFrame) -> DataFrame:
     return out.select("task_id", "status", F.when(F.col("status") == "completed", 100).otherwise(F.coalesce("percent", F.lit(0))).cast("long").alias("percent"), "n_events")
 
 
-def fold_stream(events: DataFrame) -> DataFrame:
-    """The same fold over a stream of events, with a state of a few numbers a step for each task (update mode)."""
+def _folded(s: dict | None, events) -> dict | None:
+    """The state of a task after more events, in any order: what fold() needs of them, a few numbers a step.
+
+    created: sequence number of the last create, before which nothing counts; steps: first start, last event and its
+    percent; status: the last event that sets one.
+    """
+    creates = events["seq"][events["type"] == "create"]
+    if len(creates) and (s is None or creates.max() > s["created"]):
+        s = {"created": int(creates.max()), "steps": {}, "status": [-1, None], "n": 0}
+    if s is None:
+        return None
+    live = events[events["seq"] >= s["created"]].sort_values("seq", kind="stable")
+    s["n"] += len(live)
+    for kind, task, q in zip(live["type"], live["step_id"], live["seq"], strict=True):
+        state = {"create": "running", "start": "running", "task_complete": "completed", "fail": "failed", "task_fail": "failed"}.get(kind)
+        if state and q > s["status"][0]:
+            s["status"] = [int(q), state]
+        if isinstance(task, str) and kind == "start":
+            first = s["steps"].setdefault(task, [None, -1, 0])[0]
+            s["steps"][task][0] = int(q) if first is None else min(first, int(q))
+    steps = live[live["step_id"].notna() & live["type"].isin(["start", "progress", "complete", "fail", "skip"])].drop_duplicates("step_id", keep="last")
+    for kind, step, percent, q in zip(steps["type"], steps["step_id"], steps["percent"], steps["seq"], strict=True):
+        known = s["steps"].setdefault(step, [None, -1, 0])
+        if q > known[1]:
+            known[1] = int(q)
+            known[2] = 0 if kind == "start" else min(100, max(0, int(percent))) if kind == "progress" and percent == percent else 0 if kind == "progress" else 100
+    return s
+
+
+def fold_stream(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """The same fold over a stream of events (update mode), with a state of a few numbers a step for each task.
+
+    Events of a micro-batch are taken together, whatever chunks they come in, and late ones count by their sequence
+    number; only a new create that comes after a later micro-batch's events forgets those. idle_ms: states without
+    events for so long go; a task that then goes on counts from its next create. With it the query looks for idle
+    states for ever, so it suits triggers that run on, and not one that ends with the input.
+    """
     import json
 
     import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        s = json.loads(state.get[0]) if state.exists else None
-        for pdf in batches:
-            for e in pdf.sort_values("seq").to_dict("records"):
-                kind = e["type"]
-                if kind == "create":
-                    s = {"status": "running", "steps": {}, "n": 1}
-                    continue
-                if s is None:
-                    continue
-                s["n"] += 1
-                if isinstance(e["step_id"], str) and (kind == "start" or e["step_id"] in s["steps"]):
-                    if kind in ("complete", "fail", "skip", "start"):
-                        s["steps"][e["step_id"]] = 0 if kind == "start" else 100
-                    elif kind == "progress":
-                        s["steps"][e["step_id"]] = min(100, max(0, int(e["percent"]))) if e["percent"] is not None and e["percent"] == e["percent"] else 0
-                if kind in ("start", "fail", "task_fail", "task_complete"):
-                    s["status"] = {"start": "running", "task_complete": "completed"}.get(kind, "failed")
-        if s is not None:
-            state.update((json.dumps(s),))
-            p = 100 if s["status"] == "completed" else sum(s["steps"].values()) // max(len(s["steps"]), 1)
-            yield pd.DataFrame({"task_id": [key[0]], "status": [s["status"]], "percent": [p], "n_events": [s["n"]]})
-
-    return events.groupBy("task_id").applyInPandasWithState(update, "task_id string, status string, percent long, n_events long", "state string", "update", "NoTimeout")
-
-
-def run_stream(spark: SparkSession, path: str, out: str, checkpoint: str) -> None:
-    """Fold a folder of progress logs as far as it goes; each batch's states are appended to out with the batch number."""
-    events = parse(spark.readStream.format("text").load(path))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        s = _folded(json.loads(state.get[0]) if state.exists else None, pd.concat([b[["type", "step_id", "percent", "seq"]] for b in batches]))
+        if s is None:
+            return
+        state.update((json.dumps(s),))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        known = [p if last >= first else 0 for first, last, p in s["steps"].values() if first is not None]
+        p = 100 if s["status"][1] == "completed" else sum(known) // max(len(known), 1)
+        yield pd.DataFrame({"task_id": [key[0]], "status": [s["status"][1]], "percent": [p], "n_events": [s["n"]]})
+
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return events.groupBy("task_id").applyInPandasWithState(update, "task_id string, status string, percent long, n_events long", "state string", "update", timeout)
+
+
+def run_stream(spark: SparkSession, path: str, out: str, checkpoint: str, files: int = 1000) -> None:
+    """Fold a folder of progress logs as far as it goes, `files` at a time; a micro-batch's states are a folder batch=number of out, written anew if the batch is run again."""
+    events = parse(spark.readStream.format("text").option("maxFilesPerTrigger", files).load(path))
 
     def sink(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     fold_stream(events).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start().awaitTermination()
 
 
+def last_states(spark: SparkSession, out: str) -> DataFrame:
+    """(task_id, status, percent, n_events): each task's state by the last micro-batch that had events of it."""
+    rows = spark.read.schema("task_id string, status string, percent long, n_events long, batch long").option("basePath", out).parquet(out)
+    return rows.groupBy("task_id").agg(F.max_by(F.struct("status", "percent", "n_events"), "batch").alias("s")).select("task_id", "s.*")
+
+
 def log_lines(events: DataFrame, prefix: str = PREFIX) -> DataFrame:
     """The driver's events as progress lines: one task a user, one step an hour; some lines are no progress."""
     kind = F.when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "click", "start").otherwise("progress")

@@ -12,13 +12,38 @@ def test_stream_equals_batch(spark, small, tmp_path):
     lines = G.log_lines(load(spark, small, "events").orderBy("event_id"))
     lines.orderBy(F.monotonically_increasing_id()).coalesce(1).write.text(str(tmp_path / "in"))
     G.run_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"))
-    out = spark.read.parquet(str(tmp_path / "out"))
-    last = out.groupBy("task_id").agg(F.max_by(F.struct("status", "percent", "n_events"), "batch").alias("s")).select("task_id", "s.*")
-    batch = G.fold(G.parse(lines))
+    same(spark, tmp_path, G.fold(G.parse(lines)))
+
+
+def same(spark, path, batch):
+    last = G.last_states(spark, str(path / "out"))
     assert batch.count() > 0
     assert batch.select(last.columns).exceptAll(last).count() == last.exceptAll(batch.select(last.columns)).count() == 0
 
 
+def test_a_hot_task_in_many_chunks_and_late_events(spark, tmp_path):
+    """Events of one task in shuffled order, over chunks of 50 rows and over three micro-batches whose create came first."""
+    import json
+    import random
+
+    draw = random.Random(4)
+    rows = [{"type": "create", "task_id": "hot", "seq": 0}, {"type": "create", "task_id": "cold", "seq": 1}]
+    rows += [{"type": draw.choice(["start", "progress", "complete", "fail", "skip"]), "task_id": "hot" if draw.random() < 0.9 else "cold", "step_id": f"s{draw.randrange(20)}", "percent": draw.randint(-5, 120), "seq": k} for k in range(2, 3000)]
+    rows += [{"type": "progress", "task_id": "never", "step_id": "s", "seq": 5}]
+    late = rows[2:]
+    draw.shuffle(late)
+    (tmp_path / "in").mkdir()
+    for k, part in enumerate([[*rows[:2], *late[:900]], late[900:2000], late[2000:]]):
+        (tmp_path / "in" / f"{k}.log").write_text("".join(G.PREFIX + json.dumps(r) + "\n" for r in part))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+        try:
+            G.run_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(list((tmp_path / "out").glob("batch=*"))) == 3
+    same(spark, tmp_path, G.fold(G.parse(spark.read.text(str(tmp_path / "in")))))
+
+
 def test_broken_lines_are_ignored(spark):
     df = spark.createDataFrame([("@progress {bad",), ("@progress {\"type\": \"create\", \"task_id\": \"t\", \"seq\": 1}",), ("hello",)], "value string")
     assert [r.task_id for r in G.parse(df).collect()] == ["t"]
