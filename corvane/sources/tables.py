@@ -43,3 +43,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def selected(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
+    """Rows of a SELECT over {table} names, in words that any SQL engine reads; selected_sql() is the same as a FROM clause."""
+    return spark.sql(sql, **{n: load(spark, sf_dir, n) for n in names})
+
+
+def selected_sql(sql: str, *names: str) -> str:
+    return f"({sql.format(**{n: n for n in names})})"
