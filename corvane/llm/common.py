@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+#: Rows that map_rows() turns into Python objects at once.
+ROWS = 1024
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -79,7 +82,7 @@ def map_rows(df: DataFrame, fn: Callable[..., list], schema: str) -> DataFrame:
     arrow = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             cols = fn(*[c.to_pylist() for c in b.columns])
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 

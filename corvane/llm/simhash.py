@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialise, table
+from .common import ROWS, map_rows, materialise, table
 from .components import connected_components
 
 RADIUS = 4
@@ -66,23 +66,26 @@ def masks(radius: int = RADIUS, bits: int = 64, seed: int = 7) -> list[int]:
     return out
 
 
-def _forest(fp: np.ndarray, rep: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the pairs within the radius; each row is expanded once against what is not yet reached."""
+def _forest(fp: np.ndarray, rep: np.ndarray, label: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Edges that join the labels of all pairs within the radius; each row is compared once with the labels not yet reached."""
     edges = []
     left = np.arange(len(fp))
     while len(left) > 1:
-        front, left = left[:1], left[1:]
+        start = label[left] == label[left[0]]
+        front, left = left[start], left[~start]
         while len(front) and len(left):
             nxt = []
             for i in front.tolist():
-                near = np.bitwise_count(fp[left] ^ fp[i]) <= radius
-                if near.any():
-                    hit = left[near]
-                    edges += [(int(rep[i]), int(x)) for x in rep[hit].tolist()]
-                    nxt.append(hit)
-                    left = left[~near]
-                    if not len(left):
-                        break
+                hit = left[np.bitwise_count(fp[left] ^ fp[i]) <= radius]
+                if not len(hit):
+                    continue
+                names, at = np.unique(label[hit], return_index=True)
+                edges += [(int(rep[i]), int(x)) for x in rep[hit[at]].tolist()]
+                joined = np.isin(label[left], names)
+                nxt.append(left[joined])
+                left = left[~joined]
+                if not len(left):
+                    break
             front = np.concatenate(nxt) if nxt else left[:0]
     return edges
 
@@ -93,20 +96,20 @@ def _runs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordB
     held = None
 
     def flush(cols: list[np.ndarray]) -> pa.RecordBatch:
-        keys, fp, rep = cols
+        keys, fp, label = cols
         cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
         edges: list[tuple[int, int]] = []
         for s, e in zip(np.concatenate(([0], cut)).tolist(), np.concatenate((cut, [len(fp)])).tolist(), strict=True):
             if e - s > 1:
-                edges += _forest(fp[s:e], rep[s:e], radius)
+                edges += _forest(fp[s:e].view(np.uint64), fp[s:e], label[s:e], radius)
         edges = sorted(set(edges))
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in edges], pa.int64()), pa.array([y for _, y in edges], pa.int64())], schema=schema)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        t, key, i, j, fp, rep = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        cols = [np.stack([t.astype(np.int64), key, i.astype(np.int64), j.astype(np.int64)], axis=1), fp.view(np.uint64), rep]
+        bucket, i, j, fp, label = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        cols = [np.stack([bucket, i.astype(np.int64), j.astype(np.int64)], axis=1), fp, label]
         if held is not None:
             cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
         keys = cols[0]
@@ -121,21 +124,54 @@ def _runs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordB
         yield flush(held)
 
 
+def _fingerprint_edges(prints: DataFrame, radius: int, block: int, tables: slice) -> DataFrame:
+    """prints(fp[, label]), one row per fingerprint -> (a, b): fingerprints within the radius that join the labels of every such pair.
+
+    A bucket is a hash of table and masked fingerprint; two buckets of one hash are searched together, which loses
+    nothing. Only bucket, fingerprint and label are dealt out. Buckets of one label give nothing.
+    """
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    labelled = "label" in prints.columns
+    buckets = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in list(enumerate(masks(radius)))[tables]])
+    own = ["fp", "label"] if labelled else ["fp"]
+    rows = prints.select(*own).repartition(parts, "fp")  # a small table, of which much is made
+    rows = rows.select(F.explode(buckets).alias("bucket"), *own)
+    some = [F.min("label").alias("l0"), F.max("label").alias("l1")] if labelled else []
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *some).where("l0 < l1" if labelled else "n > 1")
+    sizes = materialise(sizes.select(F.col("bucket").alias("_bucket"), F.ceil(F.col("n") / block).cast("int").alias("k")), "buckets")
+    # counted with partial sums, and joined by sorting at every size: so hot buckets can be split, and plans do not change as tables grow
+    rows = rows.join(sizes.hint("merge"), F.col("bucket") == F.col("_bucket"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
+    label = F.col("label") if labelled else F.col("fp").alias("label")
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", label)
+    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "fp")
+    return rows.mapInArrow(lambda it: _runs(it, radius), "a long, b long")
+
+
 def links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """prints(fp long, rep long), one row per fingerprint -> (a, b): edges between reps that connect every pair within the radius.
 
     A bucket of more than `block` fingerprints is dealt over pairs of blocks, so no task gets more than 2 * block rows of it.
     """
-    tables = F.array(*[F.struct(F.lit(k).cast("short").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks(radius))])
-    rows = prints.select("fp", "rep", F.explode(tables).alias("b")).select("b.t", "b.key", "fp", "rep")
-    sizes = rows.groupBy(F.col("t").alias("st"), F.col("key").alias("skey")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sizes = materialise(sizes, "buckets")  # counted with partial sums; the join with it can be split where a bucket is hot
-    rows = rows.join(sizes, (F.col("t") == F.col("st")) & (F.col("key") == F.col("skey")))
-    rows = rows.withColumn("k", F.ceil(F.col("n") / block).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
-    rows = rows.select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "rep")
-    rows = rows.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j")
-    return rows.mapInArrow(lambda it: _runs(it, radius), "a long, b long")
+    edges = _fingerprint_edges(prints.select("fp"), radius, block, slice(None)).select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+    at = lambda side: prints.select(F.col("fp").alias(f"_{side}"), F.col("rep").alias(side))
+    return edges.join(at("a"), "_a").join(at("b"), "_b").select("a", "b")
+
+
+#: Masks of a first round of linking, after which buckets whose fingerprints are joined already give no more edges.
+FIRST_TABLES = 8
+
+
+def clusters(prints: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
+    """prints(fp, rep) -> (fp, rep, label): label is the smallest rep that links reach. Two rounds: most pairs are joined by a few masks, the rest need all."""
+    for part in (slice(FIRST_TABLES), slice(FIRST_TABLES, None)):
+        edges = _fingerprint_edges(prints.drop("rep"), radius, block, part).select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+        named = prints if "label" in prints.columns else prints.withColumn("label", F.col("rep"))
+        at = lambda side: named.select(F.col("fp").alias(f"_{side}"), F.col("label").alias(side))  # noqa: E731, B023
+        comp = connected_components(edges.join(at("a"), "_a").join(at("b"), "_b").select("a", "b"))
+        prints = named.join(comp, named["label"] == comp["node"], "left").select("fp", "rep", F.coalesce("component", "label").alias("label"))
+        prints = materialise(prints, "labelled")
+    return prints
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -150,8 +186,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = materialise(fps, "fingerprints")
     prints = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     prints = materialise(prints, "prints")
-    comp = connected_components(links(prints, radius))
-    named = prints.join(comp, prints.rep == comp.node, "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
+    named = clusters(prints, radius).select(F.col("fp").alias("_fp"), F.col("label").alias("component_id"))
     return fps.join(named, fps.fp == F.col("_fp"), "left").select("doc_id", "_row", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
@@ -209,7 +244,7 @@ def _verified(batches: Iterator[pa.RecordBatch], radius: int, similarity: float,
             x.clear()
         return out
 
-    for batch in batches:
+    for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
         for c, i, j, f, node, text in zip(*[x.to_pylist() for x in batch.columns], strict=True):
             if (c, i, j) != key:
                 if len(fp) > 1:
@@ -236,9 +271,8 @@ def near_documents(docs: DataFrame, similarity: float = SIMILARITY, width: int =
     nodes = fps.where("doc_id is not null").groupBy("_row").agg(F.min("fp").alias("fp"), F.min("chars").alias("chars"), F.min("doc_id").alias("first_id"))
     nodes = materialise(nodes, "texts")
     prints = materialise(nodes.groupBy("fp").agg(F.min("_row").alias("rep")), "prints")
-    comp = connected_components(links(prints, radius))
-    clusters = prints.join(comp, prints.rep == comp.node, "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("cluster"))
-    member = materialise(nodes.join(clusters, nodes.fp == F.col("_fp")).select("_row", "fp", "chars", "first_id", "cluster"), "members")
+    named = clusters(prints, radius).select(F.col("fp").alias("_fp"), F.col("label").alias("cluster"))
+    member = materialise(nodes.join(named, nodes.fp == F.col("_fp")).select("_row", "fp", "chars", "first_id", "cluster"), "members")
     sizes = member.groupBy(F.col("cluster").alias("_cluster")).agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("total")).where("n > 1")
     sizes = materialise(sizes.select("_cluster", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / block_chars)).cast("int").alias("k")), "clusters")
     member = member.join(sizes, F.col("cluster") == F.col("_cluster")).select("_row", "fp", "first_id", "cluster", "k")

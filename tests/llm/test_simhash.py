@@ -79,6 +79,7 @@ def test_blocks_lose_no_link(spark):
         got = {r.node: r.component for r in connected_components(S.links(df, block=block)).collect()}
         want = brute_components({i: v for v, i in first.items()})
         assert {i: got.get(i, i) for i in want} == want
+        assert {r.rep: r.label for r in S.clusters(df, S.RADIUS, block).collect()} == want
 
 
 def brute_documents(texts: dict[int, str]) -> dict[int, int]:
