@@ -33,20 +33,22 @@ def recurring_lines(docs: DataFrame, least: int = MIN_DOCS) -> DataFrame:
     lines = lines.withColumn("leaf", F.xxhash64(F.size("ws"), lead))
     popular = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("leaf")
     popular = materialise(popular, "popular")  # tables of their own, so that joins on a hot leaf or template can be split
-    kept = lines.join(popular, "leaf").withColumn("ws", F.transform("ws", lambda w: F.when(w.rlike("[0-9]") | (w == FIELD), F.lit(None)).otherwise(F.xxhash64(w))))  # tokens by hash, fields null
+    # a token is told by a hash of leaf, place and word, and a field by nothing; a line by the number that its row is written with
+    tokens = F.filter(F.transform("ws", lambda w, i: F.when(~(w.rlike("[0-9]") | (w == FIELD)), F.xxhash64("leaf", i, w))), lambda h: h.isNotNull())
+    kept = lines.join(popular, "leaf").select("_id", "_row", "rid", "_pos", "chars", "total", tokens.alias("hs"), F.monotonically_increasing_id().alias("line"))
     kept = materialise(kept, "lines")
-    words = kept.select("leaf", "rid", "_pos", F.size(F.filter("ws", lambda w: w.isNotNull())).alias("n"), F.posexplode("ws").alias("p", "w")).where("w is not null")
-    constant = words.groupBy("leaf", "p", "w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("leaf", "p", "w")
+    words = kept.select("line", F.explode("hs").alias("h"))
+    constant = words.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("h")
     constant = materialise(constant, "constant")
-    # the tokens of a line that are constant: their number, and a hash that does not depend on order
-    share = words.join(constant, ["leaf", "p", "w"]).groupBy("leaf", "rid", "_pos").agg(F.count(F.lit(1)).alias("fixed"), F.max("n").alias("n"), F.sum(F.xxhash64("p", "w").cast("decimal(20,0)")).alias("shape"))
-    share = share.where(F.col("fixed") >= MIN_CONSTANT * F.col("n")).select("rid", "_pos", F.xxhash64("leaf", "shape", "fixed").alias("template"))
-    tagged = materialise(kept.select("rid", "_pos", "_id", "_row", "chars", "total").join(share, ["rid", "_pos"]), "templates")
+    # the tokens of a line that are constant: their number, and a sum that does not depend on order
+    share = words.join(constant, "h").groupBy("line").agg(F.count(F.lit(1)).alias("fixed"), F.sum(F.col("h").cast("decimal(20,0)")).alias("shape"))
+    tagged = kept.select("line", "rid", "_pos", "_id", "_row", "chars", "total", F.size("hs").alias("n")).join(share, "line").where(F.col("fixed") >= MIN_CONSTANT * F.col("n"))
+    tagged = materialise(tagged.select("rid", "_pos", "_id", "_row", "chars", "total", F.xxhash64("shape", "fixed").alias("template")), "templates")
     docs_of = tagged.select("template", "_id", "_row").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"))
     frequent = materialise(docs_of.where(F.col("n_docs") >= least).select("template"), "frequent")
     hits = materialise(tagged.join(frequent, "template"), "hits")
-    own = hits.groupBy("rid", "_row").agg(F.sum("chars").alias("chars"), F.max("total").alias("total")).where(2 * F.col("chars") <= F.col("total")).select("_row").distinct()
-    found = hits.join(materialise(own, "own"), "_row").select("template", "_row").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n_texts")).where(F.col("n_texts") >= least).select("template")
+    own = hits.groupBy("rid").agg(F.sum("chars").alias("chars"), F.max("total").alias("total")).where(2 * F.col("chars") <= F.col("total")).select("rid")
+    found = hits.join(materialise(own, "own"), "rid").select("template", "_row").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n_texts")).where(F.col("n_texts") >= least).select("template")
     return hits.join(materialise(found, "found"), "template").select("_id", "_row", "_pos")
 
 
