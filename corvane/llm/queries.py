@@ -17,6 +17,7 @@ from .rollup import OP8_SQL, op8
 from .simhash import op6
 from .templates import OP3_SQL, op3
 from .vectors import op5
+from .whitening import op11
 
 
 def _shipped(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -41,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "op8_delta_rollup": op8,
             "op9_gear_substring_dedup": op9,
             "op10_poisson_mixing": op10,
+            "op11_whitening": op11,
         }.items()
     }
 
