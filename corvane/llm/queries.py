@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bestfit import op13
 from .chunks import op9
 from .common import ship_repo
 from .mincut import op2
@@ -43,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "op9_gear_substring_dedup": op9,
             "op10_poisson_mixing": op10,
             "op11_whitening": op11,
+            "op13_best_fit_packing": op13,
         }.items()
     }
 
