@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op12
 from .bestfit import op13
 from .chunks import op9
 from .common import ship_repo
@@ -44,6 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "op9_gear_substring_dedup": op9,
             "op10_poisson_mixing": op10,
             "op11_whitening": op11,
+            "op12_segment_alignment": op12,
             "op13_best_fit_packing": op13,
         }.items()
     }
