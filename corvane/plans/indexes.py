@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import index as I
 from corvane.operators.knowledge import KnowledgeBase
+from corvane.operators.related import strongest
 from corvane.sources.tables import load, scratch, values, values_sql
 
 KEYWORD_SQL = r"""kw AS (SELECT keyword, doc_id, count(*) AS frequency FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS keyword FROM documents)
@@ -71,7 +72,7 @@ def queries():
     q["a10_document_entities"] = lambda s, d: _entities(s)
     q["a12_catalog"] = lambda s, d: I.catalog(load(s, d, "documents"), I.keyword_totals(I.keywords(load(s, d, "documents"))), I.relations(_shared(s, d)))
     q["j11_relations"] = lambda s, d: I.relations(_shared(s, d))
-    q["j12_related"] = lambda s, d: I.related(I.relations(_shared(s, d)))
+    q["j12_related"] = lambda s, d: strongest(_shared(s, d))
     q["j18_purge"] = lambda s, d: I.keyword_index(I.purge(I.keywords(load(s, d, "documents")), load(s, d, "labels").where("quality = 0")))
     q["c04_incremental_merge"] = lambda s, d: I.keyword_index(I.merge_postings(I.keywords(load(s, d, "documents").where("lang <> 'fr'")), I.keywords(load(s, d, "documents").where("lang in ('fr', 'de')")), load(s, d, "documents").where("lang = 'es'").select("doc_id")))
     q["p06_search"] = lambda s, d: I.search(I.keyword_totals(I.keywords(load(s, d, "documents"))), "keyword", "TIO", [F.desc("frequency"), "keyword"])
