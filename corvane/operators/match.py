@@ -5,7 +5,7 @@ Inputs have a column name and may have a column listing; names meet within their
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import name_numbers, name_tokens
@@ -27,63 +27,161 @@ def number_scores(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def token_scores(left: DataFrame, right: DataFrame, least: float = 0.3) -> DataFrame:
-    """(listing, l, r, score) by Jaccard similarity of name tokens over `least`; pairs come from shared tokens."""
-    a = _named(left, "l").select("listing", "l", name_tokens(F.col("l")).alias("_a"))
-    b = _named(right, "r").select("listing", "r", name_tokens(F.col("r")).alias("_b"))
+    """(listing, l, r, score) by Jaccard similarity of name tokens over `least`; pairs come from shared tokens, repeated names count once."""
+    a = _named(left, "l").distinct().select("listing", "l", name_tokens(F.col("l")).alias("_a"))
+    b = _named(right, "r").distinct().select("listing", "r", name_tokens(F.col("r")).alias("_b"))
     shared = a.select("listing", "l", F.size("_a").alias("_na"), F.explode("_a").alias("_t")).join(b.select("listing", "r", F.size("_b").alias("_nb"), F.explode("_b").alias("_t")), ["listing", "_t"])
     both = shared.groupBy("listing", "l", "r", "_na", "_nb").agg(F.count(F.lit(1)).alias("_n"))
     score: Column = F.col("_n") / (F.col("_na") + F.col("_nb") - F.col("_n"))
     return both.select("listing", "l", "r", F.round(score, 6).alias("score")).where(F.col("score") > least)
 
 
-def similarity_scores(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
-    """(listing, l, r, score) by the Ratcliff-Obershelp ratio over `least`.
-
-    The ratio has no key to join on, so names meet by listing. Only pairs whose lengths and counts of characters allow
-    more than `least` reach the scorer: no more can match than the shorter name, or than the common characters, have.
-    """
+def _ratio(a: str, b: str) -> Column:
+    """The Ratcliff-Obershelp ratio of two columns."""
     import pandas as pd
 
     @F.pandas_udf("double")
-    def ratio(a, b):
+    def ratio(x, y):
         from difflib import SequenceMatcher
 
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+        return pd.Series([SequenceMatcher(None, u, v).ratio() for u, v in zip(x, y, strict=True)], dtype="float64")
+
+    return ratio(a, b)
+
+
+def candidates(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
+    """(listing, l, r): all pairs whose characters allow a ratio over `least`, found by an equi-join.
+
+    No more can match than two names have characters in common, so the ratio is over `least` only if the common ones
+    are over least / 2 of both lengths' sum. A name of n characters can then miss its n - o rarest of the partner's,
+    o being the fewest that a partner of any length must share: one of the n - o + 1 rarest characters of either name,
+    repeats counted apart, is among the other's. Pairs meet there, and their lengths and common characters decide.
+    """
+    half = least / 2
 
     def counted(names: DataFrame, side: str) -> DataFrame:
         letters = F.array_sort(F.filter(F.split(side, ""), lambda x: x != ""))
         runs = F.transform(letters, lambda x, i: F.concat(x, (i - F.array_position(letters, x)).cast("string")))  # the k-th of a character is itself and k
-        return _named(names, side).withColumn(f"_{side}", runs)
+        return _named(names, side).distinct().withColumn("_all", runs)
+
+    a, b = written(counted(left, "l"), "lefts"), written(counted(right, "r"), "rights")
+    rare = a.select(F.explode("_all").alias("_t")).union(b.select(F.explode("_all").alias("_t"))).groupBy("_t").agg(F.count(F.lit(1)).alias("_df"))
+    rare = written(rare, "characters")  # a row a character and repeat
+
+    def prefix(names: DataFrame, side: str) -> DataFrame:
+        ordered = names.select("listing", side, F.size("_all").alias("_n"), F.explode("_all").alias("_t")).join(rare, "_t").groupBy("listing", side, "_n").agg(F.array_sort(F.collect_list(F.struct("_df", "_t"))).alias("_o"))
+        n = F.col("_n")
+        shortest = F.floor(n * least / (2 - least)) + 1
+        keep = (n - (F.floor((n + shortest) * half - 1e-9) + 1) + 1).cast("int")
+        return ordered.select("listing", side, F.explode(F.transform(F.slice("_o", 1, F.greatest(keep, F.lit(1))), lambda x: x["_t"])).alias("_t"))
+
+    pairs = prefix(a, "l").join(prefix(b, "r"), ["listing", "_t"]).select("listing", "l", "r").distinct()
+    pairs = pairs.join(a.withColumnRenamed("_all", "_a"), ["listing", "l"]).join(b.withColumnRenamed("_all", "_b"), ["listing", "r"])
+    both, bound = F.size("_a") + F.size("_b"), F.lit(least)
+    pairs = pairs.where((2 * F.least(F.size("_a"), F.size("_b")) > bound * both) & (2 * F.size(F.array_intersect("_a", "_b")) > bound * both))
+    return pairs.select("listing", "l", "r")
+
+
+def similarity_scores(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
+    """(listing, l, r, score) by the Ratcliff-Obershelp ratio over `least`; a `least` of 0 compares all pairs of a listing."""
+    pairs = candidates(left, right, least) if least > 0 else _named(left, "l").join(_named(right, "r"), "listing")
+    return pairs.select("listing", "l", "r", F.round(_ratio("l", "r"), 6).alias("score")).where(F.col("score") > least)
+
+
+def ranked(rows: DataFrame, key: list[str], order: list[Column], name: str) -> DataFrame:
+    """rows with `name`, their number from 1 in the order of each key. A key of any size is spread over tasks: rows are
+    dealt by ranges of key and order, numbered in each range, and a key's numbers go on from range to range."""
+    dealt = written(rows.repartitionByRange(*[F.col(k) for k in key], *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy(*key, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(*key, "_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_range", *key).orderBy(*order))
+    return dealt.withColumn("_own", own).join(starts, [*key, "_range"]).withColumn(name, F.col("_own") + F.col("_start")).drop("_own", "_start", "_range")
 
-    pairs = counted(left, "l").join(counted(right, "r"), "listing")
-    both, bound = F.size("_l") + F.size("_r"), F.lit(least)
-    pairs = pairs.where((2 * F.least(F.size("_l"), F.size("_r")) > bound * both) & (2 * F.size(F.array_intersect("_l", "_r")) > bound * both)) if least > 0 else pairs
-    return pairs.select("listing", "l", "r", F.round(ratio("l", "r"), 6).alias("score")).where(F.col("score") > least)
+
+#: Lefts of a class whose places are worked out together, and options that a left looks ahead in a round.
+CHUNK = 1 << 16
+AHEAD = 16
+
+
+def _places(state: DataFrame) -> DataFrame:
+    """Lefts of a class stand one behind the other: the k-th is at least as far down the options as the one before it, and one more."""
+    key = ["listing", "cls"]
+    s = state.withColumn("_lag", F.col("p") - F.col("k")).withColumn("_chunk", F.floor(F.col("k") / CHUNK))
+    earlier = s.groupBy(*key, "_chunk").agg(F.max("_lag").alias("_most"))
+    earlier = earlier.select(*key, "_chunk", F.max("_most").over(Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    upto = F.max("_lag").over(Window.partitionBy(*key, "_chunk").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    s = s.withColumn("_upto", upto).join(earlier, [*key, "_chunk"])
+    return s.select(*key, "l", "k", (F.col("k") + F.greatest("_upto", F.coalesce("_before", F.col("_upto")))).alias("p"))
+
+
+def matched(lefts: DataFrame, options: DataFrame) -> DataFrame:
+    """lefts(listing, cls, l), options(listing, cls, r, score) -> (listing, l, r, score): lefts in name order take their best free right.
+
+    Lefts of a class have the same options; ties go by name. All lefts propose at once and each right keeps the first in
+    name order of those who ever came; the others move on. That ends with what taking turns gives, since a right that
+    an earlier left holds is never free for a later one. The k-th left of a class starts at its k-th option, as the
+    ones before it have better ones. No group meets in one task; rounds grow with chains of rights lost to other classes.
+    """
+    options = written(ranked(options.select("listing", "cls", "r", "score").distinct(), ["listing", "cls"], [F.desc("score"), F.col("r")], "pos"), "options")
+    state = ranked(lefts.select("listing", "cls", "l").distinct(), ["listing", "cls"], [F.col("l")], "k").select("listing", "cls", "l", "k", F.col("k").alias("p"))
+    state = written(state, "state")
+    while True:
+        asked = written(state.join(options.withColumnRenamed("pos", "p"), ["listing", "cls", "p"]), "asked")
+        held = written(asked.groupBy("listing", "r").agg(F.min("l").alias("holder")), "held")
+        lost = asked.join(held, ["listing", "r"]).where(F.col("l") > F.col("holder")).select("listing", "cls", "l", F.col("p").alias("_p"))
+        lost = written(lost, "lost")
+        if lost.isEmpty():
+            return asked.select(*PAIRS)
+        ahead = lost.select("listing", "cls", "l", "_p", F.explode(F.sequence(F.col("_p") + 1, F.col("_p") + AHEAD)).alias("pos")).join(options.select("listing", "cls", "pos", "r"), ["listing", "cls", "pos"])
+        free = ahead.join(held, ["listing", "r"], "left").where("holder is null or holder > l").groupBy("listing", "cls", "l").agg(F.min("pos").alias("_next"))
+        moved = lost.join(free, ["listing", "cls", "l"], "left").select("listing", "cls", "l", F.coalesce("_next", F.col("_p") + AHEAD + 1).alias("_to"))
+        state = written(_places(state.join(moved, ["listing", "cls", "l"], "left").withColumn("p", F.coalesce("_to", "p")).drop("_to")), "state")
 
 
 def greedy(scores: DataFrame) -> DataFrame:
-    """(listing, l, r, score): lefts in name order take their best free right, the first in name order on ties. Sequential by nature: one task per listing."""
-    import pandas as pd
+    """(listing, l, r, score): lefts in name order take their best free right, the first in name order on ties."""
+    return matched(scores.select("listing", F.col("l").alias("cls"), "l"), scores.select("listing", F.col("l").alias("cls"), "r", "score"))
 
-    def consume(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, rows = set(), []
-        for left, group in pdf.sort_values(["l", "r"]).groupby("l", sort=True):
-            free = group[~group["r"].isin(used)]
-            if len(free):
-                best = free.loc[free["score"].idxmax()]
-                used.add(best["r"])
-                rows.append((best["listing"], left, best["r"], float(best["score"])))
-        return pd.DataFrame(rows, columns=PAIRS)
 
-    return scores.groupBy("listing").applyInPandas(lambda pdf: consume(pdf[PAIRS].reset_index(drop=True)), "listing string, l string, r string, score double")
+def match_numbers(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Greedy pairs by number_scores(). Lefts of one last number have the same options, so a right has a row a number, not one a left."""
+    a = _named(left, "l").select("listing", F.try_element_at(name_numbers(F.col("l")), F.lit(-1)).alias("cls"), "l").where("cls is not null")
+    b = _named(right, "r").select("listing", "r", F.try_element_at(name_numbers(F.col("r")), F.lit(-1)).alias("_last"), F.explode(F.array_distinct(name_numbers(F.col("r")))).alias("cls"))
+    return matched(a, b.select("listing", "cls", "r", F.when(F.col("_last") == F.col("cls"), 1.0).otherwise(0.8).alias("score")))
+
+
+def match_tokens(left: DataFrame, right: DataFrame, least: float = 0.3) -> DataFrame:
+    """Greedy pairs by token_scores(). Lefts of one token set have the same options."""
+    named = _named(left, "l").select("listing", F.array_join(F.array_sort(name_tokens(F.col("l"))), " ").alias("cls"), "l")
+    classes = named.select("listing", F.col("cls").alias("name")).where("name <> ''").distinct()
+    return matched(named, token_scores(classes, right, least).select("listing", F.col("l").alias("cls"), "r", "score"))
+
+
+#: Ratio down to which all lefts look for options; those that end without one look down to the least.
+FIRST = 0.75
+
+
+def match_similar(left: DataFrame, right: DataFrame, least: float = 0.5, first: float = FIRST) -> DataFrame:
+    """Greedy pairs by similarity_scores(). Ratios under `first` are computed only for lefts that lost all options over it, which are better than those."""
+    lefts = written(_named(left, "l").distinct(), "lefts")
+    scores = written(similarity_scores(left, right, max(first, least)).distinct(), "scores")
+    seen = lefts.where("false") if first > least else lefts
+    while True:
+        pairs = written(greedy(scores), "pairs")
+        todo = written(lefts.join(pairs, ["listing", "l"], "left_anti").join(seen, ["listing", "l"], "left_anti"), "unmatched")
+        if todo.isEmpty():
+            return pairs
+        scores = written(scores.union(similarity_scores(todo.withColumnRenamed("l", "name"), right, least)).distinct(), "scores")
+        seen = written(seen.union(todo), "seen")
 
 
 def auto(left: DataFrame, right: DataFrame) -> DataFrame:
     """For each listing numbers if they pair four fifths of its lefts; else tokens, else similarity, where they pair strictly more; else numbers."""
     n_left = _named(left, "l").groupBy("listing").agg(F.count(F.lit(1)).alias("n_left"))
     found = None
-    for strategy, scores in (("number", number_scores), ("keyword", token_scores), ("similarity", similarity_scores)):
-        one = greedy(scores(left, right)).withColumn("strategy", F.lit(strategy))
+    for strategy, match in (("number", match_numbers), ("keyword", match_tokens), ("similarity", match_similar)):
+        one = match(left, right).withColumn("strategy", F.lit(strategy))
         found = one if found is None else found.union(one)
     found = written(found, "matches")
     per = n_left.join(found.groupBy("listing").pivot("strategy", ["number", "keyword", "similarity"]).count(), "listing", "left").na.fill(0)
@@ -93,8 +191,6 @@ def auto(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def occurrences(used: DataFrame, known: DataFrame) -> DataFrame:
     """used(pos, hash), known(idx, hash) -> (pos, idx): the k-th use of a hash takes its k-th known occurrence; the rest by position."""
-    from pyspark.sql import Window
-
     rank = lambda o: F.row_number().over(Window.partitionBy("hash").orderBy(o))
     a, b = used.withColumn("_k", rank("pos")), known.withColumn("_k", rank("idx"))
     out = a.join(b, ["hash", "_k"], "left")

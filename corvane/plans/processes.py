@@ -12,8 +12,6 @@ from corvane.plans import operations
 from corvane.sources.tables import load, scratch, values, values_sql
 from corvane.streaming import progress as G
 
-LEFT_FILES = "('a', 'report_01.docx'), ('a', 'report_02.docx'), ('a', 'notes final.txt'), ('a', 'budget 2024 v7.xlsx'), ('b', 'minutes of may.txt'), ('b', 'minutes of june.txt'), ('c', 'abcdef'), ('c', 'ghijkl'), ('d', 'report_01.docx')"
-RIGHT_FILES = "('a', 'summary_01.pdf'), ('a', 'summary_3_02.pdf'), ('a', 'final notes.md'), ('a', '7_of_9.csv'), ('a', 'report_02_copy_5.docx'), ('b', 'june minutes.txt'), ('b', 'may minutes.txt'), ('c', 'ghijkx'), ('c', 'xabcdef'), ('d', 'other.docx')"
 SLOTS = "(1, 's1', 11, 'Title 1', 40, 'Old heading', 1, 400.0, 80.0, 32.0, 1), (1, 's2', 12, 'Body', 200, 'A body text of some length that stands here already', 5, 300.0, 200.0, CAST(NULL AS DOUBLE), 2), (2, 's3', 13, 'Title 1', 30, 'Name', 1, 60.0, 30.0, 26.0, 1), (2, 's4', 14, 'Foot', 660, 'page', 1, 100.0, 20.0, 10.0, 1)"
 SLOT_COLUMNS = "slide, slot_id, shape_id, shape_name, top, text, n_text, width, height, font_px, old_paragraphs"
 PLAN = "(1, 1, 's1', NULL, NULL, 'Hello'), (2, 1, NULL, 12, 'x', 'Some words'), (3, 2, NULL, 99, 'Title 1', 'A text that is far too long for its slot'), (4, 2, 'zz', NULL, NULL, 'lost')"
@@ -136,12 +134,6 @@ def queries():
     q["c05_core_points"] = lambda s, d: W.core_points(load(s, d, "orders").select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("pos"), F.concat_ws(" ", F.lit("order"), "o_orderpriority", "o_orderstatus").alias("text")))
     q["f29_deep_merge"] = lambda s, d: W.deep_merge(_leaves(s, d, False), _leaves(s, d, True))
     q["t02_fold_stream"] = _stream
-    q["j06_number_scores"] = lambda s, d: M.number_scores(values(s, "listing, name", LEFT_FILES), values(s, "listing, name", RIGHT_FILES))
-    q["j06_greedy_numbers"] = lambda s, d: M.greedy(M.number_scores(values(s, "listing, name", LEFT_FILES), values(s, "listing, name", RIGHT_FILES)))
-    q["j07_token_scores"] = lambda s, d: M.token_scores(values(s, "listing, name", LEFT_FILES), values(s, "listing, name", RIGHT_FILES), 0.2)
-    q["j08_similarity"] = lambda s, d: M.greedy(M.similarity_scores(values(s, "listing, name", LEFT_FILES), values(s, "listing, name", RIGHT_FILES)))
-    q["f08_similarity_ratio"] = lambda s, d: M.similarity_scores(values(s, "name", "('abcd'), ('report one'), ('zzz')"), values(s, "name", "('bcde'), ('report two'), ('abcd')"), 0.0).drop("listing")
-    q["j09_auto_match"] = lambda s, d: M.auto(values(s, "listing, name", LEFT_FILES), values(s, "listing, name", RIGHT_FILES))
     q["j13_named_lookup"] = lambda s, d: S.named(values(s, "course, who", "('a', 'Li'), ('b', 'Wu'), ('c', 'Xi')"), values(s, "pos, name, id", "(1, 'Li', 't1'), (2, 'Li', 't2'), (3, 'Wu', 't3')"), "who", "teacher")
     q["j14_slot_lookup"] = lambda s, d: D.slot_lookup(_plan(s).withColumn("shape_id", F.col("shape_id").cast("string")), _slots(s))
     q["j15_cell_errors"] = lambda s, d: D.cell_errors(values(s, "edit, table_id, row, col", EDITS), values(s, "table_id, n_rows, n_cols", SIZES))
@@ -232,13 +224,7 @@ def oracle_sql():
  o AS (SELECT p_partkey AS config, unnest(CASE p_partkey % 3 WHEN 0 THEN ['a.b.c', 'n'] WHEN 1 THEN ['a.b'] ELSE ['t.x', 'a.q'] END) AS path, 'new ' || p_name AS value FROM part)
  SELECT * FROM o UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.config = b.config AND (o.path = b.path OR starts_with(b.path, o.path || '.') OR starts_with(o.path, b.path || '.')))"""
     # worked out by hand from the rules: consumption in name order; options in order, fewest first
-    q["j06_greedy_numbers"] = "SELECT * FROM (VALUES ('a', 'budget 2024 v7.xlsx', '7_of_9.csv', 0.8::DOUBLE), ('a', 'report_01.docx', 'summary_01.pdf', 1.0), ('a', 'report_02.docx', 'summary_3_02.pdf', 1.0)) AS t(listing, l, r, score)"
     q["g03_solve"] = "SELECT * FROM (VALUES ('p1', 'C1', 0, 'Mon-2', 'R1'), ('p1', 'C2', 0, 'Mon-1', 'R1'), ('p1', 'C3', 0, 'Mon-1', 'R2'), ('p2', 'C1', 0, 'Mon-1', 'R1'), ('p2', 'C2', 0, NULL, NULL)) AS t(plan, course, slot, time, room)"
-    nums = lambda rows: f"(SELECT listing, name, regexp_extract_all(name, '[0-9]+') AS ns FROM {values_sql('listing, name', rows)})"
-    q["j06_number_scores"] = f"SELECT l.listing, l.name AS l, r.name AS r, CASE WHEN l.ns[-1] = r.ns[-1] THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS score FROM {nums(LEFT_FILES)} l JOIN {nums(RIGHT_FILES)} r USING (listing) WHERE len(l.ns) > 0 AND list_contains(r.ns, l.ns[-1])"
-    toks = lambda rows: rf"(SELECT listing, name, list_distinct(list_filter(string_split(regexp_replace(lower(name), '[^\p{{L}}\p{{N}}_]', ' ', 'g'), ' '), lambda x: x <> '')) AS ts FROM {values_sql('listing, name', rows)})"
-    q["j07_token_scores"] = f"WITH p AS (SELECT l.listing, l.name AS l, r.name AS r, len(list_intersect(l.ts, r.ts)) AS n, len(l.ts) + len(r.ts) AS m FROM {toks(LEFT_FILES)} l JOIN {toks(RIGHT_FILES)} r USING (listing)) SELECT listing, l, r, round(n / CAST(m - n AS DOUBLE), 6) AS score FROM p WHERE n > 0 AND n / CAST(m - n AS DOUBLE) > 0.2"
-    q["f08_similarity_ratio"] = "SELECT * FROM (VALUES ('abcd', 'bcde', 0.75::DOUBLE), ('abcd', 'abcd', 1.0), ('report one', 'report two', 0.8), ('report one', 'bcde', 0.142857), ('abcd', 'report two', 0.0)) AS t(l, r, score) WHERE score > 0"
     q["j13_named_lookup"] = "SELECT * FROM (VALUES ('a', 'Li', 't2'), ('b', 'Wu', 't3'), ('c', 'Xi', 'Xi')) AS t(course, who, teacher)"
     q["j14_slot_lookup"] = "SELECT * FROM (VALUES (1, 's1', 'slot_id'), (2, 's2', 'shape_id'), (3, 's3', 'shape_name'), (4, NULL, 'none')) AS t(plan_row, slot_id, \"by\")"
     q["j15_cell_errors"] = "SELECT * FROM (VALUES (2, 't1', 'row out of range'), (3, 't1', 'column out of range'), (4, 'zz', 'unknown table')) AS t(edit, table_id, error)"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from oracle import assert_same
 
+from corvane.operators import match as M
 from corvane.plans import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -47,26 +48,34 @@ def by_hand(scores):
     return out
 
 
+LEFT_FILES = "('a', 'report_01.docx'), ('a', 'report_02.docx'), ('a', 'notes final.txt'), ('a', 'budget 2024 v7.xlsx'), ('b', 'minutes of may.txt'), ('b', 'minutes of june.txt'), ('c', 'abcdef'), ('c', 'ghijkl'), ('d', 'report_01.docx')"
+RIGHT_FILES = "('a', 'summary_01.pdf'), ('a', 'summary_3_02.pdf'), ('a', 'final notes.md'), ('a', '7_of_9.csv'), ('a', 'report_02_copy_5.docx'), ('b', 'june minutes.txt'), ('b', 'may minutes.txt'), ('c', 'ghijkx'), ('c', 'xabcdef'), ('d', 'other.docx')"
+
+
 def listings():
     import ast
 
-    from corvane.plans import processes as S
+    return ast.literal_eval(f"[{LEFT_FILES}]"), ast.literal_eval(f"[{RIGHT_FILES}]")
+
 
-    return ast.literal_eval(f"[{S.LEFT_FILES}]"), ast.literal_eval(f"[{S.RIGHT_FILES}]")
+def files(spark):
+    from corvane.sources.tables import values
 
+    return values(spark, "listing, name", LEFT_FILES), values(spark, "listing, name", RIGHT_FILES)
 
-def test_similar_names_by_hand(spark, small):
+
+def test_similar_names_by_hand(spark):
     left, right = listings()
     scores = {(k, a): [(ratio(a, b), b) for m, b in right if m == k and ratio(a, b) > 0.5] for k, a in left}
-    got = {(r.listing, r.l): (r.r, r.score) for r in QUERIES["j08_similarity"](spark, small).collect()}
+    got = {(r.listing, r.l): (r.r, r.score) for r in M.match_similar(*files(spark)).collect()}
     assert got == by_hand(scores) and len(got) > 3
 
 
-def test_auto_matching_by_hand(spark, small):
+def test_auto_matching_by_hand(spark):
     """Numbers pair three of four in listing a; tokens are more in b; in c similarity alone pairs; in d the suffix is a shared token."""
     left, right = listings()
     likeness = by_hand({(k, a): [(ratio(a, b), b) for m, b in right if m == k and ratio(a, b) > 0.5] for k, a in left})
-    rows = QUERIES["j09_auto_match"](spark, small).collect()
+    rows = M.auto(*files(spark)).collect()
     assert {(r.listing, r.strategy) for r in rows} == {("a", "number" if sum(k == "a" for k, _ in likeness) <= 3 else "similarity"), ("b", "keyword"), ("c", "similarity"), ("d", "keyword")}
     assert {(r.listing, r.l): (r.r, r.score) for r in rows if r.listing == "c"} == {x: v for x, v in likeness.items() if x[0] == "c"}
     assert len({(r.listing, r.l) for r in rows}) == len({(r.listing, r.r) for r in rows}) == len(rows)
@@ -75,8 +84,6 @@ def test_auto_matching_by_hand(spark, small):
 def test_bounds_lose_no_similar_pair(spark):
     import random
 
-    from corvane.operators import match as M
-
     draw = random.Random(7)
     names = ["".join(draw.choice("aab bc.1") for _ in range(draw.randint(1, 9))) for _ in range(60)]
     df = spark.createDataFrame([(n,) for n in sorted(set(names))], "name string")
