@@ -54,12 +54,18 @@ HINTS = {
     "content": "article content post entry main story body text",
 }
 _HINT = {w: k for k, ws in HINTS.items() for w in ws.split()}
+#: Words at the head or end of a name that make it say what a page has, allows or is filed under, not what the element is.
+STATES = frozenset("has with without no not is js hide show category enabled disabled open opened closed free on off active inactive by page layout template loaded ready".split())
+#: Elements that hold the page or its article; names on them say what else the page has.
+OUTER = frozenset(["html", "body", "main", "article"])
 ZONES = ["nav", "header", "footer", "aside", "form", "ad", "comment", "notice", "menu", "foot", "head", "hidden"]
 _ZONE_OF_TAG = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "button": "form", "select": "form", "option": "form", "label": "form", "fieldset": "form", "dialog": "notice"}
 _BIT = {z: 1 << k for k, z in enumerate(ZONES)}
 _IN_ARTICLE, _IN_CONTENT = 1 << len(ZONES), 1 << (len(ZONES) + 1)
 _STICKY = _BIT["footer"] | _BIT["foot"] | _BIT["comment"] | _BIT["ad"] | _BIT["notice"] | _BIT["aside"] | _BIT["nav"] | _BIT["menu"] | _BIT["form"]
 TAGS = ["p", "heading", "li", "cell", "other"]
+#: A page of which no block of SEEN characters is kept is read again if it has so many paragraphs of so many characters.
+SEEN, LONG, PARAGRAPHS = 40, 80, 2
 N_FEATURES = len(ZONES) + 2 + len(TAGS) + 5
 
 
@@ -71,6 +77,27 @@ def _kind(tag: str) -> int:
     return 2 if tag == "li" else 3 if tag in ("td", "th", "caption") else 4
 
 
+def _hints(tag: str, attrs: str) -> set[str]:
+    """What the names in class, id, role and label say of the element.
+
+    A name of several words counts by its first and last one, unless one of its words tells a state (`has-sidebar`,
+    `comments-open`, `side-by-side`). On the elements of OUTER only a name that is one word counts, on an article and
+    to say that it is a comment, an advert or content.
+    """
+    out = set()
+    for m in _named.finditer(attrs):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = [w.lower() for w in _parts.findall(name)]
+            if tag in OUTER and (tag != "article" or len(words) != 1):
+                words = [w for w in words if _HINT.get(w) == "content"]
+            elif tag == "article":
+                words = [w for w in words if _HINT.get(w) in ("content", "comment", "ad")]
+            elif not STATES.isdisjoint(words) or (words[:1] == ["tag"] and len(words) > 1):
+                continue
+            out |= {_HINT[w] for w in (*words[:1], *words[-1:]) if w in _HINT}
+    return out
+
+
 def _flags(tag: str, attrs: str, above: int) -> int:
     own = _BIT[_ZONE_OF_TAG[tag]] if tag in _ZONE_OF_TAG else 0
     inside = above & (_IN_ARTICLE | _IN_CONTENT)
@@ -78,15 +105,14 @@ def _flags(tag: str, attrs: str, above: int) -> int:
         own = 0  # the heading of the article itself
     if tag in ("article", "main"):
         own |= _IN_ARTICLE
+        above &= ~(_STICKY if tag == "main" else _BIT["form"] | _BIT["notice"])  # a form or notice around an article is a frame
     if attrs and not attrs.isspace():
-        for m in _named.finditer(attrs):
-            for w in _parts.findall(m[1] or m[2] or m[3] or ""):
-                hint = _HINT.get(w.lower())
-                if hint == "content":
-                    own |= _IN_CONTENT
-                elif hint and not (hint == "head" and inside):
-                    own |= _BIT[hint]
-        if _hidden.search(attrs):
+        for hint in _hints(tag, attrs):
+            if hint == "content":
+                own |= _IN_CONTENT
+            elif not (hint == "head" and inside):
+                own |= _BIT[hint]
+        if tag not in ("html", "body") and _hidden.search(attrs):
             own |= _BIT["hidden"]
     if own & _STICKY:
         own &= ~(_IN_ARTICLE | _IN_CONTENT)
@@ -430,15 +456,30 @@ def smoothness(found: list[tuple]) -> list[tuple[int, int, float]]:
     return out
 
 
+def _labels(found: list[tuple], weights: np.ndarray) -> list[bool]:
+    score = features(found) @ weights
+    return minimum_cut(np.logaddexp(0, -score).tolist(), np.logaddexp(0, score).tolist(), smoothness(found))
+
+
 def main_text(page: str | None, weights: tuple[float, ...]) -> str:
-    """Content blocks joined by an empty line; null, empty and textless pages give an empty text."""
+    """Content blocks joined by an empty line; null, empty and textless pages give an empty text.
+
+    Where all is cut away though the page has PARAGRAPHS paragraphs, the zones that these have in common say nothing,
+    as they are those of a frame around the page; the cut is made once more without them.
+    """
     found = blocks(page)
     if not found:
         return ""
-    score = features(found) @ np.array(weights)
-    content = np.logaddexp(0, -score).tolist()
-    boilerplate = np.logaddexp(0, score).tolist()
-    keep = minimum_cut(content, boilerplate, smoothness(found))
+    w = np.array(weights)
+    keep = _labels(found, w)
+    if not any(k and len(f[0]) >= SEEN for f, k in zip(found, keep, strict=True)):
+        long = [f[1] for f in found if len(f[0]) >= LONG and 3 * f[3] < len(f[0]) and not f[1] & _BIT["hidden"]]
+        common = (1 << len(ZONES)) - 1
+        for flags in long:
+            common &= flags
+        if len(long) >= PARAGRAPHS and common:
+            found = [(f[0], f[1] & ~common, *f[2:]) for f in found]
+            keep = _labels(found, w)
     return "\n\n".join(f[0] for f, k in zip(found, keep, strict=True) if k)
 
 

@@ -133,3 +133,49 @@ def test_hostile_pages_are_read_in_linear_time():
         assert time.process_time() - start < 5, page[:20]
     assert M.main_text("<div>" * 20000 + "<b>x</i>" * 20000, M.classifier()) == "x" * 20000
     assert M.main_text("<p>word.</p>" * 60000, M.classifier()).count("\n\n") == 59999
+
+
+PARAGRAPHS = [f"{w} the old harbour was rebuilt after the great storm, and the council paid the masons in grain and cloth for it." for w in ("First", "Then", "Later", "At last")]
+ARTICLE = "<h1>The harbour of the town</h1>" + "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+MENU = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/x'>Shop</a></li></ul></nav>"
+FOOT = "<footer><p>Copyright of the paper, all rights reserved.</p></footer>"
+
+
+def framed(html="", body="", main="", article="", wrapper="", outer="div"):
+    attr = lambda v: f" {v}" if v else ""
+    return f"<html{attr(html)}><body{attr(body)}>{MENU}<{outer}{attr(wrapper)}><main{attr(main)}><article{attr(article)}>{ARTICLE}</article></main></{outer}>{FOOT}</body></html>"
+
+
+def plain(html="", body="", wrapper="", outer="div"):
+    """Without main and article."""
+    attr = lambda v: f" {v}" if v else ""
+    return f"<html{attr(html)}><body{attr(body)}><{outer}{attr(wrapper)}>{MENU}<div>{ARTICLE}</div>{FOOT}</{outer}></body></html>"
+
+
+def test_names_on_outer_elements_lose_no_page():
+    w = M.classifier()
+    want = "\n\n".join(["The harbour of the town", *PARAGRAPHS])
+    for page in [
+        framed(body='class="single comments-enabled has-sidebar"'), framed(body='class="nav-open ad-free"'), framed(body='class="home search-enabled"'), framed(body='id="privacy-page"'), framed(html='class="js no-ads"'),
+        framed(article='class="post type-post category-ads tag-newsletter"'), framed(article='class="post comments-open"'), framed(wrapper='class="container with-sidebar"'), framed(wrapper='id="aspnetForm"', outer="form"), framed(wrapper='class="side-by-side"'),
+        plain(body='class="single comments-enabled has-sidebar"'), plain(wrapper='class="container with-sidebar"'), plain(wrapper='id="aspnetForm"', outer="form"), plain(wrapper='class="side-by-side"'),
+    ]:
+        assert M.main_text(page, w) == want, page[:120]
+
+
+def test_every_hint_word_on_every_frame():
+    w = M.classifier()
+    for word in sorted(M._HINT):
+        for name in (word, f"has-{word}", f"{word}-open", f"x-{word}", f"{word}-x"):
+            c = f'class="{name}"'
+            for page in (framed(html=c), framed(body=c), framed(main=c), framed(wrapper=c), plain(html=c), plain(body=c), plain(wrapper=c), *([framed(article=c)] if M._HINT[word] not in ("comment", "ad") or name != word else [])):
+                text = M.main_text(page, w)
+                assert all(p in text for p in PARAGRAPHS) and "Home" not in text, (name, page[:150])
+
+
+def test_zones_inside_a_page_still_go():
+    w = M.classifier()
+    for zone in ("<div class='comments'><article class='comment'><p>{0}</p></article></div>", "<ol class='comment-list'><li><article><p>{0}</p></article></li></ol>", "<aside class='widget-area'><p>{0}</p></aside>", "<div class='sidebar-left'><p>{0}</p></div>", "<form class='subscribe'><p>{0}</p></form>", "<div class='google-ad'><p>{0}</p></div>"):
+        other = "Somebody else says something that is not of the article at all, and at some length too."
+        text = M.main_text(framed().replace(FOOT, zone.format(other) + FOOT), w)
+        assert other not in text and all(p in text for p in PARAGRAPHS), zone
