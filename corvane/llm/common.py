@@ -58,11 +58,11 @@ def _cleanup() -> None:
 atexit.register(_cleanup)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends, sizes are known, lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvane-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._corvane_path = path
