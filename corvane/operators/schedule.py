@@ -1,4 +1,4 @@
-"""Timetables: text parsing, course slots, feasibility, backtracking, validation, statistics, views."""
+"""Timetables: text parsing, course slots, feasibility, validation, statistics, views."""
 
 from __future__ import annotations
 
@@ -80,51 +80,6 @@ def soft_scores(options: DataFrame, wishes: DataFrame) -> DataFrame:
     return x.select("course", "time", F.round(F.coalesce(hit, F.lit(False)).cast("double") - p / 10.0, 3).alias("score"))
 
 
-def solve(problems: DataFrame) -> DataFrame:
-    """problems(plan, course, slot, teacher, class, size, times array, rooms array<struct<id, capacity>>) -> (plan, course, slot, time, room).
-
-    Depth-first search with the fewest options first, one plan a task; slots that cannot be placed have null time and room.
-    """
-    import pandas as pd
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = sorted(pdf.to_dict("records"), key=lambda r: (len(r["times"]), r["course"], r["slot"]))
-        busy: set[tuple] = set()
-        best: list = []
-
-        def options(r):
-            for t in r["times"]:
-                if ("t", r["teacher"], t) in busy or ("c", r["class"], t) in busy:
-                    continue
-                for room in r["rooms"]:
-                    if room["capacity"] >= r["size"] and ("r", room["id"], t) not in busy:
-                        yield t, room["id"]
-
-        stack, placed, budget = [options(items[0])] if items else [], [], 20000
-        while stack and budget:
-            budget -= 1
-            r = items[len(stack) - 1]
-            if len(placed) == len(stack):
-                t, room = placed.pop()
-                busy.difference_update({("t", r["teacher"], t), ("c", r["class"], t), ("r", room, t)})
-            step = next(stack[-1], None)
-            if step is None:
-                stack.pop()
-                continue
-            t, room = step
-            busy.update({("t", r["teacher"], t), ("c", r["class"], t), ("r", room, t)})
-            placed.append(step)
-            if len(placed) > len(best):
-                best = list(placed)
-            if len(placed) == len(items):
-                break
-            stack.append(options(items[len(stack)]))
-        done = [*best, *[(None, None)] * (len(items) - len(best))]
-        return pd.DataFrame([(r["plan"], r["course"], r["slot"], t, room) for r, (t, room) in zip(items, done, strict=True)], columns=["plan", "course", "slot", "time", "room"])
-
-    return problems.groupBy("plan").applyInPandas(search, "plan string, course string, slot int, time string, room string")
-
-
 def violations(assignments: DataFrame, keys: list[str], time: str) -> DataFrame:
     """(kind, who, time, n): repeats beyond the first of anyone at one time, all kinds in one pass."""
     cells = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("who")) for k in keys])

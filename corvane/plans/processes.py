@@ -17,12 +17,6 @@ SLOT_COLUMNS = "slide, slot_id, shape_id, shape_name, top, text, n_text, width,
 PLAN = "(1, 1, 's1', NULL, NULL, 'Hello'), (2, 1, NULL, 12, 'x', 'Some words'), (3, 2, NULL, 99, 'Title 1', 'A text that is far too long for its slot'), (4, 2, 'zz', NULL, NULL, 'lost')"
 EDITS = "(1, 't1', 0, 0), (2, 't1', 5, 0), (3, 't1', 1, 9), (4, 'zz', 0, 0)"
 SIZES = "('t1', 3, 4)"
-TEACHERS = "('T1', 'Mon-1,Mon-2,Tue-1'), ('T2', 'Mon-1,Mon-5')"
-COURSES = "('C1', 'T1', 'K1', 3, 2), ('C2', 'T2', 'K1', 2, 1), ('C3', 'T1', 'K2', CAST(NULL AS INT), 1)"
-ROOMS = "('R1', 30, 'Mon-1,Mon-2,Tue-1,Mon-5'), ('R2', 60, 'Mon-1,Mon-5')"
-CLASSES = "('K1', 40), ('K2', 20)"
-TIMES = "('Mon-1'), ('Mon-2'), ('Mon-5'), ('Tue-1')"
-WISHES = "('C1', 'morning'), ('C2', 'afternoon')"
 REFS = "('Mon 1-2'), ('Tue'), ('Wed morning'), ('Thu afternoon'), ('whenever'), ('Mon 1-2 Mon 2-3')"
 SPEECH = "('2 consecutive, prefers morning'), ('must not clash'), ('should avoid Friday; prefer afternoon'), ('x')"
 PIPES = "(1, '| a | b |~| --- | --- |~| 1 | |~|  | 2 |'), (2, 'no table')"
@@ -67,14 +61,6 @@ def _plan(s):
     return values(s, "plan_row, slide, slot_id, shape_id, shape_name, text", PLAN)
 
 
-def _options(s):
-    avail = lambda c: F.split(c, ",")
-    return S.feasible(
-        values(s, "course, teacher, class, hours_per_week, consecutive", COURSES).select("course", "teacher", "class"), values(s, "id, a", TEACHERS).select("id", avail("a").alias("available")),
-        values(s, "id, capacity, a", ROOMS).select("id", "capacity", avail("a").alias("available")), values(s, "id, size", CLASSES), values(s, "id", TIMES),
-    )
-
-
 def _assigned(s, d):
     """Line items as assignments: suppliers teach, parts are courses, days and periods from the ship date and line."""
     x = load(s, d, "lineitem")
@@ -155,12 +141,7 @@ def queries():
     q["a25_deck_insights"] = lambda s, d: D.deck_insights(D.rollup_content(deck(s)), s.range(1).select(F.lit("d").alias("deck"), F.lit(3).alias("n_points"), F.lit(2).alias("n_warnings")))
     q["a25_empty_slides"] = lambda s, d: D.empty_slides(D.rollup_content(deck(s)))
     q["a27_image_usage"] = lambda s, d: W.image_usage(values(s, "part, blob, ratio", IMAGES))
-    q["g01_course_slots"] = lambda s, d: S.course_slots(values(s, "id, teacher, class, hours_per_week, consecutive", COURSES))
-    q["g02_feasible"] = lambda s, d: _options(s)
-    q["g03_solve"] = lambda s, d: S.solve(problem(s))
     q["g04_reachable"] = lambda s, d: W.reachable(values(s, "part", "('a')"), values(s, "source, target", PARTS))
-    q["o03_most_constrained"] = lambda s, d: S.most_constrained(_options(s))
-    q["o04_soft_scores"] = lambda s, d: S.soft_scores(_options(s), values(s, "course, wish", WISHES))
     q["f23_time_slots"] = lambda s, d: values(s, "t", REFS).select("t", F.array_join(S.time_slots(F.col("t")), ",").alias("slots"))
     q["f24_speech"] = lambda s, d: values(s, "t", SPEECH).select("t", S.consecutive(F.col("t")).alias("n"), F.coalesce(S.preference(F.col("t")), F.lit("")).alias("wish"))
     q["f25_table_rows"] = lambda s, d: values(s, "id, t", PIPES).select("id", F.array_join(F.transform(S.table_rows(F.replace("t", F.lit("~"), F.lit("\n"))), lambda r: F.array_join(r, ";")), "/").alias("rows"))
@@ -199,14 +180,6 @@ def deck(s):
     return s.sql(f"SELECT 'd' AS deck, array({rows}) AS slides")
 
 
-def problem(s):
-    """Two plans of which the first can be placed whole and the second cannot."""
-    return s.sql(
-        """SELECT * FROM VALUES ('p1', 'C1', 0, 'T1', 'K1', 20, array('Mon-1', 'Mon-2')), ('p1', 'C2', 0, 'T1', 'K2', 20, array('Mon-1')), ('p1', 'C3', 0, 'T2', 'K1', 20, array('Mon-1', 'Mon-2', 'Tue-1')),
- ('p2', 'C1', 0, 'T1', 'K1', 20, array('Mon-1')), ('p2', 'C2', 0, 'T1', 'K2', 20, array('Mon-1')) AS t(plan, course, slot, teacher, class, size, times)"""
-    ).withColumn("rooms", F.expr("array(named_struct('id', 'R1', 'capacity', 30), named_struct('id', 'R2', 'capacity', 25))"))
-
-
 def oracle_sql():
     q = {}
     q["c01_run_steps"] = """WITH o AS (SELECT o_custkey AS workflow, o_orderkey AS pos, 's' || o_orderkey AS id, o_orderkey % 5 <> 0 AS c, o_orderstatus <> 'F' AS ok, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'skip' WHEN '2' THEN 'retry' WHEN '3' THEN 'fail' END AS st FROM orders),
@@ -224,7 +197,6 @@ def oracle_sql():
  o AS (SELECT p_partkey AS config, unnest(CASE p_partkey % 3 WHEN 0 THEN ['a.b.c', 'n'] WHEN 1 THEN ['a.b'] ELSE ['t.x', 'a.q'] END) AS path, 'new ' || p_name AS value FROM part)
  SELECT * FROM o UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.config = b.config AND (o.path = b.path OR starts_with(b.path, o.path || '.') OR starts_with(o.path, b.path || '.')))"""
     # worked out by hand from the rules: consumption in name order; options in order, fewest first
-    q["g03_solve"] = "SELECT * FROM (VALUES ('p1', 'C1', 0, 'Mon-2', 'R1'), ('p1', 'C2', 0, 'Mon-1', 'R1'), ('p1', 'C3', 0, 'Mon-1', 'R2'), ('p2', 'C1', 0, 'Mon-1', 'R1'), ('p2', 'C2', 0, NULL, NULL)) AS t(plan, course, slot, time, room)"
     q["j13_named_lookup"] = "SELECT * FROM (VALUES ('a', 'Li', 't2'), ('b', 'Wu', 't3'), ('c', 'Xi', 'Xi')) AS t(course, who, teacher)"
     q["j14_slot_lookup"] = "SELECT * FROM (VALUES (1, 's1', 'slot_id'), (2, 's2', 'shape_id'), (3, 's3', 'shape_name'), (4, NULL, 'none')) AS t(plan_row, slot_id, \"by\")"
     q["j15_cell_errors"] = "SELECT * FROM (VALUES (2, 't1', 'row out of range'), (3, 't1', 'column out of range'), (4, 'zz', 'unknown table')) AS t(edit, table_id, error)"
@@ -264,12 +236,6 @@ def oracle_sql():
     q["a25_deck_insights"] = "SELECT 'd' AS deck, 'tables,charts,notes' AS strengths, '2 failed pages,few key points' AS gaps, '' AS recommendations"
     q["a25_empty_slides"] = "SELECT 'd' AS deck, 4::BIGINT AS n"
     q["a27_image_usage"] = "SELECT coalesce(part, sha256(blob)) AS asset, count(*) AS n_uses, array_to_string(list_sort(list(DISTINCT CAST(ratio AS VARCHAR))), ',') AS ratios FROM " + values_sql("part, blob, ratio", IMAGES) + " GROUP BY 1"
-    q["g01_course_slots"] = "SELECT * FROM (VALUES ('C1', 0, 2), ('C1', 1, 1), ('C2', 0, 1), ('C2', 1, 1), ('C3', 0, 1), ('C3', 1, 1)) AS t(course, slot, length)"
-    feas = f"""fe AS (SELECT c.course, t.time, count(*) FILTER (r.capacity >= k.size) AS n_rooms FROM {values_sql("course, teacher, class, h, n", COURSES)} c JOIN (SELECT id, unnest(string_split(a, ',')) AS time FROM {values_sql("id, a", TEACHERS)}) t ON c.teacher = t.id JOIN {values_sql("id", TIMES)} x ON t.time = x.id
- JOIN {values_sql("id, size", CLASSES)} k ON c.class = k.id LEFT JOIN (SELECT capacity, unnest(string_split(a, ',')) AS time FROM {values_sql("id, capacity, a", ROOMS)}) r ON r.time = t.time GROUP BY ALL HAVING count(*) FILTER (r.capacity >= k.size) > 0)"""
-    q["g02_feasible"] = f"WITH {feas} SELECT * FROM fe"
-    q["o03_most_constrained"] = f"WITH {feas} SELECT course, count(*) AS n_times FROM fe GROUP BY course"
-    q["o04_soft_scores"] = f"WITH {feas} SELECT fe.course, time, round(CAST(coalesce(CASE wish WHEN 'morning' THEN CAST(string_split(time, '-')[2] AS INTEGER) <= 4 WHEN 'afternoon' THEN CAST(string_split(time, '-')[2] AS INTEGER) > 4 END, false) AS INTEGER) - CAST(string_split(time, '-')[2] AS DOUBLE) / 10, 3) AS score FROM fe LEFT JOIN {values_sql('course, wish', WISHES)} w ON fe.course = w.course"
     q["g04_reachable"] = f"WITH RECURSIVE r(part) AS (SELECT 'a' UNION SELECT e.target FROM r JOIN {values_sql('source, target', PARTS)} e ON r.part = e.source) SELECT part FROM r"
     q["f23_time_slots"] = "SELECT * FROM (VALUES ('Mon 1-2', 'Mon-1,Mon-2'), ('Tue', 'Tue-1,Tue-2,Tue-3,Tue-4,Tue-5,Tue-6,Tue-7,Tue-8'), ('Wed morning', 'Wed-1,Wed-2,Wed-3,Wed-4'), ('Thu afternoon', 'Thu-5,Thu-6,Thu-7,Thu-8'), ('whenever', 'all'), ('Mon 1-2 Mon 2-3', 'Mon-1,Mon-2,Mon-2,Mon-3')) AS t(t, slots)"
     q["f24_speech"] = "SELECT * FROM (VALUES ('2 consecutive, prefers morning', 2, 'morning'), ('must not clash', 1, ''), ('should avoid Friday; prefer afternoon', 1, 'afternoon'), ('x', 1, '')) AS t(t, n, wish)"

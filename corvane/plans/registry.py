@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["tables", "indexes", "texts", "structures", "processes", "matching", "inputs"]
+MODULES = ["tables", "indexes", "texts", "structures", "processes", "matching", "timetables", "inputs"]
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
