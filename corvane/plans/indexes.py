@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from corvane.operators import index as I
 from corvane.operators.knowledge import KnowledgeBase
 from corvane.operators.related import strongest
-from corvane.sources.tables import load, scratch, values, values_sql
+from corvane.sources.tables import load, scratch, selected, selected_sql, values, values_sql, woven
 
 KEYWORD_SQL = r"""kw AS (SELECT keyword, doc_id, count(*) AS frequency FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS keyword FROM documents)
  WHERE length(keyword) >= 4 GROUP BY keyword, doc_id HAVING count(*) >= 5)"""
 CONCEPTS = "('graph', 1, 'first', 0.5, 1), ('graph', 2, CAST(NULL AS STRING), 0.9, 2), ('graph', 2, 'second', 0.2, 3), ('tree', 3, CAST(NULL AS STRING), 0.4, 4)"
 MENTIONS = ", ".join(["(1, 'person', 'Li Wei')"] * 3 + ["(1, 'person', 'Wang')"] + ["(1, 'term', 'graph theory')"] * 2 + ["(1, 'work', 'Essays')", "(2, 'work', 'Essays')", "(2, 'term', 'graph theory')"] + ["(2, 'person', 'Li Wei')"] * 2)
+#: Each part mentions what one of these documents does; terms are of its brand.
+MENTION_PARTS = f"SELECT p_partkey * 10 + v.doc_id AS doc_id, v.type AS type, CASE WHEN v.type = 'term' THEN concat(v.name, ' ', p_brand) ELSE v.name END AS name FROM {{part}} JOIN (SELECT * FROM (VALUES {MENTIONS}) AS t(doc_id, type, name)) v ON p_partkey % 2 + 1 = v.doc_id"
+CONCEPT_PARTS = woven("concept, doc_id, definition, importance, ord", CONCEPTS, "part", "p_partkey", {"concept": "concat(v.concept, ' ', p_brand)", "doc_id": "p_partkey * 10 + v.doc_id", "definition": "v.definition || ' ' || p_name", "ord": "p_partkey"}, "ord")
 HAN_TEXTS = "(-1, '王小明读《资本论》，王小明喜欢唯物史观。'), (-2, '李华与李华谈历史唯物主义。Historical Materialism and Historical Materialism.'), (-3, '《诗》'), (-4, ''), (-5, '《资本论》与《诗经》'), (-6, '《诗经》和《资本论》')"
 LOG = "(1, 'init', 10), (2, 'update', 3), (3, 'update', 1), (4, 'register', 8), (5, 'update', 0), (6, 'update', 2)"
 
@@ -30,11 +33,11 @@ EDGES_SQL = f"""wk AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(text
  edges AS (SELECT source, target, type, count(*) AS weight, array_to_string(list_sort(list(DISTINCT term))[1:10], ',') AS details FROM pairs GROUP BY ALL)"""
 
 
-def _entities(s):
-    return I.document_entities(values(s, "doc_id, type, name", MENTIONS))
+def _entities(s, d):
+    return I.document_entities(selected(s, d, MENTION_PARTS, "part"))
 
 
-LIMIT_SQL = f"""per AS (SELECT doc_id, type, name, count(*) AS count FROM {values_sql("doc_id, type, name", MENTIONS)} GROUP BY ALL),
+LIMIT_SQL = f"""per AS (SELECT doc_id, type, name, count(*) AS count FROM {selected_sql(MENTION_PARTS, "part")} GROUP BY ALL),
  ok AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, type ORDER BY count DESC, name) AS INTEGER) AS rank FROM per WHERE count >= CASE type WHEN 'person' THEN 2 WHEN 'term' THEN 2 ELSE 1 END),
  ents AS (SELECT * FROM ok WHERE rank <= CASE type WHEN 'term' THEN 50 ELSE 30 END)"""
 
@@ -66,10 +69,10 @@ def queries():
     q["c04_kb_relations"] = lambda s, d: _kb(s, d).table("relations")
     q["a10_extracted_entities"] = lambda s, d: I.document_entities(I.mentions(_texts(s, d)))
     q["a07_keyword_index"] = lambda s, d: I.keyword_index(I.keywords(load(s, d, "documents")))
-    q["a08_concept_index"] = lambda s, d: I.concept_index(values(s, "concept, doc_id, definition, importance, ord", CONCEPTS).withColumn("importance", F.col("importance").cast("double")))
-    q["a08_concept_postings"] = lambda s, d: I.posting_lists(values(s, "concept, doc_id, definition, importance, ord", CONCEPTS), "concept")
-    q["a09_entity_index"] = lambda s, d: I.entity_index(_entities(s)).select("type", F.coalesce("name", F.lit("(all)")).alias("name"), "count", "document_count")
-    q["a10_document_entities"] = lambda s, d: _entities(s)
+    q["a08_concept_index"] = lambda s, d: I.concept_index(selected(s, d, CONCEPT_PARTS, "part").withColumn("importance", F.col("importance").cast("double")))
+    q["a08_concept_postings"] = lambda s, d: I.posting_lists(selected(s, d, CONCEPT_PARTS, "part"), "concept")
+    q["a09_entity_index"] = lambda s, d: I.entity_index(_entities(s, d)).select("type", F.coalesce("name", F.lit("(all)")).alias("name"), "count", "document_count")
+    q["a10_document_entities"] = lambda s, d: _entities(s, d)
     q["a12_catalog"] = lambda s, d: I.catalog(load(s, d, "documents"), I.keyword_totals(I.keywords(load(s, d, "documents"))), I.relations(_shared(s, d)))
     q["j11_relations"] = lambda s, d: I.relations(_shared(s, d))
     q["j12_related"] = lambda s, d: strongest(_shared(s, d))
@@ -97,9 +100,8 @@ def oracle_sql():
     lists = f"SELECT keyword, CAST(floor(doc_id / {I.BLOCK_IDS}) AS BIGINT) AS block, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS documents FROM own GROUP BY ALL"
     index = lambda where="true": f"WITH {KEYWORD_SQL}, own AS (SELECT * FROM kw WHERE {where}) SELECT * FROM ({totals}) JOIN ({lists}) USING (keyword)"
     q["a07_keyword_index"] = index()
-    rows = CONCEPTS.replace("AS STRING", "AS VARCHAR")
-    q["a08_concept_index"] = f"""SELECT concept, arg_max(definition, CASE WHEN definition IS NOT NULL THEN ord END) AS definition, CAST(max(importance) AS DOUBLE) AS importance, count(*) AS mention_count, count(DISTINCT doc_id) AS document_count FROM {values_sql("concept, doc_id, definition, importance, ord", rows)} GROUP BY concept"""
-    q["a08_concept_postings"] = f"SELECT concept, 0::BIGINT AS block, array_to_string(list_sort(list(DISTINCT doc_id)), ',') AS documents FROM {values_sql('concept, doc_id, definition, importance, ord', rows)} GROUP BY concept"
+    q["a08_concept_index"] = f"""SELECT concept, arg_max(definition, CASE WHEN definition IS NOT NULL THEN ord END) AS definition, CAST(max(importance) AS DOUBLE) AS importance, count(*) AS mention_count, count(DISTINCT doc_id) AS document_count FROM {selected_sql(CONCEPT_PARTS, "part")} GROUP BY concept"""
+    q["a08_concept_postings"] = f"SELECT concept, CAST(floor(doc_id / {I.BLOCK_IDS}) AS BIGINT) AS block, array_to_string(list_sort(list(DISTINCT doc_id)), ',') AS documents FROM {selected_sql(CONCEPT_PARTS, 'part')} GROUP BY ALL"
     q["a09_entity_index"] = f"""WITH {LIMIT_SQL} SELECT type, coalesce(name, '(all)') AS name, CAST(sum(count) AS BIGINT) AS count, count(DISTINCT doc_id) AS document_count FROM ents GROUP BY ROLLUP (type, name) HAVING type IS NOT NULL"""
     q["a10_document_entities"] = f"WITH {LIMIT_SQL} SELECT * FROM ents"
     texts = f"(SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM {values_sql('doc_id, text', HAN_TEXTS)})"

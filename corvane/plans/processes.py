@@ -9,7 +9,7 @@ from corvane.operators import schedule as S
 from corvane.operators import slides as D
 from corvane.operators import workflow as W
 from corvane.plans import operations
-from corvane.sources.tables import load, scratch, values, values_sql
+from corvane.sources.tables import load, scratch, selected, selected_sql, values, values_sql, woven
 from corvane.streaming import progress as G
 
 SLOTS = "(1, 's1', 11, 'Title 1', 40, 'Old heading', 1, 400.0, 80.0, 32.0, 1), (1, 's2', 12, 'Body', 200, 'A body text of some length that stands here already', 5, 300.0, 200.0, CAST(NULL AS DOUBLE), 2), (2, 's3', 13, 'Title 1', 30, 'Name', 1, 60.0, 30.0, 26.0, 1), (2, 's4', 14, 'Foot', 660, 'page', 1, 100.0, 20.0, 10.0, 1)"
@@ -23,7 +23,12 @@ PIPES = "(1, '| a | b |~| --- | --- |~| 1 | |~|  | 2 |'), (2, 'no table')"
 ERRORS = "(1, 'build', 'disk full on node'), (2, 'build', 'timeout after 3 s'), (3, 'test', 'disk full'), (4, 'build', 'odd')"
 RULES = "(1, 'build', 'timeout', 'retry'), (2, 'build', 'disk', 'clean'), (3, 'build', 'full', 'stop')"
 REQUESTS = "('Make a knowledge index'), ('compare excel tables'), ('new deck please'), ('format my paper'), ('hello')"
+# a part asks and says one of these, fails in one of these ways, and has one of the folders
+SPEECH_PARTS = woven("t", SPEECH, "part", "p_partkey", {"t": "concat(v.t, ' ', p_name)"})
+REQUEST_PARTS = woven("request", REQUESTS, "part", "p_partkey", {"request": "concat(v.request, ' ', p_name)"})
+ERROR_PARTS = woven("error_id, step, message", ERRORS, "part", "p_partkey", {"error_id": "p_partkey", "message": "concat(v.message, ' ', p_name)"})
 FILES = "('p', 'b.txt', false), ('p', '.git', true), ('p', 'src', true), ('p', 'a.log', false), ('p', 'a.txt', false), ('q', 'node_modules', true)"
+FOLDERS = f"SELECT concat(v.folder, p_partkey) AS folder, CASE WHEN v.is_dir THEN v.name ELSE concat(substr(v.name, 1, 1), p_size, substr(v.name, 2, 9)) END AS name, v.is_dir AS is_dir FROM {{part}} JOIN (SELECT * FROM (VALUES {FILES}) AS t(folder, name, is_dir)) v ON CASE WHEN p_partkey % 3 = 0 THEN 'q' ELSE 'p' END = v.folder"
 FONTS = ("('SimSun'), ('Foo'), ('Bar'), ('Odd')", "('Foo', 'Helvetica')", "('Foo', 0, 'Kai'), ('Bar', 0, 'None'), ('Bar', 1, 'Kai')", "('SimSun'), ('Kai')")
 PARTS = "('a', 'b'), ('b', 'c'), ('c', 'a'), ('c', 'd'), ('x', 'y')"
 IMAGES = "('p1', 'aa', 1.5), ('p1', 'bb', 1.0), (NULL, 'cc', 2.0), (NULL, 'cc', 2.0)"
@@ -143,13 +148,13 @@ def queries():
     q["a27_image_usage"] = lambda s, d: W.image_usage(values(s, "part, blob, ratio", IMAGES))
     q["g04_reachable"] = lambda s, d: W.reachable(values(s, "part", "('a')"), values(s, "source, target", PARTS))
     q["f23_time_slots"] = lambda s, d: values(s, "t", REFS).select("t", F.array_join(S.time_slots(F.col("t")), ",").alias("slots"))
-    q["f24_speech"] = lambda s, d: values(s, "t", SPEECH).select("t", S.consecutive(F.col("t")).alias("n"), F.coalesce(S.preference(F.col("t")), F.lit("")).alias("wish"))
+    q["f24_speech"] = lambda s, d: selected(s, d, SPEECH_PARTS, "part").select("p_partkey", "t", S.consecutive(F.col("t")).alias("n"), F.coalesce(S.preference(F.col("t")), F.lit("")).alias("wish"))
     q["f25_table_rows"] = lambda s, d: values(s, "id, t", PIPES).select("id", F.array_join(F.transform(S.table_rows(F.replace("t", F.lit("~"), F.lit("\n"))), lambda r: F.array_join(r, ";")), "/").alias("rows"))
-    q["f26_constraints"] = lambda s, d: values(s, "t", SPEECH).select("t", S.classify_constraint(F.col("t")).alias("kind"))
-    q["p11_error_rules"] = lambda s, d: W.match_errors(values(s, "error_id, step, message", ERRORS), values(s, "pos, step, scenario, action", RULES))
-    q["p12_select_workflow"] = lambda s, d: W.select_workflow(values(s, "request", REQUESTS))
-    q["p13_exported"] = lambda s, d: W.exported(values(s, "folder, name, is_dir", FILES))
-    q["p14_listing"] = lambda s, d: W.listing(values(s, "folder, name, is_dir", FILES))
+    q["f26_constraints"] = lambda s, d: selected(s, d, SPEECH_PARTS, "part").select("p_partkey", "t", S.classify_constraint(F.col("t")).alias("kind"))
+    q["p11_error_rules"] = lambda s, d: W.match_errors(selected(s, d, ERROR_PARTS, "part").drop("p_partkey"), values(s, "pos, step, scenario, action", RULES))
+    q["p12_select_workflow"] = lambda s, d: W.select_workflow(selected(s, d, REQUEST_PARTS, "part").select("request"))
+    q["p13_exported"] = lambda s, d: W.exported(selected(s, d, FOLDERS, "part"))
+    q["p14_listing"] = lambda s, d: W.listing(selected(s, d, FOLDERS, "part"))
     q["x_operation_list"] = lambda s, d: operations.compile_operations(load(s, d, "lineitem"), OPERATIONS)
     q["x_operation_pivot"] = lambda s, d: operations.compile_operations(load(s, d, "orders"), [{"type": "filter", "column": "o_totalprice", "condition": ">1000"}, {"type": "merge", "table": "customer", "on": ["o_custkey"]}, {"type": "pivot", "index": "c_mktsegment", "column": "o_orderstatus", "values": ["F", "O", "P"], "value": "cents"}], {"customer": load(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", F.lit(1).cast("long").alias("cents"))})
     q["t01_parse"] = lambda s, d: _progress(s, d).select("type", "task_id", F.coalesce("step_id", F.lit("")).alias("step_id"), "percent", "seq")
@@ -240,12 +245,12 @@ def oracle_sql():
     q["f23_time_slots"] = "SELECT * FROM (VALUES ('Mon 1-2', 'Mon-1,Mon-2'), ('Tue', 'Tue-1,Tue-2,Tue-3,Tue-4,Tue-5,Tue-6,Tue-7,Tue-8'), ('Wed morning', 'Wed-1,Wed-2,Wed-3,Wed-4'), ('Thu afternoon', 'Thu-5,Thu-6,Thu-7,Thu-8'), ('whenever', 'all'), ('Mon 1-2 Mon 2-3', 'Mon-1,Mon-2,Mon-2,Mon-3')) AS t(t, slots)"
     q["f24_speech"] = "SELECT * FROM (VALUES ('2 consecutive, prefers morning', 2, 'morning'), ('must not clash', 1, ''), ('should avoid Friday; prefer afternoon', 1, 'afternoon'), ('x', 1, '')) AS t(t, n, wish)"
     q["f25_table_rows"] = "SELECT * FROM (VALUES (1, '1;/;2'), (2, '')) AS t(id, rows)"
-    q["f26_constraints"] = f"SELECT t, CASE WHEN regexp_matches(lower(t), 'must|never|not allowed|conflict') THEN 'hard' WHEN regexp_matches(lower(t), 'prefer|should|avoid') THEN 'soft' ELSE 'other' END AS kind FROM {values_sql('t', SPEECH)}"
-    q["p11_error_rules"] = f"""WITH e AS (SELECT * FROM {values_sql("error_id, step, message", ERRORS)}), h AS (SELECT error_id, arg_min(action, pos) AS action FROM e JOIN {values_sql("pos, step, scenario, action", RULES)} r ON e.step = r.step AND contains(e.message, r.scenario) GROUP BY error_id)
+    q["f26_constraints"] = f"SELECT p_partkey, t, CASE WHEN regexp_matches(lower(t), 'must|never|not allowed|conflict') THEN 'hard' WHEN regexp_matches(lower(t), 'prefer|should|avoid') THEN 'soft' ELSE 'other' END AS kind FROM {selected_sql(SPEECH_PARTS, 'part')}"
+    q["p11_error_rules"] = f"""WITH e AS (SELECT * FROM {selected_sql(ERROR_PARTS, "part")}), h AS (SELECT error_id, arg_min(action, pos) AS action FROM e JOIN {values_sql("pos, step, scenario, action", RULES)} r ON e.step = r.step AND contains(e.message, r.scenario) GROUP BY error_id)
  SELECT e.error_id, step, message, coalesce(action, 'fail') AS action FROM e LEFT JOIN h ON e.error_id = h.error_id"""
-    q["p12_select_workflow"] = "SELECT request, CASE " + " ".join(f"WHEN regexp_matches(lower(request), '{w}') THEN '{n}'" for n, w in W.WORKFLOWS) + f" ELSE 'general' END AS workflow FROM {values_sql('request', REQUESTS)}"
-    q["p13_exported"] = f"SELECT * FROM {values_sql('folder, name, is_dir', FILES)} WHERE NOT (starts_with(name, '.') OR ends_with(name, 'node_modules') OR ends_with(name, '.log') OR ends_with(name, '__pycache__'))"
-    q["p14_listing"] = f"SELECT *, CAST(row_number() OVER (PARTITION BY folder ORDER BY is_dir DESC, name) AS INTEGER) AS pos FROM {values_sql('folder, name, is_dir', FILES)} WHERE NOT starts_with(name, '.')"
+    q["p12_select_workflow"] = "SELECT request, CASE " + " ".join(f"WHEN regexp_matches(lower(request), '{w}') THEN '{n}'" for n, w in W.WORKFLOWS) + f" ELSE 'general' END AS workflow FROM {selected_sql(REQUEST_PARTS, 'part')}"
+    q["p13_exported"] = f"SELECT * FROM {selected_sql(FOLDERS, 'part')} WHERE NOT (starts_with(name, '.') OR ends_with(name, 'node_modules') OR ends_with(name, '.log') OR ends_with(name, '__pycache__'))"
+    q["p14_listing"] = f"SELECT *, CAST(row_number() OVER (PARTITION BY folder ORDER BY is_dir DESC, name) AS INTEGER) AS pos FROM {selected_sql(FOLDERS, 'part')} WHERE NOT starts_with(name, '.')"
     q["x_operation_list"] = "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) / 2 + 1 AS net FROM lineitem WHERE l_quantity < 10 AND l_returnflag = 'R'"
     q["x_operation_pivot"] = "SELECT c_mktsegment, " + ", ".join(f"CAST(nullif(sum(CASE WHEN o_orderstatus = '{k}' THEN 1 ELSE 0 END), 0) AS BIGINT) AS {chr(34)}{k}{chr(34)}" for k in "FOP") + " FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 1000 GROUP BY c_mktsegment"
     return q

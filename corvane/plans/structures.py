@@ -44,8 +44,13 @@ def _from_sql(key):
     return selected_sql(*LINE_ITEMS[key])
 
 
-def _paras(s):
-    return values(s, "doc_id, pos, text", PARAS)
+#: A part takes one of the papers of PARAS, with its name behind the longer paragraphs.
+PAPERS = f"""SELECT p_partkey * 10 + v.doc_id AS doc_id, v.pos AS pos, CASE WHEN length(v.text) > 25 THEN concat(v.text, ' ', p_name) ELSE v.text END AS text
+ FROM {{part}} JOIN (SELECT * FROM (VALUES {PARAS.replace("{", "{{").replace("}", "}}")}) AS t(doc_id, pos, text)) v ON p_partkey % 2 + 1 = v.doc_id"""
+
+
+def _paras(s, d):
+    return selected(s, d, PAPERS, "part")
 
 
 def _lines(s, d):
@@ -83,7 +88,7 @@ def queries():
     q["r06_inspect_and_fix"] = lambda s, d: R.inspect_and_fix(_formats(s, d), R.paragraph_issues, R.fix_paragraphs)[1]
     q["r06_grades_after"] = lambda s, d: R.grade(R.paragraph_issues(R.inspect_and_fix(_formats(s, d), R.paragraph_issues, R.fix_paragraphs)[0]))
     q["w02_markdown_sections"] = lambda s, d: T.markdown_sections(_from(s, d, "w02"))
-    q["w03_regions"] = lambda s, d: T.regions(_paras(s))
+    q["w03_regions"] = lambda s, d: T.regions(_paras(s, d))
     q["w04_neighbour_headings"] = lambda s, d: T.neighbour_headings(_lines(s, d).withColumnRenamed("line", "text"))
     q["w05_captions"] = lambda s, d: T.captions_with_tables(values(s, "doc_id, pos, tag, text", BLOCKS))
     q["w06_empty_runs"] = lambda s, d: T.empty_runs(_from(s, d, "w06"))
@@ -96,10 +101,10 @@ def queries():
     q["w15_latest_state"] = lambda s, d: T.latest_state(_from(s, d, "w15"))
     q["w16_sequential_ids"] = lambda s, d: T.sequential_ids(_from(s, d, "w16"), "kind", "name")
     q["a14_font_levels"] = lambda s, d: T.font_levels(values(s, "doc_id, size", SIZES).withColumn("size", F.col("size").cast("double")))
-    q["p07_noise"] = lambda s, d: _paras(s).select("*", T.is_noise(F.col("text")).alias("noise"))
+    q["p07_noise"] = lambda s, d: _paras(s, d).select("*", T.is_noise(F.col("text")).alias("noise"))
     q["p08_short_blocks"] = lambda s, d: _lines(s, d).where(T.is_short_block(F.col("line")))
-    q["p09_protected_text"] = lambda s, d: _paras(s).select("*", T.is_protected(F.col("text")).alias("protected"))
-    q["p10_protected_section"] = lambda s, d: T.regions(_paras(s)).select("doc_id", "pos", T.is_protected_section(F.col("region")).alias("protected"))
+    q["p09_protected_text"] = lambda s, d: _paras(s, d).select("*", T.is_protected(F.col("text")).alias("protected"))
+    q["p10_protected_section"] = lambda s, d: T.regions(_paras(s, d)).select("doc_id", "pos", T.is_protected_section(F.col("region")).alias("protected"))
     q["a29_markdown_counts"] = lambda s, d: load(s, d, "documents").select("doc_id", *[c.alias(k) for k, c in T.markdown_counts(F.concat(F.lit("# T\n![a](b) [c](d)\n|x|"), "text")).items()])
     q["a15_grades"] = lambda s, d: R.grade(_issues(s, d))
     q["a15_by_category"] = lambda s, d: R.by_category(_issues(s, d))
@@ -112,7 +117,7 @@ def queries():
     )
     q["r03_paragraphs"] = lambda s, d: R.paragraph_issues(values(s, "doc_id, pos, alignment, line, first_line, first_line_chars", FORMATS).select("doc_id", "pos", "alignment", *[F.col(c).cast("double").alias(c) for c in ("line", "first_line", "first_line_chars")]))
     q["r04_tables"] = lambda s, d: R.table_issues(values(s, "doc_id, table_id, row, col, top, bottom, side", CELLS))
-    q["r05_heading_numbers"] = lambda s, d: _paras(s).where(F.col("text").rlike("^(Chapter|Introduction)")).select("doc_id", "pos", F.col("text").rlike(r"^(Chapter )?[0-9]").alias("numbered"))
+    q["r05_heading_numbers"] = lambda s, d: _paras(s, d).where(F.col("text").rlike("^(Chapter|Introduction)")).select("doc_id", "pos", F.col("text").rlike(r"^(Chapter )?[0-9]").alias("numbered"))
     q["r07_normalised_style"] = lambda s, d: R.normalised_style(values(s, "doc_id, pos, region, style, alignment, font, size", STYLE_ROWS).withColumn("size", F.col("size").cast("double")))
     q["s13_merged_style"] = lambda s, d: R.merged_style(values(s, "doc_id, pos, style_id, font, size", "(1, 0, 'a', '', NULL), (1, 1, 'a', 'Kai', 12), (1, 2, 'z', '', 9)"), values(s, "style_id, font, size", "('a', 'Song', 10)"))
     q["r09_workflow"] = lambda s, d: R.workflow_issues(values(s, "workflow, pos, id, name, type", STEPS))
@@ -137,7 +142,7 @@ def oracle_sql():
  SELECT doc_id, 0::BIGINT AS n_critical, CAST(n_warning AS BIGINT) AS n_warning, 'A-' AS grade FROM f WHERE n_warning > 0"""
     q["w02_markdown_sections"] = f"""WITH t AS (SELECT *, CAST(regexp_matches(line, '^#+ *[^# ]') AS INTEGER) AS h FROM {_from_sql("w02")}), c AS (SELECT *, sum(h) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM t)
  SELECT doc_id, CAST(section AS BIGINT) AS section, max(CASE WHEN h = 1 THEN regexp_replace(line, '^#+ *', '') END) AS title, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (h = 0), '') AS body FROM c WHERE section > 0 GROUP BY doc_id, section"""
-    regions = rf"""p AS (SELECT doc_id, pos, text AS t, {PLAIN_SQL.replace(chr(10), " ")} > 0 AS h, regexp_matches(lower(trim(text)), '{T.CONTENTS_WORDS}') AS c, regexp_matches(lower(trim(text)), '{T.REFERENCE_WORDS}') AS r, length(trim(text)) > 5 AS l FROM (SELECT *, text AS t FROM {values_sql("doc_id, pos, text", PARAS)})),
+    regions = rf"""p AS (SELECT doc_id, pos, text AS t, {PLAIN_SQL.replace(chr(10), " ")} > 0 AS h, regexp_matches(lower(trim(text)), '{T.CONTENTS_WORDS}') AS c, regexp_matches(lower(trim(text)), '{T.REFERENCE_WORDS}') AS r, length(trim(text)) > 5 AS l FROM (SELECT *, text AS t FROM {selected_sql(PAPERS, "part")})),
  f AS (SELECT *, min(pos) FILTER (c) OVER (PARTITION BY doc_id) AS first FROM p), e AS (SELECT *, min(pos) FILTER (h AND pos >= first) OVER (PARTITION BY doc_id) AS e FROM f),
  m AS (SELECT doc_id, min(pos) FILTER (h) AS head, min(pos) FILTER (l) AS long, min(pos) FILTER (r) AS ref, max(e) AS toc_end, max(pos) FILTER (c AND (e IS NULL OR pos <= e)) AS toc, max(pos) AS last FROM e GROUP BY doc_id),
  g AS (SELECT p.doc_id, pos, t AS text, CASE WHEN pos >= toc AND pos < coalesce(toc_end, least(toc + 20, last + 1)) THEN 'toc' WHEN pos < coalesce(head, long, 0) THEN 'cover' WHEN pos >= ref THEN 'references' ELSE 'body' END AS region FROM p JOIN m ON p.doc_id = m.doc_id)"""
@@ -156,9 +161,9 @@ def oracle_sql():
  FROM {_from_sql("w15")}) SELECT project, status, updated_at FROM r WHERE k = 1"""
     q["w16_sequential_ids"] = f"SELECT kind, name, printf('%s_%03d', kind, row_number() OVER (PARTITION BY kind ORDER BY name)) AS id FROM {_from_sql('w16')}"
     q["a14_font_levels"] = "SELECT * FROM (VALUES (1, 10.5::DOUBLE, 22.0::DOUBLE, 16.0::DOUBLE, 11.0::DOUBLE, 10.5::DOUBLE), (2, 12.0, 18.0, 13.0, 12.5, 12.0), (3, 24.0, 30.0, 25.0, 24.5, 24.0), (4, 11.0, 26.0, 20.0, 16.0, 14.0), (5, 12.0, 12.0, 12.0, 12.0, 12.0), (6, 10.0, 24.0, 18.0, 15.0, 10.5)) AS t(doc_id, body, title, h1, h2, h3)"
-    q["p07_noise"] = rf"SELECT *, regexp_matches(text, '^[0-9]{{1,3}}$') OR (length(text) <= 80 AND regexp_matches(text, '{T.BOILERPLATE}')) AS noise FROM {values_sql('doc_id, pos, text', PARAS)}"
+    q["p07_noise"] = rf"SELECT *, regexp_matches(text, '^[0-9]{{1,3}}$') OR (length(text) <= 80 AND regexp_matches(text, '{T.BOILERPLATE}')) AS noise FROM {selected_sql(PAPERS, 'part')}"
     q["p08_short_blocks"] = rf"SELECT doc_id, pos, line FROM {LINES_SQL} WHERE length(line) <= 2 AND NOT regexp_matches(line, '{T.KEPT_WORDS}')"
-    q["p09_protected_text"] = f"SELECT *, contains(text, 'Figure') OR contains(text, 'Table') OR contains(text, 'http') OR contains(text, 'DOI') AS protected FROM {values_sql('doc_id, pos, text', PARAS)}"
+    q["p09_protected_text"] = f"SELECT *, contains(text, 'Figure') OR contains(text, 'Table') OR contains(text, 'http') OR contains(text, 'DOI') AS protected FROM {selected_sql(PAPERS, 'part')}"
     q["p10_protected_section"] = f"WITH {regions} SELECT doc_id, pos, region IN ('cover', 'toc') AS protected FROM g"
     q["a29_markdown_counts"] = r"""WITH t AS (SELECT doc_id, '# T' || chr(10) || '![a](b) [c](d)' || chr(10) || '|x|' || text AS t FROM documents)
  SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(t, '[\x20\x09-\x0d]+'), lambda x: x <> '')) AS BIGINT) AS n_words, CAST(len(string_split(t, chr(10))) AS BIGINT) AS n_lines, CAST(len(list_filter(string_split(t, chr(10)), lambda x: starts_with(x, '|'))) AS BIGINT) AS n_table_lines,
@@ -176,7 +181,7 @@ def oracle_sql():
     q["r02_fonts"] = "SELECT * FROM (VALUES (1, 1, 'font', 'SimSun', 'Arial'), (1, 1, 'size', '10.5', '12.0'), (1, 3, 'size', '16.0', '10.0'), (1, 3, 'bold', 'true', 'false')) AS t(doc_id, pos, rule, expected, actual)"
     q["r03_paragraphs"] = "SELECT * FROM (VALUES (1, 'paragraph', 'warning', 'alignment', 'both', 'left', 'p1'), (1, 'paragraph', 'warning', 'alignment', 'both', 'left', 'p2'), (1, 'paragraph', 'warning', 'line', '1.5', '2.0', 'p2'), (1, 'paragraph', 'critical', 'indent', '2 characters', '1.0', 'p2')) AS t(doc_id, category, severity, rule, expected, actual, location)"
     q["r04_tables"] = "SELECT * FROM (VALUES (1, 2, 0, 0, 'no top line'), (1, 2, 0, 0, 'side line'), (1, 2, 1, 0, 'no bottom line')) AS t(doc_id, table_id, row, col, rule)"
-    q["r05_heading_numbers"] = f"SELECT doc_id, pos, regexp_matches(text, '^(Chapter )?[0-9]') AS numbered FROM {values_sql('doc_id, pos, text', PARAS)} WHERE regexp_matches(text, '^(Chapter|Introduction)')"
+    q["r05_heading_numbers"] = f"SELECT doc_id, pos, regexp_matches(text, '^(Chapter )?[0-9]') AS numbered FROM {selected_sql(PAPERS, 'part')} WHERE regexp_matches(text, '^(Chapter|Introduction)')"
     q["r07_normalised_style"] = "SELECT * FROM (VALUES (1, 0, 'center', 'SimHei', 16.0::DOUBLE), (1, 1, 'center', 'Kai', 20.0), (1, 2, 'both', 'SimSun', 10.5)) AS t(doc_id, pos, alignment, font, size)"
     q["s13_merged_style"] = "SELECT * FROM (VALUES (1, 0, 'Song', 10), (1, 1, 'Kai', 12), (1, 2, NULL, 9)) AS t(doc_id, pos, font, size)"
     q["r09_workflow"] = "SELECT * FROM (VALUES ('w1', 1, 'no id'), ('w2', 0, 'no name'), ('w2', 0, 'unknown type')) AS t(workflow, pos, problem)"

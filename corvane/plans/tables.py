@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import compare as C
 from corvane.operators import profile as P
-from corvane.sources.tables import load, values, values_sql
+from corvane.sources.tables import load, selected, selected_sql, values, values_sql, woven
 
 CUSTOMER = ["c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -14,7 +14,13 @@ MESSY = "('1', '12'), ('2', ' 3.5 '), ('3', 'n/a'), ('4', '1_000'), ('5', NULL),
 NUMBER_SQL = r"CASE WHEN regexp_matches({0}, '^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$') THEN TRY_CAST(trim({0}) AS DOUBLE) END"
 LEFT = "(' a1 ', '10'), ('a2', '20'), ('a3', 'x'), (NULL, '5'), ('a4', '7'), ('a4', '8'), ('', '1')"
 RIGHT = "('a1', '10'), ('a2', '25.5'), ('a3', '3'), ('a5', '9'), ('a4', '7')"
+# how a part's columns come into the rows
+MESSY_PARTS = woven("a, b", MESSY, "part", "p_partkey", {"b": "CASE WHEN p_size < 25 THEN v.b ELSE v.b || CAST(p_size AS STRING) END"})
+_KEY = {"k": "CASE WHEN v.k IS NULL THEN NULL WHEN trim(v.k) = '' THEN v.k ELSE concat(' a', p_partkey, ' ') END"}
+LEFT_PARTS = woven("k, v", LEFT, "part", "p_partkey", _KEY, "coalesce(k, '')")
+RIGHT_PARTS = woven("k, v", RIGHT, "part", "p_partkey", _KEY)
 MANIFEST = "('d1', 'success'), ('d2', NULL), ('d3', 'failed')"
+MANIFEST_PARTS = woven("id, status", MANIFEST, "part", "p_partkey", {"id": "concat(v.id, p_partkey)"})
 
 
 def _union(parts):
@@ -60,11 +66,11 @@ def queries():
     for area in (*P.AREAS, "other"):
         q[f"a31_area_{area}"] = lambda s, d, area=area: P.area_insights(values(s, STAT_COLUMNS, STATS).select("pos", "column", *[F.col(c).cast("double").alias(c) for c in ("mean", "median", "std", "min", "max", "sum")]), values(s, "pos, column, unique_count", CATEGORIES), area)
     q["p01_range_spec"] = lambda s, d: P.apply_range(load(s, d, "orders"), "o_orderkey", ["o_orderkey", "o_orderstatus", "o_totalprice", "absent"], (100, 1100), {"o_orderstatus": "F", "o_orderpriority": "1-URGENT"})
-    q["p02_numeric_coercion"] = lambda s, d: P.coerced(values(s, "a, b", MESSY), ["a", "b"])
-    q["p03_clean_pairs"] = lambda s, d: C.clean_pairs(values(s, "k, v", LEFT), "k", "v")
+    q["p02_numeric_coercion"] = lambda s, d: P.coerced(selected(s, d, MESSY_PARTS, "part"), ["a", "b"])
+    q["p03_clean_pairs"] = lambda s, d: C.clean_pairs(selected(s, d, LEFT_PARTS, "part"), "k", "v")
     q["p04_drop_empty"] = lambda s, d: P.drop_empty(values(s, "a, b, c", "(1, CAST(NULL AS INT), 'x'), (CAST(NULL AS INT), CAST(NULL AS INT), CAST(NULL AS STRING)), (2, CAST(NULL AS INT), 'y')"))
-    q["p05_successful"] = lambda s, d: C.successful(values(s, "id, status", MANIFEST))
-    q["j01_compare"] = lambda s, d: C.compare(C.clean_pairs(values(s, "k, v", LEFT), "k", "v"), C.clean_pairs(values(s, "k, v", RIGHT), "k", "v"))
+    q["p05_successful"] = lambda s, d: C.successful(selected(s, d, MANIFEST_PARTS, "part").select("id", "status"))
+    q["j01_compare"] = lambda s, d: C.compare(C.clean_pairs(selected(s, d, LEFT_PARTS, "part"), "k", "v"), C.clean_pairs(selected(s, d, RIGHT_PARTS, "part"), "k", "v"))
     q["j02_compare_many"] = lambda s, d: C.compare_many(*_orders(s, d), ["o_orderkey", "o_custkey"], [("o_totalprice", "price2"), ("seq", "seq2")])
     q["j03_union_files"] = lambda s, d: C.union_files(load(s, d, "nation").select("n_name", F.col("n_regionkey").cast("string").alias("n_comment")), load(s, d, "region").select(F.col("r_name").alias("n_name"), F.col("r_regionkey").cast("string").alias("region_only")))
     q["j04_same_names"] = lambda s, d: C.same_names(load(s, d, "customer").select(F.replace("c_name", F.lit("Customer"), F.lit("")).alias("name")), load(s, d, "supplier").select(F.replace("s_name", F.lit("Supplier"), F.lit("")).alias("name")).union(load(s, d, "nation").select(F.col("n_name"))))
@@ -127,13 +133,13 @@ def oracle_sql():
     q["a31_area_research"] = f"SELECT \"column\", 'mean' AS metric, printf('%.2f', CAST(mean AS DOUBLE)) AS value FROM {values_sql(STAT_COLUMNS.replace('column', chr(34) + 'column' + chr(34)), STATS)} UNION ALL SELECT \"column\", 'std', printf('%.2f', CAST(std AS DOUBLE)) FROM {values_sql(STAT_COLUMNS.replace('column', chr(34) + 'column' + chr(34)), STATS)} WHERE std IS NOT NULL UNION ALL SELECT \"column\", 'unique', CAST(unique_count AS VARCHAR) FROM {values_sql('pos, ' + chr(34) + 'column' + chr(34) + ', unique_count', CATEGORIES)} WHERE unique_count <= 10"
     q["a31_area_other"] = f"SELECT * FROM (VALUES ('销售收入', 'mean', '10.50'), ('成本', 'mean', '4.00'), ('绩效评分', 'mean', '88.13'), ('部门', 'unique', '4'), ('班级', 'unique', '25'), ('教师', 'unique', '12')) {head}"
     q["p01_range_spec"] = "WITH n AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders) SELECT o_orderkey, o_orderstatus, o_totalprice FROM n WHERE rn > 100 AND rn <= 1100 AND o_orderstatus = 'F'"
-    q["p02_numeric_coercion"] = f"""WITH cells AS (SELECT 'a' AS "column", a AS v FROM {values_sql("a, b", MESSY)} UNION ALL SELECT 'b', b FROM {values_sql("a, b", MESSY)})
+    q["p02_numeric_coercion"] = f"""WITH cells AS (SELECT 'a' AS "column", a AS v FROM {selected_sql(MESSY_PARTS, "part")} UNION ALL SELECT 'b', b FROM {selected_sql(MESSY_PARTS, "part")})
  SELECT "column", count(v) AS n_values, count({NUMBER_SQL.format("v")}) AS n_numeric, count({NUMBER_SQL.format("v")}) > 0 AS is_numeric FROM cells GROUP BY "column" """
-    clean = lambda rows: f"(SELECT trim(k) AS key, {NUMBER_SQL.format('v')} AS value FROM {values_sql('k, v', rows)} WHERE k IS NOT NULL AND trim(k) <> '')"
-    q["p03_clean_pairs"] = f"SELECT * FROM {clean(LEFT)}"
+    clean = lambda rows: f"(SELECT trim(k) AS key, {NUMBER_SQL.format('v')} AS value FROM {selected_sql(rows, 'part')} WHERE k IS NOT NULL AND trim(k) <> '')"
+    q["p03_clean_pairs"] = f"SELECT * FROM {clean(LEFT_PARTS)}"
     q["p04_drop_empty"] = "SELECT * FROM (VALUES (1, 'x'), (2, 'y')) AS t(a, c)"
-    q["p05_successful"] = f"SELECT id, status FROM {values_sql('id, status', MANIFEST)} WHERE coalesce(status, 'success') = 'success'"
-    q["j01_compare"] = f"""SELECT coalesce(l.key, r.key) AS key, l.value AS left_value, r.value AS right_value, round(r.value - l.value, 4) AS diff, {VERDICT_SQL.format("l.value", "r.value")} AS verdict FROM {clean(LEFT)} l FULL JOIN {clean(RIGHT)} r ON l.key = r.key"""
+    q["p05_successful"] = f"SELECT id, status FROM {selected_sql(MANIFEST_PARTS, 'part')} WHERE coalesce(status, 'success') = 'success'"
+    q["j01_compare"] = f"""SELECT coalesce(l.key, r.key) AS key, l.value AS left_value, r.value AS right_value, round(r.value - l.value, 4) AS diff, {VERDICT_SQL.format("l.value", "r.value")} AS verdict FROM {clean(LEFT_PARTS)} l FULL JOIN {clean(RIGHT_PARTS)} r ON l.key = r.key"""
     q["j02_compare_many"] = f"""WITH {ORDERS_SQL}, j AS (SELECT coalesce(l.o_orderkey, r.o_orderkey) AS o_orderkey, coalesce(l.o_custkey, r.o_custkey) AS o_custkey, o_totalprice, price2, seq, seq2 FROM l FULL JOIN r ON l.o_orderkey = r.o_orderkey AND l.o_custkey = r.o_custkey),
  c AS (SELECT o_orderkey, o_custkey, 'o_totalprice' AS field, o_totalprice AS left_value, price2 AS right_value FROM j UNION ALL SELECT o_orderkey, o_custkey, 'seq', seq, seq2 FROM j)
  SELECT *, round(right_value - left_value, 4) AS diff, {VERDICT_SQL.format("left_value", "right_value")} AS verdict FROM c"""

@@ -52,3 +52,26 @@ def selected(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFra
 
 def selected_sql(sql: str, *names: str) -> str:
     return f"({sql.format(**{n: n for n in names})})"
+
+
+def _rows_in(rows: str) -> int:
+    """How many rows a VALUES list has: the opening brackets outside of all others and of quotes."""
+    depth = n = 0
+    quoted = False
+    for c in rows:
+        if c == "'":
+            quoted = not quoted
+        elif not quoted:
+            n += c == "(" and depth == 0
+            depth += (c == "(") - (c == ")")
+    return n
+
+
+def woven(columns: str, rows: str, table: str, key: str, mix: dict[str, str], order: str | None = None) -> str:
+    """A SELECT for selected() and selected_sql(): each row of a table takes one of the literal rows by its key, and mix says how its columns come into it.
+
+    columns of the literals that mix does not name stay as they are; in mix's expressions v is the literal row.
+    """
+    names = [c.strip() for c in columns.split(",")]
+    picked = ", ".join(f"{mix[c]} AS {c}" if c in mix else f"v.{c} AS {c}" for c in names)
+    return f"""SELECT {key} AS {key}, {picked} FROM {{{table}}} JOIN (SELECT *, row_number() OVER (ORDER BY {order or names[0]}) - 1 AS row_number FROM (VALUES {rows.replace("{", "{{").replace("}", "}}")}) AS t({columns})) v ON {key} % {_rows_in(rows)} = v.row_number"""
