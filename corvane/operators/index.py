@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.sources.tables import written
+
 
 def keywords(docs: DataFrame, min_length: int = 4, min_count: int = 5) -> DataFrame:
     """docs(doc_id, text) -> (keyword, doc_id, frequency): lower-cased letter tokens of a length and frequency."""
@@ -122,6 +124,31 @@ def relations(postings: DataFrame, max_df: int | None = None, details: int = 10,
     return pairs.agg(F.count(F.lit(1)).alias("weight"), F.array_join(F.slice(F.array_sort(F.collect_list("term")), 1, details), ",").alias("details"))
 
 
+def relations_of(postings: DataFrame, docs: DataFrame, details: int = 10, block: int = 2000) -> DataFrame:
+    """The rows of relations(postings) of which a document is in docs(doc_id): what new or changed documents add to a collection.
+
+    Only terms of those documents are joined, and a term's new documents meet all others of it, block by block; so the
+    work follows the change and not the square of a term's documents.
+    """
+    own = postings.select(F.coalesce("kind", F.lit("")).alias("kind"), "term", "doc_id").where("term is not null and doc_id is not null").distinct()
+    new = own.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    touched = own.join(new.select("kind", "term").distinct(), ["kind", "term"], "left_semi")
+    sizes = touched.groupBy("kind", "term").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_k"))
+    a = new.join(sizes, ["kind", "term"]).select("kind", "term", F.col("doc_id").alias("a"), F.explode(F.expr("sequence(0, _k - 1)")).alias("j"))
+    b = touched.join(sizes, ["kind", "term"]).select("kind", "term", F.col("doc_id").alias("b"), F.pmod(F.xxhash64("doc_id"), F.col("_k")).cast("int").alias("j"))
+    pairs = a.join(b, ["kind", "term", "j"]).where("a <> b").select(F.least("a", "b").alias("source"), F.greatest("a", "b").alias("target"), F.col("kind").alias("type"), "term").distinct()
+    return pairs.groupBy("source", "target", "type").agg(F.count(F.lit(1)).alias("weight"), F.array_join(F.slice(F.array_sort(F.collect_list("term")), 1, details), ",").alias("details"))
+
+
+def merge_relations(old: DataFrame, postings: DataFrame, new: DataFrame, gone: DataFrame) -> DataFrame:
+    """Relations after a change, equal to relations(postings) of all documents: those between untouched documents stay, those of new(doc_id) come anew, those of gone(doc_id) go."""
+    new = written(new.select("doc_id").distinct(), "new")
+    touched = written(new.union(gone.select("doc_id")).distinct(), "touched")
+    postings = written(postings.select("kind", "term", "doc_id"), "postings")
+    kept = old.join(touched.withColumnRenamed("doc_id", "source"), "source", "left_anti").join(touched.withColumnRenamed("doc_id", "target"), "target", "left_anti")
+    return kept.select("source", "target", "type", "weight", "details").unionByName(relations_of(postings, new))
+
+
 def related(edges: DataFrame, links: int = 15) -> DataFrame:
     """(doc_id, related, weight, rank): the strongest partners of each document, over all kinds of relations."""
     edges = edges.groupBy("source", "target").agg(F.sum("weight").alias("weight"))

@@ -1,6 +1,7 @@
 """A knowledge base of documents on disk: built, updated by differences, extended by other agents, asked for status and contents.
 
 Every change writes a whole version aside and renames it, so readers see one version or the next. One writer at a time.
+Relations between documents that did not change are taken over; only those of changed ones are counted.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import index as I
+from corvane.sources.tables import written
 
 KINDS = {"term": "shared_terms", "work": "shared_works"}
 LOG = "version long, action string, agent string, n_new long, n_changed long, n_removed long"
@@ -23,10 +25,15 @@ def content_hash(docs: DataFrame) -> DataFrame:
     return own.withColumn("content_hash", F.sha2(F.concat_ws("\u0001", "title", "text"), 256))
 
 
+def shared(entities: DataFrame) -> DataFrame:
+    """entities(doc_id, type, name) -> (kind, term, doc_id) of what relations share: terms and works."""
+    kind = F.when(F.col("type") == "term", KINDS["term"]).when(F.col("type") == "work", KINDS["work"])
+    return entities.select(kind.alias("kind"), F.col("name").alias("term"), "doc_id").where("kind is not null")
+
+
 def entity_relations(entities: DataFrame) -> DataFrame:
     """entities(doc_id, type, name) -> relations by shared terms and by shared works."""
-    kind = F.when(F.col("type") == "term", KINDS["term"]).when(F.col("type") == "work", KINDS["work"])
-    return I.relations(entities.select(kind.alias("kind"), F.col("name").alias("term"), "doc_id").where("kind is not null"))
+    return I.relations(shared(entities))
 
 
 class KnowledgeBase:
@@ -56,9 +63,13 @@ class KnowledgeBase:
         if self.fs.exists(self._p(f"v={number}")) or not self.fs.rename(self._p(aside), self._p(f"v={number}")):
             raise OSError(f"version {number} was written meanwhile")
 
-    def _commit(self, number: int, action: str, agent: str, docs: DataFrame, keywords: DataFrame, entities: DataFrame, counts: tuple[int, int, int], log: DataFrame | None) -> None:
+    def _commit(self, number: int, action: str, agent: str, docs: DataFrame, keywords: DataFrame, entities: DataFrame, counts: tuple[int, int, int], log: DataFrame | None, relations: DataFrame | None = None) -> None:
         line = self.spark.createDataFrame([(number, action, agent, *counts)], LOG)
-        self._publish(number, {"documents": docs, "keywords": keywords, "entities": entities, "relations": entity_relations(entities), "log": line if log is None else log.union(line)})
+        relations = entity_relations(entities) if relations is None else relations
+        self._publish(number, {"documents": docs, "keywords": keywords, "entities": entities, "relations": relations, "log": line if log is None else log.union(line)})
+
+    def _changed_relations(self, entities: DataFrame, new: DataFrame, gone: DataFrame) -> DataFrame:
+        return I.merge_relations(self.table("relations"), shared(entities), new, gone)
 
     def _records(self, docs: DataFrame, agent: str, number: int, old: DataFrame | None = None) -> DataFrame:
         """Rows of the documents table; a changed document keeps the version that added it."""
@@ -114,9 +125,10 @@ class KnowledgeBase:
         gone = states.where("state in ('changed', 'removed')").select("doc_id")
         keywords, entities = self._found(own)
         documents = old.join(states.where("state = 'unchanged'").select("doc_id"), "doc_id", "left_semi").unionByName(self._records(own, agent, number + 1, old))
+        merged = written(I.merge_postings(self.table("entities"), entities, gone), "entities")
         self._commit(
-            number + 1, "update", agent, documents, I.merge_postings(self.table("keywords"), keywords, gone), I.merge_postings(self.table("entities"), entities, gone),
-            tuple(counts.get(k, 0) for k in ("new", "changed", "removed")), self.table("log"),
+            number + 1, "update", agent, documents, I.merge_postings(self.table("keywords"), keywords, gone), merged,
+            tuple(counts.get(k, 0) for k in ("new", "changed", "removed")), self.table("log"), self._changed_relations(merged, own, gone),
         )
         return number + 1
 
@@ -139,7 +151,8 @@ class KnowledgeBase:
             return number
         _, entities = self._found(own)
         documents = old.join(own.select("doc_id"), "doc_id", "left_anti").unionByName(self._records(own, agent, number + 1, old))
-        self._commit(number + 1, "register", agent, documents, self.table("keywords"), I.merge_postings(self.table("entities"), entities, own.select("doc_id")), (n - changed, changed, 0), self.table("log"))
+        merged = written(I.merge_postings(self.table("entities"), entities, own.select("doc_id")), "entities")
+        self._commit(number + 1, "register", agent, documents, self.table("keywords"), merged, (n - changed, changed, 0), self.table("log"), self._changed_relations(merged, own, own))
         return number + 1
 
     def status(self) -> DataFrame:

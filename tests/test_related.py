@@ -65,3 +65,23 @@ def test_every_pair_of_a_small_corpus(spark):
     rows = [("a", f"{min(p)}-{max(p)}", d, 1) for p in combinations(range(12), 2) for d in p]
     got = {(r.doc_id, r.related): (r.weight, r.rank) for r in strongest(spark.createDataFrame(rows, SCHEMA), 4, 1).collect()}
     assert got == brute(rows, 4)
+
+
+@pytest.mark.parametrize("block", [2000, 3])
+def test_changed_relations_equal_a_rebuild(spark, block):
+    """Documents come, change and go; relations of the rest are taken over."""
+    from corvane.operators import index as I
+
+    draw = random.Random(9)
+    post = lambda docs: [(draw.choice("ab"), f"t{draw.randint(0, 14)}", d) for d in docs for _ in range(draw.randint(0, 6))]
+    schema = "kind string, term string, doc_id long"
+    before = post(range(40))
+    gone, new = [*range(30, 40)], [*range(30, 35), *range(50, 58)]
+    after = [r for r in before if r[2] < 30] + post(new)
+    frame = lambda rows, s=schema: spark.createDataFrame(rows, s)
+    ids = lambda rows: frame([(r,) for r in rows], "doc_id long")
+    rows = lambda df: sorted(map(tuple, df.select("source", "target", "type", "weight", "details").collect()))
+    want = rows(I.relations(frame(after)))
+    assert rows(I.merge_relations(I.relations(frame(before)), frame(after), ids(new), ids(gone))) == want
+    some = rows(I.relations_of(frame(after), ids(new), block=block))
+    assert some == [r for r in want if r[0] in new or r[1] in new] and 0 < len(some) < len(want)
