@@ -35,8 +35,9 @@ class Rollup:
 
     Committing a batch id again changes nothing: a batch is written aside and renamed, and a rename onto a committed
     batch is refused. An event id counts once in the whole rollup, in the batch that was committed first; of unlike
-    events with one id in a batch the smallest counts. Batches with events in common must not be committed at the same
-    time. A lost executor or driver leaves a folder that nothing reads.
+    events with one id in a batch the smallest counts. Events without an id cannot be told apart, so each of them counts,
+    once for its batch. Batches with events in common must not be committed at the same time. A lost executor or driver
+    leaves a folder that nothing reads.
 
     keep_ids: without it no ids are kept or compared, and ids count once a batch.
     """
@@ -78,7 +79,8 @@ class Rollup:
             return False
         rows = signed(events)
         least = F.min(F.struct(*KEYS, "n_docs", "n_tokens")).alias("e")
-        rows = rows.groupBy("event_id").agg(least).select("event_id", "e.*")
+        named = rows.where("event_id is not null").groupBy("event_id").agg(least).select("event_id", "e.*")
+        rows = named.unionByName(rows.where("event_id is null"))
         aside = f"_aside-{batch}-{uuid.uuid4().hex}"
         if self.keep_ids:
             if self._names("batch"):
@@ -86,7 +88,7 @@ class Rollup:
                 rows = rows.join(before, "event_id", "left_anti")
             rows.write.parquet(f"{self.path}/{aside}/rows")
             rows = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{aside}/rows")
-            rows.select("event_id").write.parquet(f"{self.path}/{aside}/ids")
+            rows.select("event_id").where("event_id is not null").write.parquet(f"{self.path}/{aside}/ids")
         rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.parquet(f"{self.path}/{aside}/sums")
         self.fs.delete(self._p(f"{aside}/rows"), True)
         return self._publish(aside, f"batch={batch}")

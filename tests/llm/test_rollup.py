@@ -101,3 +101,12 @@ def test_counts_of_a_vocabulary_file(spark, small):
     for d in docs.collect():
         want[d.source] = want.get(d.source, 0) + len(tok.encode(d.text or "", add_special_tokens=False).ids)
     assert {r[0]: r[1] for r in got} == want
+
+
+def test_events_without_an_id_all_count(spark, tmp_path):
+    r = R.Rollup(spark, f"file://{tmp_path}/r")
+    batch = spark.createDataFrame([(None, "insert", "a", "en", "v", 5, None), (None, "insert", "b", "en", "v", 7, None), (None, "insert", "b", "en", "v", 7, None), ("1", "insert", "a", "en", "v", 1, None), ("1", "insert", "a", "en", "v", 1, None)], EVENTS)
+    assert r.commit("1", batch) and not r.commit("1", batch)
+    assert totals(r) == {("a", "en", "v"): (2, 6), ("b", "en", "v"): (2, 14)}
+    assert r.commit("2", batch)
+    assert totals(r) == {("a", "en", "v"): (3, 11), ("b", "en", "v"): (4, 28)}
