@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import to_number
+from corvane.sources.tables import written
 
 
 def long_form(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
@@ -28,28 +29,62 @@ def column_profile(df: DataFrame, columns: list[str], order: str, samples: int =
     return counts.join(shown, "column", "left").withColumn("samples", F.coalesce("samples", F.lit("")))
 
 
-def medians(values: DataFrame) -> DataFrame:
-    """values(column, value double) -> (column, median): exact, from the values between two quantiles of a sketch that enclose the middle.
+#: Bins of a refinement, and values of a bin that are few enough to be sorted.
+BINS = 1 << 16
+FEW = 1 << 16
+
+
+def quantiles(values: DataFrame, probabilities: list[float]) -> DataFrame:
+    """values(column, value double) -> (column, probability, value): exact, with linear interpolation between neighbours.
 
-    The sketch's rank is off by a ten-thousandth at most, so a thousandth to each side is enough; only the values in
-    between are sorted, and the rest is counted.
+    A quantile is one or two ranks. The range that holds a rank is counted in bins of equal width, the rank's bin is the
+    next range, and a range of FEW values or of one value settles it; each pass reads the values once for all columns
+    and ranks, and counts before it shuffles, so no task has more than the bins of a rank. Nulls and NaN do not count.
     """
-    some = values.where("value is not null")
-    edges = some.groupBy("column").agg(F.percentile_approx("value", F.array(F.lit(0.499), F.lit(0.501)), 10000).alias("e"), F.count(F.lit(1)).alias("n"))
-    edges = edges.select(F.col("column").alias("c"), F.col("e")[0].alias("lo"), F.col("e")[1].alias("hi"), F.floor((F.col("n") + 1) / 2).alias("r1"), (F.floor(F.col("n") / 2) + 1).alias("r2"))
-    side = F.when(F.col("value") < F.col("lo"), -1).when(F.col("value") > F.col("hi"), 1).otherwise(0)
-    near = some.join(F.broadcast(edges), F.col("column") == F.col("c"))  # a row a column
-    near = near.groupBy("column", "r1", "r2", side.alias("side"), F.when(side == 0, F.col("value")).alias("v")).agg(F.count(F.lit(1)).alias("m")).where("side < 1")
-    upto = F.sum("m").over(Window.partitionBy("column").orderBy("side", "v"))
-    near = near.withColumn("upto", upto).where("side = 0")
-    at = lambda r: F.max(F.when((F.col("upto") >= F.col(r)) & (F.col("upto") - F.col("m") < F.col(r)), F.col("v")))
-    return near.groupBy("column").agg(((at("r1") + at("r2")) / 2).alias("median"))
+    some = values.where("value is not null and not isnan(value)")
+    ends = some.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    asked = F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("probability")
+    at = ends.select("column", "n", "lo", "hi", asked).withColumn("_at", F.col("probability") * (F.col("n") - 1))
+    at = written(at.select("column", "probability", "n", "lo", "hi", (F.col("_at") - F.floor("_at")).alias("part"), F.explode(F.array(F.floor("_at"), F.ceil("_at"))).alias("rank")), "asked")
+    ranges = at.select("column", "rank", "lo", "hi", F.lit(0).cast("long").alias("below"), "n").distinct()
+    done = None
+    while True:
+        ranges = written(ranges, "ranges")  # a row a column and rank
+        settled = ranges.where(F.col("lo") == F.col("hi")).select("column", "rank", F.col("lo").alias("value"))
+        few = ranges.where((F.col("lo") < F.col("hi")) & (F.col("n") <= FEW))
+        inside = some.join(few, "column").where(F.col("value").between(F.col("lo"), F.col("hi"))).select("column", "rank", "below", "value")
+        place = F.row_number().over(Window.partitionBy("column", "rank").orderBy("value"))
+        settled = settled.union(inside.withColumn("_place", place + F.col("below")).where(F.col("_place") == F.col("rank") + 1).select("column", "rank", "value"))
+        done = settled if done is None else done.union(settled)
+        wide = ranges.where((F.col("lo") < F.col("hi")) & (F.col("n") > FEW))
+        if wide.isEmpty():
+            break
+        half = lambda c: F.col(c) / 2  # noqa: E731 - the difference of two doubles may be beyond a double, that of their halves is not
+        bin_ = F.least(F.lit(BINS - 1), F.floor((half("value") - half("lo")) / (half("hi") - half("lo")) * BINS))
+        counted = some.join(wide.drop("n"), "column").where(F.col("value").between(F.col("lo"), F.col("hi")))
+        counted = counted.groupBy("column", "rank", "below", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+        upto = F.sum("n").over(Window.partitionBy("column", "rank").orderBy("bin"))
+        counted = counted.withColumn("_upto", upto + F.col("below"))
+        ranges = counted.where((F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("n"))).select("column", "rank", "lo", "hi", (F.col("_upto") - F.col("n")).alias("below"), "n")
+    found = at.join(written(done, "found"), ["column", "rank"])
+    low, high = F.min("value"), F.max("value")
+    return found.groupBy("column", "probability").agg((low * (1 - F.first("part")) + high * F.first("part")).alias("value"))
+
+
+def medians(values: DataFrame) -> DataFrame:
+    """values(column, value double) -> (column, median), exact."""
+    return quantiles(values, [0.5]).select("column", F.col("value").alias("median"))
+
+
+def numbers(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value double): the columns' values one below the other."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    return df.select(F.explode(cells).alias("_cell")).select("_cell.column", "_cell.value")
 
 
 def numeric_stats(df: DataFrame, columns: list[str], exact_median: bool = True) -> DataFrame:
     """A row a numeric column: count, mean, median, sample deviation, min, max, sum. exact_median: by medians(), else by a sketch."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
-    values = df.select(F.explode(cells).alias("_cell")).select("_cell.column", "_cell.value")
+    values = numbers(df, columns)
     sketch = [] if exact_median else [F.percentile_approx("value", 0.5, 10000).alias("median")]
     out = values.groupBy("column").agg(
         F.count("value").alias("count"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.stddev_samp("value"), 4).alias("std"),

@@ -10,6 +10,7 @@ from corvane.sources.tables import load, selected, selected_sql, values, values_
 
 CUSTOMER = ["c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+QUANTILES = [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]
 MESSY = "('1', '12'), ('2', ' 3.5 '), ('3', 'n/a'), ('4', '1_000'), ('5', NULL), ('6', '12d'), ('7', '-4e2'), ('8', 'NaN')"
 NUMBER_SQL = r"CASE WHEN regexp_matches({0}, '^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$') THEN TRY_CAST(trim({0}) AS DOUBLE) END"
 LEFT = "(' a1 ', '10'), ('a2', '20'), ('a3', 'x'), (NULL, '5'), ('a4', '7'), ('a4', '8'), ('', '1')"
@@ -56,6 +57,7 @@ def queries():
     q = {}
     q["a01_column_profile"] = lambda s, d: P.column_profile(load(s, d, "customer"), CUSTOMER, "c_custkey")
     q["a02_numeric_stats"] = lambda s, d: P.numeric_stats(load(s, d, "lineitem"), NUMERIC)
+    q["a02_quantiles"] = lambda s, d: P.quantiles(P.numbers(load(s, d, "lineitem"), NUMERIC), QUANTILES).select("column", "probability", F.round("value", 4).alias("value"))
     q["a03_categorical_stats"] = lambda s, d: P.categorical_stats(load(s, d, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"])
     q["a04_group_mean"] = lambda s, d: P.group_mean(load(s, d, "customer"), "c_mktsegment", "c_acctbal")
     q["a05_distribution"] = lambda s, d: P.distribution(load(s, d, "events"), "event_type")
@@ -107,6 +109,7 @@ def oracle_sql():
  SELECT col AS "column", CAST(sum(n) AS BIGINT) AS n_rows, CAST(coalesce(sum(n) FILTER (v IS NULL), 0) AS BIGINT) AS null_count, count(v) AS unique_count, coalesce(string_agg(v, '|' ORDER BY rk) FILTER (rk <= 3), '') AS samples FROM ranked GROUP BY col"""
     stats = _union(f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 4) AS mean, round(median({c}), 4) AS median, round(stddev_samp({c}), 4) AS std, min({c}) AS min, max({c}) AS max, round(sum({c}), 2) AS sum FROM lineitem""" for c in NUMERIC)
     q["a02_numeric_stats"] = stats
+    q["a02_quantiles"] = _union(f"""SELECT '{c}' AS "column", {p}::DOUBLE AS probability, round(quantile_cont({c}, {p}), 4) AS value FROM lineitem""" for c in NUMERIC for p in QUANTILES)
     q["a03_categorical_stats"] = f"""WITH cells AS ({_union(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM lineitem" for c in ["l_returnflag", "l_linestatus", "l_linenumber"])}),
  per AS (SELECT "column", value, count(*) AS n FROM cells GROUP BY "column", value), whole AS (SELECT "column", count(value) AS unique_count, CAST(coalesce(sum(n) FILTER (value IS NULL), 0) AS BIGINT) AS null_count FROM per GROUP BY "column"),
  best AS (SELECT *, CAST(row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS INTEGER) AS rank FROM per WHERE value IS NOT NULL)
