@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corvane.operators import index as I
 from corvane.operators.knowledge import KnowledgeBase
 from corvane.operators.related import strongest
+from corvane.operators.substring import SubstringIndex
 from corvane.sources.tables import load, scratch, selected, selected_sql, values, values_sql, woven
 
 KEYWORD_SQL = r"""kw AS (SELECT keyword, doc_id, count(*) AS frequency FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS keyword FROM documents)
@@ -79,6 +80,7 @@ def queries():
     q["j18_purge"] = lambda s, d: I.keyword_index(I.purge(I.keywords(load(s, d, "documents")), load(s, d, "labels").where("quality = 0")))
     q["c04_incremental_merge"] = lambda s, d: I.keyword_index(I.merge_postings(I.keywords(load(s, d, "documents").where("lang <> 'fr'")), I.keywords(load(s, d, "documents").where("lang in ('fr', 'de')")), load(s, d, "documents").where("lang = 'es'").select("doc_id")))
     q["p06_search"] = lambda s, d: I.search(I.keyword_totals(I.keywords(load(s, d, "documents"))), "keyword", "TIO", [F.desc("frequency"), "keyword"])
+    q["p06_search_index"] = lambda s, d: SubstringIndex(s, scratch(s, "substrings"), "keyword").build(I.keyword_totals(I.keywords(load(s, d, "documents")))).search("TIO", [F.desc("frequency"), "keyword"])
     q["o02_top_keywords"] = lambda s, d: I.top(I.keyword_totals(I.keywords(load(s, d, "documents"))).select("keyword", "frequency"), "frequency", "keyword", 20)
     q["w09_log_tail"] = lambda s, d: I.log_tail(values(s, "version, action, n", LOG))
     return q
@@ -129,6 +131,7 @@ def oracle_sql():
     q["j18_purge"] = index("doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
     q["c04_incremental_merge"] = index("doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'es')")
     q["p06_search"] = f"WITH {KEYWORD_SQL}, own AS (SELECT * FROM kw) {totals} HAVING contains(keyword, 'tio') ORDER BY 2 DESC, keyword LIMIT 10"
+    q["p06_search_index"] = q["p06_search"]
     q["o02_top_keywords"] = f"WITH {KEYWORD_SQL} SELECT keyword, CAST(sum(frequency) AS BIGINT) AS frequency FROM kw GROUP BY keyword ORDER BY 2 DESC, 1 LIMIT 20"
     q["w09_log_tail"] = f"SELECT * FROM {values_sql('version, action, n', LOG)} ORDER BY version DESC LIMIT 5"
     return q
