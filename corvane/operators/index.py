@@ -63,7 +63,7 @@ def mentions(paragraphs: DataFrame) -> DataFrame:
     at = F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1)))
     windows = F.concat(F.transform(at, lambda i: F.substring(t, i, F.lit(2))), F.transform(at, lambda i: F.substring(t, i, F.lit(3))))
     persons = F.filter(windows, lambda x: x.rlike(f"^[{SURNAMES}][\\x{{4e00}}-\\x{{9fff}}]{{1,2}}$") & ~x.rlike(NO_NAMES))
-    persons = F.when(t.rlike(f"[{SURNAMES}]"), persons).otherwise(F.array().cast("array<string>"))  # most texts have none
+    persons = F.when(t.rlike(r"[\x{4e00}-\x{9fff}]"), persons).otherwise(F.array().cast("array<string>"))  # most texts have none; a range is told at once, a long list of characters is not
     terms = F.concat(*[F.regexp_extract_all(t, F.lit(p), 0) for p in TERMS])
     fits = lambda x: F.length(x).between(2, 20)
     kinds = F.array(*[F.struct(F.lit(k).alias("type"), v.alias("names")) for k, v in (("person", persons), ("term", F.filter(terms, fits)), ("work", F.filter(F.regexp_extract_all(t, F.lit(WORK), 1), fits)))])

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from corvane.sources.tables import written
 
 #: Steps of one search; branches that an open search is split into, at least; rounds of splitting.
-STEPS = 5000
+STEPS = 2000
 BRANCHES = 16
-ROUNDS = 3
+ROUNDS = 2
 SOLVED, INFEASIBLE, OPEN = "solved", "infeasible", "out of budget"
 
 
@@ -221,9 +221,9 @@ def solve(problems: DataFrame, steps: int = STEPS, least: int = BRANCHES, rounds
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [{"course": r.course, "slot": int(r.slot), "teacher": r.teacher, "class": r["class"], "size": int(r["size"]), "times": list(r.times) if r.times is not None else [], "rooms": [{"id": x["id"], "capacity": int(x["capacity"])} for x in (r.rooms if r.rooms is not None else [])]} for _, r in pdf.iterrows()]
         plan = Plan(rows)
-        status, found = search(plan, [], steps)
-        if status == OPEN and plan.impossible():
-            status = INFEASIBLE
+        none = plan.impossible()
+        status, found = search(plan, [], 0 if none else steps)
+        status = INFEASIBLE if none else status
         return pd.DataFrame([(pdf["plan"].iloc[0], "", [], json.dumps(plan.items), status, json.dumps(found))], columns=["plan", "branch", "prefix", "items", "status", "found"])
 
     def split(pdfs):
