@@ -46,7 +46,7 @@ def _ratio(a: str, b: str) -> Column:
 
         return pd.Series([SequenceMatcher(None, u, v).ratio() for u, v in zip(x, y, strict=True)], dtype="float64")
 
-    return ratio(a, b)
+    return ratio.asNondeterministic()(a, b)  # else a filter on it computes it a second time
 
 
 def candidates(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
@@ -85,6 +85,7 @@ def candidates(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFra
 def similarity_scores(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
     """(listing, l, r, score) by the Ratcliff-Obershelp ratio over `least`; a `least` of 0 compares all pairs of a listing."""
     pairs = candidates(left, right, least) if least > 0 else _named(left, "l").join(_named(right, "r"), "listing")
+    pairs = pairs.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "l", "r")  # few bytes a pair, but much work: not to be taken together
     return pairs.select("listing", "l", "r", F.round(_ratio("l", "r"), 6).alias("score")).where(F.col("score") > least)
 
 
