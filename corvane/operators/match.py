@@ -116,13 +116,14 @@ def _places(state: DataFrame) -> DataFrame:
     return s.select(*key, "l", "k", (F.col("k") + F.greatest("_upto", F.coalesce("_before", F.col("_upto")))).alias("p"))
 
 
-def matched(lefts: DataFrame, options: DataFrame) -> DataFrame:
+def matched(lefts: DataFrame, options: DataFrame, alone: bool = False) -> DataFrame:
     """lefts(listing, cls, l), options(listing, cls, r, score) -> (listing, l, r, score): lefts in name order take their best free right.
 
     Lefts of a class have the same options; ties go by name. All lefts propose at once and each right keeps the first in
     name order of those who ever came; the others move on. That ends with what taking turns gives, since a right that
     an earlier left holds is never free for a later one. The k-th left of a class starts at its k-th option, as the
-    ones before it have better ones. No group meets in one task; rounds grow with chains of rights lost to other classes.
+    ones before it have better ones; alone: no class has a second left. No group meets in one task; rounds grow with
+    chains of rights lost to other classes.
     """
     options = written(ranked(options.select("listing", "cls", "r", "score").distinct(), ["listing", "cls"], [F.desc("score"), F.col("r")], "pos"), "options")
     state = ranked(lefts.select("listing", "cls", "l").distinct(), ["listing", "cls"], [F.col("l")], "k").select("listing", "cls", "l", "k", F.col("k").alias("p"))
@@ -137,12 +138,13 @@ def matched(lefts: DataFrame, options: DataFrame) -> DataFrame:
         ahead = lost.select("listing", "cls", "l", "_p", F.explode(F.sequence(F.col("_p") + 1, F.col("_p") + AHEAD)).alias("pos")).join(options.select("listing", "cls", "pos", "r"), ["listing", "cls", "pos"])
         free = ahead.join(held, ["listing", "r"], "left").where("holder is null or holder > l").groupBy("listing", "cls", "l").agg(F.min("pos").alias("_next"))
         moved = lost.join(free, ["listing", "cls", "l"], "left").select("listing", "cls", "l", F.coalesce("_next", F.col("_p") + AHEAD + 1).alias("_to"))
-        state = written(_places(state.join(moved, ["listing", "cls", "l"], "left").withColumn("p", F.coalesce("_to", "p")).drop("_to")), "state")
+        state = state.join(moved, ["listing", "cls", "l"], "left").withColumn("p", F.coalesce("_to", "p")).drop("_to")
+        state = written(state if alone else _places(state), "state")
 
 
 def greedy(scores: DataFrame) -> DataFrame:
     """(listing, l, r, score): lefts in name order take their best free right, the first in name order on ties."""
-    return matched(scores.select("listing", F.col("l").alias("cls"), "l"), scores.select("listing", F.col("l").alias("cls"), "r", "score"))
+    return matched(scores.select("listing", F.col("l").alias("cls"), "l"), scores.select("listing", F.col("l").alias("cls"), "r", "score"), alone=True)
 
 
 def match_numbers(left: DataFrame, right: DataFrame) -> DataFrame:
