@@ -12,12 +12,23 @@ TABLE_SUFFIXES = (".xlsx", ".xls", ".csv")
 
 
 def scan(spark: SparkSession, path: str, suffixes: tuple[str, ...] = TABLE_SUFFIXES, recursive: bool = True) -> DataFrame:
-    """(path, name, suffix, bytes, modified), ordered by path; contents are not read. A path to one file gives that file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    suffix = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))
-    out = files.select("path", name.alias("name"), suffix.alias("suffix"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
-    return out.where(F.col("suffix").isin(*suffixes)).orderBy("path")
+    """(path, name, suffix, bytes, modified), ordered by path; contents are not read. A path to one file gives that file.
+
+    A folder below `path` that has one of the suffixes is one file in parts, as tables are written: its bytes and last
+    change are those of its parts. Other folders are looked into if `recursive`.
+    """
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString().rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    below = F.when(F.startswith("path", F.lit(root + "/")), F.substring("path", len(root) + 2, 1 << 30)).otherwise(F.element_at(F.split("path", "/"), -1))
+    steps, suffix = F.split(below, "/"), lambda x: F.lower(F.regexp_extract(x, r"(\.[^.]+)$", 1))
+    own = F.filter(F.transform(steps, lambda x, i: F.when(suffix(x).isin(*suffixes), i + 1)), lambda x: x.isNotNull())
+    found = files.select("path", "length", "modificationTime", steps.alias("_steps"), F.get(own, 0).alias("_n")).where("_n is not null" if recursive else "_n = 1")
+    rest = F.size("_steps") - F.col("_n")  # steps from the table down to its part
+    parts = F.split("path", "/")
+    found = found.select(F.array_join(F.slice(parts, F.lit(1), F.size(parts) - rest), "/").alias("path"), F.get("_steps", F.col("_n") - 1).alias("name"), "length", "modificationTime")
+    out = found.groupBy("path", "name").agg(F.sum("length").alias("bytes"), F.max("modificationTime").alias("modified"))
+    return out.select("path", "name", suffix(F.col("name")).alias("suffix"), "bytes", "modified").orderBy("path")
 
 
 def binary(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
