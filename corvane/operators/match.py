@@ -116,17 +116,60 @@ def _places(state: DataFrame) -> DataFrame:
     return s.select(*key, "l", "k", (F.col("k") + F.greatest("_upto", F.coalesce("_before", F.col("_upto")))).alias("p"))
 
 
-def matched(lefts: DataFrame, options: DataFrame, alone: bool = False) -> DataFrame:
+#: Options of a listing that a task takes turns over; listings with more go in rounds.
+LOCAL = 1 << 19
+
+
+def _turns(lefts: DataFrame, options: DataFrame) -> DataFrame:
+    """What matched() gives, for listings that fit in a task: each left in turn; a class's place in its options only moves on, as no right is given back."""
+    import pandas as pd
+
+    def turns(left: pd.DataFrame, option: pd.DataFrame) -> pd.DataFrame:
+        option = option.sort_values(["score", "r"], ascending=[False, True])
+        rights = {c: list(zip(g["r"], g["score"], strict=True)) for c, g in option.groupby("cls", sort=False)}
+        place, used, rows = dict.fromkeys(rights, 0), set(), []
+        for x in left.sort_values("l").itertuples(index=False):
+            mine = rights.get(x.cls, ())
+            k = place.get(x.cls, 0)
+            while k < len(mine) and mine[k][0] in used:
+                k += 1
+            if k < len(mine):
+                used.add(mine[k][0])
+                rows.append((x.listing, x.l, *mine[k]))
+            place[x.cls] = k
+        return pd.DataFrame(rows, columns=PAIRS)
+
+    return lefts.groupBy("listing").cogroup(options.groupBy("listing")).applyInPandas(turns, "listing string, l string, r string, score double")
+
+
+def matched(lefts: DataFrame, options: DataFrame, alone: bool = False, local: int = LOCAL) -> DataFrame:
     """lefts(listing, cls, l), options(listing, cls, r, score) -> (listing, l, r, score): lefts in name order take their best free right.
 
+    Listings of at most `local` lefts and options take turns in a task; larger ones go in rounds, with the same result.
+    """
+    lefts, options = lefts.select("listing", "cls", "l").distinct(), written(options.select("listing", "cls", "r", F.col("score").cast("double").alias("score")).distinct(), "options")
+    if not local:
+        return _rounds(lefts, options, alone)
+    lefts = written(lefts, "lefts")
+    sizes = options.groupBy("listing").agg(F.count(F.lit(1)).alias("_n")).union(lefts.groupBy("listing").agg(F.count(F.lit(1))))
+    large = written(sizes.where(F.col("_n") > local).select("listing").distinct(), "large")
+    pairs = _turns(lefts.join(large, "listing", "left_anti"), options.join(large, "listing", "left_anti"))
+    if large.isEmpty():
+        return pairs
+    return pairs.union(_rounds(lefts.join(large, "listing", "left_semi"), options.join(large, "listing", "left_semi"), alone))
+
+
+def _rounds(lefts: DataFrame, options: DataFrame, alone: bool) -> DataFrame:
+    """matched() for listings of any size.
+
     Lefts of a class have the same options; ties go by name. All lefts propose at once and each right keeps the first in
     name order of those who ever came; the others move on. That ends with what taking turns gives, since a right that
     an earlier left holds is never free for a later one. The k-th left of a class starts at its k-th option, as the
     ones before it have better ones; alone: no class has a second left. No group meets in one task; rounds grow with
     chains of rights lost to other classes.
     """
-    options = written(ranked(options.select("listing", "cls", "r", "score").distinct(), ["listing", "cls"], [F.desc("score"), F.col("r")], "pos"), "options")
-    state = ranked(lefts.select("listing", "cls", "l").distinct(), ["listing", "cls"], [F.col("l")], "k").select("listing", "cls", "l", "k", F.col("k").alias("p"))
+    options = written(ranked(options, ["listing", "cls"], [F.desc("score"), F.col("r")], "pos"), "options")
+    state = ranked(lefts, ["listing", "cls"], [F.col("l")], "k").select("listing", "cls", "l", "k", F.col("k").alias("p"))
     state = written(state, "state")
     while True:
         asked = written(state.join(options.withColumnRenamed("pos", "p"), ["listing", "cls", "p"]), "asked")
