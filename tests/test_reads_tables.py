@@ -8,6 +8,7 @@ from corvane.plans import registry
 
 NAMES = [
     "a14_font_levels",
+    "a18_check_summary",
 ]
 
 
