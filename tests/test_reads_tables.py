@@ -9,6 +9,7 @@ from corvane.plans import registry
 NAMES = [
     "a14_font_levels",
     "a18_check_summary",
+    "a24_slide_content",
 ]
 
 
