@@ -10,6 +10,7 @@ NAMES = [
     "a14_font_levels",
     "a18_check_summary",
     "a24_slide_content",
+    "a25_deck_insights",
 ]
 
 
