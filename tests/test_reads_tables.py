@@ -11,6 +11,7 @@ NAMES = [
     "a18_check_summary",
     "a24_slide_content",
     "a25_deck_insights",
+    "a25_empty_slides",
 ]
 
 
