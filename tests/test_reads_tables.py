@@ -12,6 +12,7 @@ NAMES = [
     "a24_slide_content",
     "a25_deck_insights",
     "a25_empty_slides",
+    "a27_image_usage",
 ]
 
 
