@@ -13,6 +13,7 @@ NAMES = [
     "a25_deck_insights",
     "a25_empty_slides",
     "a27_image_usage",
+    "a30_direction",
 ]
 
 
