@@ -14,6 +14,7 @@ NAMES = [
     "a25_empty_slides",
     "a27_image_usage",
     "a30_direction",
+    "a30_subject",
 ]
 
 
