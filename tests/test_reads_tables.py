@@ -15,6 +15,7 @@ NAMES = [
     "a27_image_usage",
     "a30_direction",
     "a30_subject",
+    "a31_area_finance",
 ]
 
 
