@@ -16,6 +16,7 @@ NAMES = [
     "a30_direction",
     "a30_subject",
     "a31_area_finance",
+    "a31_area_grades",
 ]
 
 
