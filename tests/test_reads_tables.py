@@ -17,6 +17,7 @@ NAMES = [
     "a30_subject",
     "a31_area_finance",
     "a31_area_grades",
+    "a31_area_hr",
 ]
 
 
