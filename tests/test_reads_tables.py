@@ -18,6 +18,7 @@ NAMES = [
     "a31_area_finance",
     "a31_area_grades",
     "a31_area_hr",
+    "a31_area_other",
 ]
 
 
