@@ -32,15 +32,22 @@ def exported_files(files: DataFrame, scope: str = "results") -> DataFrame:
 
 def manifests(files: DataFrame, scope: str = "results") -> DataFrame:
     """(project, manifest): agents with their folders and numbers of files, files and bytes in all, as JSON."""
-    own = exported_files(files, scope)
-    per = own.groupBy("project", F.col("agent").alias("name")).agg(F.array_sort(F.collect_set("folder")).alias("folders"), F.count(F.lit(1)).alias("artifact_count"), F.sum(F.length("content")).alias("_bytes"))
-    out = per.groupBy("project").agg(F.array_sort(F.collect_list(F.struct("name", "folders", "artifact_count"))).alias("agents"), F.sum("artifact_count").alias("total_files"), F.sum("_bytes").alias("total_size_bytes"))
+    return _manifests(exported_files(files, scope), ["project"], scope)
+
+
+def _manifests(own: DataFrame, keys: list[str], scope: str) -> DataFrame:
+    per = own.groupBy(*keys, F.col("agent").alias("name")).agg(F.array_sort(F.collect_set("folder")).alias("folders"), F.count(F.lit(1)).alias("artifact_count"), F.sum(F.length("content")).alias("_bytes"))
+    out = per.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("name", "folders", "artifact_count"))).alias("agents"), F.sum("artifact_count").alias("total_files"), F.sum("_bytes").alias("total_size_bytes"))
     body = F.struct(F.lit("1.0").alias("format_version"), F.col("project").alias("project_name"), F.lit(scope).alias("scope"), "agents", "total_files", "total_size_bytes")
-    return out.select("project", F.to_json(body).alias("manifest"))
+    return out.select(*keys, F.to_json(body).alias("manifest"))
+
+
+#: Bytes of files in a volume of an archive, about.
+VOLUME = 16 << 20
 
 
-def archives(files: DataFrame, scope: str = "results") -> DataFrame:
-    """(name, content): an archive of each project, built where its files are; a project must fit in a task."""
+def archives(files: DataFrame, scope: str = "results", volume: int = VOLUME) -> DataFrame:
+    """(name, volume, content): an archive of each project. Files of more than `volume` bytes are dealt over volumes of about as many, each of them an archive with a manifest of its own; a volume must fit in a task."""
     import pandas as pd
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -49,10 +56,12 @@ def archives(files: DataFrame, scope: str = "results") -> DataFrame:
             for r in pdf.sort_values(["agent", "folder", "name"]).itertuples(index=False):
                 z.writestr(zipfile.ZipInfo(posixpath.join(key[0], r.agent, r.folder, r.name)), bytes(r.content))
             z.writestr(zipfile.ZipInfo(f"{key[0]}/{MANIFEST}"), pdf["manifest"].iloc[0])
-        return pd.DataFrame({"name": [f"{key[0]}.zip"], "content": [buf.getvalue()]})
+        return pd.DataFrame({"name": [f"{key[0]}.zip"], "volume": [key[1]], "content": [buf.getvalue()]})
 
-    own = exported_files(files, scope).select("project", "agent", "folder", "name", "content").join(manifests(files, scope), "project")
-    return own.groupBy("project").applyInPandas(build, "name string, content binary")
+    own, keys = exported_files(files, scope).select("project", "agent", "folder", "name", "content"), ["project", "volume"]
+    many = own.groupBy("project").agg(F.greatest(F.ceil(F.sum(F.length("content")) / volume), F.lit(1)).alias("_many"))
+    own = own.join(many, "project").withColumn("volume", F.pmod(F.xxhash64("agent", "folder", "name"), F.col("_many")).cast("int")).drop("_many")
+    return own.join(_manifests(own, keys, scope), keys).groupBy(*keys).applyInPandas(build, "name string, volume int, content binary")
 
 
 def archive_entries(content: bytes) -> Iterator[tuple[str, str, int, bytes]]:
