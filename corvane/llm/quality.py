@@ -12,6 +12,7 @@ from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ CONTENT_BIAS = 1.0
 SHORT_LINE = 20
 #: Lines of a training sequence; longer documents give several.
 TRAIN_LINES = 64
+#: Texts that accepted() holds as Python objects at once, whatever the Arrow batch has.
+DECIDED = 256
 
 _CLASSES = ["0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", SYMBOLS, "!", "|", ".,;:?"]
 _MEMBER = np.zeros((len(_CLASSES), 256), np.uint8)
@@ -251,16 +254,14 @@ def judged(docs: DataFrame, field: LineField, min_share: float = CONTENT_SHARE)
 def accepted(docs: DataFrame, field: LineField, min_share: float = CONTENT_SHARE) -> DataFrame:
     """The rows of docs, all columns, that the rules keep: decided row by row in the scan, without a shuffle."""
 
-    @F.pandas_udf("boolean")
-    def keep(texts):
-        import pandas as pd
-
-        texts = [None if t is None else t for t in texts.tolist()]
-        base = [base_counts(t) for t in texts]
-        shares = []
-        for k in range(0, len(texts), 512):
-            shares += field.shares(texts[k : k + 512])
-        return pd.Series([n >= MIN_WORDS and 100 * r <= MAX_REPEAT * n and s >= min_share for (n, _, _, _, r), s in zip(base, shares, strict=True)], dtype=bool)
+    @F.arrow_udf("boolean")
+    def keep(texts: pa.Array) -> pa.Array:
+        kept = []
+        for k in range(0, len(texts), DECIDED):
+            part = texts.slice(k, DECIDED).to_pylist()
+            base = [base_counts(t) for t in part]
+            kept += [n >= MIN_WORDS and 100 * r <= MAX_REPEAT * n and s >= min_share for (n, _, _, _, r), s in zip(base, field.shares(part), strict=True)]
+        return pa.array(kept, pa.bool_())
 
     return docs.where(keep(docs["text"]))
 

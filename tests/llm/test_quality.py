@@ -95,3 +95,18 @@ def test_edges(spark):
 def test_without_labels(spark):
     field = Q.train(edges.documents(spark), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert field.shares(["some words here"]) == [1.0]
+
+
+def test_accepted_holds_few_texts_at_once(spark):
+    """Whatever the Arrow batch has, texts are decided some at a time, as Arrow values."""
+
+    class Bounded(Q.LineField):
+        def shares(self, texts):
+            if len(texts) > Q.DECIDED:
+                raise ValueError(len(texts))
+            return super().shares(texts)
+
+    field = Q.fit([], [])
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k % 100))) for k in range(3 * Q.DECIDED)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id for r in Q.accepted(docs, Bounded(field.score, field.move)).collect()}
+    assert got == {r.doc_id for r in Q.judged(docs, field).where("kept").collect()} and 0 < len(got) < 3 * Q.DECIDED
