@@ -5,9 +5,10 @@ Inputs have a column name and may have a column listing; names meet within their
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.ratio import likely, pair_of, ratios
 from corvane.functions.text import name_numbers, name_tokens
 from corvane.sources.tables import written
 
@@ -36,19 +37,6 @@ def token_scores(left: DataFrame, right: DataFrame, least: float = 0.3) -> DataF
     return both.select("listing", "l", "r", F.round(score, 6).alias("score")).where(F.col("score") > least)
 
 
-def _ratio(a: str, b: str) -> Column:
-    """The Ratcliff-Obershelp ratio of two columns."""
-    import pandas as pd
-
-    @F.pandas_udf("double")
-    def ratio(x, y):
-        from difflib import SequenceMatcher
-
-        return pd.Series([SequenceMatcher(None, u, v).ratio() for u, v in zip(x, y, strict=True)], dtype="float64")
-
-    return ratio.asNondeterministic()(a, b)  # else a filter on it computes it a second time
-
-
 def candidates(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
     """(listing, l, r): all pairs whose characters allow a ratio over `least`, found by an equi-join.
 
@@ -57,16 +45,27 @@ def candidates(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFra
     o being the fewest that a partner of any length must share: one of the n - o + 1 rarest characters of either name,
     repeats counted apart, is among the other's. Pairs meet there, and their lengths and common characters decide.
     """
-    half = least / 2
+    a, b = _characters(left, "l"), _characters(right, "r")
+    x, y = _prefixes(a, b, least)
+    pairs = x.join(y, ["listing", "_t"]).select("listing", "l", "r").distinct()
+    pairs = pairs.join(a.withColumnRenamed("_all", "_a"), ["listing", "l"]).join(b.withColumnRenamed("_all", "_b"), ["listing", "r"])
+    both, bound = F.size("_a") + F.size("_b"), F.lit(least)
+    pairs = pairs.where((2 * F.least(F.size("_a"), F.size("_b")) > bound * both) & (2 * F.size(F.array_intersect("_a", "_b")) > bound * both))
+    return pairs.select("listing", "l", "r")
+
 
-    def counted(names: DataFrame, side: str) -> DataFrame:
-        letters = F.array_sort(F.filter(F.split(side, ""), lambda x: x != ""))
-        runs = F.transform(letters, lambda x, i: F.concat(x, (i - F.array_position(letters, x)).cast("string")))  # the k-th of a character is itself and k
-        return _named(names, side).distinct().withColumn("_all", runs)
+def _characters(names: DataFrame, side: str) -> DataFrame:
+    """Distinct names with their characters, each with its number among the equal ones."""
+    letters = F.array_sort(F.filter(F.split(side, ""), lambda x: x != ""))
+    runs = F.transform(letters, lambda x, i: F.concat(x, (i - F.array_position(letters, x)).cast("string")))  # the k-th of a character is itself and k
+    return written(_named(names, side).distinct().withColumn("_all", runs), "characters")
 
-    a, b = written(counted(left, "l"), "lefts"), written(counted(right, "r"), "rights")
+
+def _prefixes(a: DataFrame, b: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(listing, l, _t) and (listing, r, _t) of two _characters(): the rarest characters of each name, of which similar names share one."""
+    half = least / 2
     rare = a.select(F.explode("_all").alias("_t")).union(b.select(F.explode("_all").alias("_t"))).groupBy("_t").agg(F.count(F.lit(1)).alias("_df"))
-    rare = written(rare, "characters")  # a row a character and repeat
+    rare = written(rare, "rare")  # a row a character and repeat
 
     def prefix(names: DataFrame, side: str) -> DataFrame:
         ordered = names.select("listing", side, F.size("_all").alias("_n"), F.explode("_all").alias("_t")).join(rare, "_t").groupBy("listing", side, "_n").agg(F.array_sort(F.collect_list(F.struct("_df", "_t"))).alias("_o"))
@@ -75,18 +74,81 @@ def candidates(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFra
         keep = (n - (F.floor((n + shortest) * half - 1e-9) + 1) + 1).cast("int")
         return ordered.select("listing", side, F.explode(F.transform(F.slice("_o", 1, F.greatest(keep, F.lit(1))), lambda x: x["_t"])).alias("_t"))
 
-    pairs = prefix(a, "l").join(prefix(b, "r"), ["listing", "_t"]).select("listing", "l", "r").distinct()
-    pairs = pairs.join(a.withColumnRenamed("_all", "_a"), ["listing", "l"]).join(b.withColumnRenamed("_all", "_b"), ["listing", "r"])
-    both, bound = F.size("_a") + F.size("_b"), F.lit(least)
-    pairs = pairs.where((2 * F.least(F.size("_a"), F.size("_b")) > bound * both) & (2 * F.size(F.array_intersect("_a", "_b")) > bound * both))
-    return pairs.select("listing", "l", "r")
+    return prefix(a, "l"), prefix(b, "r")
+
+
+#: Names of a side that a task compares at once with as many of the other side.
+BLOCK = 512
+#: Pairs of a listing from which on candidates() are tried, and how many pairs a block compares in the time of one row of their join.
+MANY = 1 << 24
+FASTER = 20
+
+
+def _in_blocks(a: DataFrame, b: DataFrame, least: float, block: int) -> DataFrame:
+    """a(listing, l), b(listing, r) -> scores over `least` of all pairs: a listing is dealt over pairs of blocks, so what is shuffled are names and not pairs."""
+    import pyarrow as pa
+
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        ls, rs = left["l"].combine_chunks(), right["r"].combine_chunks()
+        x, y = pair_of(ls.to_pylist(), rs.to_pylist())
+        i, j = likely(x, y, least)
+        s = ratios(x, y, i, j, least).round(6)
+        i, j, s = i[s > least], j[s > least], s[s > least]
+        listing = left["listing"].combine_chunks().take(pa.array(i * 0)) if len(i) else left["listing"].combine_chunks().slice(0, 0)
+        return pa.table([listing, ls.take(pa.array(i)), rs.take(pa.array(j)), pa.array(s)], names=PAIRS)
+
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = lambda names, n: names.groupBy("listing").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(n))
+    sizes = written(count(a, "_a").join(count(b, "_b"), "listing"), "blocks")
 
+    def dealt(names: DataFrame, side: str, own: str, other: str) -> GroupedData:
+        mine, theirs = F.pmod(F.xxhash64(side), F.col(own)), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - F.lit(1).cast("bigint")))
+        at = [mine.alias("_i"), theirs.alias("_j")] if side == "l" else [theirs.alias("_i"), mine.alias("_j")]
+        rows = names.join(sizes, "listing").select("listing", side, *at)
+        return rows.repartition(parts, "listing", "_i", "_j").groupBy("listing", "_i", "_j")  # few bytes, but much work: not to be taken together
 
-def similarity_scores(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFrame:
-    """(listing, l, r, score) by the Ratcliff-Obershelp ratio over `least`; a `least` of 0 compares all pairs of a listing."""
-    pairs = candidates(left, right, least) if least > 0 else _named(left, "l").join(_named(right, "r"), "listing")
-    pairs = pairs.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "l", "r")  # few bytes a pair, but much work: not to be taken together
-    return pairs.select("listing", "l", "r", F.round(_ratio("l", "r"), 6).alias("score")).where(F.col("score") > least)
+    pairs = dealt(a, "l", "_a", "_b").cogroup(dealt(b, "r", "_b", "_a"))
+    return pairs.applyInArrow(scored, "listing string, l string, r string, score double")
+
+
+def _of_pairs(pairs: DataFrame, least: float) -> DataFrame:
+    """pairs(listing, l, r) -> scores over `least`."""
+    import numpy as np
+    import pyarrow as pa
+
+    def scored(batches):
+        for batch in batches:
+            names = [batch[k].dictionary_encode() for k in ("l", "r")]
+            i, j = (np.asarray(x.indices) for x in names)
+            s = pa.array(ratios(*pair_of(*[x.dictionary.to_pylist() for x in names]), i, j, least).round(6))
+            yield pa.record_batch([batch["listing"], batch["l"], batch["r"], s], names=PAIRS)
+
+    pairs = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "l", "r")  # few bytes a pair, but much work: not to be taken together
+    return pairs.select("listing", "l", "r").mapInArrow(scored, "listing string, l string, r string, score double").where(F.col("score") > least)
+
+
+def similarity_scores(left: DataFrame, right: DataFrame, least: float = 0.5, block: int = BLOCK, many: int = MANY, faster: float = FASTER) -> DataFrame:
+    """(listing, l, r, score) by the Ratcliff-Obershelp ratio over `least`; a `least` of 0 compares all pairs of a listing. Repeated names count once.
+
+    Names of a listing are compared in blocks. Where a listing has over `many` pairs and characters are so different that
+    the join of candidates() has fewer than one row for `faster` of them, its pairs come from that join; both lose none.
+    """
+    a, b = written(_named(left, "l").distinct(), "lefts"), written(_named(right, "r").distinct(), "rights")
+    if least > 0:
+        a, b = a.where("l <> ''"), b.where("r <> ''")
+    count = lambda names, n: names.groupBy("listing").agg(F.count(F.lit(1)).alias(n))
+    large = written(count(a, "_a").join(count(b, "_b"), "listing").select("listing", (F.col("_a") * F.col("_b")).alias("_all")).where(F.col("_all") > many), "large")
+    if least <= 0 or large.isEmpty():
+        return _in_blocks(a, b, least, block)
+    some = [x.join(large, "listing", "left_semi").withColumnRenamed(side, "name") for x, side in ((a, "l"), (b, "r"))]
+    x, y = _prefixes(_characters(some[0], "l"), _characters(some[1], "r"), least)
+    rows = x.groupBy("listing", "_t").agg(F.count(F.lit(1)).alias("_a")).join(y.groupBy("listing", "_t").agg(F.count(F.lit(1)).alias("_b")), ["listing", "_t"])
+    rows = large.join(rows.groupBy("listing").agg(F.sum(F.col("_a") * F.col("_b")).alias("_rows")), "listing", "left")
+    apart = written(rows.where(F.coalesce("_rows", F.lit(0)) * faster < F.col("_all")).select("listing"), "apart")
+    out = _in_blocks(a.join(apart, "listing", "left_anti"), b.join(apart, "listing", "left_anti"), least, block)
+    if apart.isEmpty():
+        return out
+    return out.union(_of_pairs(candidates(*[x.join(apart, "listing", "left_semi") for x in some], least), least))
 
 
 def ranked(rows: DataFrame, key: list[str], order: list[Column], name: str) -> DataFrame:

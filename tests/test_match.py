@@ -6,9 +6,11 @@ import random
 from collections import defaultdict
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corvane.functions import ratio as R
 from corvane.operators import match as M
 
 
@@ -101,3 +103,29 @@ def test_empty_listings(spark):
     none, some = named(spark, []), named(spark, [("a", "x 1"), ("a", "")])
     for f in (M.match_numbers, M.match_tokens, M.match_similar, M.auto):
         assert f(none, some).collect() == [] and f(some, none).collect() == []
+
+
+def test_ratios_are_those_of_the_sequence_matcher():
+    draw = random.Random(11)
+    for alphabet in ("ab", "abcé x.1", "abcdefghij\U0001f600"):
+        left = ["".join(draw.choice(alphabet) for _ in range(draw.randint(0, 16))) for _ in range(60)] + ["a" * 150 + "b" * 49, "ab" * 120]
+        right = ["".join(draw.choice(alphabet) for _ in range(draw.randint(0, 16))) for _ in range(60)] + ["b" * 199, "ba" * 130, "a" * 199]
+        a, b = R.pair_of(left, right)
+        want = [[SequenceMatcher(None, x, y).ratio() for y in right] for x in left]
+        i, j = (x.ravel() for x in np.indices((len(left), len(right))))
+        assert R.ratios(a, b, i, j, -1.0).tolist() == [x for row in want for x in row]
+        for least in (0.3, 0.5, 0.75):
+            i, j = R.likely(a, b, least)
+            got = {(x, y) for x, y, s in zip(i.tolist(), j.tolist(), R.ratios(a, b, i, j, least).tolist(), strict=True) if round(s, 6) > least and s == want[x][y]}
+            assert got == {(x, y) for x in range(len(left)) for y in range(len(right)) if round(want[x][y], 6) > least and left[x] + right[y]}
+
+
+@pytest.mark.parametrize(("block", "many", "faster"), [(7, 1 << 24, 20), (512, 0, 0), (512, 0, 1e9), (9, 200, 1.2)])
+def test_scores_in_blocks_and_by_candidates(spark, block, many, faster):
+    """The same pairs, however a listing is dealt; names of several listings, with nulls, empty and repeated ones."""
+    draw = random.Random(12)
+    name = lambda k: "".join(draw.choice("aabcdé x.1" if k == "a" else "0123456789qwertz") for _ in range(draw.randint(0, 12)))
+    left, right = ([(k, name(k)) for k in "aab" for _ in range(30)] + [(None, "abc"), ("a", None), ("a", ""), ("c", "lone")] for _ in range(2))
+    got = [tuple(r) for r in M.similarity_scores(named(spark, left * 2), named(spark, right), block=block, many=many, faster=faster).collect()]
+    want = {(k or "", a, b, round(SequenceMatcher(None, a, b).ratio(), 6)) for k, a in left for m, b in right if k == m and a and b}
+    assert sorted(got) == sorted(w for w in want if w[3] > 0.5) and len(got) > 20
