@@ -2,13 +2,15 @@
 
 A plan's slots each need a time at which their teacher and class are free and a room that is large enough. A slot takes
 the smallest free room at its time; as rooms only differ by capacity, that never excludes what another choice would
-allow, so the search is over times alone. Plans that a task cannot settle within a budget of steps are split into
-branches, which are searched elsewhere, and those that stay open are split again.
+allow, so the search is over times alone. Plans that a task cannot settle within a budget of steps are searched anew some
+times, briefly and with the times in another order, as most of them have a timetable that a search only misses by its
+first choices; the rest are split into branches, which are searched elsewhere, and those that stay open are split again.
 """
 
 from __future__ import annotations
 
 import json
+import random
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,9 @@ from corvane.sources.tables import written
 STEPS = 2000
 BRANCHES = 16
 ROUNDS = 2
+#: Short searches of a plan whose search stays open, before it is split, and steps of each by slot.
+RESTARTS = 100
+RESTART_STEPS = 3
 SOLVED, INFEASIBLE, OPEN = "solved", "infeasible", "out of budget"
 
 
@@ -127,9 +132,11 @@ class Plan:
         return all(settle(v) for v in slots)
 
 
-def search(plan: Plan, prefix: list[int], steps: int = STEPS) -> tuple[str, list]:
+def search(plan: Plan, prefix: list[int], steps: int = STEPS, order: list[int] | None = None) -> tuple[str, list]:
     """(status, [(time, room)] of the slots, None where not placed): a search below the times that the first slots have.
 
+    order: the times as they are tried, the first ones first if it is not given.
+
     The slot with the fewest free times is next, and a slot without one is a dead end. Its blockers, with those of the
     slots between, name the latest choice that can help; that one is changed, what came after it forgotten.
     """
@@ -169,8 +176,8 @@ def search(plan: Plan, prefix: list[int], steps: int = STEPS) -> tuple[str, list
         while True:
             v, free, blame = stack[-1]
             if free:
-                t = (free & -free).bit_length() - 1
-                stack[-1][1] = free & (free - 1)
+                t = (free & -free).bit_length() - 1 if order is None else next(t for t in order if free >> t & 1)
+                stack[-1][1] = free & ~(1 << t)
                 blame |= plan.blockers(v)
                 plan.assign(v, t)
                 if base + len(stack) > best_n:
@@ -187,6 +194,16 @@ def search(plan: Plan, prefix: list[int], steps: int = STEPS) -> tuple[str, list
             u[2] |= blame - {u[0]}
 
 
+def restarted(plan: Plan, restarts: int = RESTARTS, steps: int = STEPS) -> tuple[str, list] | None:
+    """The first of some short searches that places all slots or proves that it can't be; each tries the times in an order of its own. None: all stay open."""
+    draw = random.Random(plan.n)
+    for _ in range(restarts):
+        status, found = search(plan, [], min(steps, RESTART_STEPS * plan.n), draw.sample(range(len(plan.times)), len(plan.times)))
+        if status != OPEN:
+            return status, found
+    return None
+
+
 def branches(plan: Plan, prefix: list[int], least: int = BRANCHES) -> list[list[int]]:
     """The search below a prefix as at least so many searches below longer ones, in order; fewer if there are no more, none if it is proved empty."""
     level = [prefix]
@@ -208,7 +225,7 @@ def branches(plan: Plan, prefix: list[int], least: int = BRANCHES) -> list[list[
 STATE = "plan string, branch string, prefix array<int>, items string, status string, found string"
 
 
-def solve(problems: DataFrame, steps: int = STEPS, least: int = BRANCHES, rounds: int = ROUNDS) -> DataFrame:
+def solve(problems: DataFrame, steps: int = STEPS, least: int = BRANCHES, rounds: int = ROUNDS, restarts: int = RESTARTS) -> DataFrame:
     """problems(plan, course, slot, teacher, class, size, times array, rooms array<struct<id, capacity>>) -> (plan, course, slot, time, room, status).
 
     status of a plan: solved, with all slots placed; infeasible, proved by matchings or by an exhausted search; or out of
@@ -224,6 +241,8 @@ def solve(problems: DataFrame, steps: int = STEPS, least: int = BRANCHES, rounds
         none = plan.impossible()
         status, found = search(plan, [], 0 if none else steps)
         status = INFEASIBLE if none else status
+        if status == OPEN:
+            status, found = restarted(plan, restarts, steps) or (status, found)
         return pd.DataFrame([(pdf["plan"].iloc[0], "", [], json.dumps(plan.items), status, json.dumps(found))], columns=["plan", "branch", "prefix", "items", "status", "found"])
 
     def split(pdfs):

@@ -87,6 +87,26 @@ def test_status_tells_a_budget_from_a_proof(spark):
     assert {r.status for r in rows} == {T.OPEN} and sum(r.time is not None for r in rows) == 4
 
 
+def test_restarts_settle_what_a_search_leaves_open():
+    """Four teachers' courses in two rooms, 62 slots at 35 times: the first choices of a search in the times' order lead it astray."""
+    draw = random.Random(0)
+    rooms = [{"id": "R0", "capacity": 40}, {"id": "R1", "capacity": 40}]
+    left_open = 0
+    for _ in range(40):
+        free = {t: draw.sample([f"t{k:02}" for k in range(35)], draw.randint(25, 32)) for t in "ABCD"}
+        items = [{"course": f"{t}{k}", "slot": 0, "teacher": t, "class": f"K{k % 6}", "size": 20, "times": free[t], "rooms": rooms} for t in "ABCD" for k in range(15 + (t < "C"))]
+        plan = T.Plan(items)
+        if plan.impossible() or T.search(plan, [])[0] != T.OPEN:
+            continue
+        left_open += 1
+        status, found = T.restarted(plan)
+        used = [x for r, (time, room) in zip(plan.items, found, strict=True) for x in (("t", r["teacher"], time), ("c", r["class"], time), ("r", room, time))]
+        assert status == T.SOLVED and len(used) == len(set(used))
+        assert all(time in r["times"] for r, (time, _) in zip(plan.items, found, strict=True))
+        assert T.restarted(plan, steps=1) is None
+    assert left_open
+
+
 def test_nulls_and_nothing(spark):
     rows = [("p", "A", 0, "T", "K", 5, None, [("R", 9)]), ("p", "B", 0, "T", "K", 5, ["a"], None), ("q", "A", 0, None, None, 5, ["a", "a"], [("R", 9)])]
     got = {(r.plan, r.course): (r.time, r.room, r.status) for r in T.solve(spark.createDataFrame(rows, SCHEMA)).collect()}
