@@ -286,15 +286,18 @@ def match_similar(left: DataFrame, right: DataFrame, least: float = 0.5, first:
 
 def auto(left: DataFrame, right: DataFrame) -> DataFrame:
     """For each listing numbers if they pair four fifths of its lefts; else tokens, else similarity, where they pair strictly more; else numbers."""
-    n_left = _named(left, "l").groupBy("listing").agg(F.count(F.lit(1)).alias("n_left"))
-    found = None
-    for strategy, match in (("number", match_numbers), ("keyword", match_tokens), ("similarity", match_similar)):
-        one = match(left, right).withColumn("strategy", F.lit(strategy))
-        found = one if found is None else found.union(one)
-    found = written(found, "matches")
-    per = n_left.join(found.groupBy("listing").pivot("strategy", ["number", "keyword", "similarity"]).count(), "listing", "left").na.fill(0)
+    left, right = _named(left, "name"), _named(right, "name")
+    state = written(left.groupBy("listing").agg(F.count(F.lit(1)).alias("n_left")), "listings")
+    found = []
+    # a listing whose pick is settled takes no part in the strategies that follow
+    for strategy, match, todo in (("number", match_numbers, None), ("keyword", match_tokens, "number < 0.8 * n_left"), ("similarity", match_similar, "number < 0.8 * n_left and keyword <= number")):
+        some = state.where(todo).select("listing") if todo else state.select("listing")
+        one = written(match(left.join(some, "listing", "left_semi"), right.join(some, "listing", "left_semi")).select(*PAIRS).withColumn("strategy", F.lit(strategy)), "matches")
+        state = written(state.join(one.groupBy("listing").agg(F.count(F.lit(1)).alias(strategy)), "listing", "left").na.fill(0), "listings")
+        found.append(one)
     pick = F.when(F.col("number") >= 0.8 * F.col("n_left"), "number").when(F.col("keyword") > F.col("number"), "keyword").when(F.col("similarity") > F.col("number"), "similarity").otherwise("number")
-    return found.join(per.select("listing", pick.alias("strategy")), ["listing", "strategy"]).select(*PAIRS, "strategy")
+    found = found[0].union(found[1]).union(found[2])
+    return found.join(state.select("listing", pick.alias("strategy")), ["listing", "strategy"]).select(*PAIRS, "strategy")
 
 
 def occurrences(used: DataFrame, known: DataFrame) -> DataFrame:

@@ -129,3 +129,16 @@ def test_scores_in_blocks_and_by_candidates(spark, block, many, faster):
     got = [tuple(r) for r in M.similarity_scores(named(spark, left * 2), named(spark, right), block=block, many=many, faster=faster).collect()]
     want = {(k or "", a, b, round(SequenceMatcher(None, a, b).ratio(), 6)) for k, a in left for m, b in right if k == m and a and b}
     assert sorted(got) == sorted(w for w in want if w[3] > 0.5) and len(got) > 20
+
+
+def test_auto_leaves_settled_listings_out(spark, monkeypatch):
+    """n is settled by numbers, k by tokens; names of s are alike and share neither."""
+    seen = {}
+    for name in ("match_numbers", "match_tokens", "match_similar"):
+        own = getattr(M, name)
+        monkeypatch.setattr(M, name, lambda a, b, name=name, own=own: seen.update({name: {r.listing for r in a.collect()}}) or own(a, b))
+    left = [("n", "x 1"), ("n", "x 2"), ("k", "red ring"), ("k", "blue bolt"), ("s", "redring"), ("s", "bluebolt")]
+    right = [("n", "y 1"), ("n", "y 2"), ("k", "ring red"), ("k", "bolt blue"), ("s", "redrings"), ("s", "bluebolts")]
+    got = {(r.listing, r.l, r.r, r.strategy) for r in M.auto(named(spark, left), named(spark, right)).collect()}
+    assert got == {("n", "x 1", "y 1", "number"), ("n", "x 2", "y 2", "number"), ("k", "red ring", "ring red", "keyword"), ("k", "blue bolt", "bolt blue", "keyword"), ("s", "redring", "redrings", "similarity"), ("s", "bluebolt", "bluebolts", "similarity")}
+    assert seen == {"match_numbers": {"n", "k", "s"}, "match_tokens": {"k", "s"}, "match_similar": {"s"}}
