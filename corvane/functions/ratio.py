@@ -46,6 +46,15 @@ def likely(a: Names, b: Names, least: float) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero((2 * common.astype(np.int64) > (least - 1e-6) * both) | long)
 
 
+def fits(a: Names, b: Names, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """What likely() tells, of the pairs (i of a, j of b) alone."""
+    both = a.size[i] + b.size[j]
+    common = np.zeros(len(i), np.int64)
+    for x, y in zip(a.counts, b.counts, strict=True):
+        common += np.minimum(x[i], y[j])
+    return (2 * common > (least - 1e-6) * both) | (a.size[i] > LONGEST) | (b.size[j] > LONGEST)
+
+
 def _longest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(size, end in a, end in b) of the longest common block of each column of a and b; the first in a on ties, then the first in b."""
     n = a.shape[1]

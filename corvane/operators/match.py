@@ -5,10 +5,13 @@ Inputs have a column name and may have a column listing; names meet within their
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.ratio import likely, pair_of, ratios
+from corvane.functions.ratio import fits, likely, pair_of, ratios
 from corvane.functions.text import name_numbers, name_tokens
 from corvane.sources.tables import written
 
@@ -45,40 +48,72 @@ def candidates(left: DataFrame, right: DataFrame, least: float = 0.5) -> DataFra
     o being the fewest that a partner of any length must share: one of the n - o + 1 rarest characters of either name,
     repeats counted apart, is among the other's. Pairs meet there, and their lengths and common characters decide.
     """
-    a, b = _characters(left, "l"), _characters(right, "r")
-    x, y = _prefixes(a, b, least)
-    pairs = x.join(y, ["listing", "_t"]).select("listing", "l", "r").distinct()
-    pairs = pairs.join(a.withColumnRenamed("_all", "_a"), ["listing", "l"]).join(b.withColumnRenamed("_all", "_b"), ["listing", "r"])
-    both, bound = F.size("_a") + F.size("_b"), F.lit(least)
-    pairs = pairs.where((2 * F.least(F.size("_a"), F.size("_b")) > bound * both) & (2 * F.size(F.array_intersect("_a", "_b")) > bound * both))
-    return pairs.select("listing", "l", "r")
+    return _met(*_prefixes(_named(left, "l").distinct(), _named(right, "r").distinct(), least), least)
+
+
+#: The most frequent characters (repeats counted apart) of which tasks get the frequency; all others count as rarest.
+FREQUENT = 1 << 16
 
 
-def _characters(names: DataFrame, side: str) -> DataFrame:
-    """Distinct names with their characters, each with its number among the equal ones."""
-    letters = F.array_sort(F.filter(F.split(side, ""), lambda x: x != ""))
-    runs = F.transform(letters, lambda x, i: F.concat(x, (i - F.array_position(letters, x)).cast("string")))  # the k-th of a character is itself and k
-    return written(_named(names, side).distinct().withColumn("_all", runs), "characters")
+def _runs(name: str) -> list[str]:
+    """Its characters, each with its number among the equal ones before it."""
+    seen: dict[str, int] = {}
+    out = []
+    for x in name:
+        k = seen[x] = seen.get(x, -1) + 1
+        out.append(f"{x}{k}")
+    return out
 
 
 def _prefixes(a: DataFrame, b: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """(listing, l, _t) and (listing, r, _t) of two _characters(): the rarest characters of each name, of which similar names share one."""
-    half = least / 2
-    rare = a.select(F.explode("_all").alias("_t")).union(b.select(F.explode("_all").alias("_t"))).groupBy("_t").agg(F.count(F.lit(1)).alias("_df"))
-    rare = written(rare, "rare")  # a row a character and repeat
+    """a(listing, l), b(listing, r) -> (listing, l, _t) and (listing, r, _t): the rarest characters of each name, of which similar names share one.
+
+    Any one order of characters for both sides would do; what is shuffled are characters with their counts, never those of each name.
+    """
+    import pyarrow as pa
+
+    def counted(batches):
+        for batch in batches:
+            n = Counter(t for name in batch.column(0).to_pylist() for t in _runs(name))
+            yield pa.record_batch([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["_t", "_n"])
+
+    rare = a.select("l").union(b.select("r")).mapInArrow(counted, "_t string, _n bigint").groupBy("_t").agg(F.sum("_n").alias("_df"))
+    often = {x["_t"]: x["_df"] for x in rare.orderBy(F.desc("_df"), "_t").limit(FREQUENT).collect()}
 
     def prefix(names: DataFrame, side: str) -> DataFrame:
-        ordered = names.select("listing", side, F.size("_all").alias("_n"), F.explode("_all").alias("_t")).join(rare, "_t").groupBy("listing", side, "_n").agg(F.array_sort(F.collect_list(F.struct("_df", "_t"))).alias("_o"))
-        n = F.col("_n")
-        shortest = F.floor(n * least / (2 - least)) + 1
-        keep = (n - (F.floor((n + shortest) * half - 1e-9) + 1) + 1).cast("int")
-        return ordered.select("listing", side, F.explode(F.transform(F.slice("_o", 1, F.greatest(keep, F.lit(1))), lambda x: x["_t"])).alias("_t"))
+        def first(batches):
+            for batch in batches:
+                found = []
+                for name in batch[side].to_pylist():
+                    n = len(name)
+                    shortest = math.floor(n * least / (2 - least)) + 1
+                    keep = n - (math.floor((n + shortest) * least / 2 - 1e-9) + 1) + 1
+                    found.append(sorted(_runs(name), key=lambda t: (often.get(t, 0), t))[: max(keep, 1)])
+                yield pa.record_batch([batch["listing"], batch[side], pa.array(found, pa.list_(pa.string()))], names=["listing", side, "_t"])
+
+        return names.select("listing", side).mapInArrow(first, f"listing string, {side} string, _t array<string>").select("listing", side, F.explode("_t").alias("_t"))
 
     return prefix(a, "l"), prefix(b, "r")
 
 
-#: Names of a side that a task compares at once with as many of the other side.
+def _met(x: DataFrame, y: DataFrame, least: float) -> DataFrame:
+    """Pairs that meet in a row of both _prefixes() and have the lengths and common characters for a ratio over `least`; each once."""
+    import numpy as np
+
+    def possible(batches):
+        for batch in batches:
+            names = [batch[k].dictionary_encode() for k in ("l", "r")]
+            i, j = (np.asarray(n.indices) for n in names)
+            yield batch.filter(fits(*pair_of(*[n.dictionary.to_pylist() for n in names]), i, j, least))
+
+    parts = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes a pair, but much work: not to be taken together
+    pairs = x.join(y, ["listing", "_t"]).select("listing", "l", "r").repartition(parts, "listing", "l", "r").distinct()
+    return pairs.mapInArrow(possible, "listing string, l string, r string")
+
+
+#: Names of a side that are compared at once with as many of the other side, and how many such blocks of each side a group has: names are copied for each group, so few wide ones take less disk.
 BLOCK = 512
+WIDE = 2
 #: Pairs of a listing from which on candidates() are tried, and how many pairs a block compares in the time of one row of their join.
 MANY = 1 << 24
 FASTER = 20
@@ -89,6 +124,10 @@ def _in_blocks(a: DataFrame, b: DataFrame, least: float, block: int) -> DataFram
     import pyarrow as pa
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        at = [(x, y) for x in range(0, left.num_rows, block) for y in range(0, right.num_rows, block)]
+        return pa.concat_tables([compared(left.slice(x, block), right.slice(y, block)) for x, y in at] or [compared(left, right)])
+
+    def compared(left: pa.Table, right: pa.Table) -> pa.Table:
         ls, rs = left["l"].combine_chunks(), right["r"].combine_chunks()
         x, y = pair_of(ls.to_pylist(), rs.to_pylist())
         i, j = likely(x, y, least)
@@ -98,7 +137,7 @@ def _in_blocks(a: DataFrame, b: DataFrame, least: float, block: int) -> DataFram
         return pa.table([listing, ls.take(pa.array(i)), rs.take(pa.array(j)), pa.array(s)], names=PAIRS)
 
     parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    count = lambda names, n: names.groupBy("listing").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(n))
+    count = lambda names, n: names.groupBy("listing").agg(F.ceil(F.count(F.lit(1)) / (block * WIDE)).cast("int").alias(n))
     sizes = written(count(a, "_a").join(count(b, "_b"), "listing"), "blocks")
 
     def dealt(names: DataFrame, side: str, own: str, other: str) -> GroupedData:
@@ -123,7 +162,6 @@ def _of_pairs(pairs: DataFrame, least: float) -> DataFrame:
             s = pa.array(ratios(*pair_of(*[x.dictionary.to_pylist() for x in names]), i, j, least).round(6))
             yield pa.record_batch([batch["listing"], batch["l"], batch["r"], s], names=PAIRS)
 
-    pairs = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "l", "r")  # few bytes a pair, but much work: not to be taken together
     return pairs.select("listing", "l", "r").mapInArrow(scored, "listing string, l string, r string, score double").where(F.col("score") > least)
 
 
@@ -140,15 +178,15 @@ def similarity_scores(left: DataFrame, right: DataFrame, least: float = 0.5, blo
     large = written(count(a, "_a").join(count(b, "_b"), "listing").select("listing", (F.col("_a") * F.col("_b")).alias("_all")).where(F.col("_all") > many), "large")
     if least <= 0 or large.isEmpty():
         return _in_blocks(a, b, least, block)
-    some = [x.join(large, "listing", "left_semi").withColumnRenamed(side, "name") for x, side in ((a, "l"), (b, "r"))]
-    x, y = _prefixes(_characters(some[0], "l"), _characters(some[1], "r"), least)
+    some = [x.join(large, "listing", "left_semi") for x in (a, b)]
+    x, y = _prefixes(*some, least)
     rows = x.groupBy("listing", "_t").agg(F.count(F.lit(1)).alias("_a")).join(y.groupBy("listing", "_t").agg(F.count(F.lit(1)).alias("_b")), ["listing", "_t"])
     rows = large.join(rows.groupBy("listing").agg(F.sum(F.col("_a") * F.col("_b")).alias("_rows")), "listing", "left")
     apart = written(rows.where(F.coalesce("_rows", F.lit(0)) * faster < F.col("_all")).select("listing"), "apart")
     out = _in_blocks(a.join(apart, "listing", "left_anti"), b.join(apart, "listing", "left_anti"), least, block)
     if apart.isEmpty():
         return out
-    return out.union(_of_pairs(candidates(*[x.join(apart, "listing", "left_semi") for x in some], least), least))
+    return out.union(_of_pairs(_met(*[z.join(apart, "listing", "left_semi") for z in (x, y)], least), least))
 
 
 def ranked(rows: DataFrame, key: list[str], order: list[Column], name: str) -> DataFrame:

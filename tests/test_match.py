@@ -131,6 +131,14 @@ def test_scores_in_blocks_and_by_candidates(spark, block, many, faster):
     assert sorted(got) == sorted(w for w in want if w[3] > 0.5) and len(got) > 20
 
 
+def test_prefixes_shuffle_no_character_of_a_name(spark):
+    """A name's characters are put in order where the name lies: between its row and its prefix nothing is shuffled or written."""
+    a, b = named(spark, [("a", "abcabc"), ("b", "xyz")]).withColumnRenamed("name", "l"), named(spark, [("a", "abca"), ("b", "é1")]).withColumnRenamed("name", "r")
+    x, y = M._prefixes(a, b, 0.5)
+    assert all("Exchange" not in z._jdf.queryExecution().executedPlan().toString() for z in (x, y))
+    assert {(r.l, r["_t"]) for r in x.where("listing = 'b'").collect()} == {("xyz", "x0"), ("xyz", "y0")}  # of three characters it can miss one of a partner
+
+
 def test_auto_leaves_settled_listings_out(spark, monkeypatch):
     """n is settled by numbers, k by tokens; names of s are alike and share neither."""
     seen = {}
