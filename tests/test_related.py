@@ -8,6 +8,7 @@ from itertools import combinations
 
 import pytest
 
+from corvane.operators import index as I
 from corvane.operators.related import strongest, term_sets
 
 SCHEMA = "kind string, term string, doc_id long, weight int"
@@ -35,6 +36,28 @@ def zipf(draw, n_docs, n_terms, most, copies=0):
     return rows + [(k, t, 10_000 + c, 1) for c in range(copies) for k, t in same]
 
 
+@pytest.mark.parametrize(("block", "sparse", "held"), [(5, 1e9, 40), (1024, 1e9, 1 << 21), (7, 0, 1), (9, 8, 100)])
+def test_relations_of_classes(spark, monkeypatch, block, sparse, held):
+    """Classes and their pairs hold the relations of all documents, however classes meet; copies make no pairs but rows of one class."""
+    monkeypatch.setattr(I, "HELD", held)
+    rows = zipf(random.Random(9), 60, 12, 9, copies=30) + [("b", t, d, 1) for d in (900, 901) for t in ("é", "z", "\U0001f600", "\uffee")] + [("a", None, 1, 1), ("a", "t1", None, 1), ("c", "alone", 7, 1)]
+    frame = spark.createDataFrame(rows + rows[:9], SCHEMA)
+    got = I.class_relations(frame, details=3, block=block, sparse=sparse).collect()
+    of = defaultdict(dict)
+    for r in got:
+        if r.same:
+            of[r.type][r.target] = r.source
+    assert len({(r.source, r.target, r.type) for r in got}) == len(got) and not any(x in of[r.type] for r in got for x in ((r.source,) if r.same else (r.source, r.target)))
+    pair = {(r.type, r.source, r.target): (r.weight, r.details) for r in got if not r.same}
+    within = {(r.type, r.source): (r.weight, r.details) for r in got if r.same}
+    want = I.relations(frame, details=3).collect()
+    for r in want:
+        a, b = sorted(of[r.type].get(x, x) for x in (r.source, r.target))
+        assert (within[r.type, a] if a == b else pair[r.type, a, b]) == (r.weight, r.details)
+    own = {(r.type, r.source, r.target) for r in want}
+    assert {(r.type, r.source, r.target) for r in got} <= own and len(got) < len(own) - 400
+
+
 @pytest.mark.parametrize(("seed", "docs", "terms", "most", "copies", "links", "seeds"), [(1, 200, 50, 6, 0, 15, 16), (2, 150, 400, 20, 0, 3, 1), (3, 120, 8, 3, 60, 15, 2), (4, 250, 30, 2, 0, 5, 1), (5, 60, 10, 12, 25, 2, 1)])
 def test_all_pairs(spark, seed, docs, terms, most, copies, links, seeds):
     rows = zipf(random.Random(seed), docs, terms, most, copies)
