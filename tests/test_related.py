@@ -58,6 +58,17 @@ def test_relations_of_classes(spark, monkeypatch, block, sparse, held):
     assert {(r.type, r.source, r.target) for r in got} <= own and len(got) < len(own) - 400
 
 
+def test_wide_parts_relate_as_narrow_ones(spark, monkeypatch):
+    """Parts of several blocks give the same rows, and classes are copied less often."""
+    rows = zipf(random.Random(4), 150, 40, 6, copies=3)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(map(tuple, I.class_relations(frame, block=8, sparse=1e9).collect()))
+    monkeypatch.setattr(I, "MANY", 2)
+    monkeypatch.setattr(I, "DEALT", 4)
+    monkeypatch.setattr(I, "HELD", 200)
+    assert sorted(map(tuple, I.class_relations(frame, block=8, sparse=1e9).collect())) == want != []
+
+
 @pytest.mark.parametrize(("seed", "docs", "terms", "most", "copies", "links", "seeds"), [(1, 200, 50, 6, 0, 15, 16), (2, 150, 400, 20, 0, 3, 1), (3, 120, 8, 3, 60, 15, 2), (4, 250, 30, 2, 0, 5, 1), (5, 60, 10, 12, 25, 2, 1)])
 def test_all_pairs(spark, seed, docs, terms, most, copies, links, seeds):
     rows = zipf(random.Random(seed), docs, terms, most, copies)
